@@ -46,4 +46,4 @@ def day_label(c: Column | str) -> Column:
 
 def rupees(c: Column | str) -> Column:
     """"Rs. 1234.50": two decimals, no grouping (JS toFixed(2))."""
-    return F.concat(F.lit("Rs. "), F.regexp_replace(format_n(c, 2), ",", ""))
+    return F.concat(F.lit("Rs. "), F.round(_c(c), 2).cast("decimal(20,2)").cast("string"))

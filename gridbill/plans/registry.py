@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import display as D
+from ..functions import formatting as FM
 from ..operators import aggregates as A
+from ..operators import billing as B
 from ..operators import joins as J
+from ..operators import lookup as L
+from ..operators import rating as RT
+from ..schemas import PAYMENT
 from ..sources.tables import Tables
 from .catalog import AS_OF, RANGE_END, RANGE_START, READ_AS_OF, register
 
@@ -258,3 +264,213 @@ WHERE b.Status IN ('Unpaid', 'Overdue')
 """)
 def q_defaulter_bills(t: Tables):
     return A.defaulter_bills(t)
+
+
+# ------------------------------------------------------------- lookups and logs
+@register("lookup_meters", """
+SELECT k.MeterID, m.CustomerID, m.UtilityID, m.Status, m.Location, m.InstallDate,
+       m.MeterID IS NOT NULL AS Found
+FROM (SELECT DISTINCT MeterID FROM meter_reading WHERE MeterID IS NOT NULL) k
+LEFT JOIN meter m ON k.MeterID = m.MeterID
+""")
+def q_lookup_meters(t: Tables):
+    """Meter details for every meter that sent a reading (unknown meters: Found=false)."""
+    return L.lookup(t.meter, t.meter_reading, "MeterID")
+
+
+@register("lookup_customers", """
+SELECT k.CustomerID, c.CustomerName, c.CustomerType, c.Email, c.Phone, c.ServiceAddress,
+       c.BillingAddress, c.RegistrationDate, c.CustomerID IS NOT NULL AS Found
+FROM (SELECT DISTINCT CustomerID FROM bill WHERE Status IN ('Unpaid', 'Overdue')) k
+LEFT JOIN cust c ON k.CustomerID = c.CustomerID
+""")
+def q_lookup_customers(t: Tables):
+    """Customer details for every customer with an open bill."""
+    return L.lookup(t.customer, J.open_bills(t), "CustomerID")
+
+
+@register("lookup_tariffs", """
+SELECT k.TariffID, t.UtilityID, t.TariffName, t.Rate, t.MinUnits, t.MaxUnits, t.FixedCharge,
+       t.TariffID IS NOT NULL AS Found
+FROM (SELECT DISTINCT TariffID FROM bill WHERE TariffID IS NOT NULL) k
+LEFT JOIN tariff t ON k.TariffID = t.TariffID
+""")
+def q_lookup_tariffs(t: Tables):
+    """Tariff details for every tariff referenced by a bill."""
+    return L.lookup(t.tariff, t.bill, "TariffID")
+
+
+@register("report_new_customers", f"""
+SELECT CustomerID, CustomerName, CustomerType, RegistrationDate, Email, Phone FROM cust
+WHERE RegistrationDate >= DATE '{_R0}' AND RegistrationDate < DATE '{_R1_NEXT}'
+""")
+def q_report_new_customers(t: Tables):
+    return L.new_customers(t, RANGE_START, RANGE_END)
+
+
+@register("report_readings_log", """
+SELECT ReadingID, MeterID, ReadingValue, ReadingDate, UserID FROM meter_reading
+WHERE ReadingDate >= DATE '2024-01-10' AND ReadingDate < DATE '2024-01-21'
+""")
+def q_report_readings_log(t: Tables):
+    return L.readings_log(t, "2024-01-10", "2024-01-20")
+
+
+@register("report_payment_log", f"""
+SELECT p.PaymentID, p.BillID, p.PaymentAmount, p.PaymentDate, p.PaymentMethod, p.UserID
+FROM payment p WHERE {_PAY_RANGE}
+""")
+def q_report_payment_log(t: Tables):
+    return L.payment_log(t, RANGE_START, RANGE_END)
+
+
+# ---------------------------------------------------------------- display
+@register("meter_display", """
+SELECT m.MeterID, m.CustomerID, u.UtilityName, m.Status,
+       regexp_replace(lower(m.Status), ' ', '-') AS StatusSlug,
+       COALESCE(NULLIF(m.Location, ''), c.ServiceAddress) AS DisplayLocation
+FROM meter m JOIN cust c ON m.CustomerID = c.CustomerID
+JOIN utility_type u ON m.UtilityID = u.UtilityID
+""")
+def q_meter_display(t: Tables):
+    inv = J.meter_inventory(t)
+    return inv.select("MeterID", "CustomerID", "UtilityName", "Status",
+                      D.status_slug("Status").alias("StatusSlug"),
+                      D.fallback("Location", "ServiceAddress").alias("DisplayLocation"))
+
+
+@register("customer_display", """
+SELECT CustomerID, CustomerName, CustomerType, COALESCE(NULLIF(Email, ''), 'N/A') AS EmailText,
+       Phone, ServiceAddress
+FROM cust
+""")
+def q_customer_display(t: Tables):
+    return t.customer.select("CustomerID", "CustomerName", "CustomerType",
+                             D.or_text("Email", "N/A").alias("EmailText"), "Phone", "ServiceAddress")
+
+
+@register("ledger_display", """
+SELECT b.BillID, b.CustomerID, b.BillDate, 'Rs. ' || CAST(CAST(b.AmountDue AS DECIMAL(20,2)) AS VARCHAR) AS AmountText,
+       lower(b.Status) AS StatusSlug, COALESCE(strftime(p.PaymentDate, '%Y-%m-%d'), '---') AS PaidOn
+FROM bill b LEFT JOIN payment p ON b.BillID = p.BillID
+""")
+def q_ledger_display(t: Tables):
+    led = J.billing_ledger(t, ordered=False)
+    return led.select("BillID", "CustomerID", "BillDate", FM.rupees("AmountDue").alias("AmountText"),
+                      F.lower("Status").alias("StatusSlug"),
+                      D.or_text(FM.day_label("PaymentDate"), "---").alias("PaidOn"))
+
+
+# ------------------------------------------------------------- rating and billing
+_LAG = ("CAST(LAG(r.ReadingValue, 1, 0) OVER (PARTITION BY r.MeterID ORDER BY r.ReadingDate, r.ReadingID)"
+        " AS DECIMAL(10,2))")
+_RC = f"""
+, rc0 AS (
+  SELECT r.ReadingID, r.MeterID, m.CustomerID, m.UtilityID, r.ReadingDate,
+         r.ReadingValue AS CurrentReadingValue, {_LAG} AS PreviousReadingValue
+  FROM meter_reading r LEFT JOIN meter m ON r.MeterID = m.MeterID
+), rc AS (
+  SELECT *, CAST(CurrentReadingValue - PreviousReadingValue AS DECIMAL(12,2)) AS Consumption,
+         (CurrentReadingValue - PreviousReadingValue) < 0 AS IsNegative
+  FROM rc0
+), base AS (
+  SELECT UtilityID, TariffID AS BaseTariffID, Rate AS BaseRate FROM (
+    SELECT *, row_number() OVER (PARTITION BY UtilityID ORDER BY MinUnits NULLS FIRST, TariffID) AS rn
+    FROM tariff) x WHERE rn = 1
+), flat AS (
+  SELECT rc.*, b.BaseTariffID, CAST(rc.Consumption * b.BaseRate AS DECIMAL(12,2)) AS FlatAmount
+  FROM rc LEFT JOIN base b ON rc.UtilityID = b.UtilityID
+), slab AS (
+  SELECT rc.ReadingID,
+         CAST(SUM(COALESCE(t.Rate * CASE WHEN t.MaxUnits IS NULL THEN GREATEST(rc.Consumption - t.MinUnits, 0)
+                  ELSE LEAST(GREATEST(rc.Consumption - t.MinUnits, 0), t.MaxUnits - t.MinUnits) END, 0))
+              + SUM(COALESCE(t.FixedCharge, 0)) AS DECIMAL(12,2)) AS SlabAmount
+  FROM rc JOIN tariff t ON t.UtilityID = rc.UtilityID
+  WHERE rc.UtilityID = 'UTIL-01'
+  GROUP BY rc.ReadingID
+), rated AS (
+  SELECT f.*, CASE WHEN f.UtilityID = 'UTIL-01' THEN s.SlabAmount ELSE f.FlatAmount END AS CalculatedAmountDue
+  FROM flat f LEFT JOIN slab s ON f.ReadingID = s.ReadingID
+)
+"""
+
+
+@register("reading_deltas", f"""
+SELECT r.ReadingID, r.MeterID, r.ReadingDate, r.ReadingValue, {_LAG} AS PreviousReadingValue
+FROM meter_reading r
+""")
+def q_reading_deltas(t: Tables):
+    return RT.reading_deltas(t.meter_reading)
+
+
+@register("reading_consumption", _RC + """
+SELECT ReadingID, MeterID, CustomerID, UtilityID, ReadingDate, CurrentReadingValue,
+       PreviousReadingValue, Consumption, IsNegative FROM rc
+""")
+def q_reading_consumption(t: Tables):
+    return RT.reading_consumption(t)
+
+
+@register("flat_rating", _RC + """
+SELECT ReadingID, MeterID, CustomerID, UtilityID, Consumption, BaseTariffID, FlatAmount FROM flat
+""")
+def q_flat_rating(t: Tables):
+    return RT.flat_rating(t)
+
+
+@register("slab_rating", _RC + """
+SELECT rc.ReadingID, rc.MeterID, rc.CustomerID, rc.Consumption, s.SlabAmount
+FROM rc JOIN slab s ON rc.ReadingID = s.ReadingID
+""")
+def q_slab_rating(t: Tables):
+    return RT.slab_rating(t)
+
+
+_BILLS_SQL = _RC + """
+SELECT 'BILL-R' || CAST(r.ReadingID AS VARCHAR) AS BillID, r.CustomerID, r.MeterID, r.ReadingID,
+       r.BaseTariffID AS TariffID, DATE '{bd}' AS BillDate, CAST(DATE '{bd}' + INTERVAL 14 DAY AS DATE) AS DueDate,
+       CAST(r.PreviousReadingValue AS DECIMAL(10,2)) AS PreviousReadingValue,
+       CAST(r.CurrentReadingValue AS DECIMAL(10,2)) AS CurrentReadingValue,
+       CAST(r.Consumption AS DECIMAL(10,2)) AS Consumption,
+       CAST(r.CalculatedAmountDue AS DECIMAL(10,2)) AS AmountDue, 'Unpaid' AS Status
+FROM rated r JOIN meter m ON r.MeterID = m.MeterID
+WHERE r.ReadingID NOT IN (SELECT ReadingID FROM bill) {extra}
+"""
+
+
+@register("billing_run", _BILLS_SQL.format(bd="2024-02-01", extra=""))
+def q_billing_run(t: Tables):
+    return B.billing_run(t, "2024-02-01")
+
+
+@register("billing_run_month", _BILLS_SQL.format(
+    bd="2024-01-01", extra="AND r.ReadingDate >= DATE '2024-01-01' AND r.ReadingDate < DATE '2024-02-01'"))
+def q_billing_run_month(t: Tables):
+    return B.billing_run_month(t, READ_AS_OF)
+
+
+@register("post_payments", """
+, s AS (
+  SELECT BillID, SUM(PaymentAmount) AS paid FROM payment
+  WHERE NULLIF(BillID, '') IS NOT NULL AND PaymentAmount IS NOT NULL AND PaymentAmount <> 0
+    AND NULLIF(PaymentMethod, '') IS NOT NULL AND BillID IN (SELECT BillID FROM bill)
+  GROUP BY BillID
+)
+SELECT b.BillID, b.AmountDue, CAST(s.paid AS DECIMAL(18,2)) AS PaidTotal,
+       CASE WHEN s.paid >= b.AmountDue THEN 'Paid' ELSE b.Status END AS Status
+FROM bill b JOIN s ON b.BillID = s.BillID
+""")
+def q_post_payments(t: Tables):
+    """Replay the whole payment log as one batch onto bills that have no payments yet."""
+    empty = t.spark.createDataFrame([], PAYMENT)
+    res = B.post_payments(t.replace(payment=empty), t.payment, AS_OF)
+    return (res.bills.join(res.paid, "BillID")
+            .select("BillID", "AmountDue", "PaidTotal", "Status"))
+
+
+@register("double_billed", """
+SELECT ReadingID, COUNT(*) AS BillCount FROM bill WHERE ReadingID IS NOT NULL
+GROUP BY ReadingID HAVING COUNT(*) > 1
+""")
+def q_double_billed(t: Tables):
+    return B.double_billed(t.bill)
