@@ -6,13 +6,17 @@ from pyspark.sql import functions as F
 
 from ..functions import display as D
 from ..functions import formatting as FM
+from ..functions import timewin as TW
 from ..operators import aggregates as A
 from ..operators import billing as B
 from ..operators import joins as J
 from ..operators import lookup as L
+from ..operators import maintain as M
+from ..operators import validate as V
 from ..operators import rating as RT
 from ..schemas import PAYMENT
 from ..sources.tables import Tables
+from . import reports as RP
 from .catalog import AS_OF, RANGE_END, RANGE_START, READ_AS_OF, register
 
 # SQL literals for the fixed clocks/ranges used by the oracles.
@@ -474,3 +478,269 @@ GROUP BY ReadingID HAVING COUNT(*) > 1
 """)
 def q_double_billed(t: Tables):
     return B.double_billed(t.bill)
+
+
+# ------------------------------------------------------- validation and appends
+_READING_OUTCOME = """CASE
+    WHEN NULLIF(b.MeterID, '') IS NULL THEN 'missing MeterID'
+    WHEN b.ReadingValue IS NULL THEN 'missing ReadingValue'
+    WHEN b.ReadingDate IS NULL THEN 'missing ReadingDate'
+    WHEN NULLIF(b.UserID, '') IS NULL THEN 'missing UserID'
+    WHEN b.MeterID NOT IN (SELECT MeterID FROM meter) THEN 'unknown MeterID'
+    WHEN EXISTS (SELECT 1 FROM ex WHERE ex.MeterID = b.MeterID AND ex.ReadingDate = b.ReadingDate
+                 AND ex.ReadingValue = b.ReadingValue AND ex.UserID = b.UserID) THEN 'duplicate reading'
+    ELSE 'accepted' END"""
+
+
+@register("append_readings", f"""
+, ex AS (SELECT * FROM meter_reading WHERE ReadingDate < DATE '2024-01-15'),
+b AS (SELECT MeterID, UserID, ReadingValue, ReadingDate, NULLIF(Notes, '') AS Notes FROM meter_reading),
+chk AS (SELECT b.*, {_READING_OUTCOME} AS Outcome FROM b),
+acc AS (SELECT MeterID, ReadingDate, ReadingValue, UserID, MIN(Notes) AS Notes
+        FROM chk WHERE Outcome = 'accepted' GROUP BY MeterID, ReadingDate, ReadingValue, UserID)
+SELECT CAST((SELECT COALESCE(MAX(ReadingID), 0) FROM ex)
+            + RANK() OVER (ORDER BY concat_ws('|', MeterID, CAST(ReadingDate AS VARCHAR),
+                                              CAST(ReadingValue AS VARCHAR), UserID)) AS INTEGER) AS ReadingID,
+       MeterID, UserID, ReadingValue, ReadingDate, Notes, 'accepted' AS Outcome
+FROM acc
+UNION ALL
+SELECT CAST(NULL AS INTEGER), MeterID, UserID, ReadingValue, ReadingDate, Notes, Outcome
+FROM chk WHERE Outcome <> 'accepted'
+""")
+def q_append_readings(t: Tables):
+    """The whole reading log submitted as one batch onto the readings stored
+    before 2024-01-15 (those come back as duplicates, the rest get new ids)."""
+    stored = t.meter_reading.where(F.col("ReadingDate") < F.lit(READ_AS_OF))
+    return M.append_readings(stored, t.meter_reading.drop("ReadingID"), t.meter)
+
+
+@register("append_customers", """
+SELECT c.*, CASE
+    WHEN NULLIF(c.CustomerName, '') IS NULL THEN 'missing CustomerName'
+    WHEN NULLIF(c.CustomerType, '') IS NULL THEN 'missing CustomerType'
+    WHEN NULLIF(c.Phone, '') IS NULL THEN 'missing Phone'
+    WHEN NULLIF(c.ServiceAddress, '') IS NULL THEN 'missing ServiceAddress'
+    WHEN c.CustomerType NOT IN ('Household', 'Business', 'Government') THEN 'bad CustomerType'
+    WHEN c.CustomerID IN (SELECT CustomerID FROM cust WHERE RegistrationDate < DATE '1998-01-01')
+      THEN 'duplicate CustomerID'
+    WHEN c.CustomerID IN (SELECT CustomerID FROM cust GROUP BY CustomerID HAVING COUNT(*) > 1)
+      THEN 'repeated CustomerID'
+    ELSE 'accepted' END AS Outcome
+FROM cust c
+""")
+def q_append_customers(t: Tables):
+    """All customers as a sign-up batch onto those registered before 1998."""
+    stored = t.customer.where(F.col("RegistrationDate") < F.lit(RANGE_START))
+    return M.append_customers(stored, t.customer, AS_OF)
+
+
+@register("append_meters", """
+SELECT m.*, CASE
+    WHEN NULLIF(m.CustomerID, '') IS NULL THEN 'missing CustomerID'
+    WHEN NULLIF(m.MeterID, '') IS NULL THEN 'missing MeterID'
+    WHEN NULLIF(m.UtilityID, '') IS NULL THEN 'missing UtilityID'
+    WHEN NULLIF(m.Status, '') IS NULL THEN 'missing Status'
+    WHEN m.Status NOT IN ('Active', 'Pending Install', 'Inactive') THEN 'bad Status'
+    WHEN m.MeterID IN (SELECT MeterID FROM meter WHERE Status = 'Active') THEN 'duplicate MeterID'
+    WHEN m.MeterID IN (SELECT MeterID FROM meter GROUP BY MeterID HAVING COUNT(*) > 1) THEN 'repeated MeterID'
+    WHEN m.CustomerID NOT IN (SELECT CustomerID FROM cust) THEN 'unknown CustomerID'
+    WHEN m.UtilityID NOT IN (SELECT UtilityID FROM utility_type) THEN 'unknown UtilityID'
+    ELSE 'accepted' END AS Outcome
+FROM meter m
+""")
+def q_append_meters(t: Tables):
+    """All meters as an installation batch onto the Active ones already stored."""
+    stored = t.meter.where(F.col("Status") == "Active")
+    return M.append_meters(stored, t.meter, t.customer, t.utility_type, AS_OF)
+
+
+def _rule(entity: str, table: str, rule: str, pred: str) -> str:
+    return (f"SELECT '{entity}' AS Entity, '{rule}' AS Rule, "
+            f"CAST(COALESCE(SUM(CASE WHEN {pred} THEN 1 ELSE 0 END), 0) AS BIGINT) AS Violations FROM {table}")
+
+
+_CHECKS_SQL = "\nUNION ALL\n".join([
+    _rule("Customer", "cust", "missing CustomerName", "NULLIF(CustomerName, '') IS NULL"),
+    _rule("Customer", "cust", "missing CustomerType", "NULLIF(CustomerType, '') IS NULL"),
+    _rule("Customer", "cust", "missing Phone", "NULLIF(Phone, '') IS NULL"),
+    _rule("Customer", "cust", "missing ServiceAddress", "NULLIF(ServiceAddress, '') IS NULL"),
+    _rule("Customer", "cust", "bad CustomerType",
+          "CustomerType IS NOT NULL AND CustomerType NOT IN ('Household', 'Business', 'Government')"),
+    _rule("Meter", "meter", "missing CustomerID", "NULLIF(CustomerID, '') IS NULL"),
+    _rule("Meter", "meter", "missing MeterID", "NULLIF(MeterID, '') IS NULL"),
+    _rule("Meter", "meter", "missing UtilityID", "NULLIF(UtilityID, '') IS NULL"),
+    _rule("Meter", "meter", "missing Status", "NULLIF(Status, '') IS NULL"),
+    _rule("Meter", "meter", "bad Status",
+          "Status IS NOT NULL AND Status NOT IN ('Active', 'Pending Install', 'Inactive')"),
+    _rule("Meter_Reading", "meter_reading", "missing MeterID", "NULLIF(MeterID, '') IS NULL"),
+    _rule("Meter_Reading", "meter_reading", "missing ReadingValue", "ReadingValue IS NULL"),
+    _rule("Meter_Reading", "meter_reading", "missing ReadingDate", "ReadingDate IS NULL"),
+    _rule("Meter_Reading", "meter_reading", "missing UserID", "NULLIF(UserID, '') IS NULL"),
+    _rule("Bill", "bill", "bad Status", "Status IS NOT NULL AND Status NOT IN ('Unpaid', 'Overdue', 'Paid')"),
+    _rule("Payment", "payment", "missing BillID", "NULLIF(BillID, '') IS NULL"),
+    _rule("Payment", "payment", "missing PaymentAmount", "PaymentAmount IS NULL"),
+    _rule("Payment", "payment", "missing PaymentMethod", "NULLIF(PaymentMethod, '') IS NULL"),
+    _rule("Payment", "payment", "bad PaymentMethod",
+          "PaymentMethod IS NOT NULL AND PaymentMethod NOT IN ('Cash', 'Card', 'Online')"),
+])
+
+
+@register("check_domains", _CHECKS_SQL)
+def q_check_domains(t: Tables):
+    """Rows breaking each required-field or value-domain rule, per entity."""
+    parts = [V.rule_counts("Customer", t.customer, V.customer_rules()),
+             V.rule_counts("Meter", t.meter, V.meter_rules()),
+             V.rule_counts("Meter_Reading", t.meter_reading, V.reading_rules()),
+             V.rule_counts("Bill", t.bill, V.bill_rules()),
+             V.rule_counts("Payment", t.payment, V.payment_rules())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ----------------------------------------------------------------- maintenance
+@register("update_meters", """
+, upd AS (SELECT DISTINCT MeterID FROM meter_reading),
+err AS (SELECT DISTINCT MeterID FROM meter_reading WHERE Notes = 'error')
+SELECT m.MeterID, m.CustomerID, m.UtilityID,
+       CASE WHEN e.MeterID IS NOT NULL THEN 'Inactive' WHEN u.MeterID IS NOT NULL THEN 'Active'
+            ELSE m.Status END AS Status,
+       m.Location, m.InstallDate, u.MeterID IS NOT NULL AS Updated
+FROM meter m LEFT JOIN upd u ON m.MeterID = u.MeterID LEFT JOIN err e ON m.MeterID = e.MeterID
+""")
+def q_update_meters(t: Tables):
+    """M1: meters that sent readings become Active (seq 1); a meter that reported an
+    error is set Inactive by a later update (seq 2), which wins."""
+    listed = ["CustomerID", "UtilityID", "Status", "Location"]
+    m = t.meter.select("MeterID", "CustomerID", "UtilityID", "Location")
+    read = t.meter_reading.select("MeterID").distinct()
+    err = t.meter_reading.where(F.col("Notes") == "error").select("MeterID").distinct()
+    u1 = m.join(read, "MeterID", "left_semi").withColumn("Status", F.lit("Active")).withColumn("seq", F.lit(1))
+    u2 = m.join(err, "MeterID", "left_semi").withColumn("Status", F.lit("Inactive")).withColumn("seq", F.lit(2))
+    return M.apply_updates(t.meter, u1.unionByName(u2), "MeterID", listed)
+
+
+@register("update_customers", """
+SELECT CustomerID, CustomerName, CustomerType, Email, Phone, ServiceAddress,
+       COALESCE(BillingAddress, ServiceAddress) AS BillingAddress, RegistrationDate,
+       BillingAddress IS NULL AS Updated
+FROM cust
+""")
+def q_update_customers(t: Tables):
+    """M1: customers without a billing address get their service address as one."""
+    listed = ["CustomerName", "CustomerType", "Email", "Phone", "ServiceAddress", "BillingAddress"]
+    upd = (t.customer.where(F.col("BillingAddress").isNull())
+           .withColumn("BillingAddress", F.col("ServiceAddress")).withColumn("seq", F.lit(1)))
+    return M.apply_updates(t.customer, upd, "CustomerID", listed)
+
+
+def _audit_sql(entity: str, table: str, gone: str) -> str:
+    return (f"SELECT '{entity}' AS Entity, COUNT(*) FILTER (WHERE {gone}) AS Deleted, "
+            f"COUNT(*) - COUNT(*) FILTER (WHERE {gone}) AS Remaining FROM {table}")
+
+
+@register("delete_customers", """
+, k AS (SELECT DISTINCT CustomerID FROM meter WHERE Status = 'Inactive'),
+bg AS (SELECT BillID FROM bill WHERE CustomerID IN (SELECT CustomerID FROM k)),
+mg AS (SELECT MeterID FROM meter WHERE CustomerID IN (SELECT CustomerID FROM k))
+""" + "\nUNION ALL\n".join([
+    _audit_sql("Payment", "payment", "BillID IN (SELECT BillID FROM bg)"),
+    _audit_sql("Bill", "bill", "CustomerID IN (SELECT CustomerID FROM k)"),
+    _audit_sql("Meter_Reading", "meter_reading", "MeterID IN (SELECT MeterID FROM mg)"),
+    _audit_sql("Meter", "meter", "CustomerID IN (SELECT CustomerID FROM k)"),
+    _audit_sql("Customer", "cust", "CustomerID IN (SELECT CustomerID FROM k)"),
+]))
+def q_delete_customers(t: Tables):
+    """M2: cascade-delete the customers whose meter is Inactive; audit counts."""
+    keys = t.meter.where(F.col("Status") == "Inactive").select("CustomerID")
+    return M.delete_customers(t, keys).audit
+
+
+@register("delete_meters", """
+, k AS (SELECT MeterID FROM meter WHERE Status = 'Inactive'),
+rg AS (SELECT ReadingID FROM meter_reading WHERE MeterID IN (SELECT MeterID FROM k)),
+bg AS (SELECT BillID FROM bill WHERE ReadingID IN (SELECT ReadingID FROM rg))
+""" + "\nUNION ALL\n".join([
+    _audit_sql("Payment", "payment", "BillID IN (SELECT BillID FROM bg)"),
+    _audit_sql("Bill", "bill", "BillID IN (SELECT BillID FROM bg)"),
+    _audit_sql("Meter_Reading", "meter_reading", "MeterID IN (SELECT MeterID FROM k)"),
+    _audit_sql("Meter", "meter", "MeterID IN (SELECT MeterID FROM k)"),
+]))
+def q_delete_meters(t: Tables):
+    """M3: cascade-delete Inactive meters (bills chosen through their readings)."""
+    keys = t.meter.where(F.col("Status") == "Inactive").select("MeterID")
+    return M.delete_meters(t, keys).audit
+
+
+@register("delete_tariffs", """
+SELECT t.TariffID,
+       CASE WHEN COUNT(b.BillID) > 0 THEN 'blocked' ELSE 'deleted' END AS Outcome,
+       COUNT(b.BillID) AS BillCount
+FROM tariff t LEFT JOIN bill b ON b.TariffID = t.TariffID
+GROUP BY t.TariffID
+""")
+def q_delete_tariffs(t: Tables):
+    """M4: try to delete every tariff; those used by bills are blocked."""
+    return M.delete_tariffs(t, t.tariff.select("TariffID"))[1]
+
+
+# ------------------------------------------------------------- reports, scalars
+@register("admin_report", """
+SELECT PaymentID, BillID, PaymentAmount, PaymentDate, PaymentMethod, UserID FROM payment
+WHERE PaymentDate >= TIMESTAMP '1900-01-01 00:00:00' AND PaymentDate < TIMESTAMP '2100-01-01 00:00:00'
+""")
+def q_admin_report(t: Tables):
+    """Payment-log with no range given (defaults 1900-01-01..2099-12-31)."""
+    return RP.admin_report(t, "payment-log")
+
+
+@register("manager_report", f"""
+SELECT CAST(SUM(p.PaymentAmount) AS DECIMAL(18,2)) AS GrandTotal FROM payment p WHERE {_PAY_RANGE}
+""")
+def q_manager_report(t: Tables):
+    """R2: the revenue report's grand total for 1998."""
+    return RP.manager_report(t, "revenue", RANGE_START, RANGE_END).total
+
+
+@register("scalar_suite", """
+SELECT BillID,
+       CAST(month(BillDate) AS INTEGER) AS BillMonth, CAST(year(BillDate) AS INTEGER) AS BillYear,
+       last_day(BillDate) AS MonthEnd, last_day(CAST(BillDate - INTERVAL 1 MONTH AS DATE)) AS PrevMonthEnd,
+       CAST(BillDate + INTERVAL 30 DAY AS DATE) AS Plus30, CAST(BillDate - INTERVAL 6 MONTH AS DATE) AS Minus6Months,
+       strftime(BillDate, '%B %Y') AS MonthLabel, strftime(BillDate, '%Y-%m-%d') AS DayLabel,
+       format('{:,.0f}', CAST(round(AmountDue, 0) AS DOUBLE)) AS AmountN0,
+       BillID || ' ' || Status AS Label,
+       CAST(COALESCE(Consumption, 0) AS DECIMAL(12,2)) AS ConsumptionOr0,
+       CASE WHEN AmountDue >= 100000 THEN 'high' WHEN AmountDue >= 10000 THEN 'mid' ELSE 'low' END AS Band,
+       BillDate >= DATE '1998-01-01' AND BillDate < DATE '1999-01-01' AS In1998,
+       CAST(AmountDue - COALESCE(Consumption, 0) AS DECIMAL(12,2)) AS Net,
+       upper(Status) = upper('paid') AS IsPaid,
+       'Rs. ' || CAST(AmountDue AS VARCHAR) AS AmountText,
+       CAST(replace(format('{:,.0f}', CAST(round(AmountDue, 0) AS DOUBLE)), ',', '') AS DECIMAL(20,2)) AS Parsed,
+       CAST(BillDate + INTERVAL 14 DAY AS DATE) = DueDate AS DueIn14
+FROM bill
+""")
+def q_scalar_suite(t: Tables):
+    """F1-F15 on every bill."""
+    b = t.bill
+    n0 = FM.format_n("AmountDue", 0)
+    return b.select(
+        "BillID",
+        F.month("BillDate").alias("BillMonth"), F.year("BillDate").alias("BillYear"),
+        F.last_day("BillDate").alias("MonthEnd"),
+        F.last_day(F.add_months("BillDate", -1)).alias("PrevMonthEnd"),
+        F.date_add("BillDate", 30).alias("Plus30"), F.add_months("BillDate", -6).alias("Minus6Months"),
+        FM.month_label("BillDate").alias("MonthLabel"), FM.day_label("BillDate").alias("DayLabel"),
+        n0.alias("AmountN0"),
+        F.concat("BillID", F.lit(" "), "Status").alias("Label"),
+        F.coalesce("Consumption", F.lit(0)).cast("decimal(12,2)").alias("ConsumptionOr0"),
+        F.when(F.col("AmountDue") >= 100000, "high").when(F.col("AmountDue") >= 10000, "mid")
+         .otherwise("low").alias("Band"),
+        TW.day_range("BillDate", "1998-01-01", "1998-12-31").alias("In1998"),
+        (F.col("AmountDue") - F.coalesce("Consumption", F.lit(0))).cast("decimal(12,2)").alias("Net"),
+        (F.upper("Status") == F.upper(F.lit("paid"))).alias("IsPaid"),
+        FM.rupees("AmountDue").alias("AmountText"),
+        FM.parse_quantity(F.concat(n0, F.lit(" kWh"))).alias("Parsed"),
+        (F.date_add("BillDate", 14) == F.col("DueDate")).alias("DueIn14"),
+    )
