@@ -14,7 +14,8 @@ from ..operators import lookup as L
 from ..operators import maintain as M
 from ..operators import validate as V
 from ..operators import rating as RT
-from ..schemas import PAYMENT
+from ..schemas import METER_READING, PAYMENT
+from ..streaming import ingest as ST
 from ..sources.tables import Tables
 from . import reports as RP
 from .catalog import AS_OF, RANGE_END, RANGE_START, READ_AS_OF, register
@@ -744,3 +745,34 @@ def q_scalar_suite(t: Tables):
         FM.parse_quantity(F.concat(n0, F.lit(" kWh"))).alias("Parsed"),
         (F.date_add("BillDate", 14) == F.col("DueDate")).alias("DueIn14"),
     )
+
+
+# ------------------------------------------------------------------- streaming
+@register("ingest_readings_stream", """
+, ex AS (SELECT * FROM meter_reading WHERE FALSE),
+b AS (SELECT 'MTR-' || CAST(user_id AS VARCHAR) AS MeterID,
+             'U-00' || CAST(event_id % 5 + 1 AS VARCHAR) AS UserID,
+             CAST(value AS DECIMAL(10,2)) AS ReadingValue, CAST(ts AS DATE) AS ReadingDate,
+             CASE WHEN event_type = 'error' THEN 'error' END AS Notes
+      FROM events),
+chk AS (SELECT b.*, """ + _READING_OUTCOME + """ AS Outcome FROM b),
+acc AS (SELECT MeterID, ReadingDate, ReadingValue, UserID, MIN(Notes) AS Notes
+        FROM chk WHERE Outcome = 'accepted' GROUP BY MeterID, ReadingDate, ReadingValue, UserID)
+SELECT CAST(RANK() OVER (ORDER BY concat_ws('|', MeterID, CAST(ReadingDate AS VARCHAR),
+                                           CAST(ReadingValue AS VARCHAR), UserID)) AS INTEGER) AS ReadingID,
+       MeterID, UserID, ReadingValue, ReadingDate, Notes, 'accepted' AS Outcome
+FROM acc
+UNION ALL
+SELECT CAST(NULL AS INTEGER), MeterID, UserID, ReadingValue, ReadingDate, Notes, Outcome
+FROM chk WHERE Outcome <> 'accepted'
+""")
+def q_ingest_readings_stream(t: Tables):
+    """ST1: the event log streamed in as reading submissions (availableNow trigger),
+    validated and appended by foreachBatch; returns what the two sinks hold."""
+    spark = t.spark
+    paths = ST.IngestPaths.fresh(spark)
+    subs = ST.submissions_from_events(spark, t.source_dir)
+    ST.ingest_readings_stream(subs, t.meter, paths).awaitTermination()
+    accepted = spark.read.schema(METER_READING).parquet(paths.readings).withColumn(M.OUTCOME, F.lit("accepted"))
+    rejected = spark.read.parquet(paths.rejected).drop("Epoch")
+    return accepted.unionByName(rejected)

@@ -38,8 +38,10 @@ def load(spark: SparkSession, entity: str, path: str | None = None, fmt: str = "
 class Tables:
     """Lazily built entity frames; each attribute is built once per bundle."""
 
-    def __init__(self, spark: SparkSession, builders: dict[str, Callable[[], DataFrame]]):
+    def __init__(self, spark: SparkSession, builders: dict[str, Callable[[], DataFrame]],
+                 source_dir: str | None = None):
         self.spark = spark
+        self.source_dir = source_dir
         self._builders = builders
         self._built: dict[str, DataFrame] = {}
 
@@ -57,7 +59,7 @@ class Tables:
         builders = dict(self._builders)
         for k, v in frames.items():
             builders[k] = (lambda d=v: d)
-        return Tables(self.spark, builders)
+        return Tables(self.spark, builders, self.source_dir)
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "Tables":
@@ -69,7 +71,7 @@ class Tables:
             "meter_reading": lambda: testdata.meter_reading(spark, sf_dir),
             "bill": lambda: testdata.bill(spark, sf_dir),
             "payment": lambda: testdata.payment(spark, sf_dir),
-        })
+        }, sf_dir)
 
     @classmethod
     def from_store(cls, spark: SparkSession, base: str, fmt: str = "parquet", **options) -> "Tables":
