@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from ..functions.timewin import DateLike, in_month
 from ..schemas import OPEN_BILL_STATUSES
 from ..sources.tables import Tables
-from .common import bounded_broadcast
 
 
 def _utilities(t: Tables) -> DataFrame:
-    return bounded_broadcast(t.utility_type.select("UtilityID", "UtilityName", "Unit"))
+    # No hint: the planner broadcasts a small dimension after its own size check
+    # (autoBroadcastJoinThreshold, re-checked by AQE at runtime) and falls back to
+    # a sort-merge join beyond it.
+    return t.utility_type.select("UtilityID", "UtilityName", "Unit")
 
 
 def meter_inventory(t: Tables) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import MONEY
 from ..sources.tables import Tables
-from .common import DIMENSION_ROW_LIMIT, bounded_broadcast
+from .common import DIMENSION_ROW_LIMIT
 from .windows import first_by_order, lag_default
 
 ELECTRICITY = "UTIL-01"
@@ -61,7 +61,7 @@ def base_tariff(tariff: DataFrame) -> DataFrame:
 def flat_rating(t: Tables, consumption: DataFrame | None = None) -> DataFrame:
     """B2: amount = consumption x base rate of the reading's utility (NULL without a tariff)."""
     rc = reading_consumption(t) if consumption is None else consumption
-    base = bounded_broadcast(base_tariff(t.tariff))
+    base = base_tariff(t.tariff)  # one row per utility; broadcast by the planner's size check
     return rc.join(base, "UtilityID", "left").select(
         "ReadingID", "MeterID", "CustomerID", "UtilityID", "Consumption", "BaseTariffID",
         (F.col("Consumption") * F.col("BaseRate")).cast(AMOUNT).alias("FlatAmount"))
@@ -105,7 +105,7 @@ def slab_rating(t: Tables, consumption: DataFrame | None = None,
 
 def rate_readings(t: Tables, consumption: DataFrame) -> DataFrame:
     """Amount per reading: slab rating for electricity, flat rating otherwise."""
-    base = bounded_broadcast(base_tariff(t.tariff))
+    base = base_tariff(t.tariff)
     slabs = _slab_tables(t.tariff)
     j = consumption.join(base, "UtilityID", "left").join(slabs, "UtilityID", "left")
     amount = (F.when(F.col("UtilityID") == ELECTRICITY,
