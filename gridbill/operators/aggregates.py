@@ -7,7 +7,7 @@ the one-row-per-key result is joined to its dimension.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formatting import day_label, month_label, quantity_text
@@ -15,7 +15,7 @@ from ..functions.timewin import DateLike, day_range, in_month, last_n_days, mont
 from ..schemas import OPEN_BILL_STATUSES, REPORT_MONEY
 from ..sources.tables import Tables
 from .common import count_col, money
-from .joins import bill_utility_star, open_bills, payment_utility_star
+from .joins import open_bills, payment_utility_star
 from .windows import global_rank
 
 TREND_UTILITIES = ("Electricity", "Water", "Gas")
@@ -73,10 +73,23 @@ def defaulters_total(detail: DataFrame) -> DataFrame:
 
 
 def consumption_totals(t: Tables, bill_filter) -> DataFrame:
-    """SUM(Consumption) per customer x utility x unit over the filtered bills."""
-    star = bill_utility_star(t, bill_filter)
+    """SUM(Consumption) per customer x utility x unit over the filtered bills.
+
+    Bills are summed per (CustomerID, MeterID) -- the join keys -- before the
+    joins, so the customer / meter joins see one row per pair instead of one per
+    bill (partial aggregation also collapses a hot customer map-side). Sums are
+    decomposable and the joins are many-to-one, so the result is unchanged.
+    """
+    b = t.bill.select("CustomerID", "MeterID", "BillDate", "Consumption")
+    if bill_filter is not None:
+        b = b.where(bill_filter)
+    per_pair = b.groupBy("CustomerID", "MeterID").agg(F.sum("Consumption").alias("_c"))
+    c = t.customer.select("CustomerID", "CustomerName")
+    m = t.meter.select("MeterID", "UtilityID")
+    u = t.utility_type.select("UtilityID", "UtilityName", "Unit")
+    star = per_pair.join(c, "CustomerID").join(m, "MeterID").join(u, "UtilityID")
     return star.groupBy("CustomerID", "CustomerName", "UtilityName", "Unit").agg(
-        F.sum("Consumption").alias("TotalConsumption"))
+        F.sum("_c").alias("TotalConsumption"))
 
 
 def ranked_consumption(totals: DataFrame, ordered: bool = True) -> DataFrame:
@@ -103,15 +116,21 @@ def usage_between(t: Tables, start: DateLike, end: DateLike) -> DataFrame:
     return ranked_consumption(consumption_totals(t, day_range("BillDate", start, end)))
 
 
-def top_consumers(ranked: DataFrame, k: int = 5) -> DataFrame:
-    """O2: the first ``k`` ranked rows and their chart label "name (utility)".
+def top_consumers(totals: DataFrame, k: int = 5) -> DataFrame:
+    """O2: the first ``k`` rows of the consumption ranking and their chart label.
 
-    ``orderBy().limit(k)`` plans as TakeOrderedAndProject: each task keeps k rows.
+    No global rank is needed: ``orderBy().limit(k)`` plans as
+    TakeOrderedAndProject (each task keeps k rows), and every row with a larger
+    total than a kept row is itself kept, so RANK() computed over the k rows
+    equals the global rank. The window below runs on at most k rows.
     """
-    return (ranked.orderBy("Rank", "CustomerID", "Utility").limit(k)
-            .select("Rank", "CustomerID",
-                    F.concat(F.col("CustomerName"), F.lit(" ("), F.col("Utility"), F.lit(")")).alias("Label"),
-                    "TotalConsumption"))
+    pos = totals.where(F.col("TotalConsumption") > 0)
+    top = pos.orderBy(F.col("TotalConsumption").desc(), "CustomerID", "UtilityName").limit(k)
+    rank = F.rank().over(Window.orderBy(F.col("TotalConsumption").desc())).cast("bigint")
+    return top.select(
+        rank.alias("Rank"), "CustomerID",
+        F.concat(F.col("CustomerName"), F.lit(" ("), F.col("UtilityName"), F.lit(")")).alias("Label"),
+        money("TotalConsumption").alias("TotalConsumption"))
 
 
 def revenue_trends(t: Tables, as_of: DateLike, months: int = 6, ordered: bool = True) -> DataFrame:
@@ -135,7 +154,7 @@ def revenue_trends(t: Tables, as_of: DateLike, months: int = 6, ordered: bool =
     out = out.withColumn("TotalRevenue", money(sum(F.col(u) for u in TREND_UTILITIES)))
     if ordered:
         out = out.orderBy("MonthSortKey")
-    return out.drop("MonthSortKey") if ordered else out
+    return out.drop("MonthSortKey")
 
 
 def revenue_trend_totals(trends: DataFrame) -> DataFrame:

@@ -117,7 +117,11 @@ def append_readings(existing: DataFrame, batch: DataFrame, meters: DataFrame) ->
         F.nullif(F.col("Notes"), F.lit("")).alias("Notes") if "Notes" in batch.columns
         else F.lit(None).cast("string").alias("Notes"))
     checked = _check_batch(b, reading_rules(), None, existing, [("MeterID", meters, "MeterID")])
-    stored = existing.select(*READING_KEY).distinct().withColumn("_stored", F.lit(True))
+    # Only stored readings inside the batch's date span can be duplicates: two
+    # scalars come back to the driver and the range reaches the scan as a filter.
+    lo, hi = b.agg(F.min("ReadingDate"), F.max("ReadingDate")).first()
+    near = existing.where(F.col("ReadingDate").between(F.lit(lo), F.lit(hi))) if lo else existing.limit(0)
+    stored = near.select(*READING_KEY).distinct().withColumn("_stored", F.lit(True))
     checked = checked.join(stored, list(READING_KEY), "left").withColumn(
         OUTCOME, F.when((F.col(OUTCOME) == "accepted") & F.col("_stored").isNotNull(),
                         F.lit("duplicate reading")).otherwise(F.col(OUTCOME)))

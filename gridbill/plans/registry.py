@@ -180,7 +180,7 @@ SELECT Rank, CustomerID, CustomerName || ' (' || Utility || ')' AS Label, TotalC
 FROM ranked ORDER BY Rank, CustomerID, Utility LIMIT 5
 """)
 def q_top_consumers(t: Tables):
-    return A.top_consumers(A.usage_between(t, RANGE_START, RANGE_END))
+    return A.top_consumers(A.consumption_totals(t, TW.day_range("BillDate", RANGE_START, RANGE_END)))
 
 
 _TRENDS_SQL = """

@@ -247,10 +247,15 @@ def test_unknown_report_type_raises(tables):
     assert reports.manager_report(tables(), "usage", "2025-01-01", "2025-01-02").total is None
 
 
-def test_top_consumers_label(spark):
-    ranked = spark.createDataFrame([(1, "C1", "Ann", "Water", D(9)), (2, "C2", "Bo", "Gas", D(5))],
-                                   "Rank bigint, CustomerID string, CustomerName string, Utility string, TotalConsumption decimal(18,2)")
-    assert [r.Label for r in A.top_consumers(ranked, 1).collect()] == ["Ann (Water)"]
+def test_top_consumers_rank_within_top_k(spark):
+    totals = spark.createDataFrame(
+        [("C1", "Ann", "Water", "m3", D(9)), ("C2", "Bo", "Gas", "unit", D(9)), ("C3", "Cy", "Gas", "unit", D(5)),
+         ("C4", "Di", "Water", "m3", D(1)), ("C5", "Ed", "Water", "m3", D(0))],
+        "CustomerID string, CustomerName string, UtilityName string, Unit string, TotalConsumption decimal(20,2)")
+    got = [(r.Rank, r.Label) for r in A.top_consumers(totals, 3).collect()]
+    assert got == [(1, "Ann (Water)"), (1, "Bo (Gas)"), (3, "Cy (Gas)")]
+    full = {r.CustomerID: r.Rank for r in A.ranked_consumption(totals).collect()}
+    assert full == {"C1": 1, "C2": 1, "C3": 3, "C4": 4}
 
 
 def test_in_month_is_a_range(spark, tables):
