@@ -87,6 +87,7 @@ class PaymentPosting:
     bills: DataFrame      # new Bill snapshot
     payments: DataFrame   # new Payment snapshot (existing + accepted)
     paid: DataFrame       # BillID, PaidTotal for the bills the batch touched
+    settled: DataFrame    # touched bills: BillID, AmountDue, PaidTotal, new Status
 
 
 def post_payments(t: Tables, batch: DataFrame, as_of: DateLike,
@@ -125,12 +126,17 @@ def post_payments(t: Tables, batch: DataFrame, as_of: DateLike,
     rejected = checked.where(F.col("Reason").isNotNull()).drop("_missing", "_known")
 
     payments = t.payment.select(*[f.name for f in PAYMENT.fields]).unionByName(accepted)
-    touched = accepted.select("BillID").distinct()
-    paid = (payments.join(touched, "BillID", "left_semi")
-            .groupBy("BillID").agg(F.sum("PaymentAmount").alias("_paid")))
-    bills = t.bill.join(paid, "BillID", "left").withColumn(
-        "Status", F.when(F.col("_paid").isNotNull() & (F.col("_paid") >= F.col("AmountDue")),
-                         F.lit("Paid")).otherwise(F.col("Status")))
-    bills = bills.select(*[f.name for f in BILL.fields])
+    # New money per bill, plus what those bills had already received.
+    new_paid = accepted.groupBy("BillID").agg(F.sum("PaymentAmount").alias("_new"))
+    old_paid = (t.payment.join(new_paid.select("BillID"), "BillID", "left_semi")
+                .groupBy("BillID").agg(F.sum("PaymentAmount").alias("_old")))
+    paid = new_paid.join(old_paid, "BillID", "left").select(
+        "BillID", (F.col("_new") + F.coalesce(F.col("_old"), F.lit(0))).alias("_paid"))
+    covered = F.col("_paid").isNotNull() & (F.col("_paid") >= F.col("AmountDue"))
+    joined = t.bill.join(paid, "BillID", "left").withColumn(
+        "Status", F.when(covered, F.lit("Paid")).otherwise(F.col("Status")))
+    bills = joined.select(*[f.name for f in BILL.fields])
+    settled = joined.where(F.col("_paid").isNotNull()).select(
+        "BillID", "AmountDue", F.col("_paid").cast("decimal(18,2)").alias("PaidTotal"), "Status")
     paid_out = paid.select("BillID", F.col("_paid").cast("decimal(18,2)").alias("PaidTotal"))
-    return PaymentPosting(accepted, rejected, bills, payments, paid_out)
+    return PaymentPosting(accepted, rejected, bills, payments, paid_out, settled)

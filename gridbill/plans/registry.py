@@ -468,9 +468,7 @@ FROM bill b JOIN s ON b.BillID = s.BillID
 def q_post_payments(t: Tables):
     """Replay the whole payment log as one batch onto bills that have no payments yet."""
     empty = t.spark.createDataFrame([], PAYMENT)
-    res = B.post_payments(t.replace(payment=empty), t.payment, AS_OF)
-    return (res.bills.join(res.paid, "BillID")
-            .select("BillID", "AmountDue", "PaidTotal", "Status"))
+    return B.post_payments(t.replace(payment=empty), t.payment, AS_OF).settled
 
 
 @register("double_billed", """
