@@ -86,6 +86,16 @@ def q_unbilled_readings(t: Tables):
     return J.unbilled_readings(t)
 
 
+@register("meter_customer", """
+SELECT m.MeterID, c.CustomerName, c.ServiceAddress
+FROM meter m JOIN cust c ON m.CustomerID = c.CustomerID
+WHERE m.MeterID IN (SELECT MeterID FROM meter_reading)
+""")
+def q_meter_customer(t: Tables):
+    """Meter details for every meter that sent a reading."""
+    return J.meter_customer(t, t.meter_reading)
+
+
 @register("payment_utility_star", """
 SELECT p.PaymentID, p.BillID, p.PaymentAmount, p.PaymentDate, u.UtilityName
 FROM payment p JOIN bill b ON p.BillID = b.BillID
