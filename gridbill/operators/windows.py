@@ -106,17 +106,22 @@ def lag_default(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
 
 
 def global_rank(df: DataFrame, value: str, out: str = "Rank", descending: bool = True,
-                segments: int | None = None) -> DataFrame:
+                segments: int | None = None, freeze_input: bool = True) -> DataFrame:
     """RANK() OVER (ORDER BY value [DESC]) without funnelling rows into one task.
 
     rank(v) = 1 + number of rows ordered strictly before v. Rows are first
     collapsed to distinct values with their multiplicity (so a value shared by a
     third of the rows is one row), the distinct values are range-partitioned,
     per-segment counts give an offset table of at most ``segments`` rows, and a
-    per-segment running count gives the rest.
+    per-segment running count gives the rest. ``freeze_input`` checkpoints the
+    input first, since it is read twice.
     """
     v = F.col(value)
     order = v.desc_nulls_last() if descending else v.asc_nulls_last()
+    # The input is read twice (value counts, then the join back); freezing it
+    # once avoids running its whole lineage (e.g. a star join) a second time.
+    if freeze_input:
+        df = freeze(df)
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     seg = _range_segmented(counts, [order], segments)
 
