@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import REPORT_MONEY
 
-# Dimension tables (utilities, tariffs) are broadcast only after this check.
+# Tables folded into arrays or broadcast on purpose are checked against this bound.
 DIMENSION_ROW_LIMIT = 100_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows. Beyond the bound the frame is
-    returned unchanged and the planner/AQE choose a shuffle join instead.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def money(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast(REPORT_MONEY)
 

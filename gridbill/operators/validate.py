@@ -74,6 +74,14 @@ def split_valid(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame,
     return tagged.where(ok).drop(ERRORS), tagged.where(~ok)
 
 
+def validation_report(df: DataFrame, key: str, rules: Mapping[str, Column]) -> DataFrame:
+    """P7 per row: key, Valid, the first broken rule (rule order) and how many broke."""
+    tagged = tag_errors(df, rules)
+    return tagged.select(key, (F.size(ERRORS) == 0).alias("Valid"),
+                         F.try_element_at(F.col(ERRORS), F.lit(1)).alias("FirstError"),
+                         F.size(ERRORS).cast("int").alias("ErrorCount"))
+
+
 def rule_counts(entity: str, df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Number of rows breaking each rule, one aggregate pass over ``df``."""
     aggs = [F.sum(F.when(pred, 1).otherwise(0)).cast("bigint").alias(f"r{i}")

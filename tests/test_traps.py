@@ -263,3 +263,15 @@ def test_in_month_is_a_range(spark, tables):
                          "PaymentDate": dt.datetime(2025, 11, 30, 23, 59, 59)}])
     assert A.dashboard_stats(t, AS_OF).first().monthlyRevenue == D("3.00")
     assert A.dashboard_stats(t, dt.date(2025, 12, 1)).first().monthlyRevenue == D("0.00")
+
+
+def test_m1_update_tariffs_keeps_unlisted_columns(spark, tables):
+    t = tables()
+    upd = spark.createDataFrame([("ELEC-01", "Domestic low", D("31.00"), "UTIL-01", 5)],
+                                "TariffID string, TariffName string, Rate decimal(10,2), UtilityID string, seq int")
+    got = {r.TariffID: r for r in M.apply_updates(t.tariff, upd, "TariffID",
+                                                   ["TariffName", "UtilityID", "Rate"]).collect()}
+    e = got["ELEC-01"]
+    assert (e.TariffName, e.Rate, e.MinUnits, e.MaxUnits, e.FixedCharge, e.Updated) == (
+        "Domestic low", D("31.00"), 0, 60, D("100.00"), True)
+    assert got["GAS-01"].Updated is False and got["GAS-01"].Rate == D("15.50")
