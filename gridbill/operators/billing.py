@@ -122,7 +122,7 @@ def post_payments(t: Tables, batch: DataFrame, as_of: DateLike,
         F.lit(ts.isoformat())), 256).substr(1, 20)))
     accepted = checked.where(F.col("Reason").isNull()).select(
         pid.alias("PaymentID"), "BillID", "UserID", "PaymentAmount",
-        F.lit(ts).cast("timestamp_ntz").alias("PaymentDate"), "PaymentMethod")
+        F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz").alias("PaymentDate"), "PaymentMethod")
     rejected = checked.where(F.col("Reason").isNotNull()).drop("_missing", "_known")
 
     payments = t.payment.select(*[f.name for f in PAYMENT.fields]).unionByName(accepted)
