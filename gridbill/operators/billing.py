@@ -29,12 +29,17 @@ from ..sources.tables import Tables
 from .common import count_col
 from .joins import unbilled_readings
 from .rating import rate_readings, reading_consumption
+from .windows import freeze
 
 DUE_DAYS = 14
 BILL_PREFIX = "BILL-R"
 
 
 def _bills_for(t: Tables, todo: DataFrame, bill_date: dt.date) -> DataFrame:
+    # The readings to bill come from an anti join of all readings with all bills
+    # and are used twice below; freeze them once (reliable checkpoint) instead
+    # of scanning both tables twice.
+    todo = freeze(todo.select("ReadingID", "MeterID"))
     # Only meters with something to bill need their reading history; the
     # semi join is on the window's partition key, so it is applied before the LAG.
     meters = todo.select("MeterID").distinct()
