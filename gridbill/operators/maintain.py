@@ -165,19 +165,20 @@ class Cascade:
     audit: DataFrame
 
 
-def _audit(pairs: Sequence[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
-    parts = []
-    for name, before, after in pairs:
-        parts.append(before.agg(F.count(F.lit(1)).alias("_n")).select(
-            F.lit(name).alias("Entity"), F.col("_n").alias("_before"), F.lit(None).cast("bigint").alias("_after")))
-        parts.append(after.agg(F.count(F.lit(1)).alias("_n")).select(
-            F.lit(name).alias("Entity"), F.lit(None).cast("bigint").alias("_before"), F.col("_n").alias("_after")))
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
-    folded = stacked.groupBy("Entity").agg(F.max("_before").alias("_before"), F.max("_after").alias("_after"))
-    return folded.select("Entity", (F.col("_before") - F.col("_after")).cast("bigint").alias("Deleted"),
-                         F.col("_after").cast("bigint").alias("Remaining"))
+def _audit(parts: Sequence[tuple[str, DataFrame, DataFrame, str]]) -> DataFrame:
+    """Deleted / Remaining per entity. Each table is read once: a left join with its
+    (distinct) doomed keys and one aggregate counting all rows and matched rows."""
+    rows = []
+    for name, table, gone, key in parts:
+        g = gone.select(F.col(key).alias("_gk")).distinct().withColumn("_gone", F.lit(1))
+        j = table.select(key).join(g, F.col(key) == F.col("_gk"), "left")
+        rows.append(j.agg(F.count(F.lit(1)).alias("_all"), F.count("_gone").alias("_del")).select(
+            F.lit(name).alias("Entity"), F.col("_del").cast("bigint").alias("Deleted"),
+            (F.col("_all") - F.col("_del")).cast("bigint").alias("Remaining")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 def delete_customers(t: Tables, keys: DataFrame) -> Cascade:
@@ -191,9 +192,9 @@ def delete_customers(t: Tables, keys: DataFrame) -> Cascade:
     reading = t.meter_reading.join(meters_gone, "MeterID", "left_anti")
     meter = t.meter.join(k, "CustomerID", "left_anti")
     customer = t.customer.join(k, "CustomerID", "left_anti")
-    audit = _audit([("Payment", t.payment, payment), ("Bill", t.bill, bill),
-                    ("Meter_Reading", t.meter_reading, reading), ("Meter", t.meter, meter),
-                    ("Customer", t.customer, customer)])
+    audit = _audit([("Payment", t.payment, bills_gone, "BillID"), ("Bill", t.bill, k, "CustomerID"),
+                    ("Meter_Reading", t.meter_reading, meters_gone, "MeterID"),
+                    ("Meter", t.meter, k, "CustomerID"), ("Customer", t.customer, k, "CustomerID")])
     return Cascade(customer, meter, reading, bill, payment, audit)
 
 
@@ -207,8 +208,8 @@ def delete_meters(t: Tables, keys: DataFrame) -> Cascade:
     bill = t.bill.join(bills_gone, "BillID", "left_anti")
     reading = t.meter_reading.join(k, "MeterID", "left_anti")
     meter = t.meter.join(k, "MeterID", "left_anti")
-    audit = _audit([("Payment", t.payment, payment), ("Bill", t.bill, bill),
-                    ("Meter_Reading", t.meter_reading, reading), ("Meter", t.meter, meter)])
+    audit = _audit([("Payment", t.payment, bills_gone, "BillID"), ("Bill", t.bill, bills_gone, "BillID"),
+                    ("Meter_Reading", t.meter_reading, k, "MeterID"), ("Meter", t.meter, k, "MeterID")])
     return Cascade(None, meter, reading, bill, payment, audit)
 
 

@@ -12,13 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
+from ..operators.windows import freeze
 from . import testdata
 
 ENTITIES = tuple(schemas.ENTITY_SCHEMAS)
 
 # Derived readings per (application, source folder). The mapped reading table is
-# the result of a distributed scan frozen by a reliable checkpoint; like a stored
-# table it is built once per session and shared by the queries that read it.
+# the result of a distributed scan; it is frozen by a reliable checkpoint and,
+# like a stored table, built once per session and shared by the queries reading it.
 _DERIVED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -81,7 +82,7 @@ class Tables:
             "customer": lambda: testdata.customer(spark, sf_dir),
             "meter": lambda: testdata.meter(spark, sf_dir),
             "meter_reading": lambda: _derived(spark, sf_dir, "meter_reading",
-                                              lambda: testdata.meter_reading(spark, sf_dir)),
+                                              lambda: freeze(testdata.meter_reading(spark, sf_dir))),
             "bill": lambda: testdata.bill(spark, sf_dir),
             "payment": lambda: testdata.payment(spark, sf_dir),
         }, sf_dir)
