@@ -52,3 +52,18 @@ def test_first_by_order(spark):
                                "g string, o int, t string")
     got = {r.g: r.t for r in W.first_by_order(df, ["g"], ["o"], ["t"]).collect()}
     assert got == {"a": "y", "b": "z"}
+
+
+def test_helpers_on_empty_input(spark):
+    empty = spark.createDataFrame([], "k int, o int, v decimal(10,2)")
+    assert W.running_sum(empty, ["k"], ["o"], "v", "s").count() == 0
+    assert W.lag_default(empty, ["k"], ["o"], "v", 0, "p").count() == 0
+    assert W.global_rank(empty, "v").count() == 0
+
+
+def test_empty_append_batch(spark, tables):
+    from gridbill.operators import maintain as M
+    t = tables()
+    batch = spark.createDataFrame([], "MeterID string, UserID string, ReadingValue decimal(10,2), "
+                                      "ReadingDate date, Notes string")
+    assert M.append_readings(t.meter_reading, batch, t.meter).count() == 0
