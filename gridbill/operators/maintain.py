@@ -8,7 +8,6 @@ sets of any size work and nothing is collected to the driver.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -225,7 +224,3 @@ def delete_tariffs(t: Tables, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("BillCount", F.lit(0).cast("bigint")).alias("BillCount"))
     gone = res.where(F.col(OUTCOME) == "deleted").select("TariffID")
     return t.tariff.join(gone, "TariffID", "left_anti"), res
-
-
-def registration_cutoff(d: DateLike) -> dt.date:
-    return to_date(d)

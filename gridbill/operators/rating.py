@@ -22,7 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import MONEY
 from ..sources.tables import Tables
 from .common import DIMENSION_ROW_LIMIT
 from .windows import first_by_order, lag_default
@@ -112,7 +111,3 @@ def rate_readings(t: Tables, consumption: DataFrame) -> DataFrame:
                      F.when(F.col("Slabs").isNotNull(), slab_amount(F.col("Consumption"), F.col("Slabs"))))
               .otherwise((F.col("Consumption") * F.col("BaseRate")).cast(AMOUNT)))
     return j.withColumn("CalculatedAmountDue", amount).drop("Slabs", "BaseRate")
-
-
-def money(c: Column) -> Column:
-    return c.cast(MONEY)

@@ -40,9 +40,4 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def tables_query(name: str) -> Callable[[Tables], DataFrame]:
-    """The Tables-level builder of a registered query (used by tests and the bench)."""
-    return QUERIES[name]
-
-
 from . import registry  # noqa: E402,F401  (registers the queries)

@@ -275,3 +275,15 @@ def test_m1_update_tariffs_keeps_unlisted_columns(spark, tables):
     assert (e.TariffName, e.Rate, e.MinUnits, e.MaxUnits, e.FixedCharge, e.Updated) == (
         "Domestic low", D("31.00"), 0, 60, D("100.00"), True)
     assert got["GAS-01"].Updated is False and got["GAS-01"].Rate == D("15.50")
+
+
+def test_split_valid_and_unit_parse(spark):
+    from gridbill.operators import validate as V
+    df = spark.createDataFrame([("M1", "U1", D(1), dt.date(2025, 1, 1)), ("", "U1", None, dt.date(2025, 1, 1))],
+                               "MeterID string, UserID string, ReadingValue decimal(10,2), ReadingDate date")
+    ok, bad = V.split_valid(df, V.reading_rules())
+    assert ok.count() == 1
+    assert bad.first().Errors == ["missing MeterID", "missing ReadingValue"]
+    text = spark.createDataFrame([("1,299,000 kWh",)], "t string")
+    r = text.select(formatting.parse_quantity("t"), formatting.quantity_unit("t")).first()
+    assert (r[0], r[1]) == (D("1299000.00"), "kWh")
