@@ -23,6 +23,11 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Static plans estimate from compressed file sizes, which understates a
+        # decompressed hash table many times; plan medium tables as shuffle joins
+        # and let AQE broadcast from the measured runtime size instead.
+        .config("spark.sql.autoBroadcastJoinThreshold", str(1 << 20))
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", str(10 << 20))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

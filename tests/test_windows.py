@@ -67,3 +67,12 @@ def test_empty_append_batch(spark, tables):
     batch = spark.createDataFrame([], "MeterID string, UserID string, ReadingValue decimal(10,2), "
                                       "ReadingDate date, Notes string")
     assert M.append_readings(t.meter_reading, batch, t.meter).count() == 0
+
+
+def test_hot_key_is_split_across_segments(spark):
+    df = _skewed(spark, n=6000)
+    seg = W._range_segmented(df, [F.col("k"), F.col("o")], 8)
+    spread = seg.where("k = 0").select(W.SEG).distinct().count()
+    assert spread >= 2  # the key holding a third of the rows is not pinned to one task
+    biggest = max(r["count"] for r in seg.groupBy(W.SEG).count().collect())
+    assert biggest < 6000 // 3  # no segment holds the whole hot key
