@@ -6,7 +6,7 @@ here instead range-partition on ``(key, order...)`` -- which splits a hot key
 over many tasks -- freeze the partition layout with a reliable checkpoint, run
 the window per ``(segment, key)`` and stitch the segment borders with a carry
 table that has at most one row per segment (so its broadcast size is bounded by
-the number of segments, a number we choose).
+the number of segments, at most ``spark.sql.shuffle.partitions``).
 
 * ``running_sum``   -- SUM(v) OVER (PARTITION BY k ORDER BY o ROWS UNBOUNDED PRECEDING)
 * ``lag_default``   -- LAG(v, 1, default) OVER (PARTITION BY k ORDER BY o)  (W2)
@@ -26,12 +26,6 @@ from ..session import ensure_checkpoint_dir
 SEG = "_seg"
 
 
-def _segments(df: DataFrame, segments: int | None) -> int:
-    if segments:
-        return int(segments)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def freeze(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the session's shared checkpoint folder (never local)."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -39,8 +33,12 @@ def freeze(df: DataFrame) -> DataFrame:
 
 
 def _range_segmented(df: DataFrame, order: Sequence[Column], segments: int | None) -> DataFrame:
-    n = _segments(df, segments)
-    seg = df.repartitionByRange(n, *order).withColumn(SEG, F.spark_partition_id())
+    # Without an explicit count the range exchange starts at
+    # spark.sql.shuffle.partitions and AQE merges adjacent small partitions by
+    # size, so segments stay contiguous key ranges, grow in number with the data,
+    # and never exceed spark.sql.shuffle.partitions (the carry-table bound).
+    ranged = df.repartitionByRange(int(segments), *order) if segments else df.repartitionByRange(*order)
+    seg = ranged.withColumn(SEG, F.spark_partition_id())
     # spark_partition_id is only stable while the layout is; checkpointing fixes it
     # so both the local pass and the border pass see the same segments.
     return freeze(seg)

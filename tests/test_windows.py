@@ -76,3 +76,35 @@ def test_hot_key_is_split_across_segments(spark):
     assert spread >= 2  # the key holding a third of the rows is not pinned to one task
     biggest = max(r["count"] for r in seg.groupBy(W.SEG).count().collect())
     assert biggest < 6000 // 3  # no segment holds the whole hot key
+
+
+def test_aqe_coalesced_segments_stay_exact(spark):
+    """Default path: no explicit segment count, AQE merges adjacent range partitions."""
+    confs = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+             "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    old = {k: spark.conf.get(k) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        # 200k rows, a third on key 0, many ties in v
+        df = spark.range(0, 200000).select(
+            F.when(F.col("id") % 3 == 0, 0).otherwise(F.abs(F.xxhash64("id")) % 500).alias("k"),
+            F.col("id").alias("o"),
+            (F.abs(F.xxhash64("id", F.lit(7))) % 1000).cast("decimal(10,2)").alias("v"))
+        seg = W._range_segmented(df, [F.col("k"), F.col("o")], None)
+        n_seg = seg.select(W.SEG).distinct().count()
+        assert 1 < n_seg <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+        def diff(a, b):
+            return a.exceptAll(b).count() + b.exceptAll(a).count()
+
+        w = Window.partitionBy("k").orderBy("o")
+        want = df.select("o", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("s"))
+        assert diff(W.running_sum(df, ["k"], ["o"], "v", "s").select("o", "s"), want) == 0
+        want = df.select("o", F.lag("v", 1, 0).over(w).cast("decimal(10,2)").alias("p"))
+        assert diff(W.lag_default(df, ["k"], ["o"], "v", 0, "p").select("o", "p"), want) == 0
+        want = df.select("o", F.rank().over(Window.orderBy(F.col("v").desc_nulls_last())).cast("bigint").alias("r"))
+        assert diff(W.global_rank(df, "v", "r").select("o", "r"), want) == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
