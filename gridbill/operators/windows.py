@@ -71,7 +71,11 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     c = F.broadcast(carry).alias("c")
     l = local.alias("l")
     joined = l.join(c, _key_match(l, c, keys), "left")
-    total = F.col("l._local") + F.coalesce(F.col("c._carry"), F.lit(0))
+    # SUM ignores NULLs: a segment that starts with NULL values of a continuing
+    # key has a NULL local sum but the running total is the carry.
+    local_sum, carry_sum = F.col("l._local"), F.col("c._carry")
+    total = (F.when(local_sum.isNull(), carry_sum)
+             .otherwise(local_sum + F.coalesce(carry_sum, F.lit(0))))
     cols = [F.col(f"l.{name}") for name in df.columns]
     return joined.select(*cols, total.alias(out))
 

@@ -108,3 +108,12 @@ def test_aqe_coalesced_segments_stay_exact(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_running_sum_segment_starting_with_nulls(spark):
+    # key 1 spans both segments; the second segment starts with NULL values
+    rows = [(1, i, D(1)) for i in range(5)] + [(1, 5 + i, None) for i in range(5)] + [(2, 0, D(3))]
+    df = spark.createDataFrame(rows, "k int, o int, v decimal(10,2)")
+    for segs in (2, 3, 4):
+        got = {(r.k, r.o): r.s for r in W.running_sum(df, ["k"], ["o"], "v", "s", segments=segs).collect()}
+        assert got[(1, 9)] == D("5.00") and got[(1, 5)] == D("5.00") and got[(2, 0)] == D("3.00")
