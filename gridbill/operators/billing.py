@@ -26,7 +26,7 @@ from ..functions.display import blank_to_null
 from ..functions.timewin import DateLike, in_month, to_date, to_datetime
 from ..schemas import BILL, MONEY, PAYMENT
 from ..sources.tables import Tables
-from .common import count_col
+from .common import count_col, present_keys
 from .joins import unbilled_readings
 from .rating import rate_readings, reading_consumption
 from .windows import freeze
@@ -116,7 +116,7 @@ def post_payments(t: Tables, batch: DataFrame, as_of: DateLike,
     missing = (blank_to_null("BillID").isNull() | F.col("PaymentAmount").isNull()
                | (F.col("PaymentAmount") == 0) | blank_to_null("PaymentMethod").isNull())
     b = b.withColumn("_missing", missing)
-    known = t.bill.select("BillID", F.lit(True).alias("_known"))
+    known = present_keys(t.bill, "BillID", b).withColumn("_known", F.lit(True))
     checked = b.join(known, "BillID", "left")
     reason = (F.when(F.col("_missing"), F.lit("missing field"))
               .when(F.col("_known").isNull(), F.lit("unknown bill")))

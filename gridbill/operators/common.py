@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import REPORT_MONEY
@@ -11,6 +11,20 @@ from ..schemas import REPORT_MONEY
 DIMENSION_ROW_LIMIT = 100_000
 
 
+def present_keys(table: DataFrame, key: str, probe: DataFrame, probe_key: str | None = None,
+                 alias: str | None = None) -> DataFrame:
+    """Distinct keys of ``probe`` that exist in ``table``.
+
+    ``probe LEFT JOIN table`` cannot broadcast its left side, so a small batch
+    checked against a large stored table would shuffle the whole table. A semi
+    join of the table with the probe's distinct keys lets the planner broadcast
+    the (small) key set and stream the table; the result is as small as the probe.
+    """
+    keys = probe.select(F.col(probe_key or key).alias(key)).where(F.col(key).isNotNull()).distinct()
+    found = table.select(key).join(keys, key, "left_semi").distinct()
+    return found.withColumnRenamed(key, alias) if alias else found
+
+
 def money(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast(REPORT_MONEY)
 

@@ -13,11 +13,13 @@ def lookup(entity: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """P1 re-aimed from one id per request to a set of ids.
 
     Every distinct requested key comes back once, with the entity's columns and
-    ``Found`` (False plays the role of the reference's 404). The key set is not
-    broadcast blindly; AQE broadcasts it only if its runtime size is small.
+    ``Found`` (False plays the role of the reference's 404). No broadcast hint:
+    AQE broadcasts the key set only if its runtime size is small.
     """
     k = keys.select(key).where(F.col(key).isNotNull()).distinct()
-    hit = entity.withColumn("_hit", F.lit(True))
+    # Restrict the entity to the requested keys first (semi join: the key set can
+    # be broadcast and the entity streamed), then keep every requested key.
+    hit = entity.join(k, key, "left_semi").withColumn("_hit", F.lit(True))
     out = k.join(hit, key, "left")
     return out.select(*[F.col(c) for c in entity.columns],
                       F.coalesce(F.col("_hit"), F.lit(False)).alias("Found"))

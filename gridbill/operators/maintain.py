@@ -18,6 +18,7 @@ from ..functions.timewin import DateLike, to_date
 from ..schemas import CUSTOMER, METER, METER_READING, MONEY, TARIFF
 from ..sources.tables import Tables
 from .aggregates import tariff_bill_counts
+from .common import present_keys
 from .validate import customer_rules, meter_rules, reading_rules, tag_errors, tariff_rules
 from .windows import global_rank
 
@@ -38,7 +39,7 @@ def _check_batch(batch: DataFrame, rules: Mapping[str, Column], key: str | None,
     tagged = tag_errors(batch, rules)
     reason = _first_error()
     if key is not None:
-        stored = existing.select(F.col(key).alias("_stored_key")).distinct()
+        stored = present_keys(existing, key, batch, alias="_stored_key")
         tagged = tagged.join(stored, tagged[key] == stored["_stored_key"], "left")
         # Keys repeated inside the batch: a count per key (partial aggregation
         # collapses a hot key map-side), joined back on the key.
@@ -51,7 +52,7 @@ def _check_batch(batch: DataFrame, rules: Mapping[str, Column], key: str | None,
                             F.when(F.col("_dup_batch"), F.lit(f"repeated {key}")))
     for i, (col, parent, parent_key) in enumerate(fks):
         flag = f"_fk{i}"
-        p = parent.select(F.col(parent_key).alias(flag)).distinct()
+        p = present_keys(parent, parent_key, batch, probe_key=col, alias=flag)
         tagged = tagged.join(p, tagged[col] == p[flag], "left")
         reason = F.coalesce(reason, F.when(F.col(col).isNotNull() & F.col(flag).isNull(),
                                            F.lit(f"unknown {col}")))
