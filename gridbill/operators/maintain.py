@@ -121,7 +121,9 @@ def append_readings(existing: DataFrame, batch: DataFrame, meters: DataFrame) ->
     # scalars come back to the driver and the range reaches the scan as a filter.
     lo, hi = b.agg(F.min("ReadingDate"), F.max("ReadingDate")).first()
     near = existing.where(F.col("ReadingDate").between(F.lit(lo), F.lit(hi))) if lo else existing.limit(0)
-    stored = near.select(*READING_KEY).distinct().withColumn("_stored", F.lit(True))
+    probe = b.select(*READING_KEY).distinct()
+    stored = (near.select(*READING_KEY).join(probe, list(READING_KEY), "left_semi").distinct()
+              .withColumn("_stored", F.lit(True)))
     checked = checked.join(stored, list(READING_KEY), "left").withColumn(
         OUTCOME, F.when((F.col(OUTCOME) == "accepted") & F.col("_stored").isNotNull(),
                         F.lit("duplicate reading")).otherwise(F.col(OUTCOME)))
