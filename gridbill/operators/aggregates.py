@@ -92,10 +92,14 @@ def consumption_totals(t: Tables, bill_filter) -> DataFrame:
         F.sum("_c").alias("TotalConsumption"))
 
 
-def ranked_consumption(totals: DataFrame, ordered: bool = True) -> DataFrame:
-    """A3 body: positive totals, RANK() by total desc (distributed, W1), N0 text."""
+def ranked_consumption(totals: DataFrame, ordered: bool = True, per_unit: bool = False) -> DataFrame:
+    """A3 body: positive totals, RANK() by total desc (distributed, W1), N0 text.
+
+    The reference ranks kWh, m3 and gas units in one list (T6); ``per_unit=True``
+    ranks within each unit instead.
+    """
     pos = totals.where(F.col("TotalConsumption") > 0)
-    ranked = global_rank(pos, "TotalConsumption", "Rank")
+    ranked = global_rank(pos, "TotalConsumption", "Rank", partition_by=["Unit"] if per_unit else ())
     out = ranked.select(
         "Rank", "CustomerID", "CustomerName",
         F.col("UtilityName").alias("Utility"),
@@ -111,9 +115,9 @@ def consumption_last_days(t: Tables, as_of: DateLike, days: int = 30) -> DataFra
     return ranked_consumption(consumption_totals(t, last_n_days("BillDate", as_of, days)))
 
 
-def usage_between(t: Tables, start: DateLike, end: DateLike) -> DataFrame:
+def usage_between(t: Tables, start: DateLike, end: DateLike, per_unit: bool = False) -> DataFrame:
     """The same ranking for a given BillDate range."""
-    return ranked_consumption(consumption_totals(t, day_range("BillDate", start, end)))
+    return ranked_consumption(consumption_totals(t, day_range("BillDate", start, end)), per_unit=per_unit)
 
 
 def top_consumers(totals: DataFrame, k: int = 5) -> DataFrame:

@@ -10,7 +10,7 @@ the number of segments, at most ``spark.sql.shuffle.partitions``).
 
 * ``running_sum``   -- SUM(v) OVER (PARTITION BY k ORDER BY o ROWS UNBOUNDED PRECEDING)
 * ``lag_default``   -- LAG(v, 1, default) OVER (PARTITION BY k ORDER BY o)  (W2)
-* ``global_rank``   -- RANK() OVER (ORDER BY v DESC), no partition            (W1)
+* ``global_rank``   -- RANK() OVER ([PARTITION BY p] ORDER BY v DESC)         (W1)
 * ``first_by_order``-- TOP 1 ... ORDER BY per group, as ``min_by``            (W3)
 """
 
@@ -108,40 +108,46 @@ def lag_default(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
 
 
 def global_rank(df: DataFrame, value: str, out: str = "Rank", descending: bool = True,
-                segments: int | None = None, freeze_input: bool = True) -> DataFrame:
-    """RANK() OVER (ORDER BY value [DESC]) without funnelling rows into one task.
-
-    rank(v) = 1 + number of rows ordered strictly before v. Rows are first
-    collapsed to distinct values with their multiplicity (so a value shared by a
-    third of the rows is one row), the distinct values are range-partitioned,
-    per-segment counts give an offset table of at most ``segments`` rows, and a
-    per-segment running count gives the rest. ``freeze_input`` checkpoints the
-    input first, since it is read twice.
+                segments: int | None = None, freeze_input: bool = True,
+                partition_by: Sequence[str] = ()) -> DataFrame:
+    """RANK() OVER ([PARTITION BY p] ORDER BY value [DESC]) without funnelling a
+    table or a large group into one task.
+
+    rank(v) = 1 + number of rows of the same group ordered strictly before v.
+    Rows are first collapsed to distinct (group, value) pairs with their
+    multiplicity (a value shared by a third of the rows is one row), the pairs
+    are range-partitioned on (group, value), a per-segment running count gives
+    the rows before v inside the segment, and an offset table adds the rows of
+    the same group in earlier segments. Only the first group of a segment can
+    have rows in earlier segments, so the offset table has at most one row per
+    segment. ``freeze_input`` checkpoints the input first, since it is read twice
+    (counts, then the join back).
     """
+    parts = list(partition_by)
     v = F.col(value)
     order = v.desc_nulls_last() if descending else v.asc_nulls_last()
-    # The input is read twice (value counts, then the join back); freezing it
-    # once avoids running its whole lineage (e.g. a star join) a second time.
     if freeze_input:
         df = freeze(df)
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    seg = _range_segmented(counts, [order], segments)
-
-    seg_tot = seg.groupBy(SEG).agg(F.sum("_n").alias("_tot"))
-    # At most `segments` rows: a single-task window here is bounded.
-    offsets = seg_tot.select(
-        SEG,
-        F.coalesce(F.sum("_tot").over(
-            Window.orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_off"))
-    within = Window.partitionBy(SEG).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = (seg.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-             .join(F.broadcast(offsets), SEG)
-             .select(F.col(value).alias("_v"),
-                     (F.lit(1) + F.col("_off") + F.col("_before")).cast("bigint").alias(out)))
-    # One row per distinct value; a hot value on the left is split by AQE skew join.
-    joined = df.join(ranks, df[value].eqNullSafe(ranks["_v"]), "inner")
-    return joined.drop("_v")
+    counts = df.groupBy(*parts, value).agg(F.count(F.lit(1)).alias("_n"))
+    seg = _range_segmented(counts, [F.col(p) for p in parts] + [order], segments)
+
+    seg_tot = seg.groupBy(SEG, *parts).agg(F.sum("_n").alias("_tot"))
+    earlier = Window.partitionBy(*parts).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (seg_tot.select(SEG, *parts, F.sum("_tot").over(earlier).alias("_off"))
+               .where(F.col("_off").isNotNull()))
+    within = Window.partitionBy(SEG, *parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = seg.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).alias("l")
+    o = F.broadcast(offsets).alias("o")  # at most one row per segment
+    ranks = local.join(o, _key_match(local, o, parts), "left").select(
+        *[F.col(f"l.{p}").alias(f"_p{i}") for i, p in enumerate(parts)],
+        F.col(f"l.{value}").alias("_v"),
+        (F.lit(1) + F.coalesce(F.col("o._off"), F.lit(0)) + F.col("l._before")).cast("bigint").alias(out))
+    # One row per distinct (group, value); a hot value on the left is split by AQE skew join.
+    cond = df[value].eqNullSafe(ranks["_v"])
+    for i, p in enumerate(parts):
+        cond = cond & df[p].eqNullSafe(ranks[f"_p{i}"])
+    joined = df.join(ranks, cond, "inner")
+    return joined.drop("_v", *[f"_p{i}" for i in range(len(parts))])
 
 
 def first_by_order(df: DataFrame, group: Sequence[str], order: Sequence[str],

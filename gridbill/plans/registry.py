@@ -185,6 +185,14 @@ def q_usage_between(t: Tables):
     return A.usage_between(t, RANGE_START, RANGE_END)
 
 
+@register("usage_rank_per_unit", _CONSUMPTION_SQL.format(where=_IN_RANGE).replace(
+    "RANK() OVER (ORDER BY TotalConsumption DESC)",
+    "RANK() OVER (PARTITION BY Unit ORDER BY TotalConsumption DESC)") + "SELECT * FROM ranked")
+def q_usage_rank_per_unit(t: Tables):
+    """A3b with T6's per-unit option: one ranking per unit (kWh, m3, unit)."""
+    return A.usage_between(t, RANGE_START, RANGE_END, per_unit=True)
+
+
 @register("top_consumers", _CONSUMPTION_SQL.format(where=_IN_RANGE) + """
 SELECT Rank, CustomerID, CustomerName || ' (' || Utility || ')' AS Label, TotalConsumption
 FROM ranked ORDER BY Rank, CustomerID, Utility LIMIT 5

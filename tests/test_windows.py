@@ -117,3 +117,12 @@ def test_running_sum_segment_starting_with_nulls(spark):
     for segs in (2, 3, 4):
         got = {(r.k, r.o): r.s for r in W.running_sum(df, ["k"], ["o"], "v", "s", segments=segs).collect()}
         assert got[(1, 9)] == D("5.00") and got[(1, 5)] == D("5.00") and got[(2, 0)] == D("3.00")
+
+
+def test_partitioned_rank_matches_rank(spark):
+    df = _skewed(spark, n=3000, seed=3).withColumn("g", (F.col("o") % 4).cast("int"))
+    for segs in (3, 6, None):
+        got = {r.o: r.r for r in W.global_rank(df, "v", "r", partition_by=["g"], segments=segs).collect()}
+        w = Window.partitionBy("g").orderBy(F.col("v").desc_nulls_last())
+        want = {r.o: r.r for r in df.select("o", F.rank().over(w).alias("r")).collect()}
+        assert got == want
