@@ -29,8 +29,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.autoBroadcastJoinThreshold", str(1 << 20))
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", str(10 << 20))
         .config("spark.sql.session.timeZone", "UTC")
-        # Frozen (checkpointed) intermediates are deleted once unreferenced.
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
