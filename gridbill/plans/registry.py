@@ -45,6 +45,7 @@ FROM meter m JOIN cust c ON m.CustomerID = c.CustomerID
 JOIN utility_type u ON m.UtilityID = u.UtilityID
 """)
 def q_meter_inventory(t: Tables):
+    """Every meter with its customer's service address and utility name."""
     return J.meter_inventory(t)
 
 
@@ -53,6 +54,7 @@ SELECT b.BillID, b.CustomerID, b.BillDate, b.AmountDue, b.Status, p.PaymentDate
 FROM bill b LEFT JOIN payment p ON b.BillID = p.BillID
 """)
 def q_billing_ledger(t: Tables):
+    """Every bill with each of its payments, newest bill first."""
     return J.billing_ledger(t)
 
 
@@ -62,6 +64,7 @@ FROM bill b JOIN cust c ON b.CustomerID = c.CustomerID
 WHERE b.Status IN ('Unpaid', 'Overdue')
 """)
 def q_outstanding_bills(t: Tables):
+    """Unpaid and Overdue bills with the customer name."""
     return J.outstanding_bills(t)
 
 
@@ -74,6 +77,7 @@ WHERE m.Status = 'Active'
                         WHERE month(ReadingDate) = 1 AND year(ReadingDate) = 2024)
 """)
 def q_unread_meters(t: Tables):
+    """Active meters with no reading in January 2024 (the readings' month)."""
     return J.unread_meters(t, READ_AS_OF)
 
 
@@ -83,6 +87,7 @@ FROM meter_reading r JOIN meter m ON r.MeterID = m.MeterID
 WHERE r.ReadingID NOT IN (SELECT ReadingID FROM bill)
 """)
 def q_unbilled_readings(t: Tables):
+    """Readings no bill refers to, with the meter's owner."""
     return J.unbilled_readings(t)
 
 
@@ -102,6 +107,7 @@ FROM payment p JOIN bill b ON p.BillID = b.BillID
 JOIN meter m ON b.MeterID = m.MeterID JOIN utility_type u ON m.UtilityID = u.UtilityID
 """)
 def q_payment_utility_star(t: Tables):
+    """Every payment with the utility of its bill's meter."""
     return J.payment_utility_star(t)
 
 
@@ -111,6 +117,7 @@ FROM bill b JOIN cust c ON b.CustomerID = c.CustomerID
 JOIN meter m ON b.MeterID = m.MeterID JOIN utility_type u ON m.UtilityID = u.UtilityID
 """)
 def q_bill_utility_star(t: Tables):
+    """Every bill with its customer and its meter's utility."""
     return J.bill_utility_star(t)
 
 
@@ -124,6 +131,7 @@ SELECT (SELECT COUNT(*) FROM cust) AS totalCustomers,
             AS DECIMAL(18,2)) AS monthlyRevenue
 """)
 def q_dashboard_stats(t: Tables):
+    """A1: dashboard figures as of 2001-07-15 09:00."""
     return A.dashboard_stats(t, AS_OF)
 
 
@@ -139,12 +147,14 @@ HAVING COUNT(b.BillID) > 0
 
 @register("defaulters", _DEFAULTERS_SQL.format(extra=""))
 def q_defaulters(t: Tables):
+    """A2: customers with Unpaid/Overdue bills, count and total due."""
     return A.defaulters(t)
 
 
 @register("defaulters_between", _DEFAULTERS_SQL.format(
     extra=f"AND b.BillDate >= DATE '{_R0}' AND b.BillDate < DATE '{_R1_NEXT}'"))
 def q_defaulters_between(t: Tables):
+    """Defaulters over bills dated in 1998."""
     return A.defaulters(t, RANGE_START, RANGE_END)
 
 
@@ -153,6 +163,7 @@ SELECT CAST(COALESCE(SUM(TotalDue), 0) AS DECIMAL(18,2)) AS GrandTotalDue, COUNT
 FROM ({_DEFAULTERS_SQL.format(extra=f"AND b.BillDate >= DATE '{_R0}' AND b.BillDate < DATE '{_R1_NEXT}'")}) d
 """)
 def q_defaulters_total(t: Tables):
+    """Grand total and number of the 1998 defaulters."""
     return A.defaulters_total(A.defaulters(t, RANGE_START, RANGE_END, ordered=False))
 
 
@@ -177,11 +188,13 @@ _IN_RANGE = f"b.BillDate >= DATE '{_R0}' AND b.BillDate < DATE '{_R1_NEXT}'"
 
 @register("consumption_by_customer", _CONSUMPTION_SQL.format(where=_LAST30) + "SELECT * FROM ranked")
 def q_consumption_by_customer(t: Tables):
+    """A3: consumption ranking of bills issued in the 30 days up to 2001-07-15."""
     return A.consumption_last_days(t, AS_OF, 30)
 
 
 @register("usage_between", _CONSUMPTION_SQL.format(where=_IN_RANGE) + "SELECT * FROM ranked")
 def q_usage_between(t: Tables):
+    """Consumption ranking of bills dated in 1998."""
     return A.usage_between(t, RANGE_START, RANGE_END)
 
 
@@ -198,6 +211,7 @@ SELECT Rank, CustomerID, CustomerName || ' (' || Utility || ')' AS Label, TotalC
 FROM ranked ORDER BY Rank, CustomerID, Utility LIMIT 5
 """)
 def q_top_consumers(t: Tables):
+    """O2: the five top consumers of 1998 with their chart labels."""
     return A.top_consumers(A.consumption_totals(t, TW.day_range("BillDate", RANGE_START, RANGE_END)))
 
 
@@ -224,6 +238,7 @@ SELECT Month, Electricity, Water, Gas, CAST(Electricity + Water + Gas AS DECIMAL
 FROM trends
 """)
 def q_revenue_trends(t: Tables):
+    """A4 (flagship): monthly revenue per utility from 2001-01-01 on."""
     return A.revenue_trends(t, AS_OF)
 
 
@@ -235,6 +250,7 @@ SELECT CAST(COALESCE(SUM(Electricity), 0) AS DECIMAL(18,2)) AS Electricity,
 FROM trends
 """)
 def q_revenue_trend_totals(t: Tables):
+    """Column totals of the revenue trend rows."""
     return A.revenue_trend_totals(A.revenue_trends(t, AS_OF, ordered=False))
 
 
@@ -250,6 +266,7 @@ WHERE {_PAY_RANGE}
 GROUP BY strftime(p.PaymentDate, '%Y-%m-%d'), u.UtilityName
 """)
 def q_revenue_by_day(t: Tables):
+    """A5: payments per day and utility in 1998."""
     return A.revenue_by_day(t, RANGE_START, RANGE_END)
 
 
@@ -257,6 +274,7 @@ def q_revenue_by_day(t: Tables):
 SELECT CAST(SUM(p.PaymentAmount) AS DECIMAL(18,2)) AS GrandTotal FROM payment p WHERE {_PAY_RANGE}
 """)
 def q_revenue_grand_total(t: Tables):
+    """Total of all 1998 payments (Payment alone)."""
     return A.revenue_grand_total(t, RANGE_START, RANGE_END)
 
 
@@ -268,6 +286,7 @@ JOIN meter m ON b.MeterID = m.MeterID JOIN utility_type u ON m.UtilityID = u.Uti
 GROUP BY ROLLUP (u.UtilityName)
 """)
 def q_revenue_by_utility(t: Tables):
+    """Payments and revenue per utility with a Grand Total row."""
     return A.revenue_by_utility(t)
 
 
@@ -277,6 +296,7 @@ FROM tariff t LEFT JOIN bill b ON b.TariffID = t.TariffID
 GROUP BY t.TariffID, t.UtilityID, t.TariffName
 """)
 def q_tariff_bill_counts(t: Tables):
+    """Bills per tariff, zero for unused tariffs."""
     return A.tariff_bill_counts(t)
 
 
@@ -286,6 +306,7 @@ FROM bill b JOIN cust c ON b.CustomerID = c.CustomerID
 WHERE b.Status IN ('Unpaid', 'Overdue')
 """)
 def q_defaulter_bills(t: Tables):
+    """Bill-level list of Unpaid/Overdue bills with customer contact."""
     return A.defaulter_bills(t)
 
 
@@ -328,6 +349,7 @@ SELECT CustomerID, CustomerName, CustomerType, RegistrationDate, Email, Phone FR
 WHERE RegistrationDate >= DATE '{_R0}' AND RegistrationDate < DATE '{_R1_NEXT}'
 """)
 def q_report_new_customers(t: Tables):
+    """Customers registered in 1998, newest first."""
     return L.new_customers(t, RANGE_START, RANGE_END)
 
 
@@ -336,6 +358,7 @@ SELECT ReadingID, MeterID, ReadingValue, ReadingDate, UserID FROM meter_reading
 WHERE ReadingDate >= DATE '2024-01-10' AND ReadingDate < DATE '2024-01-21'
 """)
 def q_report_readings_log(t: Tables):
+    """Readings dated 2024-01-10..2024-01-20, newest first."""
     return L.readings_log(t, "2024-01-10", "2024-01-20")
 
 
@@ -344,6 +367,7 @@ SELECT p.PaymentID, p.BillID, p.PaymentAmount, p.PaymentDate, p.PaymentMethod, p
 FROM payment p WHERE {_PAY_RANGE}
 """)
 def q_report_payment_log(t: Tables):
+    """Payments made in 1998, newest first."""
     return L.payment_log(t, RANGE_START, RANGE_END)
 
 
@@ -356,6 +380,7 @@ FROM meter m JOIN cust c ON m.CustomerID = c.CustomerID
 JOIN utility_type u ON m.UtilityID = u.UtilityID
 """)
 def q_meter_display(t: Tables):
+    """Meter list with status slug and location fallback."""
     inv = J.meter_inventory(t)
     return inv.select("MeterID", "CustomerID", "UtilityName", "Status",
                       D.status_slug("Status").alias("StatusSlug"),
@@ -368,6 +393,7 @@ SELECT CustomerID, CustomerName, CustomerType, COALESCE(NULLIF(Email, ''), 'N/A'
 FROM cust
 """)
 def q_customer_display(t: Tables):
+    """Customer list with the e-mail fallback text."""
     return t.customer.select("CustomerID", "CustomerName", "CustomerType",
                              D.or_text("Email", "N/A").alias("EmailText"), "Phone", "ServiceAddress")
 
@@ -378,6 +404,7 @@ SELECT b.BillID, b.CustomerID, b.BillDate, 'Rs. ' || CAST(CAST(b.AmountDue AS DE
 FROM bill b LEFT JOIN payment p ON b.BillID = p.BillID
 """)
 def q_ledger_display(t: Tables):
+    """Ledger with amount text, status slug and '---' for unpaid bills."""
     led = J.billing_ledger(t, ordered=False)
     return led.select("BillID", "CustomerID", "BillDate", FM.rupees("AmountDue").alias("AmountText"),
                       F.lower("Status").alias("StatusSlug"),
@@ -423,6 +450,7 @@ SELECT r.ReadingID, r.MeterID, r.ReadingDate, r.ReadingValue, {_LAG} AS Previous
 FROM meter_reading r
 """)
 def q_reading_deltas(t: Tables):
+    """Previous reading value of every reading (LAG with default 0)."""
     return RT.reading_deltas(t.meter_reading)
 
 
@@ -431,6 +459,7 @@ SELECT ReadingID, MeterID, CustomerID, UtilityID, ReadingDate, CurrentReadingVal
        PreviousReadingValue, Consumption, IsNegative FROM rc
 """)
 def q_reading_consumption(t: Tables):
+    """B1: current/previous value, consumption and owner of every reading."""
     return RT.reading_consumption(t)
 
 
@@ -438,6 +467,7 @@ def q_reading_consumption(t: Tables):
 SELECT ReadingID, MeterID, CustomerID, UtilityID, Consumption, BaseTariffID, FlatAmount FROM flat
 """)
 def q_flat_rating(t: Tables):
+    """B2: base-rate amount of every reading."""
     return RT.flat_rating(t)
 
 
@@ -446,6 +476,7 @@ SELECT rc.ReadingID, rc.MeterID, rc.CustomerID, rc.Consumption, s.SlabAmount
 FROM rc JOIN slab s ON rc.ReadingID = s.ReadingID
 """)
 def q_slab_rating(t: Tables):
+    """Block-tariff amount of every electricity reading."""
     return RT.slab_rating(t)
 
 
@@ -463,12 +494,14 @@ WHERE r.ReadingID NOT IN (SELECT ReadingID FROM bill) {extra}
 
 @register("billing_run", _BILLS_SQL.format(bd="2024-02-01", extra=""))
 def q_billing_run(t: Tables):
+    """Bills for all unbilled readings, dated 2024-02-01."""
     return B.billing_run(t, "2024-02-01")
 
 
 @register("billing_run_month", _BILLS_SQL.format(
     bd="2024-01-01", extra="AND r.ReadingDate >= DATE '2024-01-01' AND r.ReadingDate < DATE '2024-02-01'"))
 def q_billing_run_month(t: Tables):
+    """First-of-month billing for January 2024 readings."""
     return B.billing_run_month(t, READ_AS_OF)
 
 
@@ -494,6 +527,7 @@ SELECT ReadingID, COUNT(*) AS BillCount FROM bill WHERE ReadingID IS NOT NULL
 GROUP BY ReadingID HAVING COUNT(*) > 1
 """)
 def q_double_billed(t: Tables):
+    """Readings that appear on more than one bill."""
     return B.double_billed(t.bill)
 
 
