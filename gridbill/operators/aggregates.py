@@ -46,12 +46,12 @@ def dashboard_stats(t: Tables, as_of: DateLike) -> DataFrame:
 
 
 def defaulters(t: Tables, start: DateLike | None = None, end: DateLike | None = None,
-               ordered: bool = True) -> DataFrame:
+               ordered: bool = True, collation: str | None = None) -> DataFrame:
     """Per customer, count and sum of Unpaid/Overdue bills, by TotalDue desc.
 
     With ``start``/``end`` only bills dated in that range count (whole days).
     """
-    b = open_bills(t, OPEN_BILL_STATUSES)
+    b = open_bills(t, OPEN_BILL_STATUSES, collation)
     if start is not None or end is not None:
         b = b.where(day_range("BillDate", start, end))
     per_cust = b.groupBy("CustomerID").agg(

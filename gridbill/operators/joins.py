@@ -42,9 +42,14 @@ def billing_ledger(t: Tables, ordered: bool = True) -> DataFrame:
     return out
 
 
-def open_bills(t: Tables, statuses=OPEN_BILL_STATUSES) -> DataFrame:
-    """P5: status-set predicate (pushed to the scan as an IN / OR filter)."""
-    return t.bill.where(F.col("Status").isin(*statuses))
+def open_bills(t: Tables, statuses=OPEN_BILL_STATUSES, collation: str | None = None) -> DataFrame:
+    """P5: status-set predicate (pushed to the scan as an IN / OR filter).
+
+    ``collation="UTF8_LCASE"`` matches statuses case-insensitively, for stores
+    whose collation made 'unpaid' equal 'Unpaid' (T18); exact match by default.
+    """
+    status = F.col("Status") if collation is None else F.collate(F.col("Status"), collation)
+    return t.bill.where(status.isin(*statuses))
 
 
 def outstanding_bills(t: Tables) -> DataFrame:

@@ -334,3 +334,13 @@ def test_manager_report_defaulters_total(tables):
     assert [r.CustomerID for r in rep.data.collect()] == ["C1", "C2"]
     tot = rep.total.first()
     assert (tot.GrandTotalDue, tot.Defaulters) == (D("15.00"), 2)
+
+
+def test_t18_case_insensitive_status_option(tables):
+    t = tables(customer=[_cust(1)], bill=[
+        {"BillID": "B1", "CustomerID": "C1", "AmountDue": D(4), "Status": "unpaid"},
+        {"BillID": "B2", "CustomerID": "C1", "AmountDue": D(6), "Status": "OVERDUE"},
+        {"BillID": "B3", "CustomerID": "C1", "AmountDue": D(1), "Status": "Unpaid"}])
+    assert A.defaulters(t).first().UnpaidBills == 1
+    d = A.defaulters(t, collation="UTF8_LCASE").first()
+    assert (d.UnpaidBills, d.TotalDue) == (3, D("11.00"))
