@@ -13,6 +13,7 @@ from ..operators import joins as J
 from ..operators import lookup as L
 from ..operators import maintain as M
 from ..operators import validate as V
+from ..operators import windows as W
 from ..operators import rating as RT
 from ..schemas import METER_READING, PAYMENT
 from ..streaming import ingest as ST
@@ -908,3 +909,136 @@ def q_ingest_readings_stream(t: Tables):
     accepted = spark.read.schema(METER_READING).parquet(paths.readings).withColumn(M.OUTCOME, F.lit("accepted"))
     rejected = spark.read.parquet(paths.rejected).drop("Epoch")
     return accepted.unionByName(rejected)
+
+
+# ------------------------------------------------- remaining SURVEY query keys
+@register("consumption_rank", """
+, cd AS (
+  SELECT c.CustomerID, u.UtilityName, SUM(b.Consumption) AS TotalConsumption
+  FROM bill b JOIN cust c ON b.CustomerID = c.CustomerID
+  JOIN meter m ON b.MeterID = m.MeterID JOIN utility_type u ON m.UtilityID = u.UtilityID
+  GROUP BY c.CustomerID, u.UtilityName
+)
+SELECT RANK() OVER (ORDER BY TotalConsumption DESC) AS Rank, CustomerID, UtilityName AS Utility,
+       CAST(TotalConsumption AS DECIMAL(18,2)) AS TotalConsumption
+FROM cd WHERE TotalConsumption > 0
+""")
+def q_consumption_rank(t: Tables):
+    """RANK() of every customer x utility by all-time consumption, distributed."""
+    totals = A.consumption_totals(t, None).where(F.col("TotalConsumption") > 0)
+    ranked = W.global_rank(totals, "TotalConsumption", "Rank")
+    return ranked.select("Rank", "CustomerID", F.col("UtilityName").alias("Utility"),
+                         F.col("TotalConsumption").cast("decimal(18,2)").alias("TotalConsumption"))
+
+
+@register("base_tariff", """
+, base AS (
+  SELECT UtilityID, TariffID AS BaseTariffID, Rate AS BaseRate FROM (
+    SELECT *, row_number() OVER (PARTITION BY UtilityID ORDER BY MinUnits NULLS FIRST, TariffID) AS rn
+    FROM tariff) x WHERE rn = 1
+)
+SELECT b.UtilityID, b.BaseTariffID, b.BaseRate, COUNT(m.MeterID) AS MeterCount
+FROM base b LEFT JOIN meter m ON m.UtilityID = b.UtilityID
+GROUP BY b.UtilityID, b.BaseTariffID, b.BaseRate
+""")
+def q_base_tariff(t: Tables):
+    """The first tariff of each utility (TOP 1 by MinUnits) and how many meters it rates."""
+    per = t.meter.groupBy("UtilityID").agg(F.count(F.lit(1)).alias("MeterCount"))
+    return (RT.base_tariff(t.tariff).join(per, "UtilityID", "left")
+            .select("UtilityID", "BaseTariffID", "BaseRate",
+                    F.coalesce("MeterCount", F.lit(0)).cast("bigint").alias("MeterCount")))
+
+
+def _proposed_tariffs(t: Tables):
+    """One proposed tariff per utility x customer type in use, priced at the base rate."""
+    combos = (t.meter.join(t.customer.select("CustomerID", "CustomerType"), "CustomerID")
+              .select("UtilityID", "CustomerType").distinct())
+    base = RT.base_tariff(t.tariff).select("UtilityID", "BaseRate")
+    return combos.join(base, "UtilityID", "left").select(
+        F.concat("UtilityID", F.lit("-"), F.upper("CustomerType")).alias("TariffID"), "UtilityID",
+        F.concat("CustomerType", F.lit(" standard")).alias("TariffName"), F.col("BaseRate").alias("Rate"))
+
+
+_PROPOSED_SQL = """
+, base AS (
+  SELECT UtilityID, Rate AS BaseRate FROM (
+    SELECT *, row_number() OVER (PARTITION BY UtilityID ORDER BY MinUnits NULLS FIRST, TariffID) AS rn
+    FROM tariff) x WHERE rn = 1
+), combos AS (
+  SELECT DISTINCT m.UtilityID, c.CustomerType FROM meter m JOIN cust c ON m.CustomerID = c.CustomerID
+), proposed AS (
+  SELECT co.UtilityID || '-' || upper(co.CustomerType) AS TariffID, co.UtilityID,
+         co.CustomerType || ' standard' AS TariffName, b.BaseRate AS Rate
+  FROM combos co LEFT JOIN base b ON co.UtilityID = b.UtilityID
+)
+"""
+
+
+@register("append_tariffs", _PROPOSED_SQL + """
+SELECT TariffID, UtilityID, TariffName, CAST(Rate AS DECIMAL(10,2)) AS Rate, 0 AS MinUnits,
+       CAST(NULL AS INTEGER) AS MaxUnits, CAST(0 AS DECIMAL(10,2)) AS FixedCharge,
+       CASE WHEN NULLIF(TariffID, '') IS NULL THEN 'missing TariffID'
+            WHEN NULLIF(UtilityID, '') IS NULL THEN 'missing UtilityID'
+            WHEN NULLIF(TariffName, '') IS NULL THEN 'missing TariffName'
+            WHEN Rate IS NULL THEN 'missing Rate'
+            WHEN TariffID IN (SELECT TariffID FROM tariff) THEN 'duplicate TariffID'
+            WHEN TariffID IN (SELECT TariffID FROM proposed GROUP BY TariffID HAVING COUNT(*) > 1)
+              THEN 'repeated TariffID'
+            WHEN UtilityID NOT IN (SELECT UtilityID FROM utility_type) THEN 'unknown UtilityID'
+            ELSE 'accepted' END AS Outcome
+FROM proposed
+""")
+def q_append_tariffs(t: Tables):
+    """S2 addTariff: the proposed per-segment tariffs appended to the catalogue."""
+    return M.append_tariffs(t.tariff, _proposed_tariffs(t), t.utility_type)
+
+
+@register("validate_tariffs", _PROPOSED_SQL + """
+SELECT TariffID,
+       (CASE WHEN NULLIF(TariffID, '') IS NULL THEN 1 ELSE 0 END + CASE WHEN NULLIF(UtilityID, '') IS NULL THEN 1 ELSE 0 END
+        + CASE WHEN NULLIF(TariffName, '') IS NULL THEN 1 ELSE 0 END + CASE WHEN Rate IS NULL THEN 1 ELSE 0 END) = 0 AS Valid,
+       CASE WHEN NULLIF(TariffID, '') IS NULL THEN 'missing TariffID'
+            WHEN NULLIF(UtilityID, '') IS NULL THEN 'missing UtilityID'
+            WHEN NULLIF(TariffName, '') IS NULL THEN 'missing TariffName'
+            WHEN Rate IS NULL THEN 'missing Rate' END AS FirstError,
+       CAST(CASE WHEN NULLIF(TariffID, '') IS NULL THEN 1 ELSE 0 END + CASE WHEN NULLIF(UtilityID, '') IS NULL THEN 1 ELSE 0 END
+        + CASE WHEN NULLIF(TariffName, '') IS NULL THEN 1 ELSE 0 END + CASE WHEN Rate IS NULL THEN 1 ELSE 0 END AS INTEGER) AS ErrorCount
+FROM (SELECT TariffID, UtilityID, TariffName, Rate FROM tariff
+      UNION ALL SELECT TariffID, UtilityID, TariffName, Rate FROM proposed) x
+""")
+def q_validate_tariffs(t: Tables):
+    """Required fields of the tariff catalogue and of the proposed tariffs."""
+    rows = t.tariff.select("TariffID", "UtilityID", "TariffName", "Rate").unionByName(_proposed_tariffs(t))
+    return V.validation_report(rows, "TariffID", V.tariff_rules())
+
+
+@register("update_tariffs", """
+, used AS (SELECT DISTINCT TariffID FROM bill WHERE TariffID IS NOT NULL)
+SELECT t.TariffID, t.UtilityID, t.TariffName,
+       CASE WHEN u.TariffID IS NOT NULL THEN CAST(t.Rate * 1.10 AS DECIMAL(10,2)) ELSE t.Rate END AS Rate,
+       t.MinUnits, t.MaxUnits, t.FixedCharge, u.TariffID IS NOT NULL AS Updated
+FROM tariff t LEFT JOIN used u ON t.TariffID = u.TariffID
+""")
+def q_update_tariffs(t: Tables):
+    """M1 updateTariff: every tariff that bills use gets a 10% higher rate; MinUnits,
+    MaxUnits and FixedCharge are not among the listed columns and stay."""
+    used = t.bill.where(F.col("TariffID").isNotNull()).select("TariffID").distinct()
+    upd = (t.tariff.join(used, "TariffID", "left_semi")
+           .select("TariffID", "TariffName", "UtilityID",
+                   (F.col("Rate") * F.lit(1.10).cast("decimal(3,2)")).cast("decimal(10,2)").alias("Rate"),
+                   F.lit(1).alias("seq")))
+    return M.apply_updates(t.tariff, upd, "TariffID", ["TariffName", "UtilityID", "Rate"])
+
+
+@register("export_report", _DEFAULTERS_SQL.format(extra=""))
+def q_export_report(t: Tables):
+    """S3: the defaulters report exported as CSV part files (one per task) into a new
+    folder of the shared checkpoint directory, read back with its schema."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import sinks
+    report = A.defaulters(t, ordered=False)
+    path = f"{ensure_checkpoint_dir(t.spark)}/export-{uuid.uuid4().hex}"
+    sinks.export(report, path, fmt="csv")
+    return t.spark.read.schema(report.schema).option("header", "true").csv(path)
