@@ -25,6 +25,9 @@ RANGE_START, RANGE_END = dt.date(1998, 1, 1), dt.date(1998, 12, 31)
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
+# The Tables-level builders behind QUERIES, to run the same queries on other
+# sources (e.g. entities stored as Parquet, see tools/plan_summary.py).
+BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
 def register(name: str, sql: str | None = None):
@@ -34,6 +37,7 @@ def register(name: str, sql: str | None = None):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        BUILDERS[name] = fn
         if sql is not None:
             ORACLE[name] = ENTITIES + sql
         return fn
