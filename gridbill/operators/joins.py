@@ -35,8 +35,18 @@ def billing_ledger(t: Tables, ordered: bool = True) -> DataFrame:
     a bill with none gives one row with a NULL PaymentDate), newest bill first."""
     b = t.bill.select("BillID", "CustomerID", "BillDate", "AmountDue", "Status")
     p = t.payment.select("BillID", "PaymentDate")
-    out = b.join(p, "BillID", "left").select(
-        "BillID", "CustomerID", "BillDate", "AmountDue", "Status", "PaymentDate")
+    cols = ["BillID", "CustomerID", "BillDate", "AmountDue", "Status", "PaymentDate"]
+    # Same rows as bill LEFT JOIN payment, written so skew stays splittable: in an
+    # outer join AQE cannot split the non-preserved (payment) side, where a bill
+    # with a huge number of payments would sit in one task. The inner join can be
+    # split on either side, and the unpaid bills come from an anti join against
+    # the distinct paid bill ids (the distinct collapses a hot bill map-side).
+    paid = b.join(p, "BillID", "inner").select(*cols)
+    paid_ids = p.select("BillID").where(F.col("BillID").isNotNull()).distinct()
+    unpaid = (b.join(paid_ids, "BillID", "left_anti")
+              .withColumn("PaymentDate", F.lit(None).cast(p.schema["PaymentDate"].dataType))
+              .select(*cols))
+    out = paid.unionByName(unpaid)
     if ordered:
         out = out.orderBy(F.col("BillDate").desc(), "BillID", F.col("PaymentDate").asc_nulls_first())
     return out
