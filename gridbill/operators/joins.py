@@ -87,7 +87,11 @@ def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     NULL, no row qualifies, and a NULL left key never qualifies.
     """
     r = right.select(F.col(right_key).alias("_k"))
-    out = left.join(r.where(F.col("_k").isNotNull()), left[left_key] == F.col("_k"), "left_anti")
+    # distinct() collapses a hot key of the right side map-side (AQE cannot split
+    # the right side of an anti join); its hash partitioning on the key is the one
+    # the join needs, so it adds no shuffle.
+    keys = r.where(F.col("_k").isNotNull()).distinct()
+    out = left.join(keys, left[left_key] == F.col("_k"), "left_anti")
     if not strict:
         return out
     # One boolean comes back to the driver: does the subquery contain a NULL?
