@@ -344,3 +344,18 @@ def test_t18_case_insensitive_status_option(tables):
     assert A.defaulters(t).first().UnpaidBills == 1
     d = A.defaulters(t, collation="UTF8_LCASE").first()
     assert (d.UnpaidBills, d.TotalDue) == (3, D("11.00"))
+
+
+def test_ledger_rewrite_equals_left_join_with_hot_bill(spark, tables):
+    bills = [{"BillID": f"B{i}", "CustomerID": "C1", "BillDate": dt.date(2025, 1, 1 + i % 20),
+              "AmountDue": D(i), "Status": "Unpaid"} for i in range(30)]
+    pays = [{"PaymentID": f"P{i}", "BillID": "B0", "PaymentDate": dt.datetime(2025, 2, 1, i % 24)} for i in range(600)]
+    pays += [{"PaymentID": f"Q{i}", "BillID": f"B{i}", "PaymentDate": dt.datetime(2025, 3, 1)} for i in range(1, 10)]
+    pays += [{"PaymentID": "X", "BillID": None, "PaymentDate": dt.datetime(2025, 3, 2)},
+             {"PaymentID": "Y", "BillID": "NOPE", "PaymentDate": dt.datetime(2025, 3, 3)}]
+    t = tables(bill=bills, payment=pays)
+    got = J.billing_ledger(t, ordered=False)
+    want = (t.bill.select("BillID", "CustomerID", "BillDate", "AmountDue", "Status")
+            .join(t.payment.select("BillID", "PaymentDate"), "BillID", "left"))
+    assert got.count() == 600 + 9 + 20
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
