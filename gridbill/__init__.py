@@ -1 +1 @@
-"""gridbill: utility billing analytics on Spark."""
+"""gridbill: utility metering and billing analytics on Spark (DataFrame / SQL / Structured Streaming)."""

@@ -1 +1 @@
-"""gridbill: utility billing analytics on Spark."""
+"""Column-expression helpers: clocks and date ranges, number/date formatting, display fallbacks."""

@@ -1 +1 @@
-"""gridbill: utility billing analytics on Spark."""
+"""DataFrame operators: joins, aggregates, lookups, skew-safe windows, rating, billing, validation, maintenance."""

@@ -1 +1 @@
-"""gridbill: utility billing analytics on Spark."""
+"""Query plans: report dispatch and the registry of named queries with their oracle SQL."""

@@ -1 +1 @@
-"""gridbill: utility billing analytics on Spark."""
+"""Structured Streaming: field readings ingested from files with an idempotent foreachBatch append."""
