@@ -117,9 +117,14 @@ def append_readings(existing: DataFrame, batch: DataFrame, meters: DataFrame) ->
         F.nullif(F.col("Notes"), F.lit("")).alias("Notes") if "Notes" in batch.columns
         else F.lit(None).cast("string").alias("Notes"))
     checked = _check_batch(b, reading_rules(), None, existing, [("MeterID", meters, "MeterID")])
-    # Only stored readings inside the batch's date span can be duplicates: two
-    # scalars come back to the driver and the range reaches the scan as a filter.
-    lo, hi = b.agg(F.min("ReadingDate"), F.max("ReadingDate")).first()
+    # Three scalars come back to the driver in one job: the batch's date span
+    # (only stored readings inside it can be duplicates, and the range reaches the
+    # scan as a filter) and the highest stored id (new ids continue after it).
+    span = b.agg(F.min("ReadingDate").alias("_lo"), F.max("ReadingDate").alias("_hi"),
+                 F.lit(None).cast("bigint").alias("_top"))
+    top = existing.agg(F.lit(None).cast("date").alias("_lo"), F.lit(None).cast("date").alias("_hi"),
+                       F.max("ReadingID").cast("bigint").alias("_top"))
+    lo, hi, top_id = span.unionByName(top).agg(F.min("_lo"), F.max("_hi"), F.max("_top")).first()
     near = existing.where(F.col("ReadingDate").between(F.lit(lo), F.lit(hi))) if lo else existing.limit(0)
     probe = b.select(*READING_KEY).distinct()
     stored = (near.select(*READING_KEY).join(probe, list(READING_KEY), "left_semi").distinct()
@@ -132,8 +137,7 @@ def append_readings(existing: DataFrame, batch: DataFrame, meters: DataFrame) ->
     accepted = (checked.where(F.col(OUTCOME) == "accepted")
                 .groupBy(*READING_KEY).agg(F.min("Notes").alias("Notes"), F.first(OUTCOME).alias(OUTCOME))
                 .withColumn("_nk", natural))
-    # One scalar comes back to the driver: the highest stored id.
-    base = existing.agg(F.max("ReadingID")).first()[0] or 0
+    base = top_id or 0
     ranked = global_rank(accepted, "_nk", "_r", descending=False)
     with_id = ranked.withColumn("ReadingID", (F.lit(int(base)) + F.col("_r")).cast("int"))
     rejected = checked.where(F.col(OUTCOME) != "accepted").withColumn("ReadingID", F.lit(None).cast("int"))
