@@ -109,3 +109,18 @@ def test_reports_from_a_stored_copy_match_the_mapping(spark):
                   lambda x: B.billing_run(x, "2024-02-01")):
         a, b = build(t), build(s)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_checkpoint_dir_is_read_not_replaced(spark):
+    from gridbill.session import ensure_checkpoint_dir
+    before = spark.sparkContext.getCheckpointDir()
+    assert before and ensure_checkpoint_dir(spark) == before == ensure_checkpoint_dir(spark)
+
+
+def test_local_frame_escapes_quotes(spark):
+    from gridbill import schemas
+    from gridbill.sources.testdata import local_frame
+    rows = [("UTIL-09", "O'Brien's Gas", "unit")]
+    df = local_frame(spark, rows, schemas.UTILITY_TYPE)
+    assert [tuple(r) for r in df.collect()] == rows
+    assert df.schema.simpleString() == "struct<UtilityID:string,UtilityName:string,Unit:string>"
