@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text or payload that one output batch of a Python task may hold.
@@ -46,7 +47,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Itera
         return
     col = batch.column(column)
     start, held = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(col).to_pylist()):
+    for i, n in enumerate(pc.binary_length(col).to_pylist()):
         if held and held + (n or 0) > most:
             yield batch.slice(start, i - start)
             start, held = i, 0

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from gridbill.llm.bpe import op1_bpe
+from gridbill.llm.records import op7_records
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op7_records": op7_records,
 }
 ORACLE: dict[str, str] = {}
