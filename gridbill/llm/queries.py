@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from gridbill.llm.bpe import op1_bpe
 from gridbill.llm.records import op7_records
+from gridbill.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op4_toxicity": op4_toxicity,
     "op7_records": op7_records,
 }
 ORACLE: dict[str, str] = {}
