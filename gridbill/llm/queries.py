@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from gridbill.llm.bpe import op1_bpe
+from gridbill.llm.quality import op5_quality
 from gridbill.llm.records import op7_records
 from gridbill.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op7_records": op7_records,
 }
 ORACLE: dict[str, str] = {}
