@@ -6,11 +6,13 @@ from gridbill.llm.bpe import op1_bpe
 from gridbill.llm.quality import op5_quality
 from gridbill.llm.records import op7_records
 from gridbill.llm.toxicity import op4_toxicity
+from gridbill.llm.wrappers import op8_wrappers
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op7_records": op7_records,
+    "op8_wrappers": op8_wrappers,
 }
 ORACLE: dict[str, str] = {}
