@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gridbill.llm.bpe import op1_bpe
+from gridbill.llm.pii import op6_pii
 from gridbill.llm.quality import op5_quality
 from gridbill.llm.records import op7_records
 from gridbill.llm.toxicity import op4_toxicity
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op6_pii": op6_pii,
     "op7_records": op7_records,
     "op8_wrappers": op8_wrappers,
 }
