@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from gridbill.llm.bpe import op1_bpe
+from gridbill.llm.mtree import ORACLE as TOP_SQL
+from gridbill.llm.mtree import op10_mtree
 from gridbill.llm.pii import op6_pii
 from gridbill.llm.quality import op5_quality
 from gridbill.llm.records import op7_records
@@ -16,5 +18,6 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_records": op7_records,
     "op8_wrappers": op8_wrappers,
+    "op10_mtree": op10_mtree,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_mtree": TOP_SQL}
