@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text or payload that one output batch of a Python task may hold.
 BATCH_BYTES = 16 << 20
@@ -41,6 +42,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` (or a lambda in it) refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` cut so that no piece holds more than ``most`` bytes in ``column`` (or is one row)."""
     if batch.num_rows == 0:
