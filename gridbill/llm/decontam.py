@@ -26,14 +26,15 @@ BROADCAST_ROWS = 500_000
 # Marks stripped off words, and units of measure.
 MARKS = ".,;:!?\"'()[]{}|*#$%&<>=~`^_/\\-+“”‘’«»…–—¿¡"
 UNITS = "mm cm m km inch inches ft feet foot yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years hz khz mhz ghz kb mb gb tb w kw mw v volt volts usd eur gbp dollar dollars euro euros cent cents percent degree degrees kph mph".split()
-_SPACE = "[ \\t\\n\\x0B\\f\\r]+"
+_SPACES = "\t\n\x0b\f\r"
 _NUMBER = "^[0-9]+([.,:/-][0-9]+)*$"
 _NAME = "^\\p{Lu}[\\p{Ll}'’-]+$"
 
 
 def words(text: Column) -> Column:
     """The text's words without marks at their ends; a null text has none."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), _SPACE), lambda w: F.btrim(w, F.lit(MARKS))), lambda w: w != "")
+    blank = F.translate(F.coalesce(text, F.lit("")), _SPACES, " " * len(_SPACES))
+    return F.filter(F.transform(F.split(blank, " "), lambda w: F.btrim(w, F.lit(MARKS))), lambda w: w != "")
 
 
 def _template(word: Column) -> Column:
@@ -42,8 +43,8 @@ def _template(word: Column) -> Column:
     kind = (
         F.when((word >= "0") & (word < ":") & word.rlike(_NUMBER), 1)
         .when(low.isin(UNITS), 2)
-        .when((word != low) & word.rlike(_NAME), 3)
-    )
+        .when(((word < "a") | (word > "z")) & word.rlike(_NAME), 3)
+    )  # fmt: skip  # the comparisons only spare most words the pattern
     return F.struct(F.coalesce(kind.cast("long"), F.xxhash64(low)).alias("h"), F.when(kind.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(word)).alias("s"))
 
 
