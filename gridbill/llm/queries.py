@@ -5,6 +5,7 @@ from __future__ import annotations
 from gridbill.llm.bpe import op1_bpe
 from gridbill.llm.decontam import ORACLE as TEMPLATE_SQL
 from gridbill.llm.decontam import op9_templates
+from gridbill.llm.jaccard import op3_jaccard
 from gridbill.llm.mtree import ORACLE as TOP_SQL
 from gridbill.llm.mtree import op10_mtree
 from gridbill.llm.pii import op6_pii
@@ -18,6 +19,7 @@ from gridbill.llm.wrappers import op8_wrappers
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
+    "op3_jaccard": op3_jaccard,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_pii": op6_pii,
