@@ -30,6 +30,13 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+def mapped(s: str, table: dict[int, str] = dict(enumerate(byte_characters()))) -> str:  # noqa: B006
+    """A text with each byte of its UTF-8 form as its printable character."""
+    if s.isascii() and s.isprintable():
+        return s.replace(" ", table[32])
+    return s.encode().decode("latin-1").translate(table)
+
+
 def read_ranks(path: str) -> list[bytes]:
     """The tokens of a rank file (base64 token and rank on each line) in order of rank."""
     with open(path, "rb") as f:
@@ -87,8 +94,7 @@ def _loaded(path: str) -> tuple:
 def encoder(path: str, pattern: str) -> Encoder:
     """Whole texts to packed little-endian unsigned 32-bit ids."""
     model, _ = _loaded(path)
-    mapped = dict(enumerate(byte_characters()))
-    return Encoder(pattern, lambda pre: model.encode([t.encode().decode("latin-1").translate(mapped) for t in pre], num_threads=1))
+    return Encoder(pattern, lambda pre: model.encode(list(map(mapped, pre)), num_threads=1))
 
 
 def decoder(path: str):

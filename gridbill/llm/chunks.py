@@ -14,6 +14,9 @@ from collections.abc import Callable
 
 _RUNS = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Below this, letters are the same under all versions of Unicode.
+_KNOWN_LETTERS = "\u0250"
+_MARKS = ".,;:!?"
 
 
 class Encoder:
@@ -26,8 +29,17 @@ class Encoder:
         self.cut, self.encode, self.most = regex.compile(pattern), encode, most
         self.known: dict[str, bytes] = {}
 
+    def pre_tokens(self, s: str) -> list[str]:
+        """Matches of the pattern; a blank and letters, and then perhaps one mark, are seen without it."""
+        if s[:1] == " " and max(s) < _KNOWN_LETTERS:
+            if s[1:].isalpha():
+                return [s]
+            if s[-1] in _MARKS and s[1:-1].isalpha():
+                return [s[:-1], s[-1]]
+        return self.cut.findall(s)
+
     def stretches(self, some: list[str]) -> list[bytes]:
-        pre = [self.cut.findall(s) for s in some]
+        pre = list(map(self.pre_tokens, some))
         each = list({t for ts in pre for t in ts})
         ids = dict(zip(each, (array("I", x).tobytes() for x in self.encode(each)), strict=True))
         return [ids[ts[0]] if len(ts) == 1 else b"".join([ids[t] for t in ts]) for ts in pre]
@@ -36,14 +48,21 @@ class Encoder:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        parts, new = [], set()
+        firsts, rests, found, new = [], [], [], set()
         for text in texts:
             cut = [""] if not text else _CUT.split(text) if _RUNS.search(text) else text.split(" ")
-            parts.append(cut)
-            new.update([w for w in cut[1:] if w not in known])
+            firsts.append(cut.pop(0))
+            got = list(map(known.get, cut))
+            lacks = None in got
+            if lacks:
+                new.update([w for w, g in zip(cut, got, strict=True) if g is None])
+            rests.append(cut if lacks else None)
+            found.append(got)
         fresh = list(new)
         for i in range(0, len(fresh), 4096):
             some = fresh[i : i + 4096]
             known.update(zip(some, self.stretches([" " + w for w in some]), strict=True))
-        first = self.stretches([cut[0] for cut in parts])
-        return [a + b"".join([known[w] for w in cut[1:]]) for a, cut in zip(first, parts, strict=True)]
+        return [
+            a + b"".join(got if cut is None else [known[w] if g is None else g for w, g in zip(cut, got, strict=True)])
+            for a, cut, got in zip(self.stretches(firsts), rests, found, strict=True)
+        ]

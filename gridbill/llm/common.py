@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text or payload that one output batch of a Python task may hold.
 BATCH_BYTES = 16 << 20
@@ -61,7 +62,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Itera
     yield batch.slice(start)
 
 
-def map_batches(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str,
+def map_batches(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType,
                 most: int = BATCH_BYTES) -> DataFrame:
     """``mapInArrow`` over byte-bounded batches; ``make`` builds the per-task state once and returns the batch function."""
 
@@ -73,3 +74,16 @@ def map_batches(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Reco
                 yield fn(s)
 
     return df.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[bool]]], most: int = BATCH_BYTES) -> DataFrame:
+    """The rows of ``df`` (all columns) whose value of ``column`` the function made by ``make`` keeps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = None
+        for b in batches:
+            for s in slices(b, column, most):
+                fn = fn or make()
+                yield s.filter(pa.array(fn(s.column(column).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

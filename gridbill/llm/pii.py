@@ -398,7 +398,7 @@ def mask(docs: DataFrame, tagger: Tagger) -> DataFrame:
 
         return one
 
-    return common.map_batches(docs, "text", make, docs.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), 4 << 20)
+    return common.map_batches(docs, "text", make, docs.schema, 4 << 20)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

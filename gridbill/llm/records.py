@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from gridbill.llm import common
-from gridbill.llm.bpe import byte_characters
+from gridbill.llm.bpe import mapped
 from gridbill.llm.chunks import Encoder
 from gridbill.llm.crc32c import crc32c, masked
 
@@ -44,8 +44,8 @@ def encoder(path: str, pattern: str) -> Encoder:
     t = Tokenizer.from_file(path)
     if t.normalizer or not isinstance(t.model, models.BPE) or not isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel) or t.pre_tokenizer.add_prefix_space:
         raise ValueError("a plain byte-level BPE tokenizer is asked for")
-    mapped, tokenize = dict(enumerate(byte_characters())), t.model.tokenize
-    return Encoder(pattern, lambda pre: [[x.id for x in tokenize(p.encode().decode("latin-1").translate(mapped))] for p in pre])
+    tokenize = t.model.tokenize
+    return Encoder(pattern, lambda pre: [[x.id for x in tokenize(mapped(p))] for p in pre])
 
 
 def encode(df: DataFrame, path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
