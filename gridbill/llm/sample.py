@@ -26,7 +26,7 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, keep: Column,
     if not ids:
         return [], counts
     chosen = documents.sparkSession.createDataFrame(ids, "doc_id long, label int")
-    rows = documents.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
     return sorted(tuple(r) for r in rows.collect()), counts
 
 
