@@ -7,7 +7,7 @@ the one-row-per-key result is joined to its dimension.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formatting import day_label, month_label, quantity_text
@@ -15,7 +15,7 @@ from ..functions.timewin import DateLike, day_range, in_month, last_n_days, mont
 from ..schemas import OPEN_BILL_STATUSES, REPORT_MONEY
 from ..sources.tables import Tables
 from .common import count_col, money
-from .joins import open_bills, payment_utility_star
+from .joins import bill_utility, open_bills
 from .windows import global_rank
 
 TREND_UTILITIES = ("Electricity", "Water", "Gas")
@@ -137,6 +137,21 @@ def top_consumers(totals: DataFrame, k: int = 5) -> DataFrame:
         money("TotalConsumption").alias("TotalConsumption"))
 
 
+def _revenue_by(t: Tables, flt: Column | None, period: Column, name: str) -> DataFrame:
+    """Payments per utility and period: (``name``, UtilityName, _n, _amount), one row per bill and period.
+
+    Payments are collapsed per bill before they meet the bills, so a bill with many
+    payments is one row in the join, and only keys and sums are moved.
+    """
+    p = t.payment.select("BillID", "PaymentID", "PaymentAmount", "PaymentDate")
+    if flt is not None:
+        p = p.where(flt)
+    per_bill = p.groupBy("BillID", period.alias(name)).agg(
+        F.count("PaymentID").alias("_n"), F.sum("PaymentAmount").alias("_amount"))
+    return per_bill.join(bill_utility(t).select("BillID", "UtilityName"), "BillID").select(
+        name, "UtilityName", "_n", "_amount")
+
+
 def revenue_trends(t: Tables, as_of: DateLike, months: int = 6, ordered: bool = True) -> DataFrame:
     """A4: monthly payments pivoted to Electricity / Water / Gas + total.
 
@@ -146,15 +161,11 @@ def revenue_trends(t: Tables, as_of: DateLike, months: int = 6, ordered: bool =
     other utilities still give a row of zeros.
     """
     start = months_back_start(as_of, months)
-    star = payment_utility_star(t, F.col("PaymentDate") >= F.lit(start))
-    keyed = star.select(
-        F.last_day("PaymentDate").alias("MonthSortKey"),
-        month_label("PaymentDate").alias("Month"),
-        "UtilityName", "PaymentAmount")
-    piv = (keyed.groupBy("MonthSortKey", "Month")
-           .pivot("UtilityName", list(TREND_UTILITIES)).agg(F.sum("PaymentAmount")))
+    keyed = _revenue_by(t, F.col("PaymentDate") >= F.lit(start), F.last_day("PaymentDate"), "MonthSortKey")
+    piv = (keyed.groupBy("MonthSortKey")
+           .pivot("UtilityName", list(TREND_UTILITIES)).agg(F.sum("_amount")))
     cols = [F.coalesce(money(u), F.lit(0).cast(REPORT_MONEY)).alias(u) for u in TREND_UTILITIES]
-    out = piv.select("MonthSortKey", "Month", *cols)
+    out = piv.select("MonthSortKey", month_label("MonthSortKey").alias("Month"), *cols)
     out = out.withColumn("TotalRevenue", money(sum(F.col(u) for u in TREND_UTILITIES)))
     if ordered:
         out = out.orderBy("MonthSortKey")
@@ -169,9 +180,10 @@ def revenue_trend_totals(trends: DataFrame) -> DataFrame:
 
 def revenue_by_day(t: Tables, start: DateLike, end: DateLike, ordered: bool = True) -> DataFrame:
     """A5: per day and utility, number and sum of payments in the range."""
-    star = payment_utility_star(t, day_range("PaymentDate", start, end))
-    out = star.groupBy(day_label("PaymentDate").alias("Date"), F.col("UtilityName").alias("Utility")).agg(
-        count_col("PaymentID").alias("PaymentsReceived"), money(F.sum("PaymentAmount")).alias("Total"))
+    rows = _revenue_by(t, day_range("PaymentDate", start, end), F.to_date("PaymentDate"), "_day")
+    out = rows.groupBy("_day", "UtilityName").agg(F.sum("_n").alias("_n"), F.sum("_amount").alias("_amount")).select(
+        day_label("_day").alias("Date"), F.col("UtilityName").alias("Utility"),
+        F.col("_n").cast("bigint").alias("PaymentsReceived"), money("_amount").alias("Total"))
     if ordered:
         out = out.orderBy("Date", "Utility")
     return out
@@ -186,10 +198,12 @@ def revenue_grand_total(t: Tables, start: DateLike, end: DateLike) -> DataFrame:
 def revenue_by_utility(t: Tables, start: DateLike | None = None, end: DateLike | None = None) -> DataFrame:
     """Payments and revenue per utility plus a 'Grand Total' row (ROLLUP)."""
     flt = day_range("PaymentDate", start, end) if (start or end) else None
-    star = payment_utility_star(t, flt)
-    return (star.rollup("UtilityName")
-            .agg(count_col("PaymentID").alias("TotalPayments"),
-                 money(F.sum("PaymentAmount")).alias("TotalRevenue"),
+    per = (_revenue_by(t, flt, F.lit(0), "_all").groupBy("UtilityName")
+           .agg(F.sum("_n").alias("_n"), F.sum("_amount").alias("_amount")))
+    # the roll-up sees one row per utility
+    return (per.rollup("UtilityName")
+            .agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("TotalPayments"),
+                 money(F.sum("_amount")).alias("TotalRevenue"),
                  F.grouping("UtilityName").alias("_g"))
             .select(F.when(F.col("_g") == 1, F.lit("Grand Total")).otherwise(F.col("UtilityName"))
                     .alias("UtilityName"), "TotalPayments", "TotalRevenue")

@@ -22,29 +22,24 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.display import blank_to_null
 from ..functions.timewin import DateLike, in_month, to_date, to_datetime
 from ..schemas import BILL, MONEY, PAYMENT
 from ..sources.tables import Tables
-from .common import count_col, present_keys
+from .common import count_col, flagged, key_join
 from .joins import unbilled_readings
 from .rating import rate_readings, reading_consumption
-from .windows import freeze
+from .validate import payment_rules, tag_errors
+from .windows import numbered
 
 DUE_DAYS = 14
 BILL_PREFIX = "BILL-R"
 
 
-def _bills_for(t: Tables, todo: DataFrame, bill_date: dt.date) -> DataFrame:
-    # The readings to bill come from an anti join of all readings with all bills
-    # and are used twice below; freeze them once (reliable checkpoint) instead
-    # of scanning both tables twice.
-    todo = freeze(todo.select("ReadingID", "MeterID"))
-    # Only meters with something to bill need their reading history; the
-    # semi join is on the window's partition key, so it is applied before the LAG.
-    meters = todo.select("MeterID").distinct()
-    history = t.meter_reading.join(meters, "MeterID", "left_semi")
-    cons = reading_consumption(t, history)
+def _bills_for(t: Tables, todo: DataFrame, bill_date: dt.date, due_date: dt.date | None) -> DataFrame:
+    # Readings to bill are unique by ReadingID; their meters' whole histories are
+    # needed for the previous values. Both key sets are joined in parts, so a meter
+    # or customer with a third of all readings stays spread.
+    cons = reading_consumption(t, todo.select("MeterID"))
     rated = rate_readings(t, cons.join(todo.select("ReadingID"), "ReadingID", "left_semi"))
     bd = F.lit(bill_date)
     return rated.select(
@@ -52,7 +47,7 @@ def _bills_for(t: Tables, todo: DataFrame, bill_date: dt.date) -> DataFrame:
         "CustomerID", "MeterID", "ReadingID",
         F.col("BaseTariffID").alias("TariffID"),
         bd.alias("BillDate"),
-        F.date_add(bd, DUE_DAYS).alias("DueDate"),
+        (F.date_add(bd, DUE_DAYS) if due_date is None else F.lit(due_date)).alias("DueDate"),
         F.col("PreviousReadingValue").cast(MONEY).alias("PreviousReadingValue"),
         F.col("CurrentReadingValue").cast(MONEY).alias("CurrentReadingValue"),
         F.col("Consumption").cast(MONEY).alias("Consumption"),
@@ -61,22 +56,25 @@ def _bills_for(t: Tables, todo: DataFrame, bill_date: dt.date) -> DataFrame:
     )
 
 
-def billing_run(t: Tables, bill_date: DateLike) -> DataFrame:
-    """One new bill per reading that no bill references yet (rerun adds nothing)."""
-    return _bills_for(t, unbilled_readings(t), to_date(bill_date))
+def billing_run(t: Tables, bill_date: DateLike, due_date: DateLike | None = None) -> DataFrame:
+    """One new bill per reading that no bill references yet (rerun adds nothing).
+
+    ``due_date`` defaults to ``DUE_DAYS`` days after the bill date.
+    """
+    return _bills_for(t, unbilled_readings(t), to_date(bill_date), None if due_date is None else to_date(due_date))
 
 
 def billing_run_month(t: Tables, month_of: DateLike, bill_date: DateLike | None = None,
-                      customers: DataFrame | None = None) -> DataFrame:
+                      customers: DataFrame | None = None, due_date: DateLike | None = None) -> DataFrame:
     """Bills for unbilled readings dated in ``month_of``'s month (first-of-month
     billing like the reference's procedure call), optionally for some customers."""
     todo = unbilled_readings(t).join(
         t.meter_reading.where(in_month("ReadingDate", month_of)).select("ReadingID"),
         "ReadingID", "left_semi")
     if customers is not None:
-        todo = todo.join(customers.select("CustomerID").distinct(), "CustomerID", "left_semi")
+        todo = key_join(todo, customers.select("CustomerID").distinct(), "CustomerID")
     bd = to_date(bill_date) if bill_date else to_date(month_of).replace(day=1)
-    return _bills_for(t, todo, bd)
+    return _bills_for(t, todo, bd, None if due_date is None else to_date(due_date))
 
 
 def double_billed(bills: DataFrame) -> DataFrame:
@@ -95,15 +93,22 @@ class PaymentPosting:
     settled: DataFrame    # touched bills: BillID, AmountDue, PaidTotal, new Status
 
 
-def post_payments(t: Tables, batch: DataFrame, as_of: DateLike,
-                  cashier: str | None = None) -> PaymentPosting:
+def post_payments(t: Tables, batch: DataFrame, as_of: DateLike, cashier: str | None = None,
+                  batch_id: str | None = None) -> PaymentPosting:
     """Post a batch of payments (BillID, UserID?, PaymentAmount, PaymentMethod, PaymentID?).
 
-    * missing BillID / amount (NULL or 0) / method -> rejected "missing field"
-    * BillID not on any bill -> rejected "unknown bill"
-    * accepted rows get PaymentDate = ``as_of``; a batch without PaymentID gets a
-      content hash as id, so re-posting the same batch yields the same ids
+    * a row that breaks a payment rule (P7: a missing field, an amount of 0, a method
+      outside the domain) is refused with the rule's name
+    * BillID not on any bill -> "unknown bill"
+    * a PaymentID that is stored already -> "duplicate PaymentID"; given more than once
+      in the batch -> "repeated PaymentID" (each of its rows)
+    * rows without a PaymentID get PAY-<batch_id>-<n>, n from 1 in the order of the rows'
+      content, equal rows one by one. ``batch_id`` defaults to ``as_of``: posting the
+      same batch again gives the same ids, and so refuses all its rows as duplicates
+    * accepted rows get PaymentDate = ``as_of``
     * a bill touched by the batch becomes Paid when all its payments >= AmountDue
+
+    Stored payments are collapsed to one sum per bill before they meet the batch.
     """
     ts = to_datetime(as_of)
     cols = set(batch.columns)
@@ -113,28 +118,35 @@ def post_payments(t: Tables, batch: DataFrame, as_of: DateLike,
         (F.col("UserID") if "UserID" in cols else F.lit(cashier).cast("string")).alias("UserID"),
         F.col("PaymentAmount").cast(MONEY).alias("PaymentAmount"),
         F.col("PaymentMethod"))
-    missing = (blank_to_null("BillID").isNull() | F.col("PaymentAmount").isNull()
-               | (F.col("PaymentAmount") == 0) | blank_to_null("PaymentMethod").isNull())
-    b = b.withColumn("_missing", missing)
-    known = present_keys(t.bill, "BillID", b).withColumn("_known", F.lit(True))
-    checked = b.join(known, "BillID", "left")
-    reason = (F.when(F.col("_missing"), F.lit("missing field"))
-              .when(F.col("_known").isNull(), F.lit("unknown bill")))
+    given, bare = b.where(F.col("PaymentID").isNotNull()), b.where(F.col("PaymentID").isNull()).drop("PaymentID")
+    prefix = f"PAY-{batch_id or ts.strftime('%Y%m%dT%H%M%S')}-"
+    minted = numbered(bare, "_n").withColumn("PaymentID", F.concat(F.lit(prefix), F.col("_n").cast("string"))).drop("_n")
+    b = given.unionByName(minted)
+
+    repeats = b.groupBy("PaymentID").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("PaymentID")
+    probe = b.select("PaymentID").distinct()
+    stored_ids = t.payment.select("PaymentID").distinct().join(probe, "PaymentID", "left_semi")
+    checked = tag_errors(b, payment_rules())
+    checked = flagged(checked, t.bill.select("BillID").distinct(), "BillID", "_known")
+    checked = flagged(checked, stored_ids, "PaymentID", "_stored")
+    checked = flagged(checked, repeats, "PaymentID", "_repeated")
+    reason = F.coalesce(F.try_element_at(F.col("Errors"), F.lit(1)),
+                        F.when(~F.col("_known"), F.lit("unknown bill")),
+                        F.when(F.col("_stored"), F.lit("duplicate PaymentID")),
+                        F.when(F.col("_repeated"), F.lit("repeated PaymentID")))
     checked = checked.withColumn("Reason", reason)
 
-    pid = F.coalesce(F.col("PaymentID"), F.concat(F.lit("PAY-"), F.sha2(F.concat_ws(
-        "|", "BillID", "UserID", F.col("PaymentAmount").cast("string"), "PaymentMethod",
-        F.lit(ts.isoformat())), 256).substr(1, 20)))
     accepted = checked.where(F.col("Reason").isNull()).select(
-        pid.alias("PaymentID"), "BillID", "UserID", "PaymentAmount",
+        "PaymentID", "BillID", "UserID", "PaymentAmount",
         F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz").alias("PaymentDate"), "PaymentMethod")
-    rejected = checked.where(F.col("Reason").isNotNull()).drop("_missing", "_known")
+    rejected = checked.where(F.col("Reason").isNotNull()).select(
+        "PaymentID", "BillID", "UserID", "PaymentAmount", "PaymentMethod", "Reason")
 
     payments = t.payment.select(*[f.name for f in PAYMENT.fields]).unionByName(accepted)
-    # New money per bill, plus what those bills had already received.
+    # New money per bill, plus what those bills had already received: both sides are
+    # one row per bill before they meet, so a bill with many payments is one row.
     new_paid = accepted.groupBy("BillID").agg(F.sum("PaymentAmount").alias("_new"))
-    old_paid = (t.payment.join(new_paid.select("BillID"), "BillID", "left_semi")
-                .groupBy("BillID").agg(F.sum("PaymentAmount").alias("_old")))
+    old_paid = t.payment.groupBy("BillID").agg(F.sum("PaymentAmount").alias("_old"))
     paid = new_paid.join(old_paid, "BillID", "left").select(
         "BillID", (F.col("_new") + F.coalesce(F.col("_old"), F.lit(0))).alias("_paid"))
     covered = F.col("_paid").isNotNull() & (F.col("_paid") >= F.col("AmountDue"))

@@ -7,8 +7,23 @@ from pyspark.sql import functions as F
 
 from ..schemas import REPORT_MONEY
 
-# Tables folded into arrays or broadcast on purpose are checked against this bound.
-DIMENSION_ROW_LIMIT = 100_000
+# Parts that a key set is copied into, so that the rows of one key spread over as many tasks.
+SALTS = 16
+
+
+def key_join(left: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """``left`` joined with a frame of distinct keys, safe for a key that holds a large share of ``left``.
+
+    A distinct or grouped key set keeps its own partitioning, so such a join gets no
+    exchange of its own and AQE cannot split a hot key. Here each row of ``left`` takes a
+    part number from its content and the key set is copied once per part; the join
+    runs on (key, part), which spreads a hot key and lets AQE split what is left.
+    Rows that are equal in all columns share a part. The planner still broadcasts a
+    small key set after its own size check. NULL keys match nothing.
+    """
+    part = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    parts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    return left.withColumn("_part", part).join(keys.withColumn("_part", parts), [on, "_part"], how).drop("_part")
 
 
 def present_keys(table: DataFrame, key: str, probe: DataFrame, probe_key: str | None = None,
@@ -19,12 +34,20 @@ def present_keys(table: DataFrame, key: str, probe: DataFrame, probe_key: str |
     checked against a large stored table would shuffle the whole table. A semi
     join of the table with the probe's distinct keys lets the planner broadcast
     the (small) key set and stream the table; the result is as small as the probe.
+    The table is collapsed to distinct keys first (a partial aggregate shrinks a
+    hot key where it is read), so no key weighs more than another in the join.
     """
     keys = probe.select(F.col(probe_key or key).alias(key)).where(F.col(key).isNotNull()).distinct()
-    found = table.select(key).join(keys, key, "left_semi").distinct()
+    found = table.select(key).distinct().join(keys, key, "left_semi")
     return found.withColumnRenamed(key, alias) if alias else found
 
 
+def flagged(left: DataFrame, keys: DataFrame, on: str, flag: str) -> DataFrame:
+    """``left`` with a boolean ``flag``: its key is in the frame of distinct keys (named like it)."""
+    joined = key_join(left, keys.withColumn(flag, F.lit(True)), on, "left")
+    return joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+
+
 def money(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast(REPORT_MONEY)
 

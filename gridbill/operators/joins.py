@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.timewin import DateLike, in_month
 from ..schemas import OPEN_BILL_STATUSES
 from ..sources.tables import Tables
+from .common import key_join
 
 
 def _utilities(t: Tables) -> DataFrame:
@@ -43,7 +44,7 @@ def billing_ledger(t: Tables, ordered: bool = True) -> DataFrame:
     # the distinct paid bill ids (the distinct collapses a hot bill map-side).
     paid = b.join(p, "BillID", "inner").select(*cols)
     paid_ids = p.select("BillID").where(F.col("BillID").isNotNull()).distinct()
-    unpaid = (b.join(paid_ids, "BillID", "left_anti")
+    unpaid = (b.join(paid_ids, "BillID", "left_anti")  # one row per bill on either side
               .withColumn("PaymentDate", F.lit(None).cast(p.schema["PaymentDate"].dataType))
               .select(*cols))
     out = paid.unionByName(unpaid)
@@ -78,6 +79,14 @@ def meter_customer(t: Tables, meter_keys: DataFrame) -> DataFrame:
     return m.join(c, "CustomerID").select("MeterID", "CustomerName", "ServiceAddress")
 
 
+def meter_customer_outcome(t: Tables, meter_keys: DataFrame) -> DataFrame:
+    """J4 with an answer for every key: ``Found`` is false for a meter that is not stored
+    (or whose customer is not). NULL keys are left out."""
+    keys = meter_keys.select("MeterID").where(F.col("MeterID").isNotNull()).distinct()
+    found = meter_customer(t, keys).withColumn("Found", F.lit(True))
+    return keys.join(found, "MeterID", "left").withColumn("Found", F.coalesce("Found", F.lit(False)))
+
+
 def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
            strict: bool = False) -> DataFrame:
     """``left.key NOT IN (SELECT key FROM right)``.
@@ -86,16 +95,14 @@ def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     ``strict=True`` keeps SQL's three-valued logic: if the subquery yields any
     NULL, no row qualifies, and a NULL left key never qualifies.
     """
-    r = right.select(F.col(right_key).alias("_k"))
-    # distinct() collapses a hot key of the right side map-side (AQE cannot split
-    # the right side of an anti join); its hash partitioning on the key is the one
-    # the join needs, so it adds no shuffle.
-    keys = r.where(F.col("_k").isNotNull()).distinct()
-    out = left.join(keys, left[left_key] == F.col("_k"), "left_anti")
+    r = right.select(F.col(right_key).alias(left_key))
+    # distinct() collapses a hot key of the right side where it is read; a hot key of the
+    # left side is spread over parts (see key_join).
+    out = key_join(left, r.where(F.col(left_key).isNotNull()).distinct(), left_key, "left_anti")
     if not strict:
         return out
     # One boolean comes back to the driver: does the subquery contain a NULL?
-    if r.where(F.col("_k").isNull()).limit(1).count() > 0:
+    if r.where(F.col(left_key).isNull()).limit(1).count() > 0:
         return out.where(F.lit(False))
     return out.where(F.col(left_key).isNotNull())
 

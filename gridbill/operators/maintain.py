@@ -14,13 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.display import blank_to_null
 from ..functions.timewin import DateLike, to_date
 from ..schemas import CUSTOMER, METER, METER_READING, MONEY, TARIFF
 from ..sources.tables import Tables
 from .aggregates import tariff_bill_counts
-from .common import present_keys
-from .validate import customer_rules, meter_rules, reading_rules, tag_errors, tariff_rules
-from .windows import global_rank
+from .common import flagged, key_join, present_keys
+from .validate import ERRORS, customer_rules, meter_rules, missing, reading_rules, tag_errors, tariff_rules
+from .windows import freeze, numbered
 
 OUTCOME = "Outcome"
 
@@ -31,44 +32,62 @@ def _first_error() -> Column:
 
 def _check_batch(batch: DataFrame, rules: Mapping[str, Column], key: str | None,
                  existing: DataFrame, fks: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
-    """Tag each batch row with the first reason it is refused, or NULL.
+    """Tag each batch row with the first reason it is refused, or ``accepted``.
 
     Order: required fields / domains, then duplicate key (already stored or
-    repeated in the batch), then each foreign key.
+    repeated in the batch), then each foreign key. A NULL key is refused by the
+    entity's rules. Every lookup is a join against distinct keys in parts, so a
+    key repeated in a third of the batch, or a parent of a third of it, stays spread.
     """
     tagged = tag_errors(batch, rules)
     reason = _first_error()
     if key is not None:
-        stored = present_keys(existing, key, batch, alias="_stored_key")
-        tagged = tagged.join(stored, tagged[key] == stored["_stored_key"], "left")
-        # Keys repeated inside the batch: a count per key (partial aggregation
-        # collapses a hot key map-side), joined back on the key.
+        tagged = flagged(tagged, present_keys(existing, key, batch), key, "_stored")
         repeats = (batch.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-                   .where(F.col("_n") > 1).select(F.col(key).alias("_rep_key")))
-        tagged = (tagged.join(repeats, tagged[key] == repeats["_rep_key"], "left")
-                  .withColumn("_dup_batch", F.col("_rep_key").isNotNull()))
+                   .where(F.col("_n") > 1).select(key))
+        tagged = flagged(tagged, repeats, key, "_dup_batch")
         reason = F.coalesce(reason,
-                            F.when(F.col("_stored_key").isNotNull(), F.lit(f"duplicate {key}")),
+                            F.when(F.col("_stored"), F.lit(f"duplicate {key}")),
                             F.when(F.col("_dup_batch"), F.lit(f"repeated {key}")))
     for i, (col, parent, parent_key) in enumerate(fks):
         flag = f"_fk{i}"
-        p = present_keys(parent, parent_key, batch, probe_key=col, alias=flag)
-        tagged = tagged.join(p, tagged[col] == p[flag], "left")
-        reason = F.coalesce(reason, F.when(F.col(col).isNotNull() & F.col(flag).isNull(),
-                                           F.lit(f"unknown {col}")))
+        p = present_keys(parent, parent_key, batch, probe_key=col, alias=col)
+        tagged = flagged(tagged, p, col, flag)
+        reason = F.coalesce(reason, F.when(F.col(col).isNotNull() & ~F.col(flag), F.lit(f"unknown {col}")))
     return tagged.withColumn(OUTCOME, F.coalesce(reason, F.lit("accepted")))
 
 
+@dataclass
+class Append:
+    checked: DataFrame   # every row of the batch and its Outcome
+    accepted: DataFrame  # the rows to store
+    refused: DataFrame   # the others, with Outcome
+    snapshot: DataFrame  # stored rows and accepted rows
+
+
+def appended(existing: DataFrame, checked: DataFrame) -> Append:
+    """What a checked batch makes of a stored table. ``checked`` is stored first by the
+    caller when several of the frames are used, as each is a filter of it."""
+    accepted = checked.where(F.col(OUTCOME) == "accepted").select(*existing.columns)
+    return Append(checked, accepted, checked.where(F.col(OUTCOME) != "accepted"), existing.unionByName(accepted))
+
+
 def append_customers(existing: DataFrame, batch: DataFrame, as_of: DateLike) -> DataFrame:
     """S2 addCustomer: default RegistrationDate = as_of; reject missing fields,
-    bad CustomerType and ids already stored or repeated in the batch."""
+    bad CustomerType and ids already stored or repeated in the batch.
+
+    A row without a CustomerID gets one from a hash of its content, so the same
+    sign-up sent again (in this batch or a later one) is refused, not stored twice.
+    """
     b = batch
-    if "RegistrationDate" not in b.columns:
-        b = b.withColumn("RegistrationDate", F.lit(None).cast("date"))
-    b = b.withColumn("RegistrationDate", F.coalesce("RegistrationDate", F.lit(to_date(as_of))))
-    for c in ("Email", "BillingAddress"):
+    for c, kind in (("CustomerID", "string"), ("RegistrationDate", "date"), ("Email", "string"), ("BillingAddress", "string")):
         if c not in b.columns:
-            b = b.withColumn(c, F.lit(None).cast("string"))
+            b = b.withColumn(c, F.lit(None).cast(kind))
+    b = b.withColumn("RegistrationDate", F.coalesce("RegistrationDate", F.lit(to_date(as_of))))
+    said = ("CustomerName", "CustomerType", "Email", "Phone", "ServiceAddress", "BillingAddress")
+    content = F.concat_ws("\x1f", *[F.coalesce(F.col(c), F.lit("")) for c in said])
+    minted = F.concat(F.lit("CUST-X"), F.sha2(content, 256).substr(1, 20))
+    b = b.withColumn("CustomerID", F.coalesce(blank_to_null("CustomerID"), minted))
     b = b.select(*[f.name for f in CUSTOMER.fields])
     checked = _check_batch(b, customer_rules(), "CustomerID", existing, [])
     return checked.select(*[f.name for f in CUSTOMER.fields], OUTCOME)
@@ -100,58 +119,53 @@ def append_tariffs(existing: DataFrame, batch: DataFrame, utilities: DataFrame)
     return checked.select(*[f.name for f in TARIFF.fields], OUTCOME)
 
 
-READING_KEY = ("MeterID", "ReadingDate", "ReadingValue", "UserID")
-
+def append_readings(batch: DataFrame, meters: DataFrame, after_id: int = 0) -> DataFrame:
+    """S2 submitReading for a batch: every submission is kept, equal ones too.
 
-def append_readings(existing: DataFrame, batch: DataFrame, meters: DataFrame) -> DataFrame:
-    """S2 submitReading for a batch.
-
-    The database assigns ReadingID; here new ids continue after the stored
-    maximum in the order of the natural key (meter, date, value, officer),
-    computed with the distributed rank. Identical rows of one batch collapse to
-    one reading, and a reading already stored is refused as a duplicate.
+    Accepted rows get ReadingID ``after_id`` + 1, + 2, ... in the order of their
+    content (bigint, unique, the same for the same batch); refused rows have none. The
+    caller gives ``after_id`` (the highest id handed out so far, or a range of
+    its own per batch), so no history is scanned. The checked batch is frozen once:
+    accepted and refused rows are two filters of it.
     """
     b = batch.select(
         "MeterID", "UserID", F.col("ReadingValue").cast(MONEY).alias("ReadingValue"),
         F.col("ReadingDate").cast("date").alias("ReadingDate"),
         F.nullif(F.col("Notes"), F.lit("")).alias("Notes") if "Notes" in batch.columns
         else F.lit(None).cast("string").alias("Notes"))
-    checked = _check_batch(b, reading_rules(), None, existing, [("MeterID", meters, "MeterID")])
-    # Three scalars come back to the driver in one job: the batch's date span
-    # (only stored readings inside it can be duplicates, and the range reaches the
-    # scan as a filter) and the highest stored id (new ids continue after it).
-    span = b.agg(F.min("ReadingDate").alias("_lo"), F.max("ReadingDate").alias("_hi"),
-                 F.lit(None).cast("bigint").alias("_top"))
-    top = existing.agg(F.lit(None).cast("date").alias("_lo"), F.lit(None).cast("date").alias("_hi"),
-                       F.max("ReadingID").cast("bigint").alias("_top"))
-    lo, hi, top_id = span.unionByName(top).agg(F.min("_lo"), F.max("_hi"), F.max("_top")).first()
-    near = existing.where(F.col("ReadingDate").between(F.lit(lo), F.lit(hi))) if lo else existing.limit(0)
-    probe = b.select(*READING_KEY).distinct()
-    stored = (near.select(*READING_KEY).join(probe, list(READING_KEY), "left_semi").distinct()
-              .withColumn("_stored", F.lit(True)))
-    checked = checked.join(stored, list(READING_KEY), "left").withColumn(
-        OUTCOME, F.when((F.col(OUTCOME) == "accepted") & F.col("_stored").isNotNull(),
-                        F.lit("duplicate reading")).otherwise(F.col(OUTCOME)))
-    natural = F.concat_ws("|", *[F.col(c).cast("string") for c in READING_KEY])
-    # Identical resubmissions (at-least-once delivery) collapse to one reading.
-    accepted = (checked.where(F.col(OUTCOME) == "accepted")
-                .groupBy(*READING_KEY).agg(F.min("Notes").alias("Notes"), F.first(OUTCOME).alias(OUTCOME))
-                .withColumn("_nk", natural))
-    base = top_id or 0
-    ranked = global_rank(accepted, "_nk", "_r", descending=False)
-    with_id = ranked.withColumn("ReadingID", (F.lit(int(base)) + F.col("_r")).cast("int"))
-    rejected = checked.where(F.col(OUTCOME) != "accepted").withColumn("ReadingID", F.lit(None).cast("int"))
+    known = meters.select("MeterID").distinct()
+    tagged = flagged(tag_errors(b, reading_rules()), known, "MeterID", "_known")
+    reason = F.coalesce(_first_error(), F.when(~F.col("_known"), F.lit("unknown MeterID")), F.lit("accepted"))
+    order = ["MeterID", "ReadingDate", "ReadingValue", "UserID", "Notes"]
+    checked = freeze(tagged.select(*order, reason.alias(OUTCOME)))
+    ids = numbered(checked.where(F.col(OUTCOME) == "accepted").select(*order), "_n")
+    accepted = ids.select((F.lit(after_id).cast("bigint") + F.col("_n")).alias("ReadingID"), *order,
+                          F.lit("accepted").alias(OUTCOME))
+    refused = checked.where(F.col(OUTCOME) != "accepted").withColumn("ReadingID", F.lit(None).cast("bigint"))
     cols = [f.name for f in METER_READING.fields] + [OUTCOME]
-    return with_id.select(*cols).unionByName(rejected.select(*cols))
+    return accepted.select(*cols).unionByName(refused.select(*cols))
 
 
 # ------------------------------------------------------------------------- M1
+def _latest(updates: DataFrame, key: str, columns: Sequence[str], seq: str) -> DataFrame:
+    """One update per key: the highest ``seq`` (NULL lowest), ties to the largest values."""
+    u = F.struct(*columns)
+    return (updates.where(F.col(key).isNotNull()).groupBy(key)
+            .agg(F.max(F.struct(F.coalesce(F.col(seq).cast("bigint"), F.lit(-(2**63))).alias("_s"), u.alias("_u"))).alias("_m"))
+            .select(key, F.col("_m._u").alias("_u")))
+
+
 def apply_updates(existing: DataFrame, updates: DataFrame, key: str, columns: Sequence[str],
-                  seq: str = "seq") -> DataFrame:
+                  seq: str = "seq", rules: Mapping[str, Column] | None = None) -> DataFrame:
     """M1: overwrite ``columns`` for matching keys with the latest update (highest
-    ``seq``); other columns and unmatched rows are unchanged. Adds ``Updated``."""
+    ``seq``); other columns and unmatched rows are unchanged. Adds ``Updated``.
+
+    Updates that break one of ``rules`` are not applied (see ``update_outcomes``).
+    """
     cols = list(columns)
-    latest = updates.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(seq)).alias("_u"))
+    if rules:
+        updates = tag_errors(updates, rules).where(F.size(ERRORS) == 0)
+    latest = _latest(updates, key, cols, seq)
     j = existing.join(latest, key, "left")
     hit = F.col("_u").isNotNull()
     out = [F.col(key)] + [
@@ -160,6 +174,14 @@ def apply_updates(existing: DataFrame, updates: DataFrame, key: str, columns: Se
     return j.select(*out, hit.alias("Updated"))
 
 
+def update_outcomes(existing: DataFrame, updates: DataFrame, key: str, rules: Mapping[str, Column]) -> DataFrame:
+    """M1: one row per update with its Outcome: the first rule it breaks (a missing key
+    included), 'not found', or 'updated' (a later update of the key may still win)."""
+    checked = flagged(tag_errors(updates, {f"missing {key}": missing(key), **rules}), present_keys(existing, key, updates), key, "_stored")
+    outcome = F.coalesce(_first_error(), F.when(~F.col("_stored"), F.lit("not found")), F.lit("updated"))
+    return checked.withColumn(OUTCOME, outcome).select(*updates.columns, OUTCOME)
+
+
 # ---------------------------------------------------------------------- M2-M4
 @dataclass
 class Cascade:
@@ -172,13 +194,12 @@ class Cascade:
 
 
 def _audit(parts: Sequence[tuple[str, DataFrame, DataFrame, str]]) -> DataFrame:
-    """Deleted / Remaining per entity. Each table is read once: a left join with its
-    (distinct) doomed keys and one aggregate counting all rows and matched rows."""
+    """Deleted / Remaining per entity. Each table is read once: flagged by its doomed
+    keys (in parts, so a hot key stays spread) and counted in one aggregate."""
     rows = []
     for name, table, gone, key in parts:
-        g = gone.select(F.col(key).alias("_gk")).distinct().withColumn("_gone", F.lit(1))
-        j = table.select(key).join(g, F.col(key) == F.col("_gk"), "left")
-        rows.append(j.agg(F.count(F.lit(1)).alias("_all"), F.count("_gone").alias("_del")).select(
+        j = flagged(table.select(key), gone.select(key).distinct(), key, "_gone")
+        rows.append(j.agg(F.count(F.lit(1)).alias("_all"), F.count_if("_gone").alias("_del")).select(
             F.lit(name).alias("Entity"), F.col("_del").cast("bigint").alias("Deleted"),
             (F.col("_all") - F.col("_del")).cast("bigint").alias("Remaining")))
     out = rows[0]
@@ -187,16 +208,24 @@ def _audit(parts: Sequence[tuple[str, DataFrame, DataFrame, str]]) -> DataFrame:
     return out
 
 
+def delete_outcomes(existing: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """M2/M3: for each distinct key asked for, 'deleted' or 'not found'."""
+    k = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    stored = present_keys(existing, key, k).withColumn("_stored", F.lit(True))
+    return k.join(stored, key, "left").select(
+        key, F.when(F.col("_stored").isNotNull(), F.lit("deleted")).otherwise(F.lit("not found")).alias(OUTCOME))
+
+
 def delete_customers(t: Tables, keys: DataFrame) -> Cascade:
     """M2: delete customers and, first, their payments, bills, readings and meters.
     Bills are chosen by CustomerID."""
-    k = keys.select("CustomerID").distinct()
-    bills_gone = t.bill.join(k, "CustomerID", "left_semi").select("BillID")
-    meters_gone = t.meter.join(k, "CustomerID", "left_semi").select("MeterID")
-    payment = t.payment.join(bills_gone, "BillID", "left_anti")
-    bill = t.bill.join(k, "CustomerID", "left_anti")
-    reading = t.meter_reading.join(meters_gone, "MeterID", "left_anti")
-    meter = t.meter.join(k, "CustomerID", "left_anti")
+    k = keys.select("CustomerID").where(F.col("CustomerID").isNotNull()).distinct()
+    bills_gone = key_join(t.bill.select("BillID", "CustomerID"), k, "CustomerID").select("BillID").distinct()
+    meters_gone = key_join(t.meter.select("MeterID", "CustomerID"), k, "CustomerID").select("MeterID").distinct()
+    payment = key_join(t.payment, bills_gone, "BillID", "left_anti")
+    bill = key_join(t.bill, k, "CustomerID", "left_anti")
+    reading = key_join(t.meter_reading, meters_gone, "MeterID", "left_anti")
+    meter = key_join(t.meter, k, "CustomerID", "left_anti")
     customer = t.customer.join(k, "CustomerID", "left_anti")
     audit = _audit([("Payment", t.payment, bills_gone, "BillID"), ("Bill", t.bill, k, "CustomerID"),
                     ("Meter_Reading", t.meter_reading, meters_gone, "MeterID"),
@@ -207,12 +236,12 @@ def delete_customers(t: Tables, keys: DataFrame) -> Cascade:
 def delete_meters(t: Tables, keys: DataFrame) -> Cascade:
     """M3: delete meters with their readings, the bills of those readings (chosen
     through ReadingID, so a bill without a reading survives) and their payments."""
-    k = keys.select("MeterID").distinct()
-    readings_gone = t.meter_reading.join(k, "MeterID", "left_semi").select("ReadingID")
-    bills_gone = t.bill.join(readings_gone, "ReadingID", "left_semi").select("BillID")
-    payment = t.payment.join(bills_gone, "BillID", "left_anti")
+    k = keys.select("MeterID").where(F.col("MeterID").isNotNull()).distinct()
+    readings_gone = key_join(t.meter_reading.select("ReadingID", "MeterID"), k, "MeterID").select("ReadingID").distinct()
+    bills_gone = key_join(t.bill.select("BillID", "ReadingID"), readings_gone, "ReadingID").select("BillID").distinct()
+    payment = key_join(t.payment, bills_gone, "BillID", "left_anti")
     bill = t.bill.join(bills_gone, "BillID", "left_anti")
-    reading = t.meter_reading.join(k, "MeterID", "left_anti")
+    reading = key_join(t.meter_reading, k, "MeterID", "left_anti")
     meter = t.meter.join(k, "MeterID", "left_anti")
     audit = _audit([("Payment", t.payment, bills_gone, "BillID"), ("Bill", t.bill, bills_gone, "BillID"),
                     ("Meter_Reading", t.meter_reading, k, "MeterID"), ("Meter", t.meter, k, "MeterID")])

@@ -12,9 +12,9 @@ repository. Here every reading is rated at once:
 * B3 ``slab_rating`` (our definition of the absent function): incremental blocks,
   sum over the utility's tariffs of rate x clamp(consumption - MinUnits, 0,
   MaxUnits - MinUnits) plus the sum of fixed charges; MaxUnits NULL = open ended.
-  The tariff table is bounded-checked, folded into one array per utility,
-  broadcast, and evaluated with the ``aggregate`` higher-order function, so a
-  reading never fans out into one row per slab and no shuffle is needed.
+  A utility's tariffs are folded into one array and evaluated with the
+  ``aggregate`` higher-order function, so a reading never fans out into one row
+  per slab. The tariff table may have any size; the planner picks the join.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import Tables
-from .common import DIMENSION_ROW_LIMIT
+from .common import key_join
 from .windows import first_by_order, lag_default
 
 ELECTRICITY = "UTIL-01"
@@ -38,9 +38,15 @@ def reading_deltas(readings: DataFrame) -> DataFrame:
                        "PreviousReadingValue")
 
 
-def reading_consumption(t: Tables, readings: DataFrame | None = None) -> DataFrame:
-    """B1: per reading its current/previous value, consumption and owner."""
-    r = t.meter_reading if readings is None else readings
+def reading_consumption(t: Tables, meters: DataFrame | None = None) -> DataFrame:
+    """B1: per reading its current/previous value, consumption and owner.
+
+    The previous value comes from the meter's whole history; ``meters`` (MeterID)
+    limits the result to some meters, never a meter's readings.
+    """
+    r = t.meter_reading
+    if meters is not None:
+        r = key_join(r, meters.select("MeterID").where(F.col("MeterID").isNotNull()).distinct(), "MeterID")
     lagged = reading_deltas(r)
     m = t.meter.select("MeterID", "CustomerID", "UtilityID")
     cur, prev = F.col("ReadingValue"), F.col("PreviousReadingValue")
@@ -67,13 +73,9 @@ def flat_rating(t: Tables, consumption: DataFrame | None = None) -> DataFrame:
 
 
 def _slab_tables(tariff: DataFrame) -> DataFrame:
-    # The check bounds what is folded per utility below.
-    n = tariff.limit(DIMENSION_ROW_LIMIT + 1).count()
-    if n > DIMENSION_ROW_LIMIT:
-        raise ValueError(f"tariff table has more than {DIMENSION_ROW_LIMIT} rows; not a dimension")
-    slabs = tariff.groupBy("UtilityID").agg(
+    # One row per utility with its tariffs; how it is joined is the planner's choice by size.
+    return tariff.groupBy("UtilityID").agg(
         F.collect_list(F.struct("Rate", "MinUnits", "MaxUnits", "FixedCharge")).alias("Slabs"))
-    return F.broadcast(slabs)
 
 
 def slab_amount(consumption: Column, slabs: Column) -> Column:
@@ -111,3 +113,20 @@ def rate_readings(t: Tables, consumption: DataFrame) -> DataFrame:
                      F.when(F.col("Slabs").isNotNull(), slab_amount(F.col("Consumption"), F.col("Slabs"))))
               .otherwise((F.col("Consumption") * F.col("BaseRate")).cast(AMOUNT)))
     return j.withColumn("CalculatedAmountDue", amount).drop("Slabs", "BaseRate")
+
+
+def reading_details(t: Tables, keys: DataFrame) -> DataFrame:
+    """Details of a set of readings, billed or not: one row per distinct key (ReadingID).
+
+    Current and previous value (from the meter's whole history), consumption,
+    owner, base tariff and rated amount. ``Found`` is false for an id that is not
+    stored (all else NULL). NULL keys are left out.
+    """
+    k = keys.select("ReadingID").where(F.col("ReadingID").isNotNull()).distinct()
+    asked = t.meter_reading.select("ReadingID", "MeterID").join(k, "ReadingID", "left_semi")
+    cons = reading_consumption(t, asked).join(k, "ReadingID", "left_semi")
+    c = t.customer.select("CustomerID", "CustomerName")
+    rated = rate_readings(t, cons).join(c, "CustomerID", "left").select(
+        "ReadingID", F.lit(True).alias("Found"), "MeterID", "CustomerID", "CustomerName", "UtilityID", "ReadingDate",
+        "CurrentReadingValue", "PreviousReadingValue", "Consumption", "BaseTariffID", "CalculatedAmountDue")
+    return k.join(rated, "ReadingID", "left").withColumn("Found", F.coalesce("Found", F.lit(False)))

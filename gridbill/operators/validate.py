@@ -54,7 +54,9 @@ def customer_rules() -> dict[str, Column]:
 
 
 def payment_rules() -> dict[str, Column]:
-    return {**required("BillID", "PaymentAmount", "PaymentMethod"),
+    # an amount of 0 counts as missing, as in the reference's form check
+    return {**required("BillID"), "missing PaymentAmount": missing("PaymentAmount") | (F.col("PaymentAmount") == 0),
+            **required("PaymentMethod"),
             "bad PaymentMethod": outside("PaymentMethod", PAYMENT_METHODS)}
 
 

@@ -1,16 +1,18 @@
 """Window operators that stay distributed when one key holds a large share of rows.
 
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task and an
-unpartitioned ``Window.orderBy`` sends the whole table to one task. The helpers
-here instead range-partition on ``(key, order...)`` -- which splits a hot key
-over many tasks -- freeze the partition layout with a reliable checkpoint, run
-the window per ``(segment, key)`` and stitch the segment borders with a carry
-table that has at most one row per segment (so its broadcast size is bounded by
-the number of segments, at most ``spark.sql.shuffle.partitions``).
+unpartitioned ``Window.orderBy`` sends the whole table to one task. ``running_sum``
+and ``lag_default`` cut a key into buckets of its order column and carry one row per
+(key, bucket) across the borders. ``global_rank`` and ``numbered`` collapse equal rows,
+range-partition the distinct ones, freeze that layout with a reliable checkpoint
+and stitch the segments with a table of at most one row per segment (so its
+broadcast size is bounded by the number of segments, at most
+``spark.sql.shuffle.partitions``).
 
 * ``running_sum``   -- SUM(v) OVER (PARTITION BY k ORDER BY o ROWS UNBOUNDED PRECEDING)
 * ``lag_default``   -- LAG(v, 1, default) OVER (PARTITION BY k ORDER BY o)  (W2)
 * ``global_rank``   -- RANK() OVER ([PARTITION BY p] ORDER BY v DESC)         (W1)
+* ``numbered``      -- ROW_NUMBER() OVER (ORDER BY all columns)
 * ``first_by_order``-- TOP 1 ... ORDER BY per group, as ``min_by``            (W3)
 """
 
@@ -20,10 +22,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
 SEG = "_seg"
+# Width of a bucket of a numeric order column, and rows that one task spreads out at a time.
+BUCKET, CHUNK = 1 << 16, 1 << 16
 
 
 def freeze(df: DataFrame) -> DataFrame:
@@ -51,55 +56,64 @@ def _key_match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column
     return cond
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                out: str, segments: int | None = None) -> DataFrame:
-    """Cumulative sum of ``value`` per key in ``order`` (rows frame, current row included)."""
+def _bucket(df: DataFrame, column: str) -> Column:
+    """A coarse, order-preserving piece of the first order column: a month, an hour or a run of whole numbers."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DateType):
+        return F.trunc(column, "month")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_trunc("hour", column)
+    if isinstance(kind, T.NumericType):
+        return F.floor(F.col(column) / F.lit(BUCKET))
+    raise TypeError(f"no buckets for order column {column} of type {kind.simpleString()}")
+
+
+def _carried(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``local`` left-joined with one carry row per (key, bucket); null-safe, so NULL keys and buckets meet too."""
+    l, c = local.alias("l"), carry.alias("c")
+    cond = F.col(f"l.{SEG}").eqNullSafe(F.col(f"c.{SEG}"))
+    for k in keys:
+        cond = cond & F.col(f"l.{k}").eqNullSafe(F.col(f"c.{k}"))
+    return l.join(c, cond, "left")
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Cumulative sum of ``value`` per key in ``order`` (rows frame, current row included).
+
+    The window runs per (key, bucket of the first order column), so a hot key spreads
+    over its buckets; the totals of a key's earlier buckets (one row per key and bucket
+    after partial aggregation) are added. Nothing is sampled or checkpointed.
+    """
     keys, order = list(keys), list(order)
-    seg = _range_segmented(df, [F.col(c) for c in keys + order], segments)
-    w = (Window.partitionBy(SEG, *keys).orderBy(*order)
+    cut = df.withColumn(SEG, _bucket(df, order[0]))
+    w = (Window.partitionBy(*keys, SEG).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = seg.withColumn("_local", F.sum(value).over(w))
-
-    # Totals per (segment, key): O(keys + segments) rows after map-side combine.
-    tot = seg.groupBy(SEG, *keys).agg(F.sum(value).alias("_tot"))
-    wc = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
-    # Only the first key of a segment can continue from earlier segments, so at
-    # most one carry row per segment survives the filter.
-    carry = (tot.withColumn("_carry", F.sum("_tot").over(wc))
-             .where(F.col("_carry").isNotNull())
-             .select(SEG, *keys, "_carry"))
-    c = F.broadcast(carry).alias("c")
-    l = local.alias("l")
-    joined = l.join(c, _key_match(l, c, keys), "left")
-    # SUM ignores NULLs: a segment that starts with NULL values of a continuing
-    # key has a NULL local sum but the running total is the carry.
+    local = cut.withColumn("_local", F.sum(value).over(w))
+    earlier = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (cut.groupBy(*keys, SEG).agg(F.sum(value).alias("_tot"))
+             .select(*keys, SEG, F.sum("_tot").over(earlier).alias("_carry")))
+    joined = _carried(local, carry, keys)
+    # SUM ignores NULLs: a bucket that starts with NULL values has a NULL local sum
+    # but the running total is the carry.
     local_sum, carry_sum = F.col("l._local"), F.col("c._carry")
-    total = (F.when(local_sum.isNull(), carry_sum)
-             .otherwise(local_sum + F.coalesce(carry_sum, F.lit(0))))
-    cols = [F.col(f"l.{name}") for name in df.columns]
-    return joined.select(*cols, total.alias(out))
+    total = F.when(local_sum.isNull(), carry_sum).otherwise(local_sum + F.coalesce(carry_sum, F.lit(0)))
+    return joined.select(*[F.col(f"l.{name}") for name in df.columns], total.alias(out))
 
 
-def lag_default(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                default, out: str, segments: int | None = None) -> DataFrame:
+def lag_default(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, default, out: str) -> DataFrame:
     """LAG(value, 1, default): ``default`` only when there is no previous row; a NULL
-    previous value stays NULL."""
+    previous value stays NULL. Cut into buckets like ``running_sum``: the first row of a
+    bucket takes the last value of the key's previous bucket."""
     keys, order = list(keys), list(order)
-    seg = _range_segmented(df, [F.col(c) for c in keys + order], segments)
-    w = Window.partitionBy(SEG, *keys).orderBy(*order)
-    local = (seg.withColumn("_prev", F.lag(value, 1).over(w))
+    cut = df.withColumn(SEG, _bucket(df, order[0]))
+    w = Window.partitionBy(*keys, SEG).orderBy(*order)
+    local = (cut.withColumn("_prev", F.lag(value, 1).over(w))
              .withColumn("_first", F.row_number().over(w) == 1))
-
-    last = seg.groupBy(SEG, *keys).agg(
-        F.max_by(F.col(value), F.struct(*order)).alias("_last"))
-    wc = Window.partitionBy(*keys).orderBy(SEG)
-    carry = (last.withColumn("_carry", F.lag("_last", 1).over(wc))
-             .withColumn("_has", F.lag(F.lit(True), 1).over(wc))
-             .where(F.col("_has").isNotNull())
-             .select(SEG, *keys, "_carry", "_has"))
-    c = F.broadcast(carry).alias("c")
-    l = local.alias("l")
-    joined = l.join(c, _key_match(l, c, keys), "left")
+    last = cut.groupBy(*keys, SEG).agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy(SEG)
+    carry = last.select(*keys, SEG, F.lag("_last", 1).over(before).alias("_carry"),
+                        F.lag(F.lit(True), 1).over(before).alias("_has"))
+    joined = _carried(local, carry, keys)
     prev = (F.when(~F.col("l._first"), F.col("l._prev"))
             .when(F.col("c._has").isNotNull(), F.col("c._carry"))
             .otherwise(F.lit(default)))
@@ -107,6 +121,29 @@ def lag_default(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return joined.select(*cols, prev.cast(df.schema[value].dataType).alias(out))
 
 
+def numbered(df: DataFrame, out: str, segments: int | None = None) -> DataFrame:
+    """Rows numbered 1..n without gaps or repeats, in the order of all their columns.
+
+    Equal rows are collapsed to one with their count, the distinct rows are
+    range-partitioned and numbered by running counts (like ``global_rank``), and each is
+    spread out again in chunks, so that neither the table nor a row repeated many
+    times passes through one task. Equal input gives equal numbers.
+    """
+    cols = df.columns
+    counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    seg = _range_segmented(counts, [F.col(c).asc_nulls_first() for c in cols], segments)
+    earlier = Window.orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)  # one row per segment
+    offsets = seg.groupBy(SEG).agg(F.sum("_n").alias("_tot")).select(
+        SEG, F.coalesce(F.sum("_tot").over(earlier), F.lit(0)).alias("_off"))
+    within = Window.partitionBy(SEG).orderBy(*[F.col(c).asc_nulls_first() for c in cols]).rowsBetween(Window.unboundedPreceding, -1)
+    first = (seg.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+             .join(F.broadcast(offsets), SEG).withColumn("_start", F.col("_off") + F.col("_before")))
+    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(CHUNK).cast("bigint")))
+    chunks = first.withColumn("_at", chunk).hint("rebalance")
+    one = F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + CHUNK, F.col("_n")) - 1))
+    return chunks.withColumn("_i", one).select(*cols, (F.col("_start") + F.col("_i") + 1).cast("bigint").alias(out))
+
+
 def global_rank(df: DataFrame, value: str, out: str = "Rank", descending: bool = True,
                 segments: int | None = None, freeze_input: bool = True,
                 partition_by: Sequence[str] = ()) -> DataFrame:

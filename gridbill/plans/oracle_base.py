@@ -45,7 +45,7 @@ meter AS (
   FROM customer
 ),
 meter_reading AS (
-  SELECT CAST(event_id AS INTEGER) AS ReadingID,
+  SELECT CAST(event_id AS BIGINT) AS ReadingID,
          'MTR-' || CAST(user_id AS VARCHAR) AS MeterID,
          'U-00' || CAST(event_id % 5 + 1 AS VARCHAR) AS UserID,
          CAST(SUM(CAST(value AS DECIMAL(10,2))) OVER (
@@ -62,7 +62,7 @@ bill AS (
   SELECT 'BILL-' || CAST(o.o_orderkey AS VARCHAR) AS BillID,
          'CUST-' || CAST(o.o_custkey AS VARCHAR) AS CustomerID,
          'MTR-' || CAST(o.o_custkey AS VARCHAR) AS MeterID,
-         CAST(o.o_orderkey * 2 AS INTEGER) AS ReadingID,
+         CAST(o.o_orderkey * 2 AS BIGINT) AS ReadingID,
          CASE o.o_custkey % 3 WHEN 0 THEN 'ELEC-01' WHEN 1 THEN 'WATR-01' ELSE 'GAS-01' END AS TariffID,
          CAST(o.o_orderdate AS DATE) AS BillDate,
          CAST(CAST(o.o_orderdate AS DATE) + INTERVAL 14 DAY AS DATE) AS DueDate,

@@ -15,7 +15,6 @@ from ..operators import maintain as M
 from ..operators import validate as V
 from ..operators import windows as W
 from ..operators import rating as RT
-from ..schemas import METER_READING, PAYMENT
 from ..streaming import ingest as ST
 from ..sources.tables import Tables
 from . import reports as RP
@@ -161,13 +160,13 @@ def q_dashboard_stats(t: Tables):
     return A.dashboard_stats(t, AS_OF)
 
 
+# Open bills are summed per customer id first, then named; a customer without any has no row to name.
 _DEFAULTERS_SQL = """
-SELECT c.CustomerID, c.CustomerName, c.Phone, c.CustomerType,
-       COUNT(b.BillID) AS UnpaidBills, CAST(SUM(b.AmountDue) AS DECIMAL(18,2)) AS TotalDue
-FROM cust c JOIN bill b ON c.CustomerID = b.CustomerID
-WHERE (b.Status = 'Unpaid' OR b.Status = 'Overdue') {extra}
-GROUP BY c.CustomerID, c.CustomerName, c.Phone, c.CustomerType
-HAVING COUNT(b.BillID) > 0
+SELECT CustomerID, CustomerName, Phone, CustomerType, open_bills.n AS UnpaidBills,
+       CAST(open_bills.due AS DECIMAL(18,2)) AS TotalDue
+FROM (SELECT CustomerID, COUNT(*) AS n, SUM(AmountDue) AS due FROM bill b
+      WHERE Status IN ('Overdue', 'Unpaid') {extra} GROUP BY CustomerID) open_bills
+JOIN cust USING (CustomerID)
 """
 
 
@@ -193,46 +192,52 @@ def q_defaulters_total(t: Tables):
     return A.defaulters_total(A.defaulters(t, RANGE_START, RANGE_END, ordered=False))
 
 
+# Bills are summed per (customer, meter), the sums named and summed again; a rank is one more than
+# the rows that are larger.
 _CONSUMPTION_SQL = """
-, cd AS (
-  SELECT c.CustomerID, c.CustomerName, u.UtilityName, u.Unit, SUM(b.Consumption) AS TotalConsumption
-  FROM bill b JOIN cust c ON b.CustomerID = c.CustomerID
-  JOIN meter m ON b.MeterID = m.MeterID JOIN utility_type u ON m.UtilityID = u.UtilityID
-  WHERE {where}
-  GROUP BY c.CustomerID, c.CustomerName, u.UtilityName, u.Unit
+, per_meter AS (
+  SELECT CustomerID, MeterID, SUM(Consumption) AS used FROM bill b WHERE {where} GROUP BY CustomerID, MeterID
+), used AS (
+  SELECT p.CustomerID, m.UtilityID, SUM(p.used) AS total
+  FROM per_meter p JOIN meter m USING (MeterID) GROUP BY p.CustomerID, m.UtilityID
+), positive AS (
+  SELECT used.CustomerID, CustomerName, UtilityName, Unit, total
+  FROM used JOIN utility_type USING (UtilityID) JOIN cust ON cust.CustomerID = used.CustomerID WHERE total > 0
+), places AS (
+  SELECT {part} AS part, total, COUNT(*) AS n FROM positive GROUP BY ALL
+), place AS (
+  SELECT part, total, 1 + COALESCE(SUM(n) OVER (PARTITION BY part ORDER BY total DESC
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM places
 ), ranked AS (
-  SELECT RANK() OVER (ORDER BY TotalConsumption DESC) AS Rank, CustomerID, CustomerName,
-         UtilityName AS Utility,
-         format('{{:,.0f}}', CAST(round(TotalConsumption, 0) AS DOUBLE)) || ' ' || Unit AS Consumption,
-         CAST(TotalConsumption AS DECIMAL(18,2)) AS TotalConsumption
-  FROM cd WHERE TotalConsumption > 0
+  SELECT CAST(place.place AS BIGINT) AS Rank, CustomerID, CustomerName, UtilityName AS Utility,
+         format('{{:,.0f}}', CAST(round(p.total, 0) AS DOUBLE)) || ' ' || Unit AS Consumption,
+         CAST(p.total AS DECIMAL(18,2)) AS TotalConsumption
+  FROM positive p JOIN place ON place.total = p.total AND place.part = {part}
 )
 """
 _LAST30 = "b.BillDate > DATE '2001-06-15' AND b.BillDate <= DATE '2001-07-15'"
 _IN_RANGE = f"b.BillDate >= DATE '{_R0}' AND b.BillDate < DATE '{_R1_NEXT}'"
 
 
-@register("consumption_by_customer", _CONSUMPTION_SQL.format(where=_LAST30) + "SELECT * FROM ranked")
+@register("consumption_by_customer", _CONSUMPTION_SQL.format(where=_LAST30, part="1") + "SELECT * FROM ranked")
 def q_consumption_by_customer(t: Tables):
     """A3: consumption ranking of bills issued in the 30 days up to 2001-07-15."""
     return A.consumption_last_days(t, AS_OF, 30)
 
 
-@register("usage_between", _CONSUMPTION_SQL.format(where=_IN_RANGE) + "SELECT * FROM ranked")
+@register("usage_between", _CONSUMPTION_SQL.format(where=_IN_RANGE, part="1") + "SELECT * FROM ranked")
 def q_usage_between(t: Tables):
     """Consumption ranking of bills dated in 1998."""
     return A.usage_between(t, RANGE_START, RANGE_END)
 
 
-@register("usage_rank_per_unit", _CONSUMPTION_SQL.format(where=_IN_RANGE).replace(
-    "RANK() OVER (ORDER BY TotalConsumption DESC)",
-    "RANK() OVER (PARTITION BY Unit ORDER BY TotalConsumption DESC)") + "SELECT * FROM ranked")
+@register("usage_rank_per_unit", _CONSUMPTION_SQL.format(where=_IN_RANGE, part="Unit") + "SELECT * FROM ranked")
 def q_usage_rank_per_unit(t: Tables):
     """A3b with T6's per-unit option: one ranking per unit (kWh, m3, unit)."""
     return A.usage_between(t, RANGE_START, RANGE_END, per_unit=True)
 
 
-@register("top_consumers", _CONSUMPTION_SQL.format(where=_IN_RANGE) + """
+@register("top_consumers", _CONSUMPTION_SQL.format(where=_IN_RANGE, part="1") + """
 SELECT Rank, CustomerID, CustomerName || ' (' || Utility || ')' AS Label, TotalConsumption
 FROM ranked ORDER BY Rank, CustomerID, Utility LIMIT 5
 """)
@@ -241,20 +246,19 @@ def q_top_consumers(t: Tables):
     return A.top_consumers(A.consumption_totals(t, TW.day_range("BillDate", RANGE_START, RANGE_END)))
 
 
+# Payments are summed per bill and month, priced by the bill's utility with CASE sums.
 _TRENDS_SQL = """
-, md AS (
-  SELECT u.UtilityName, SUM(p.PaymentAmount) AS Revenue, last_day(p.PaymentDate) AS MonthSortKey,
-         strftime(p.PaymentDate, '%B %Y') AS PaymentMonth
-  FROM payment p JOIN bill b ON p.BillID = b.BillID
-  JOIN meter m ON b.MeterID = m.MeterID JOIN utility_type u ON m.UtilityID = u.UtilityID
-  WHERE p.PaymentDate >= DATE '2001-01-01'
-  GROUP BY u.UtilityName, strftime(p.PaymentDate, '%B %Y'), last_day(p.PaymentDate)
+, per_bill AS (
+  SELECT BillID, date_trunc('month', PaymentDate) AS first_day, SUM(PaymentAmount) AS paid
+  FROM payment WHERE PaymentDate >= TIMESTAMP '2001-01-01 00:00:00' GROUP BY ALL
+), kinds AS (
+  SELECT BillID, UtilityID FROM bill JOIN meter USING (MeterID)
 ), trends AS (
-  SELECT PaymentMonth AS Month,
-         CAST(COALESCE(SUM(Revenue) FILTER (WHERE UtilityName = 'Electricity'), 0) AS DECIMAL(18,2)) AS Electricity,
-         CAST(COALESCE(SUM(Revenue) FILTER (WHERE UtilityName = 'Water'), 0) AS DECIMAL(18,2)) AS Water,
-         CAST(COALESCE(SUM(Revenue) FILTER (WHERE UtilityName = 'Gas'), 0) AS DECIMAL(18,2)) AS Gas
-  FROM md GROUP BY PaymentMonth, MonthSortKey
+  SELECT strftime(first_day, '%B %Y') AS Month,
+         CAST(SUM(CASE UtilityID WHEN 'UTIL-01' THEN paid ELSE 0 END) AS DECIMAL(18,2)) AS Electricity,
+         CAST(SUM(CASE UtilityID WHEN 'UTIL-02' THEN paid ELSE 0 END) AS DECIMAL(18,2)) AS Water,
+         CAST(SUM(CASE UtilityID WHEN 'UTIL-03' THEN paid ELSE 0 END) AS DECIMAL(18,2)) AS Gas
+  FROM per_bill JOIN kinds USING (BillID) GROUP BY first_day
 )
 """
 
@@ -454,17 +458,23 @@ def q_tariff_display(t: Tables):
 
 
 # ------------------------------------------------------------- rating and billing
-_LAG = ("CAST(LAG(r.ReadingValue, 1, 0) OVER (PARTITION BY r.MeterID ORDER BY r.ReadingDate, r.ReadingID)"
-        " AS DECIMAL(10,2))")
-_RC = f"""
-, rc0 AS (
-  SELECT r.ReadingID, r.MeterID, m.CustomerID, m.UtilityID, r.ReadingDate,
-         r.ReadingValue AS CurrentReadingValue, {_LAG} AS PreviousReadingValue
-  FROM meter_reading r LEFT JOIN meter m ON r.MeterID = m.MeterID
-), rc AS (
-  SELECT *, CAST(CurrentReadingValue - PreviousReadingValue AS DECIMAL(12,2)) AS Consumption,
-         (CurrentReadingValue - PreviousReadingValue) < 0 AS IsNegative
-  FROM rc0
+# A reading's previous value: the reading numbered one less on the same meter (0 where there is none,
+# NULL where that reading has no value).
+_STEPS = """
+, numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY MeterID ORDER BY ReadingDate, ReadingID) AS k FROM meter_reading
+), steps AS (
+  SELECT now.ReadingID, now.MeterID, now.ReadingDate, now.ReadingValue,
+         CAST(CASE WHEN now.k = 1 THEN 0 ELSE before.ReadingValue END AS DECIMAL(10,2)) AS PreviousReadingValue
+  FROM numbered now LEFT JOIN numbered before ON before.MeterID = now.MeterID AND before.k = now.k - 1
+)
+"""
+_RC = _STEPS + """
+, rc AS (
+  SELECT ReadingID, s.MeterID, CustomerID, UtilityID, ReadingDate, ReadingValue AS CurrentReadingValue,
+         PreviousReadingValue, CAST(ReadingValue - PreviousReadingValue AS DECIMAL(12,2)) AS Consumption,
+         ReadingValue < PreviousReadingValue AS IsNegative
+  FROM steps s LEFT JOIN meter ON meter.MeterID = s.MeterID
 ), base AS (
   SELECT UtilityID, TariffID AS BaseTariffID, Rate AS BaseRate FROM (
     SELECT *, row_number() OVER (PARTITION BY UtilityID ORDER BY MinUnits NULLS FIRST, TariffID) AS rn
@@ -487,10 +497,7 @@ _RC = f"""
 """
 
 
-@register("reading_deltas", f"""
-SELECT r.ReadingID, r.MeterID, r.ReadingDate, r.ReadingValue, {_LAG} AS PreviousReadingValue
-FROM meter_reading r
-""")
+@register("reading_deltas", _STEPS + "SELECT * FROM steps")
 def q_reading_deltas(t: Tables):
     """Previous reading value of every reading (LAG with default 0)."""
     return RT.reading_deltas(t.meter_reading)
@@ -547,21 +554,107 @@ def q_billing_run_month(t: Tables):
     return B.billing_run_month(t, READ_AS_OF)
 
 
-@register("post_payments", """
-, s AS (
-  SELECT BillID, SUM(PaymentAmount) AS paid FROM payment
-  WHERE NULLIF(BillID, '') IS NOT NULL AND PaymentAmount IS NOT NULL AND PaymentAmount <> 0
-    AND NULLIF(PaymentMethod, '') IS NOT NULL AND BillID IN (SELECT BillID FROM bill)
-  GROUP BY BillID
+# Number of an entity's row, taken from its id, and the batches with faulty rows that the write paths get.
+def _num(c: str):
+    return F.substring_index(F.col(c), "-", -1).cast("bigint")
+
+
+_STORED_UNTIL = "1997-01-01"
+_POST_SQL = f"""
+, old AS (SELECT * FROM payment WHERE PaymentDate < TIMESTAMP '{_STORED_UNTIL} 00:00:00'),
+sent AS (SELECT *, CAST(split_part(BillID, '-', 2) AS BIGINT) % 50 AS k FROM payment
+         WHERE PaymentDate >= TIMESTAMP '{_STORED_UNTIL} 00:00:00'),
+rows0 AS (
+  SELECT CASE WHEN k = 4 THEN NULL ELSE PaymentID END AS PaymentID, CASE WHEN k = 3 THEN 'BILL-none' ELSE BillID END AS BillID,
+         UserID, CASE WHEN k = 2 THEN 0 ELSE PaymentAmount END AS PaymentAmount,
+         CASE WHEN k = 1 THEN 'Barter' ELSE PaymentMethod END AS PaymentMethod FROM sent
+  UNION ALL SELECT PaymentID, BillID, UserID, PaymentAmount, PaymentMethod FROM sent WHERE k = 7
+  UNION ALL SELECT PaymentID, BillID, UserID, PaymentAmount, PaymentMethod FROM old
+            WHERE CAST(split_part(BillID, '-', 2) AS BIGINT) % 50 = 6
+), rows1 AS (
+  SELECT PaymentID, BillID, UserID, PaymentAmount, PaymentMethod FROM rows0 WHERE PaymentID IS NOT NULL
+  UNION ALL
+  SELECT 'PAY-20010715T090000-' || CAST(row_number() OVER (ORDER BY BillID NULLS FIRST, UserID NULLS FIRST,
+           PaymentAmount NULLS FIRST, PaymentMethod NULLS FIRST) AS VARCHAR), BillID, UserID, PaymentAmount, PaymentMethod
+  FROM rows0 WHERE PaymentID IS NULL
+), judged AS (
+  SELECT *, CASE WHEN NULLIF(BillID, '') IS NULL THEN 'missing BillID'
+      WHEN PaymentAmount IS NULL OR PaymentAmount = 0 THEN 'missing PaymentAmount'
+      WHEN NULLIF(PaymentMethod, '') IS NULL THEN 'missing PaymentMethod'
+      WHEN PaymentMethod NOT IN ('Cash', 'Card', 'Online') THEN 'bad PaymentMethod'
+      WHEN BillID NOT IN (SELECT BillID FROM bill) THEN 'unknown bill'
+      WHEN PaymentID IN (SELECT PaymentID FROM old) THEN 'duplicate PaymentID'
+      WHEN COUNT(*) OVER (PARTITION BY PaymentID) > 1 THEN 'repeated PaymentID' END AS Reason FROM rows1
+), news AS (SELECT BillID, SUM(PaymentAmount) AS paid FROM judged WHERE Reason IS NULL GROUP BY BillID
+), olds AS (SELECT BillID, SUM(PaymentAmount) AS paid FROM old GROUP BY BillID
+), due AS (
+  SELECT b.BillID, b.AmountDue, CAST(n.paid + COALESCE(o.paid, 0) AS DECIMAL(18,2)) AS PaidTotal, b.Status
+  FROM bill b JOIN news n ON n.BillID = b.BillID LEFT JOIN olds o ON o.BillID = b.BillID
 )
-SELECT b.BillID, b.AmountDue, CAST(s.paid AS DECIMAL(18,2)) AS PaidTotal,
-       CASE WHEN s.paid >= b.AmountDue THEN 'Paid' ELSE b.Status END AS Status
-FROM bill b JOIN s ON b.BillID = s.BillID
+"""
+
+
+def _posting(t: Tables):
+    """A posting onto the payments before 1997: all later ones as a batch, with faulty rows of every kind."""
+    cut = F.col("PaymentDate") < F.lit(_STORED_UNTIL).cast("timestamp_ntz")
+    old, k = t.payment.where(cut), _num("BillID") % 50
+    cols = ["PaymentID", "BillID", "UserID", "PaymentAmount", "PaymentMethod"]
+    sent = t.payment.where(~cut)
+    rows = sent.select(
+        F.when(k != 4, F.col("PaymentID")).alias("PaymentID"), F.when(k == 3, "BILL-none").otherwise(F.col("BillID")).alias("BillID"),
+        "UserID", F.when(k == 2, 0).otherwise(F.col("PaymentAmount")).cast("decimal(10,2)").alias("PaymentAmount"),
+        F.when(k == 1, "Barter").otherwise(F.col("PaymentMethod")).alias("PaymentMethod"))
+    batch = rows.unionByName(sent.where(k == 7).select(*cols)).unionByName(old.where(k == 6).select(*cols))
+    return B.post_payments(t.replace(payment=old), batch, AS_OF)
+
+
+@register("post_payments", _POST_SQL + """
+SELECT BillID, AmountDue, PaidTotal, CASE WHEN PaidTotal >= AmountDue THEN 'Paid' ELSE Status END AS Status FROM due
 """)
 def q_post_payments(t: Tables):
-    """Replay the whole payment log as one batch onto bills that have no payments yet."""
-    empty = t.spark.createDataFrame([], PAYMENT)
-    return B.post_payments(t.replace(payment=empty), t.payment, AS_OF).settled
+    """The bills that a batch (with refused rows) touches, on top of what they had received."""
+    return _posting(t).settled
+
+
+@register("post_payments_refused", _POST_SQL + """
+SELECT PaymentID, BillID, UserID, CAST(PaymentAmount AS DECIMAL(10,2)) AS PaymentAmount, PaymentMethod, Reason FROM judged WHERE Reason IS NOT NULL
+""")
+def q_post_payments_refused(t: Tables):
+    """The refused rows of the same batch; every reason occurs."""
+    return _posting(t).rejected
+
+
+@register("post_payments_log", _POST_SQL + """
+SELECT PaymentID, BillID, UserID, PaymentAmount, PaymentDate, PaymentMethod FROM old
+UNION ALL
+SELECT PaymentID, BillID, UserID, CAST(PaymentAmount AS DECIMAL(10,2)), TIMESTAMP '2001-07-15 09:00:00', PaymentMethod
+FROM judged WHERE Reason IS NULL
+""")
+def q_post_payments_log(t: Tables):
+    """The payment snapshot after the posting: stored and accepted rows."""
+    return _posting(t).payments
+
+
+@register("post_payments_bills", _POST_SQL + """
+SELECT b.BillID, b.AmountDue, CASE WHEN d.PaidTotal >= b.AmountDue THEN 'Paid' ELSE b.Status END AS Status
+FROM bill b LEFT JOIN due d ON d.BillID = b.BillID
+""")
+def q_post_payments_bills(t: Tables):
+    """The bill snapshot after the posting."""
+    return _posting(t).bills.select("BillID", "AmountDue", "Status")
+
+
+@register("reading_details", _RC + """
+, asked AS (SELECT DISTINCT ReadingID FROM bill WHERE ReadingID IS NOT NULL
+            UNION SELECT -ReadingID FROM meter_reading WHERE ReadingID % 100 = 1)
+SELECT a.ReadingID, r.ReadingID IS NOT NULL AS Found, r.MeterID, r.CustomerID, c.CustomerName, r.UtilityID, r.ReadingDate,
+       r.CurrentReadingValue, r.PreviousReadingValue, r.Consumption, r.BaseTariffID, r.CalculatedAmountDue
+FROM asked a LEFT JOIN rated r ON r.ReadingID = a.ReadingID LEFT JOIN cust c ON c.CustomerID = r.CustomerID
+""")
+def q_reading_details(t: Tables):
+    """Values, owner and rated amount of every reading that a bill names, and of unknown ids."""
+    unknown = t.meter_reading.where(F.col("ReadingID") % 100 == 1).select((-F.col("ReadingID")).alias("ReadingID"))
+    return RT.reading_details(t, t.bill.select("ReadingID").unionByName(unknown))
 
 
 @register("double_billed", """
@@ -580,71 +673,129 @@ _READING_OUTCOME = """CASE
     WHEN b.ReadingDate IS NULL THEN 'missing ReadingDate'
     WHEN NULLIF(b.UserID, '') IS NULL THEN 'missing UserID'
     WHEN b.MeterID NOT IN (SELECT MeterID FROM meter) THEN 'unknown MeterID'
-    WHEN EXISTS (SELECT 1 FROM ex WHERE ex.MeterID = b.MeterID AND ex.ReadingDate = b.ReadingDate
-                 AND ex.ReadingValue = b.ReadingValue AND ex.UserID = b.UserID) THEN 'duplicate reading'
     ELSE 'accepted' END"""
+_READING_IDS = """
+SELECT CAST({after} + row_number() OVER (ORDER BY MeterID NULLS FIRST, ReadingDate NULLS FIRST, ReadingValue NULLS FIRST,
+                                         UserID NULLS FIRST, Notes NULLS FIRST) AS BIGINT) AS ReadingID,
+       MeterID, UserID, ReadingValue, ReadingDate, Notes, Outcome
+FROM chk WHERE Outcome = 'accepted'
+UNION ALL
+SELECT CAST(NULL AS BIGINT), MeterID, UserID, ReadingValue, ReadingDate, Notes, Outcome
+FROM chk WHERE Outcome <> 'accepted'
+"""
 
 
 @register("append_readings", f"""
-, ex AS (SELECT * FROM meter_reading WHERE ReadingDate < DATE '2024-01-15'),
-b AS (SELECT MeterID, UserID, ReadingValue, ReadingDate, NULLIF(Notes, '') AS Notes FROM meter_reading),
-chk AS (SELECT b.*, {_READING_OUTCOME} AS Outcome FROM b),
-acc AS (SELECT MeterID, ReadingDate, ReadingValue, UserID, MIN(Notes) AS Notes
-        FROM chk WHERE Outcome = 'accepted' GROUP BY MeterID, ReadingDate, ReadingValue, UserID)
-SELECT CAST((SELECT COALESCE(MAX(ReadingID), 0) FROM ex)
-            + RANK() OVER (ORDER BY concat_ws('|', MeterID, CAST(ReadingDate AS VARCHAR),
-                                              CAST(ReadingValue AS VARCHAR), UserID)) AS INTEGER) AS ReadingID,
-       MeterID, UserID, ReadingValue, ReadingDate, Notes, 'accepted' AS Outcome
-FROM acc
-UNION ALL
-SELECT CAST(NULL AS INTEGER), MeterID, UserID, ReadingValue, ReadingDate, Notes, Outcome
-FROM chk WHERE Outcome <> 'accepted'
-""")
+, b AS (
+  SELECT CASE ReadingID % 50 WHEN 1 THEN 'MTR-none' WHEN 2 THEN '' ELSE MeterID END AS MeterID,
+         CASE ReadingID % 50 WHEN 3 THEN NULL ELSE UserID END AS UserID,
+         CASE ReadingID % 50 WHEN 4 THEN NULL ELSE ReadingValue END AS ReadingValue,
+         CASE ReadingID % 50 WHEN 5 THEN NULL ELSE ReadingDate END AS ReadingDate, Notes FROM meter_reading
+  UNION ALL SELECT MeterID, UserID, ReadingValue, ReadingDate, Notes FROM meter_reading WHERE ReadingID % 10 = 6
+), chk AS (SELECT b.*, {_READING_OUTCOME} AS Outcome FROM b)
+""" + _READING_IDS.format(after=1000000))
 def q_append_readings(t: Tables):
-    """The whole reading log submitted as one batch onto the readings stored
-    before 2024-01-15 (those come back as duplicates, the rest get new ids)."""
-    stored = t.meter_reading.where(F.col("ReadingDate") < F.lit(READ_AS_OF))
-    return M.append_readings(stored, t.meter_reading.drop("ReadingID"), t.meter)
-
-
-@register("append_customers", """
-SELECT c.*, CASE
-    WHEN NULLIF(c.CustomerName, '') IS NULL THEN 'missing CustomerName'
-    WHEN NULLIF(c.CustomerType, '') IS NULL THEN 'missing CustomerType'
-    WHEN NULLIF(c.Phone, '') IS NULL THEN 'missing Phone'
-    WHEN NULLIF(c.ServiceAddress, '') IS NULL THEN 'missing ServiceAddress'
-    WHEN c.CustomerType NOT IN ('Household', 'Business', 'Government') THEN 'bad CustomerType'
-    WHEN c.CustomerID IN (SELECT CustomerID FROM cust WHERE RegistrationDate < DATE '1998-01-01')
-      THEN 'duplicate CustomerID'
-    WHEN c.CustomerID IN (SELECT CustomerID FROM cust GROUP BY CustomerID HAVING COUNT(*) > 1)
-      THEN 'repeated CustomerID'
-    ELSE 'accepted' END AS Outcome
-FROM cust c
-""")
-def q_append_customers(t: Tables):
-    """All customers as a sign-up batch onto those registered before 1998."""
+    """The whole reading log submitted as one batch with faulty rows of every kind and
+    some readings sent twice (both are kept); ids continue after 1,000,000."""
+    r, k = t.meter_reading, F.col("ReadingID") % 50
+    rows = r.select(
+        F.when(k == 1, "MTR-none").when(k == 2, "").otherwise(F.col("MeterID")).alias("MeterID"),
+        F.when(k != 3, F.col("UserID")).alias("UserID"), F.when(k != 4, F.col("ReadingValue")).alias("ReadingValue"),
+        F.when(k != 5, F.col("ReadingDate")).alias("ReadingDate"), "Notes")
+    batch = rows.unionByName(r.where(F.col("ReadingID") % 10 == 6).drop("ReadingID"))
+    return M.append_readings(batch, t.meter, 1000000)
+
+
+_CUSTOMER_SQL = """
+, sent AS (SELECT *, CAST(split_part(CustomerID, '-', 2) AS BIGINT) % 50 AS k FROM cust),
+rows0 AS (
+  SELECT CASE WHEN k IN (5, 6) THEN NULL ELSE CustomerID END AS CustomerID, CASE WHEN k = 1 THEN '' ELSE CustomerName END AS CustomerName,
+         CASE WHEN k = 2 THEN 'Alien' WHEN k = 3 THEN NULL ELSE CustomerType END AS CustomerType, Email,
+         CASE WHEN k = 4 THEN NULL ELSE Phone END AS Phone, CASE WHEN k = 8 THEN '' ELSE ServiceAddress END AS ServiceAddress,
+         BillingAddress, RegistrationDate FROM sent
+  UNION ALL SELECT CASE WHEN k = 6 THEN NULL ELSE CustomerID END, CustomerName, CustomerType, Email, Phone, ServiceAddress,
+         BillingAddress, RegistrationDate FROM sent WHERE k IN (6, 7)
+), c AS (
+  SELECT COALESCE(CustomerID, 'CUST-X' || substr(sha256(concat_ws(chr(31), COALESCE(CustomerName, ''), COALESCE(CustomerType, ''),
+           COALESCE(Email, ''), COALESCE(Phone, ''), COALESCE(ServiceAddress, ''), COALESCE(BillingAddress, ''))), 1, 20)) AS CustomerID,
+         CustomerName, CustomerType, Email, Phone, ServiceAddress, BillingAddress, RegistrationDate FROM rows0
+), chk AS (
+  SELECT c.*, CASE
+    WHEN NULLIF(CustomerName, '') IS NULL THEN 'missing CustomerName'
+    WHEN NULLIF(CustomerType, '') IS NULL THEN 'missing CustomerType'
+    WHEN NULLIF(Phone, '') IS NULL THEN 'missing Phone'
+    WHEN NULLIF(ServiceAddress, '') IS NULL THEN 'missing ServiceAddress'
+    WHEN CustomerType NOT IN ('Household', 'Business', 'Government') THEN 'bad CustomerType'
+    WHEN CustomerID IN (SELECT CustomerID FROM cust WHERE RegistrationDate < DATE '1998-01-01') THEN 'duplicate CustomerID'
+    WHEN COUNT(*) OVER (PARTITION BY CustomerID) > 1 THEN 'repeated CustomerID'
+    ELSE 'accepted' END AS Outcome FROM c
+)
+"""
+
+
+def _sign_ups(t: Tables):
+    """All customers as a sign-up batch with faulty rows of every kind, some without an id, some sent
+    twice; and those registered before 1998, who are stored already."""
     stored = t.customer.where(F.col("RegistrationDate") < F.lit(RANGE_START))
-    return M.append_customers(stored, t.customer, AS_OF)
+    c, k = t.customer, _num("CustomerID") % 50
+    rows = c.select(
+        F.when(~k.isin(5, 6), F.col("CustomerID")).alias("CustomerID"), F.when(k == 1, "").otherwise(F.col("CustomerName")).alias("CustomerName"),
+        F.when(k == 2, "Alien").when(k != 3, F.col("CustomerType")).alias("CustomerType"), "Email",
+        F.when(k != 4, F.col("Phone")).alias("Phone"), F.when(k == 8, "").otherwise(F.col("ServiceAddress")).alias("ServiceAddress"),
+        "BillingAddress", "RegistrationDate")
+    again = c.where(k.isin(6, 7)).withColumn("CustomerID", F.when(k != 6, F.col("CustomerID")))
+    return stored, rows.unionByName(again)
+
+
+@register("append_customers", _CUSTOMER_SQL + "SELECT * FROM chk")
+def q_append_customers(t: Tables):
+    """A sign-up batch onto the customers registered before 1998; every outcome occurs."""
+    stored, batch = _sign_ups(t)
+    return M.append_customers(stored, batch, AS_OF)
+
+
+@register("append_customers_snapshot", _CUSTOMER_SQL + """
+SELECT * FROM cust WHERE RegistrationDate < DATE '1998-01-01'
+UNION ALL SELECT * EXCLUDE (Outcome) FROM chk WHERE Outcome = 'accepted'
+""")
+def q_append_customers_snapshot(t: Tables):
+    """The customer table after that batch."""
+    stored, batch = _sign_ups(t)
+    return M.appended(stored, M.append_customers(stored, batch, AS_OF)).snapshot
 
 
 @register("append_meters", """
+, sent AS (SELECT *, CAST(split_part(MeterID, '-', 2) AS BIGINT) % 50 AS k FROM meter),
+m AS (
+  SELECT CASE WHEN k = 4 THEN NULL ELSE MeterID END AS MeterID, CASE k WHEN 2 THEN 'CUST-none' WHEN 6 THEN '' ELSE CustomerID END AS CustomerID,
+         CASE k WHEN 11 THEN 'UTIL-09' WHEN 8 THEN NULL ELSE UtilityID END AS UtilityID,
+         CASE k WHEN 3 THEN 'Broken' WHEN 9 THEN '' ELSE Status END AS Status, Location, InstallDate FROM sent
+  UNION ALL SELECT MeterID, CustomerID, UtilityID, Status, Location, InstallDate FROM sent WHERE k IN (10, 21)
+)
 SELECT m.*, CASE
     WHEN NULLIF(m.CustomerID, '') IS NULL THEN 'missing CustomerID'
     WHEN NULLIF(m.MeterID, '') IS NULL THEN 'missing MeterID'
     WHEN NULLIF(m.UtilityID, '') IS NULL THEN 'missing UtilityID'
     WHEN NULLIF(m.Status, '') IS NULL THEN 'missing Status'
     WHEN m.Status NOT IN ('Active', 'Pending Install', 'Inactive') THEN 'bad Status'
-    WHEN m.MeterID IN (SELECT MeterID FROM meter WHERE Status = 'Active') THEN 'duplicate MeterID'
-    WHEN m.MeterID IN (SELECT MeterID FROM meter GROUP BY MeterID HAVING COUNT(*) > 1) THEN 'repeated MeterID'
+    WHEN m.MeterID IN (SELECT MeterID FROM meter WHERE Status = 'Inactive') THEN 'duplicate MeterID'
+    WHEN COUNT(*) OVER (PARTITION BY MeterID) > 1 THEN 'repeated MeterID'
     WHEN m.CustomerID NOT IN (SELECT CustomerID FROM cust) THEN 'unknown CustomerID'
     WHEN m.UtilityID NOT IN (SELECT UtilityID FROM utility_type) THEN 'unknown UtilityID'
     ELSE 'accepted' END AS Outcome
-FROM meter m
+FROM m
 """)
 def q_append_meters(t: Tables):
-    """All meters as an installation batch onto the Active ones already stored."""
-    stored = t.meter.where(F.col("Status") == "Active")
-    return M.append_meters(stored, t.meter, t.customer, t.utility_type, AS_OF)
+    """All meters as an installation batch with faulty rows of every kind onto the Inactive ones
+    already stored; every outcome occurs."""
+    stored, m, k = t.meter.where(F.col("Status") == "Inactive"), t.meter, _num("MeterID") % 50
+    rows = m.select(
+        F.when(k != 4, F.col("MeterID")).alias("MeterID"),
+        F.when(k == 2, "CUST-none").when(k == 6, "").otherwise(F.col("CustomerID")).alias("CustomerID"),
+        F.when(k == 11, "UTIL-09").when(k != 8, F.col("UtilityID")).alias("UtilityID"),
+        F.when(k == 3, "Broken").when(k == 9, "").otherwise(F.col("Status")).alias("Status"), "Location", "InstallDate")
+    batch = rows.unionByName(m.where(k.isin(10, 21)))
+    return M.append_meters(stored, batch, t.customer, t.utility_type, AS_OF)
 
 
 def _rule(entity: str, table: str, rule: str, pred: str) -> str:
@@ -671,7 +822,7 @@ _CHECKS_SQL = "\nUNION ALL\n".join([
     _rule("Meter_Reading", "meter_reading", "missing UserID", "NULLIF(UserID, '') IS NULL"),
     _rule("Bill", "bill", "bad Status", "Status IS NOT NULL AND Status NOT IN ('Unpaid', 'Overdue', 'Paid')"),
     _rule("Payment", "payment", "missing BillID", "NULLIF(BillID, '') IS NULL"),
-    _rule("Payment", "payment", "missing PaymentAmount", "PaymentAmount IS NULL"),
+    _rule("Payment", "payment", "missing PaymentAmount", "PaymentAmount IS NULL OR PaymentAmount = 0"),
     _rule("Payment", "payment", "missing PaymentMethod", "NULLIF(PaymentMethod, '') IS NULL"),
     _rule("Payment", "payment", "bad PaymentMethod",
           "PaymentMethod IS NOT NULL AND PaymentMethod NOT IN ('Cash', 'Card', 'Online')"),
@@ -704,7 +855,7 @@ _READING_SQL_RULES = [("missing MeterID", "NULLIF(MeterID, '') IS NULL"),
                       ("missing ReadingDate", "ReadingDate IS NULL"),
                       ("missing UserID", "NULLIF(UserID, '') IS NULL")]
 _PAYMENT_SQL_RULES = [("missing BillID", "NULLIF(BillID, '') IS NULL"),
-                      ("missing PaymentAmount", "PaymentAmount IS NULL"),
+                      ("missing PaymentAmount", "PaymentAmount IS NULL OR PaymentAmount = 0"),
                       ("missing PaymentMethod", "NULLIF(PaymentMethod, '') IS NULL"),
                       ("bad PaymentMethod",
                        "PaymentMethod IS NOT NULL AND PaymentMethod NOT IN ('Cash', 'Card', 'Online')")]
@@ -807,6 +958,98 @@ def q_delete_meters(t: Tables):
     return M.delete_meters(t, keys).audit
 
 
+def _keys_sql(*parts: tuple[str, str, str, str]) -> str:
+    return "\nUNION ALL\n".join(f"SELECT '{e}' AS Entity, CAST({key} AS VARCHAR) AS RowKey FROM {table} WHERE NOT COALESCE({gone}, FALSE)" for e, table, key, gone in parts)
+
+
+def _kept(parts):
+    """What is left of each table: (Entity, RowKey)."""
+    out = None
+    for entity, df, key in parts:
+        rows = df.select(F.lit(entity).alias("Entity"), F.col(key).cast("string").alias("RowKey"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("delete_customers_snapshot", """
+, k AS (SELECT DISTINCT CustomerID FROM meter WHERE Status = 'Inactive'),
+bg AS (SELECT BillID FROM bill WHERE CustomerID IN (SELECT CustomerID FROM k)),
+mg AS (SELECT MeterID FROM meter WHERE CustomerID IN (SELECT CustomerID FROM k))
+""" + _keys_sql(("Payment", "payment", "PaymentID", "BillID IN (SELECT BillID FROM bg)"),
+                ("Bill", "bill", "BillID", "CustomerID IN (SELECT CustomerID FROM k)"),
+                ("Meter_Reading", "meter_reading", "ReadingID", "MeterID IN (SELECT MeterID FROM mg)"),
+                ("Meter", "meter", "MeterID", "CustomerID IN (SELECT CustomerID FROM k)"),
+                ("Customer", "cust", "CustomerID", "CustomerID IN (SELECT CustomerID FROM k)")))
+def q_delete_customers_snapshot(t: Tables):
+    """M2: every row that the five new snapshots keep."""
+    d = M.delete_customers(t, t.meter.where(F.col("Status") == "Inactive").select("CustomerID"))
+    return _kept([("Payment", d.payment, "PaymentID"), ("Bill", d.bill, "BillID"), ("Meter_Reading", d.meter_reading, "ReadingID"),
+                  ("Meter", d.meter, "MeterID"), ("Customer", d.customer, "CustomerID")])
+
+
+@register("delete_meters_snapshot", """
+, k AS (SELECT MeterID FROM meter WHERE Status = 'Inactive'),
+rg AS (SELECT ReadingID FROM meter_reading WHERE MeterID IN (SELECT MeterID FROM k)),
+bg AS (SELECT BillID FROM bill WHERE ReadingID IN (SELECT ReadingID FROM rg))
+""" + _keys_sql(("Payment", "payment", "PaymentID", "BillID IN (SELECT BillID FROM bg)"),
+                ("Bill", "bill", "BillID", "BillID IN (SELECT BillID FROM bg)"),
+                ("Meter_Reading", "meter_reading", "ReadingID", "MeterID IN (SELECT MeterID FROM k)"),
+                ("Meter", "meter", "MeterID", "MeterID IN (SELECT MeterID FROM k)")))
+def q_delete_meters_snapshot(t: Tables):
+    """M3: every row that the four new snapshots keep."""
+    d = M.delete_meters(t, t.meter.where(F.col("Status") == "Inactive").select("MeterID"))
+    return _kept([("Payment", d.payment, "PaymentID"), ("Bill", d.bill, "BillID"),
+                  ("Meter_Reading", d.meter_reading, "ReadingID"), ("Meter", d.meter, "MeterID")])
+
+
+@register("delete_outcomes", """
+, asked AS (SELECT DISTINCT CASE WHEN k % 50 = 1 THEN 'CUST-no' || CAST(k AS VARCHAR) ELSE CustomerID END AS CustomerID
+            FROM (SELECT CustomerID, CAST(split_part(CustomerID, '-', 2) AS BIGINT) AS k FROM cust) c WHERE k % 10 = 1)
+SELECT CustomerID, CASE WHEN CustomerID IN (SELECT CustomerID FROM cust) THEN 'deleted' ELSE 'not found' END AS Outcome FROM asked
+""")
+def q_delete_outcomes(t: Tables):
+    """M2: the answer for each customer id asked for; some ids are not stored."""
+    k = _num("CustomerID")
+    asked = t.customer.where(k % 10 == 1).select(F.when(k % 50 == 1, F.concat(F.lit("CUST-no"), k.cast("string"))).otherwise(F.col("CustomerID")).alias("CustomerID"))
+    return M.delete_outcomes(t.customer, asked, "CustomerID")
+
+
+@register("update_outcomes", """
+, u AS (SELECT CASE k % 50 WHEN 2 THEN 'MTR-none' WHEN 3 THEN NULL ELSE MeterID END AS MeterID, CustomerID, UtilityID,
+               CASE k % 50 WHEN 4 THEN 'Broken' WHEN 5 THEN '' ELSE Status END AS Status
+        FROM (SELECT *, CAST(split_part(MeterID, '-', 2) AS BIGINT) AS k FROM meter) m)
+SELECT MeterID, CustomerID, UtilityID, Status, CASE WHEN NULLIF(MeterID, '') IS NULL THEN 'missing MeterID'
+    WHEN NULLIF(Status, '') IS NULL THEN 'missing Status' WHEN Status NOT IN ('Active', 'Pending Install', 'Inactive') THEN 'bad Status'
+    WHEN MeterID NOT IN (SELECT MeterID FROM meter) THEN 'not found' ELSE 'updated' END AS Outcome FROM u
+""")
+def q_update_outcomes(t: Tables):
+    """M1: the answer for each update of a batch with faulty rows of every kind."""
+    k = _num("MeterID") % 50
+    u = t.meter.select(F.when(k == 2, "MTR-none").when(k != 3, F.col("MeterID")).alias("MeterID"), "CustomerID", "UtilityID",
+                       F.when(k == 4, "Broken").when(k == 5, "").otherwise(F.col("Status")).alias("Status"))
+    return M.update_outcomes(t.meter, u, "MeterID", V.meter_rules())
+
+
+@register("delete_tariffs_snapshot", """
+SELECT * FROM tariff WHERE TariffID IN (SELECT TariffID FROM bill)
+""")
+def q_delete_tariffs_snapshot(t: Tables):
+    """M4: the tariffs that are left when all are asked to go (those that bills use)."""
+    return M.delete_tariffs(t, t.tariff.select("TariffID"))[0]
+
+
+@register("meter_customer_outcome", """
+, asked AS (SELECT DISTINCT CASE WHEN ReadingID % 100 = 0 THEN 'MTR-no' || CAST(ReadingID AS VARCHAR) ELSE MeterID END AS MeterID FROM meter_reading)
+SELECT a.MeterID, c.CustomerName, c.ServiceAddress, c.CustomerID IS NOT NULL AS Found
+FROM asked a LEFT JOIN meter m ON m.MeterID = a.MeterID LEFT JOIN cust c ON c.CustomerID = m.CustomerID
+""")
+def q_meter_customer_outcome(t: Tables):
+    """J4 with an answer for every meter asked for; some are not stored."""
+    r = F.col("ReadingID")
+    asked = t.meter_reading.select(F.when(r % 100 == 0, F.concat(F.lit("MTR-no"), r.cast("string"))).otherwise(F.col("MeterID")).alias("MeterID"))
+    return J.meter_customer_outcome(t, asked)
+
+
 @register("delete_tariffs", """
 SELECT t.TariffID,
        CASE WHEN COUNT(b.BillID) > 0 THEN 'blocked' ELSE 'deleted' END AS Outcome,
@@ -821,20 +1064,56 @@ def q_delete_tariffs(t: Tables):
 
 # ------------------------------------------------------------- reports, scalars
 @register("admin_report", """
-SELECT PaymentID, BillID, PaymentAmount, PaymentDate, PaymentMethod, UserID FROM payment
-WHERE PaymentDate >= TIMESTAMP '1900-01-01 00:00:00' AND PaymentDate < TIMESTAMP '2100-01-01 00:00:00'
+SELECT 'new-customers' AS Report, CustomerID AS RowKey, CustomerName AS Label, RegistrationDate AS Day FROM cust
+UNION ALL
+SELECT 'readings-log', CAST(ReadingID AS VARCHAR), MeterID, ReadingDate FROM meter_reading
+UNION ALL
+SELECT 'payment-log', PaymentID, BillID, CAST(PaymentDate AS DATE) FROM payment
 """)
 def q_admin_report(t: Tables):
-    """Payment-log with no range given (defaults 1900-01-01..2099-12-31)."""
-    return RP.admin_report(t, "payment-log")
+    """All three reports with no range given (defaults 1900-01-01..2099-12-31), in one long form."""
+    out = None
+    for name, key, label, day in (("new-customers", "CustomerID", "CustomerName", "RegistrationDate"),
+                                  ("readings-log", "ReadingID", "MeterID", "ReadingDate"),
+                                  ("payment-log", "PaymentID", "BillID", "PaymentDate")):
+        rows = RP.admin_report(t, name).select(
+            F.lit(name).alias("Report"), F.col(key).cast("string").alias("RowKey"), F.col(label).alias("Label"), F.col(day).cast("date").alias("Day"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-@register("manager_report", f"""
-SELECT CAST(SUM(p.PaymentAmount) AS DECIMAL(18,2)) AS GrandTotal FROM payment p WHERE {_PAY_RANGE}
+_DEF_RANGE = _DEFAULTERS_SQL.format(extra=f"AND b.BillDate >= DATE '{_R0}' AND b.BillDate < DATE '{_R1_NEXT}'")
+
+
+@register("manager_report", _CONSUMPTION_SQL.format(where=_IN_RANGE, part="1") + f"""
+, kinds AS (SELECT BillID, UtilityName FROM bill JOIN meter USING (MeterID) JOIN utility_type USING (UtilityID)
+), paid AS (SELECT BillID, PaymentAmount, CAST(PaymentDate AS DATE) AS day FROM payment p WHERE {_PAY_RANGE}
+), days AS (
+  SELECT strftime(day, '%Y-%m-%d') AS d, UtilityName, SUM(PaymentAmount) AS amount FROM paid JOIN kinds USING (BillID) GROUP BY day, UtilityName
+), owed AS ({_DEF_RANGE}
+)
+SELECT 'revenue' AS Report, 'detail' AS Section, d || ' ' || UtilityName AS RowKey, CAST(amount AS DECIMAL(18,2)) AS Amount FROM days
+UNION ALL SELECT 'revenue', 'total', 'total', CAST((SELECT SUM(PaymentAmount) FROM paid) AS DECIMAL(18,2))
+UNION ALL SELECT 'defaulters', 'detail', CustomerID, TotalDue FROM owed
+UNION ALL SELECT 'defaulters', 'total', 'total', CAST((SELECT SUM(TotalDue) FROM owed) AS DECIMAL(18,2))
+UNION ALL SELECT 'usage', 'detail', CAST(Rank AS VARCHAR) || ' ' || CustomerID || ' ' || Utility, TotalConsumption FROM ranked
 """)
 def q_manager_report(t: Tables):
-    """R2: the revenue report's grand total for 1998."""
-    return RP.manager_report(t, "revenue", RANGE_START, RANGE_END).total
+    """R2: the three reports for 1998 with their totals, in one long form."""
+    reports = {n: RP.manager_report(t, n, RANGE_START, RANGE_END) for n in ("revenue", "defaulters", "usage")}
+    row = lambda name, section, df, key, amount: df.select(
+        F.lit(name).alias("Report"), F.lit(section).alias("Section"), key.alias("RowKey"), F.col(amount).cast("decimal(18,2)").alias("Amount"))
+    parts = [
+        row("revenue", "detail", reports["revenue"].data, F.concat_ws(" ", "Date", "Utility"), "Total"),
+        row("revenue", "total", reports["revenue"].total, F.lit("total"), "GrandTotal"),
+        row("defaulters", "detail", reports["defaulters"].data, F.col("CustomerID"), "TotalDue"),
+        row("defaulters", "total", reports["defaulters"].total, F.lit("total"), "GrandTotalDue"),
+        row("usage", "detail", reports["usage"].data, F.concat_ws(" ", F.col("Rank").cast("string"), "CustomerID", "Utility"), "TotalConsumption"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @register("scalar_suite", """
@@ -882,33 +1161,22 @@ def q_scalar_suite(t: Tables):
 
 # ------------------------------------------------------------------- streaming
 @register("ingest_readings_stream", """
-, ex AS (SELECT * FROM meter_reading WHERE FALSE),
-b AS (SELECT 'MTR-' || CAST(user_id AS VARCHAR) AS MeterID,
+, b AS (SELECT 'MTR-' || CAST(user_id AS VARCHAR) AS MeterID,
              'U-00' || CAST(event_id % 5 + 1 AS VARCHAR) AS UserID,
              CAST(value AS DECIMAL(10,2)) AS ReadingValue, CAST(ts AS DATE) AS ReadingDate,
              CASE WHEN event_type = 'error' THEN 'error' END AS Notes
       FROM events),
-chk AS (SELECT b.*, """ + _READING_OUTCOME + """ AS Outcome FROM b),
-acc AS (SELECT MeterID, ReadingDate, ReadingValue, UserID, MIN(Notes) AS Notes
-        FROM chk WHERE Outcome = 'accepted' GROUP BY MeterID, ReadingDate, ReadingValue, UserID)
-SELECT CAST(RANK() OVER (ORDER BY concat_ws('|', MeterID, CAST(ReadingDate AS VARCHAR),
-                                           CAST(ReadingValue AS VARCHAR), UserID)) AS INTEGER) AS ReadingID,
-       MeterID, UserID, ReadingValue, ReadingDate, Notes, 'accepted' AS Outcome
-FROM acc
-UNION ALL
-SELECT CAST(NULL AS INTEGER), MeterID, UserID, ReadingValue, ReadingDate, Notes, Outcome
-FROM chk WHERE Outcome <> 'accepted'
-""")
+chk AS (SELECT b.*, """ + _READING_OUTCOME + """ AS Outcome FROM b)
+""" + _READING_IDS.format(after=ST.EPOCH_IDS))
 def q_ingest_readings_stream(t: Tables):
-    """ST1: the event log streamed in as reading submissions (availableNow trigger),
-    validated and appended by foreachBatch; returns what the two sinks hold."""
+    """ST1: the event log streamed in as reading submissions (availableNow trigger), validated and
+    written by foreachBatch; returns what the two sinks hold: one row per submission."""
     spark = t.spark
     paths = ST.IngestPaths.fresh(spark)
     subs = ST.submissions_from_events(spark, t.source_dir)
     ST.ingest_readings_stream(subs, t.meter, paths).awaitTermination()
-    accepted = spark.read.schema(METER_READING).parquet(paths.readings).withColumn(M.OUTCOME, F.lit("accepted"))
-    rejected = spark.read.parquet(paths.rejected).drop("Epoch")
-    return accepted.unionByName(rejected)
+    accepted = ST.accepted_readings(spark, paths).withColumn(M.OUTCOME, F.lit("accepted"))
+    return accepted.unionByName(ST.refused_submissions(spark, paths).drop(ST.EPOCH))
 
 
 # ------------------------------------------------- remaining SURVEY query keys
@@ -1033,12 +1301,44 @@ def q_update_tariffs(t: Tables):
 @register("export_report", _DEFAULTERS_SQL.format(extra=""))
 def q_export_report(t: Tables):
     """S3: the defaulters report exported as CSV part files (one per task) into a new
-    folder of the shared checkpoint directory, read back with its schema."""
+    output folder, read back with its schema."""
     import uuid
 
-    from ..session import ensure_checkpoint_dir
+    from ..session import output_dir
     from ..sources import sinks
     report = A.defaulters(t, ordered=False)
-    path = f"{ensure_checkpoint_dir(t.spark)}/export-{uuid.uuid4().hex}"
+    path = f"{output_dir(t.spark)}/export-{uuid.uuid4().hex}"
     sinks.export(report, path, fmt="csv")
     return t.spark.read.schema(report.schema).option("header", "true").csv(path)
+
+
+@register("load_customers_csv", "SELECT * FROM cust")
+def q_load_customers_csv(t: Tables):
+    """The customer entity exported as CSV part files and read back by ``load`` with its schema."""
+    return _stored_as(t, "customer", "csv")
+
+
+@register("load_bills_parquet", "SELECT * FROM bill")
+def q_load_bills_parquet(t: Tables):
+    """The bill entity written as Parquet and read back by ``load`` with its schema."""
+    return _stored_as(t, "bill", "parquet")
+
+
+def _stored_as(t: Tables, entity: str, fmt: str):
+    import uuid
+
+    from ..session import output_dir
+    from ..sources import sinks
+    from ..sources.tables import load
+    path = f"{output_dir(t.spark)}/{entity}-{uuid.uuid4().hex}"
+    sinks.export(getattr(t, entity), path, fmt=fmt)
+    return load(t.spark, entity, path, fmt)
+
+
+@register("first_reading", """
+, firsts AS (SELECT *, row_number() OVER (PARTITION BY MeterID ORDER BY ReadingDate NULLS FIRST, ReadingID) AS k FROM meter_reading)
+SELECT MeterID, ReadingID, ReadingDate, ReadingValue FROM firsts WHERE k = 1
+""")
+def q_first_reading(t: Tables):
+    """W3 on a growing table: the first reading of each meter (TOP 1 by date, then id)."""
+    return W.first_by_order(t.meter_reading, ["MeterID"], ["ReadingDate", "ReadingID"], ["ReadingID", "ReadingDate", "ReadingValue"])

@@ -1,7 +1,8 @@
 """Report dispatch (R1 admin reports, R2 manager reports).
 
-A report is a named DataFrame builder; nothing runs until the caller acts on
-the returned frames. The manager reports return the detail frame and, where the
+A report is a named DataFrame builder. Building the usage report runs jobs (its
+ranking freezes a layout); the others run nothing until the caller acts on the
+returned frames. The manager reports return the detail frame and, where the
 reference shows one, a one-row total frame built from the same inputs.
 """
 

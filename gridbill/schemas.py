@@ -45,7 +45,7 @@ METER = T.StructType([
 ])
 
 METER_READING = T.StructType([
-    T.StructField("ReadingID", T.IntegerType(), False),
+    T.StructField("ReadingID", T.LongType(), False),
     T.StructField("MeterID", T.StringType(), True),
     T.StructField("UserID", T.StringType(), True),
     T.StructField("ReadingValue", MONEY, True),
@@ -57,7 +57,7 @@ BILL = T.StructType([
     T.StructField("BillID", T.StringType(), False),
     T.StructField("CustomerID", T.StringType(), True),
     T.StructField("MeterID", T.StringType(), True),
-    T.StructField("ReadingID", T.IntegerType(), True),
+    T.StructField("ReadingID", T.LongType(), True),
     T.StructField("TariffID", T.StringType(), True),
     T.StructField("BillDate", T.DateType(), True),
     T.StructField("DueDate", T.DateType(), True),

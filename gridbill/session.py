@@ -29,6 +29,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.autoBroadcastJoinThreshold", str(1 << 20))
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", str(10 << 20))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
@@ -63,3 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     base = os.environ.get("GRIDBILL_SCRATCH") or tempfile.mkdtemp(prefix="gridbill-ckpt-")
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir()
+
+
+def output_dir(spark: SparkSession) -> str:
+    """Folder for reports and sinks: beside the shared checkpoint folder, not in it."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}-output"

@@ -113,7 +113,7 @@ def meter_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     # distributed segmented scan, safe when one user owns a large share of events.
     reg = running_sum(e, ["user_id"], ["event_id"], "_v", "_reg")
     return reg.select(
-        F.col("event_id").cast("int").alias("ReadingID"),
+        F.col("event_id").cast("bigint").alias("ReadingID"),
         F.concat(F.lit("MTR-"), _s("user_id")).alias("MeterID"),
         F.concat(F.lit("U-00"), _s(F.col("event_id") % 5 + 1)).alias("UserID"),
         F.col("_reg").cast(schemas.MONEY).alias("ReadingValue"),
@@ -135,7 +135,7 @@ def bill(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("BILL-"), _s("o_orderkey")).alias("BillID"),
         F.concat(F.lit("CUST-"), _s(ck)).alias("CustomerID"),
         F.concat(F.lit("MTR-"), _s(ck)).alias("MeterID"),
-        (F.col("o_orderkey") * 2).cast("int").alias("ReadingID"),
+        (F.col("o_orderkey") * 2).cast("bigint").alias("ReadingID"),
         F.when(ck % 3 == 0, "ELEC-01").when(ck % 3 == 1, "WATR-01").otherwise("GAS-01").alias("TariffID"),
         bill_date.alias("BillDate"),
         F.date_add(bill_date, 14).alias("DueDate"),

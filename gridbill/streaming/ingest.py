@@ -2,14 +2,14 @@
 
 The reference accepts one reading per POST. Here submissions arrive as files
 in a folder; a Structured Streaming query validates each micro-batch (required
-fields, known meter), and ``foreachBatch`` appends accepted readings and
-refused rows to two Parquet tables.
+fields, known meter), and ``foreachBatch`` writes accepted readings and refused
+rows to two Parquet tables, partitioned by epoch.
 
 ``foreachBatch`` is at-least-once: after a failure a micro-batch can run again.
-The append therefore anti-joins on the natural key of a reading (meter, date,
-value, officer) against what is already stored, so a replayed batch -- or a
-reading submitted twice -- adds nothing. New ReadingIDs continue after the
-stored maximum in natural-key order (distributed rank, no single task).
+Each epoch overwrites its own partition of either table, so a replayed batch
+leaves both as they were, and every submission is kept, equal ones too. An epoch
+hands out ReadingIDs from a range of its own (epoch and row number), so nothing
+stored is scanned and ids never meet.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader
 
 from ..operators.maintain import OUTCOME, append_readings
 from ..schemas import METER_READING
-from ..session import ensure_checkpoint_dir
+from ..session import output_dir
 
 # A field submission: what the reading form posts.
 SUBMISSION = T.StructType([
@@ -48,37 +49,51 @@ class IngestPaths:
 
     @classmethod
     def fresh(cls, spark: SparkSession) -> "IngestPaths":
-        """A new folder inside the session's shared checkpoint directory."""
-        return cls.under(f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}")
+        """A new folder beside the session's shared checkpoint directory."""
+        return cls.under(f"{output_dir(spark)}/ingest-{uuid.uuid4().hex}")
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(METER_READING).parquet(path)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return spark.createDataFrame([], METER_READING)
+#: ReadingIDs of an epoch: (epoch + 1) * EPOCH_IDS + row number; ids below EPOCH_IDS are left to other writers.
+EPOCH_IDS = 1 << 40
+EPOCH = "Epoch"
+
+
+def accepted_readings(spark: SparkSession, paths: IngestPaths) -> DataFrame:
+    """The readings that the ingest has stored (no path: none were)."""
+    return _table(spark, paths.readings, METER_READING).select(*METER_READING.fieldNames())
+
+
+def refused_submissions(spark: SparkSession, paths: IngestPaths) -> DataFrame:
+    """The refused submissions with their outcome and epoch."""
+    return _table(spark, paths.rejected, REFUSED)
+
+
+REFUSED = T.StructType([*METER_READING.fields, T.StructField(OUTCOME, T.StringType(), True)])
+
+
+def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    full = T.StructType([*schema.fields, T.StructField(EPOCH, T.LongType(), True)])
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(path)
 
 
 def batch_writer(meters: DataFrame, paths: IngestPaths):
-    """The ``foreachBatch`` function: validate, de-duplicate, append."""
+    """The ``foreachBatch`` function: validate, number, overwrite the epoch's partitions."""
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
         subs = batch.select(
             "MeterID", "UserID",
             F.col("ReadingValue").try_cast("decimal(10,2)").alias("ReadingValue"),
             F.col("ReadingDate").try_cast("date").alias("ReadingDate"),
             "Notes")
-        stored = _stored(spark, paths.readings)
-        result = append_readings(stored, subs, meters).persist()
-        try:
-            ok = result.where(F.col(OUTCOME) == "accepted").drop(OUTCOME)
-            ok.write.mode("append").parquet(paths.readings)
-            (result.where(F.col(OUTCOME) != "accepted")
-             .withColumn("Epoch", F.lit(epoch_id).cast("bigint"))
-             .write.mode("append").parquet(paths.rejected))
-        finally:
-            result.unpersist()
+        result = append_readings(subs, meters, (epoch_id + 1) * EPOCH_IDS)
+        ok = result.where(F.col(OUTCOME) == "accepted").drop(OUTCOME)
+        no = result.where(F.col(OUTCOME) != "accepted")
+        for rows, path in ((ok, paths.readings), (no, paths.rejected)):
+            # the epoch's own folder, replaced as a whole, also when it has no rows
+            rows.write.mode("overwrite").parquet(f"{path}/{EPOCH}={epoch_id}")
 
     return write
 
@@ -93,9 +108,18 @@ def ingest_readings_stream(stream: DataFrame, meters: DataFrame, paths: IngestPa
     return w.start()
 
 
-def submissions_from_files(spark: SparkSession, folder: str, fmt: str = "json") -> DataFrame:
-    """Submissions dropped as files (json / csv / parquet) into ``folder``."""
-    r = spark.readStream.schema(SUBMISSION).format(fmt)
+def _bounded(reader: DataStreamReader, max_files: int | None, max_bytes: str | None) -> DataStreamReader:
+    for name, value in (("maxFilesPerTrigger", max_files), ("maxBytesPerTrigger", max_bytes)):
+        if value is not None:
+            reader = reader.option(name, str(value))
+    return reader
+
+
+def submissions_from_files(spark: SparkSession, folder: str, fmt: str = "json",
+                           max_files: int | None = None, max_bytes: str | None = None) -> DataFrame:
+    """Submissions dropped as files (json / csv / parquet) into ``folder``; ``max_files`` or
+    ``max_bytes`` bounds a micro-batch (the first one may otherwise be the whole backlog)."""
+    r = _bounded(spark.readStream.schema(SUBMISSION).format(fmt), max_files, max_bytes)
     if fmt == "csv":
         r = r.option("header", "true")
     return r.load(folder)
@@ -111,11 +135,12 @@ EVENTS = T.StructType([
 ])
 
 
-def submissions_from_events(spark: SparkSession, folder: str, pattern: str = "events*.parquet") -> DataFrame:
+def submissions_from_events(spark: SparkSession, folder: str, pattern: str = "events*.parquet",
+                            max_files: int | None = None, max_bytes: str | None = None) -> DataFrame:
     """The test data's event log read as a stream of reading submissions: one
     submission per event, the event value being the register value sent. The
     file source watches ``folder`` for files matching ``pattern``."""
-    ev = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern).parquet(folder)
+    ev = _bounded(spark.readStream.schema(EVENTS), max_files, max_bytes).option("pathGlobFilter", pattern).parquet(folder)
     return ev.select(
         F.concat(F.lit("MTR-"), F.col("user_id").cast("string")).alias("MeterID"),
         F.concat(F.lit("U-00"), (F.col("event_id") % 5 + 1).cast("string")).alias("UserID"),

@@ -9,13 +9,14 @@ import io
 import pytest
 
 import __spark_entry__ as E
+from gridbill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas")
 
 
-@pytest.mark.parametrize("name", sorted(n for n in E.queries() if n != "ingest_readings_stream"))
+@pytest.mark.parametrize("name", sorted(n for n in catalog.QUERIES if n != "ingest_readings_stream"))
 def test_plan_has_no_forbidden_operators(spark, name):
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):

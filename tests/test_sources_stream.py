@@ -68,7 +68,7 @@ def _write_json(folder, name, rows):
             fh.write(json.dumps(r) + "\n")
 
 
-def test_stream_ingest_is_idempotent(spark, tables):
+def test_stream_ingest_keeps_all_and_replays(spark, tables):
     t = tables(meter=[{"MeterID": "M1", "CustomerID": "C1", "UtilityID": "UTIL-01", "Status": "Active"}])
     src = tempfile.mkdtemp(prefix="gb-stream-src-")
     rows = [{"MeterID": "M1", "UserID": "U1", "ReadingValue": "10.5", "ReadingDate": "2025-01-01"},
@@ -77,23 +77,26 @@ def test_stream_ingest_is_idempotent(spark, tables):
             {"MeterID": "M1", "UserID": "", "ReadingValue": "3", "ReadingDate": "2025-01-03"}]
     _write_json(src, "a.json", rows)
     paths = ST.IngestPaths.under(tempfile.mkdtemp(prefix="gb-stream-out-"))
-    ST.ingest_readings_stream(ST.submissions_from_files(spark, src), t.meter, paths).awaitTermination()
-    stored = spark.read.parquet(paths.readings)
-    assert sorted((r.ReadingID, str(r.ReadingValue)) for r in stored.collect()) == [(1, "10.50"), (2, "12.00")]
-    rejected = sorted(r.Outcome for r in spark.read.parquet(paths.rejected).collect())
-    assert rejected == ["missing UserID", "unknown MeterID"]
-
-    # A second file repeats one reading and adds a new one: only the new one lands.
-    _write_json(src, "b.json", [rows[0], {"MeterID": "M1", "UserID": "U1", "ReadingValue": "15",
-                                          "ReadingDate": "2025-01-05"}])
-    ST.ingest_readings_stream(ST.submissions_from_files(spark, src), t.meter, paths).awaitTermination()
-    stored = spark.read.parquet(paths.readings)
-    assert sorted(r.ReadingID for r in stored.collect()) == [1, 2, 3]
-    # Replaying everything from scratch (new checkpoint, same sink) adds nothing.
-    replay = ST.IngestPaths(paths.readings, paths.rejected, tempfile.mkdtemp(prefix="gb-ckpt-"))
-    ST.ingest_readings_stream(ST.submissions_from_files(spark, src), t.meter, replay).awaitTermination()
-    assert spark.read.parquet(paths.readings).count() == 3
-    assert spark.read.parquet(paths.readings).where(F.col("ReadingDate") == dt.date(2025, 1, 5)).count() == 1
+    assert ST.accepted_readings(spark, paths).count() == 0
+
+    def run(**bound):
+        ST.ingest_readings_stream(ST.submissions_from_files(spark, src, **bound), t.meter, paths).awaitTermination()
+        accepted = sorted((r.ReadingID, str(r.ReadingValue)) for r in ST.accepted_readings(spark, paths).collect())
+        refused = sorted((r.Epoch, r.Outcome) for r in ST.refused_submissions(spark, paths).collect())
+        return accepted, refused
+
+    base = ST.EPOCH_IDS
+    assert run() == ([(base + 1, "10.50"), (base + 2, "12.00")], [(0, "missing UserID"), (0, "unknown MeterID")])
+    # Later files, one per micro-batch, land on the non-empty sinks; an equal submission is kept.
+    _write_json(src, "b.json", [rows[0], rows[0], {"MeterID": "M1", "UserID": "U1", "ReadingValue": "15", "ReadingDate": "2025-01-05"}])
+    _write_json(src, "c.json", [rows[2]])
+    both = run(max_files=1)
+    assert [v for _, v in both[0]] == ["10.50", "12.00", "10.50", "10.50", "15.00"] and len({i for i, _ in both[0]}) == 5
+    assert [o for _, o in both[1]] == ["missing UserID", "unknown MeterID", "unknown MeterID"]
+    # A replayed epoch leaves both sinks as they are.
+    batch = spark.read.schema(ST.SUBMISSION).json(f"{src}/a.json")
+    ST.batch_writer(t.meter, paths)(batch, 0)
+    assert run() == both
 
 
 def test_reports_from_a_stored_copy_match_the_mapping(spark):

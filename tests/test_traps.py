@@ -167,7 +167,7 @@ def test_b5_post_payments(spark, tables):
                                    "BillID string, PaymentAmount decimal(10,2), PaymentMethod string")
     r1 = B.post_payments(t, batch1, AS_OF, cashier="U-003")
     assert r1.bills.first().Status == "Unpaid"
-    assert sorted(r.Reason for r in r1.rejected.collect()) == ["missing field", "unknown bill"]
+    assert sorted(r.Reason for r in r1.rejected.collect()) == ["missing PaymentAmount", "unknown bill"]
     t2 = t.replace(bill=r1.bills, payment=r1.payments)
     batch2 = spark.createDataFrame([("B1", D(60), "Online")], "BillID string, PaymentAmount decimal(10,2), PaymentMethod string")
     r2 = B.post_payments(t2, batch2, AS_OF, cashier="U-003")
@@ -217,15 +217,65 @@ def test_m1_latest_update_wins(spark, tables):
 
 
 def test_s2_append_readings(spark, tables):
-    t = tables(meter=[_meter(1)], meter_reading=[
-        {"ReadingID": 7, "MeterID": "M1", "UserID": "U", "ReadingValue": D(1), "ReadingDate": dt.date(2025, 1, 1)}])
+    t = tables(meter=[_meter(1)])
     batch = spark.createDataFrame(
         [("M1", "U", D(1), dt.date(2025, 1, 1), None), ("M1", "U", D(2), dt.date(2025, 1, 2), ""),
          ("M1", "U", D(2), dt.date(2025, 1, 2), None), ("M9", "U", D(3), dt.date(2025, 1, 3), None),
          ("M1", None, D(4), dt.date(2025, 1, 4), None)],
         "MeterID string, UserID string, ReadingValue decimal(10,2), ReadingDate date, Notes string")
-    got = sorted((r.Outcome, r.ReadingID) for r in M.append_readings(t.meter_reading, batch, t.meter).collect())
-    assert got == [("accepted", 8), ("duplicate reading", None), ("missing UserID", None), ("unknown MeterID", None)]
+    top = 2**31 + 5  # ids are bigint
+    got = sorted((r.Outcome, r.ReadingID) for r in M.append_readings(batch, t.meter, top).collect())
+    # both equal submissions are kept, each with an id of its own
+    assert got == [("accepted", top + 1), ("accepted", top + 2), ("accepted", top + 3), ("missing UserID", None), ("unknown MeterID", None)]
+
+
+def test_s2_no_null_or_repeated_ids(spark, tables):
+    t = tables(customer=[_cust(1)])
+    rows = [(None, "A", "Household", "1", "x"), (None, "A", "Household", "1", "x"), (None, "B", "Household", "2", "x"), ("", "C", "Household", "3", "x"), ("C1", "D", "Household", "4", "x")]
+    batch = spark.createDataFrame(rows, "CustomerID string, CustomerName string, CustomerType string, Phone string, ServiceAddress string")
+    checked = M.append_customers(t.customer, batch, AS_OF)
+    got = sorted((r.CustomerName, r.Outcome) for r in checked.collect())
+    assert got == [("A", "repeated CustomerID"), ("A", "repeated CustomerID"), ("B", "accepted"), ("C", "accepted"), ("D", "duplicate CustomerID")]
+    new = M.appended(t.customer, checked)
+    assert new.snapshot.where("CustomerID IS NULL").count() == 0 and new.snapshot.count() == 3 and new.refused.count() == 3
+    again = M.append_customers(new.snapshot, batch.where("CustomerName = 'B'"), AS_OF)
+    assert again.first().Outcome == "duplicate CustomerID"
+
+
+def test_b5_rules_ids_and_reposting(spark, tables):
+    t = tables(bill=[{"BillID": "B1", "AmountDue": D(5), "Status": "Unpaid"}], payment=[{"PaymentID": "P0", "BillID": "B1", "PaymentAmount": D(1)}])
+    rows = [(None, "B1", D(2), "Cash"), (None, "B1", D(2), "Cash"), (None, "B1", D(0), "Cash"), (None, "B1", D(9), "Barter"),
+            ("P0", "B1", D(1), "Card"), ("P7", "B1", D(1), "Card"), ("P7", "B1", D(1), "Card")]
+    batch = spark.createDataFrame(rows, "PaymentID string, BillID string, PaymentAmount decimal(10,2), PaymentMethod string")
+    r = B.post_payments(t, batch, AS_OF, batch_id="b1")
+    assert sorted(x.PaymentID for x in r.accepted.collect()) == ["PAY-b1-2", "PAY-b1-3"]
+    assert sorted(x.Reason for x in r.rejected.collect()) == ["bad PaymentMethod", "duplicate PaymentID", "missing PaymentAmount", "repeated PaymentID", "repeated PaymentID"]
+    assert r.settled.first().PaidTotal == D("5.00") and r.settled.first().Status == "Paid"
+    again = B.post_payments(t.replace(payment=r.payments, bill=r.bills), batch, AS_OF, batch_id="b1")
+    assert again.accepted.count() == 0 and again.payments.count() == 3
+
+
+def test_m1_ties_nulls_and_rules(spark, tables):
+    from gridbill.operators import validate as V
+    t = tables(meter=[_meter(1), _meter(2)])
+    upd = spark.createDataFrame([("M1", "Active", None), ("M1", "Inactive", 3), ("M1", "Pending Install", 3), ("M2", "Broken", 9), (None, "Active", 1), ("M9", "Active", 1)],
+                                "MeterID string, Status string, seq int")
+    full = upd.withColumn("CustomerID", F.lit("C1")).withColumn("UtilityID", F.lit("UTIL-01"))
+    got = {r.MeterID: (r.Status, r.Updated) for r in M.apply_updates(t.meter, full, "MeterID", ["Status"], rules=V.meter_rules()).collect()}
+    assert got == {"M1": ("Pending Install", True), "M2": ("Active", False)}
+    only_null = M.apply_updates(t.meter, full.where("seq IS NULL"), "MeterID", ["Status"]).where("MeterID = 'M1'").first()
+    assert only_null.Updated
+    outcomes = sorted(r.Outcome for r in M.update_outcomes(t.meter, full, "MeterID", V.meter_rules()).collect())
+    assert outcomes == ["bad Status", "missing MeterID", "not found", "updated", "updated", "updated"]
+
+
+def test_due_date_and_reading_details(spark, tables):
+    t = tables(customer=[_cust(1)], meter=[_meter(1)], meter_reading=[
+        {"ReadingID": i, "MeterID": "M1", "ReadingValue": D(10 * i), "ReadingDate": dt.date(2025, 1, i)} for i in (1, 2, 3)])
+    assert {r.DueDate for r in B.billing_run(t, "2025-02-01", due_date="2025-03-09").collect()} == {dt.date(2025, 3, 9)}
+    keys = spark.createDataFrame([(2,), (9,), (None,), (2,)], "ReadingID long")
+    got = {r.ReadingID: (r.Found, r.PreviousReadingValue, r.CurrentReadingValue) for r in R.reading_details(t, keys).collect()}
+    assert got == {2: (True, D("10.00"), D("20.00")), 9: (False, None, None)}
 
 
 def test_billing_run_twice_adds_nothing(tables):

@@ -24,7 +24,7 @@ def _skewed(spark, n=4000, seed=7):
 
 def test_running_sum_matches_window(spark):
     df = _skewed(spark)
-    got = {r.o: r.s for r in W.running_sum(df, ["k"], ["o"], "v", "s", segments=7).collect()}
+    got = {r.o: r.s for r in W.running_sum(df, ["k"], ["o"], "v", "s").collect()}
     w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     want = {r.o: r.s for r in df.select("o", F.sum("v").over(w).alias("s")).collect()}
     assert got == want
@@ -32,7 +32,7 @@ def test_running_sum_matches_window(spark):
 
 def test_lag_default_matches_window(spark):
     df = _skewed(spark)
-    got = {r.o: r.p for r in W.lag_default(df, ["k"], ["o"], "v", 0, "p", segments=9).collect()}
+    got = {r.o: r.p for r in W.lag_default(df, ["k"], ["o"], "v", 0, "p").collect()}
     w = Window.partitionBy("k").orderBy("o")
     want = {r.o: r.p for r in df.select("o", F.lag("v", 1, 0).over(w).cast("decimal(10,2)").alias("p")).collect()}
     assert got == want
@@ -66,7 +66,7 @@ def test_empty_append_batch(spark, tables):
     t = tables()
     batch = spark.createDataFrame([], "MeterID string, UserID string, ReadingValue decimal(10,2), "
                                       "ReadingDate date, Notes string")
-    assert M.append_readings(t.meter_reading, batch, t.meter).count() == 0
+    assert M.append_readings(batch, t.meter).count() == 0
 
 
 def test_hot_key_is_split_across_segments(spark):
@@ -110,13 +110,82 @@ def test_aqe_coalesced_segments_stay_exact(spark):
             spark.conf.set(k, v)
 
 
-def test_running_sum_segment_starting_with_nulls(spark):
-    # key 1 spans both segments; the second segment starts with NULL values
-    rows = [(1, i, D(1)) for i in range(5)] + [(1, 5 + i, None) for i in range(5)] + [(2, 0, D(3))]
+def test_buckets_that_start_with_nulls(spark, monkeypatch):
+    # key 1 spans several buckets; later ones start with NULL values
+    rows = [(1, i, D(1)) for i in range(5)] + [(1, 5 + i, None) for i in range(5)] + [(2, 0, D(3)), (None, 1, D(2)), (None, 9, D(4)), (2, None, D(1))]
     df = spark.createDataFrame(rows, "k int, o int, v decimal(10,2)")
-    for segs in (2, 3, 4):
-        got = {(r.k, r.o): r.s for r in W.running_sum(df, ["k"], ["o"], "v", "s", segments=segs).collect()}
-        assert got[(1, 9)] == D("5.00") and got[(1, 5)] == D("5.00") and got[(2, 0)] == D("3.00")
+    for width in (2, 3, 4):
+        monkeypatch.setattr(W, "BUCKET", width)
+        got = {(r.k, r.o): r.s for r in W.running_sum(df, ["k"], ["o"], "v", "s").collect()}
+        assert got[(1, 9)] == got[(1, 5)] == D("5.00") and got[(2, 0)] == D("4.00") and got[(None, 9)] == D("6.00")
+        lag = {(r.k, r.o): r.p for r in W.lag_default(df, ["k"], ["o"], "v", 0, "p").collect()}
+        assert lag[(1, 5)] == D("1.00") and lag[(1, 6)] is None and lag[(1, 0)] == 0 and lag[(2, 0)] == 1 and lag[(None, 9)] == 2
+
+
+def test_buckets_match_windows(spark, monkeypatch):
+    monkeypatch.setattr(W, "BUCKET", 50)
+    test_running_sum_matches_window(spark)
+    test_lag_default_matches_window(spark)
+
+
+def test_dates_are_cut_by_month(spark):
+    df = spark.sql("SELECT 1 AS k, date_add(DATE '2024-01-20', CAST(id * 10 AS INT)) AS o, CAST(id AS DECIMAL(10,2)) AS v FROM range(20)")
+    w = Window.partitionBy("k").orderBy("o")
+    want = {r.o: r.p for r in df.select("o", F.lag("v", 1, 0).over(w).cast("decimal(10,2)").alias("p")).collect()}
+    assert {r.o: r.p for r in W.lag_default(df, ["k"], ["o"], "v", 0, "p").collect()} == want
+
+
+def test_numbered_is_gapless_and_keeps_repeats(spark, monkeypatch):
+    monkeypatch.setattr(W, "CHUNK", 7)
+    df = spark.createDataFrame([("b", 1)] * 20 + [("a", None), ("a", 2), (None, 3)] + [("c", i) for i in range(9)], "s string, n int")
+    got = sorted((r.i, r.s, r.n) for r in W.numbered(df, "i", segments=4).collect())
+    assert [g[0] for g in got] == list(range(1, 33))
+    assert [g[1:] for g in got] == [(None, 3), ("a", None), ("a", 2)] + [("b", 1)] * 20 + [("c", i) for i in range(9)]
+    assert W.numbered(df.limit(0), "i").count() == 0
+
+
+def test_key_join_spreads_a_hot_key(spark):
+    from gridbill.operators.common import SALTS, flagged, key_join
+    df = spark.range(0, 4000).select(F.when(F.col("id") % 5 < 4, 0).otherwise(F.col("id")).alias("k"), "id")
+    keys = spark.createDataFrame([(0,), (4,), (None,)], "k long").distinct()
+    assert key_join(df, keys, "k").count() == 3201
+    assert key_join(df, keys, "k", "left_anti").count() == 799
+    assert flagged(df, keys, "k", "f").where("f").count() == 3201
+    part = df.where("k = 0").groupBy(F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).count()
+    assert max(r["count"] for r in part.collect()) < 0.15 * 4000  # 80 % of the rows, spread
+
+
+def _largest_task_share(spark, build, rows):
+    """Share of ``rows`` in the largest partition that the key-set join of ``build()`` reads, without broadcasts."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in build().groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[0])
+        spark.conf.set("spark.sql.adaptive.enabled", old[1])
+    return max(sizes) / rows
+
+
+def test_hot_keys_of_the_write_paths_are_spread(spark, tables):
+    """80 % of the rows on one meter, customer or bill: no join task holds half of them (8 partitions)."""
+    from gridbill.operators import maintain as M
+    from gridbill.operators.common import flagged, key_join
+    n = 4000
+    ids = spark.range(0, n)
+    hot = lambda p: F.concat(F.lit(p), F.when(F.col("id") % 5 < 4, 0).otherwise(F.col("id")).cast("string"))
+    readings = ids.select(F.col("id").alias("ReadingID"), hot("M").alias("MeterID"))
+    payments = ids.select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("PaymentID"), hot("B").alias("BillID"))
+    gone = spark.createDataFrame([("M0",), ("M4",)], "MeterID string")
+    bills = spark.createDataFrame([("B0",), ("B4",)], "BillID string")
+    for build in (lambda: key_join(readings, gone.distinct(), "MeterID"),  # history of the meters to bill
+                  lambda: key_join(payments, bills.distinct(), "BillID", "left_anti"),  # cascading deletes
+                  lambda: flagged(payments, bills.distinct(), "BillID", "f")):  # audit, posting, append checks
+        assert _largest_task_share(spark, build, n) < 0.5
+    t = tables(meter=[{"MeterID": "M0", "CustomerID": "C"}])
+    checked = M._check_batch(readings.select("MeterID"), {}, None, t.meter, [("MeterID", t.meter, "MeterID")])
+    assert checked.where("Outcome = 'accepted'").count() == n * 4 // 5
 
 
 def test_partitioned_rank_matches_rank(spark):
