@@ -23,6 +23,19 @@ ADMIN_REPORTS = {
     "payment-log": L.payment_log,
 }
 
+# The reports' names and column headings, in the order of their columns.
+ADMIN_TITLES = {
+    "new-customers": ("New Customer Registrations", ("Customer ID", "Name", "Type", "Registration Date", "Email", "Phone")),
+    "readings-log": ("Meter Reading Log", ("Reading ID", "Meter ID", "Reading Value", "Reading Date", "Field Officer ID")),
+    "payment-log": ("Payment Received Log", ("Payment ID", "Bill ID", "Payment Amount", "Payment Date", "Method", "Cashier ID")),
+}
+
+
+def titled(report: DataFrame, report_type: str) -> tuple[str, DataFrame]:
+    """An admin report's name, and the report under its column headings (for exports)."""
+    name, headings = ADMIN_TITLES[report_type]
+    return name, report.toDF(*headings)
+
 
 def admin_report(t: Tables, report_type: str, start: DateLike | None = None,
                  end: DateLike | None = None) -> DataFrame:

@@ -288,6 +288,15 @@ def test_billing_run_twice_adds_nothing(tables):
     assert B.double_billed(t2.bill).count() == 0
 
 
+def test_admin_reports_have_names_and_headings(tables):
+    from gridbill.plans import reports
+    t = tables(customer=[_cust(1)])
+    for kind in reports.ADMIN_REPORTS:
+        name, df = reports.titled(reports.admin_report(t, kind), kind)
+        assert name and len(df.columns) == len(reports.ADMIN_TITLES[kind][1])
+    assert reports.titled(reports.admin_report(t, "new-customers"), "new-customers")[1].columns[0] == "Customer ID"
+
+
 def test_unknown_report_type_raises(tables):
     import pytest
 
