@@ -194,14 +194,15 @@ class Cascade:
 
 
 def _audit(parts: Sequence[tuple[str, DataFrame, DataFrame, str]]) -> DataFrame:
-    """Deleted / Remaining per entity. Each table is read once: flagged by its doomed
-    keys (in parts, so a hot key stays spread) and counted in one aggregate."""
+    """Deleted / Remaining per entity. Each table is read once and counted per key before
+    it meets the doomed keys, so a key with many rows is one row in the join."""
     rows = []
     for name, table, gone, key in parts:
-        j = flagged(table.select(key), gone.select(key).distinct(), key, "_gone")
-        rows.append(j.agg(F.count(F.lit(1)).alias("_all"), F.count_if("_gone").alias("_del")).select(
-            F.lit(name).alias("Entity"), F.col("_del").cast("bigint").alias("Deleted"),
-            (F.col("_all") - F.col("_del")).cast("bigint").alias("Remaining")))
+        per_key = table.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        j = per_key.join(gone.select(key).distinct().withColumn("_gone", F.lit(True)), key, "left")
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+        rows.append(j.agg(total("_n").alias("_all"), total(F.when(F.col("_gone"), F.col("_n"))).alias("_del")).select(
+            F.lit(name).alias("Entity"), F.col("_del").alias("Deleted"), (F.col("_all") - F.col("_del")).alias("Remaining")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
