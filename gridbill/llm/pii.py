@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridbill.llm import common
+from gridbill.llm import common, sample
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, REACH = 64, 32
@@ -344,8 +344,8 @@ def sample_windows(docs: DataFrame, most: int = TRAIN_WINDOWS) -> list[str]:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["w"])
 
-    found = docs.select("text").mapInArrow(run, "w string").where(F.length("w") > 8)
-    return [r["w"] for r in found.orderBy(F.xxhash64("w"), "w").limit(most).collect()]
+    found = common.stored(docs.select("text").mapInArrow(run, "w string").where(F.length("w") > 8), "windows")
+    return [r["w"] for r in sample.lowest(found, F.pmod(F.xxhash64("w"), F.lit(1 << 30)), most, found.count()).collect()]
 
 
 def written(spans: list[Span]) -> str:

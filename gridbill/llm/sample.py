@@ -12,6 +12,21 @@ def fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
+def place() -> Column:
+    """Where an id falls among 2^30 places, by hash."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+
+
+def lowest(df: DataFrame, place: Column, most: int, rows: int) -> DataFrame:
+    """The ``most`` rows with the lowest places (below 2^30) of a frame of ``rows`` rows.
+
+    Rows far above the bound are left out first, so that the tasks together hand over
+    about twice ``most`` rows however many tasks there are.
+    """
+    bound = min(1.0, (2 * most + 50) / max(1, rows))
+    return df.where(place < F.lit(int(bound * (1 << 30)))).orderBy(place, *df.columns).limit(most)
+
+
 def labelled(documents: DataFrame, labels: DataFrame, label: str, keep: Column, most: dict[int, int]) -> tuple[list[tuple[int, int, str]], dict[int, int]]:
     """([(doc_id, label, text)], rows of each label): at most ``most[label]`` rows of each label, collected.
 
@@ -22,7 +37,7 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, keep: Column,
     """
     own = labels.where(keep & F.col("doc_id").isNotNull() & F.col(label).isin(*most)).groupBy("doc_id").agg(F.max(label).alias("label"))
     counts = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
-    ids = [r for k, n in most.items() for r in own.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
+    ids = [r for k, n in most.items() for r in lowest(own.where(F.col("label") == k), place(), n, counts.get(k, 0)).collect()]
     if not ids:
         return [], counts
     chosen = documents.sparkSession.createDataFrame(ids, "doc_id long, label int")
