@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import struct
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,7 @@ def mapped(s: str, table: dict[int, str] = dict(enumerate(byte_characters()))) -
     return s.encode().decode("latin-1").translate(table)
 
 
+@lru_cache(2)
 def read_ranks(path: str) -> list[bytes]:
     """The tokens of a rank file (base64 token and rank on each line) in order of rank."""
     with open(path, "rb") as f:
@@ -82,24 +83,21 @@ def model_proto(tokens: list[bytes]) -> bytes:
     return b"".join(out) + _field(2, trainer) + _field(3, normalizer)
 
 
-@cache
-def _loaded(path: str) -> tuple:
-    import sentencepiece
+def encoder(path: str, pattern: str) -> Encoder:
+    """Whole texts to packed little-endian unsigned 32-bit ids."""
 
-    tokens = read_ranks(path)
-    return sentencepiece.SentencePieceProcessor(model_proto=model_proto(tokens)), tokens
+    def build() -> Encoder:
+        import sentencepiece
 
+        model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(read_ranks(path)))
+        return Encoder(pattern, lambda pre: model.encode(list(map(mapped, pre)), num_threads=1))
 
-@cache  # one for each worker process: what it remembers serves the next task too
-def encoder(path: str, pattern: str) -> Encoder:
-    """Whole texts to packed little-endian unsigned 32-bit ids."""
-    model, _ = _loaded(path)
-    return Encoder(pattern, lambda pre: model.encode(list(map(mapped, pre)), num_threads=1))
+    return common.held(("bpe", path, pattern), build)
 
 
 def decoder(path: str):
     """Packed ids to the bytes they stand for."""
-    _, tokens = _loaded(path)
+    tokens = read_ranks(path)
     return lambda packed: b"".join([tokens[i] for i in np.frombuffer(packed or b"", "<u4").tolist()])
 
 

@@ -43,6 +43,21 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, build: Callable[[], object]) -> object:
+    """What ``build`` makes, kept by this process until another key is asked for.
+
+    Worker processes serve the tasks of many operators one after another; so what an
+    operator remembers serves its next task, and is gone when another operator comes.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` (or a lambda in it) refers to it."""
     return F.transform(F.array(value), use)[0]

@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +84,7 @@ class Model:
     calibration: tuple | None = None
 
     def compressors(self) -> tuple:
-        return _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
+        return common.held(("toxicity", self.ordinary, self.toxic), lambda: (_compressor(self.ordinary), _compressor(self.toxic + self.ordinary)))
 
     def features(self, text: str | None) -> list[float]:
         """Savings over the windows: mean, largest, sum over the root of the number, shares of 2 and 3 bytes."""
@@ -101,7 +100,6 @@ class Model:
         return sample.probability(self.calibration, np.array([self.features(t) for t in texts]).reshape(-1, 6))
 
 
-@cache  # for each worker process
 def _compressor(data: bytes) -> zstandard.ZstdCompressor:
     how = zstandard.ZstdCompressionParameters.from_level(
         LEVEL, source_size=64, dict_size=len(data), format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0
