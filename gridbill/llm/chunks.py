@@ -22,20 +22,18 @@ _MARKS = ".,;:!?"
 class Encoder:
     """Whole texts to packed little-endian unsigned 32-bit ids through a bounded memory of encoded stretches."""
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[list[int]]], most: int = 400_000):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[list[int]]], most: int = 300_000):
         """``encode``: pre-tokens to ids; ``most``: stretches remembered before the memory is emptied."""
         import regex
 
         self.cut, self.encode, self.most = regex.compile(pattern), encode, most
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def pre_tokens(self, s: str) -> list[str]:
-        """Matches of the pattern; a blank and letters, and then perhaps one mark, are seen without it."""
-        if s[:1] == " " and max(s) < _KNOWN_LETTERS:
-            if s[1:].isalpha():
-                return [s]
-            if s[-1] in _MARKS and s[1:-1].isalpha():
-                return [s[:-1], s[-1]]
+        """Matches of the pattern; a blank and letters are seen without it."""
+        if s[:1] == " " and s[1:].isalpha() and (s.isascii() or max(s) < _KNOWN_LETTERS):
+            return [s]
         return self.cut.findall(s)
 
     def stretches(self, some: list[str]) -> list[bytes]:
@@ -53,16 +51,24 @@ class Encoder:
             cut = [""] if not text else _CUT.split(text) if _RUNS.search(text) else text.split(" ")
             firsts.append(cut.pop(0))
             got = list(map(known.get, cut))
-            lacks = None in got
-            if lacks:
-                new.update([w for w, g in zip(cut, got, strict=True) if g is None])
-            rests.append(cut if lacks else None)
+            lacks = [i for i, g in enumerate(got) if g is None] if None in got else []
+            for i in lacks:
+                w = cut[i]
+                # letters and one mark are two pre-tokens, so only the letters are remembered
+                if w[-1] in _MARKS and w[:-1].isalpha() and (w.isascii() or max(w) < _KNOWN_LETTERS):
+                    w = w[:-1]
+                if w not in known:
+                    new.add(w)
+            rests.append((cut, lacks))
             found.append(got)
         fresh = list(new)
         for i in range(0, len(fresh), 4096):
             some = fresh[i : i + 4096]
             known.update(zip(some, self.stretches([" " + w for w in some]), strict=True))
-        return [
-            a + b"".join(got if cut is None else [known[w] if g is None else g for w, g in zip(cut, got, strict=True)])
-            for a, cut, got in zip(self.stretches(firsts), rests, found, strict=True)
-        ]
+        if not self.marks:
+            self.marks = dict(zip(_MARKS, self.stretches(list(_MARKS)), strict=True))
+        for (cut, lacks), got in zip(rests, found, strict=True):
+            for i in lacks:
+                w = cut[i]
+                got[i] = known.get(w) or known[w[:-1]] + self.marks[w[-1]]
+        return [a + b"".join(got) for a, got in zip(self.stretches(firsts), found, strict=True)]

@@ -13,14 +13,14 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridbill.llm import common
 from gridbill.llm.bpe import mapped
@@ -32,31 +32,29 @@ HEAD, LENGTH = struct.Struct("<qI"), struct.Struct("<Q")
 READ_BYTES = 8 << 20
 
 
-@cache  # one for each worker process
 def encoder(path: str, pattern: str) -> Encoder:
     """Whole texts to packed ids by the ``tokenizers`` library's model, pre-token by pre-token.
 
     Only for a tokenizer that is a byte-level BPE and nothing else (checked), whose
     pre-tokens are those of ``pattern``.
     """
-    from tokenizers import Tokenizer, models, pre_tokenizers
 
-    t = Tokenizer.from_file(path)
-    if t.normalizer or not isinstance(t.model, models.BPE) or not isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel) or t.pre_tokenizer.add_prefix_space:
-        raise ValueError("a plain byte-level BPE tokenizer is asked for")
-    tokenize = t.model.tokenize
-    return Encoder(pattern, lambda pre: [[x.id for x in tokenize(mapped(p))] for p in pre])
+    def build() -> Encoder:
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
+        t = Tokenizer.from_file(path)
+        if t.normalizer or not isinstance(t.model, models.BPE) or not isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel) or t.pre_tokenizer.add_prefix_space:
+            raise ValueError("a plain byte-level BPE tokenizer is asked for")
+        tokenize = t.model.tokenize
+        return Encoder(pattern, lambda pre: [[x.id for x in tokenize(mapped(p))] for p in pre])
 
-def encode(df: DataFrame, path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): packed unsigned 32-bit ids of each whole text and ``end_id``; a null text is an empty one."""
-    end = struct.pack("<I", end_id)
+    return common.held(("records", path, pattern), build)
 
-    def make():
-        enc = encoder(path, pattern)
-        return lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([x + end for x in enc(b.column(1).to_pylist())], pa.binary())], [id_col, "ids"])
 
-    return common.map_batches(df.select(id_col, text_col), text_col, make, f"`{id_col}` bigint, ids binary", 4 << 20)
+def encoding(path: str, pattern: str, end_id: int) -> Callable[[list[str | None]], list[bytes]]:
+    """Whole texts to packed unsigned 32-bit ids with ``end_id`` at the end; a null text is an empty one."""
+    enc, end = encoder(path, pattern), struct.pack("<I", end_id)
+    return lambda texts: [x + end for x in enc(texts)]
 
 
 def payload(doc_id: int | None, ids: bytes) -> bytes:
@@ -104,13 +102,14 @@ def unframed(source) -> Iterator[list[bytes]]:
             return
 
 
-def write(df: DataFrame, path: str, id_col: str = "doc_id") -> list[tuple[str, int, int]]:
-    """Write (id, ids) as shards in ascending order of id; (shard, records, ids) of each shard, in that order.
+def write(df: DataFrame, path: str, make: Callable[[], Callable[[list], list[bytes]]], id_col: str = "doc_id", column: str = "text") -> list[tuple[str, int, int]]:
+    """Write a table that is in ascending order of id, partition after partition, as shards; (shard, records, ids)
+    of each shard, in that order.
 
-    Ids are dealt out by range, so shards are even whatever the ids are; equal ids
-    lie together in order of their content, null ids first. A shard is written under
-    a name of the task's attempt and then renamed, so a task that runs again
-    replaces it by the same bytes. An empty table gives no shard.
+    ``make`` gives, once for each task, the function from values of ``column`` to packed
+    ids. Each partition is a shard. It is written under a name of the task's attempt and
+    then renamed, so a task that runs again replaces it by the same bytes. An empty
+    table gives no shard.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +119,12 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id") -> list[tuple[str, i
         temporary = f"{base}/.{name}-{task.taskAttemptId()}"
         out, at, starts, n_ids = None, 0, [], 0
         for b in batches:
-            for s in common.slices(b, "ids", 4 << 20):
+            for s in common.slices(b, column, 4 << 20):
                 if out is None:
+                    pack = make()
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{temporary}.rec")
-                ids = s.column("ids").to_pylist()
+                ids = pack(s.column(column).to_pylist())
                 n_ids += sum(map(len, ids)) // 4
                 framed = frames([payload(d, x) for d, x in zip(s.column(id_col).to_pylist(), ids, strict=True)])
                 for f in framed:
@@ -140,13 +140,14 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id") -> list[tuple[str, i
             store.move(f"{temporary}.{kind}", f"{base}/{name}.{kind}")
         yield pa.RecordBatch.from_pydict({"shard": [name], "records": [len(starts)], "n_ids": [n_ids]})
 
-    written = df.select(id_col, "ids").mapInArrow(run, "shard string, records long, n_ids long")
+    written = df.select(id_col, column).mapInArrow(run, "shard string, records long, n_ids long")
     return sorted(tuple(r) for r in written.collect())  # one row for each shard
 
 
-def read(spark: SparkSession, path: str, shards: list[tuple[str, int, int]], id_col: str = "doc_id") -> DataFrame:
-    """(id, start, ids) of all records of ``shards``: ``start`` counts the ids of all records before."""
-    schema, before, rows = f"`{id_col}` long, start long, ids binary", 0, []
+def read(spark: SparkSession, path: str, shards: list[tuple[str, int, int]], take: Callable[[bytes], object] = bytes, kind: str = "binary", id_col: str = "doc_id") -> DataFrame:
+    """(id, start, n_ids, value) of all records of ``shards``: ``start`` counts the ids of all records before,
+    ``value`` is what ``take`` makes of the packed ids (as they are by default), of type ``kind``."""
+    schema, before, rows = f"`{id_col}` long, start long, n_ids long, value {kind}", 0, []
     for shard, _, n_ids in shards:
         rows.append((shard, before))
         before += n_ids
@@ -162,10 +163,9 @@ def read(spark: SparkSession, path: str, shards: list[tuple[str, int, int]], id_
                         both = [parsed(d) for d in datas]
                         counts = np.array([len(x) // 4 for _, x in both], np.int64)
                         yield pa.RecordBatch.from_arrays([
-                            pa.array([d for d, _ in both], pa.int64()),
-                            pa.array(start + np.cumsum(counts) - counts, pa.int64()),
-                            pa.array([x for _, x in both], pa.binary()),
-                        ], [id_col, "start", "ids"])
+                            pa.array([d for d, _ in both], pa.int64()), pa.array(start + np.cumsum(counts) - counts, pa.int64()),
+                            pa.array(counts), pa.array([take(x) for _, x in both]),
+                        ], [id_col, "start", "n_ids", "value"])
                         start += int(counts.sum())
 
     return spark.createDataFrame(rows, "shard string, start long").repartition(len(rows)).mapInArrow(run, schema)
@@ -181,22 +181,17 @@ def fetch(path: str, shard: str, i: int) -> tuple[int | None, bytes]:
         return parsed(next(unframed(pa.BufferReader(source.read_at(n + 16, at))))[0])
 
 
+def in_order(docs: DataFrame, id_col: str = "doc_id", column: str = "text") -> DataFrame:
+    """Rows dealt out by ranges of id, so shards are even whatever the ids are; equal ids in order of their content, null ids first."""
+    return docs.select(id_col, column).repartitionByRange(id_col).sortWithinPartitions(id_col, column)
+
+
 def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document, from the record files: ids before it, its ids with the end id, their CRC-32."""
     import public_tokenizers
 
-    path = common.shared_dir(spark, "records")
-    docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ids = encode(ordered, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, 0)
-    records = read(spark, path, write(ids, path))
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            packed = b.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), b.column("start"), pa.array([len(x) // 4 for x in packed], pa.int64()),
-                pa.array([zlib.crc32(x) for x in packed], pa.int64()),
-            ], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return records.mapInArrow(sums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    path, vocabulary, pattern = common.shared_dir(spark, "records"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+    docs = in_order(common.table(spark, sf_dir, "documents", "doc_id", "text"))
+    shards = write(docs, path, lambda: encoding(vocabulary, pattern, 0))
+    records = read(spark, path, shards, zlib.crc32, "long")
+    return records.select("doc_id", "start", F.col("n_ids").alias("n_tokens"), F.col("value").alias("ids_crc32"))

@@ -93,18 +93,18 @@ def test_record_files(spark, documents):
     rows = [(i * 7 % 10, t) for i, t in enumerate(ODD)] + [(4, "again"), (None, "no id")]
     path = common.shared_dir(spark, "test-records")
     ordered = documents(rows).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id", "text")
-    shards = records.write(records.encode(ordered, P.path(records.VOCABULARY), P.PATTERN, 0), path)
+    shards = records.write(ordered, path, lambda: records.encoding(P.path(records.VOCABULARY), P.PATTERN, 0))
     got = sorted(records.read(spark, path, shards).collect(), key=lambda r: r.start)
     expected = sorted(((i, t) for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     start = 0
     for r, (i, t) in zip(got, expected, strict=True):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
-        assert (r.doc_id, r.start, bytes(r.ids)) == (i, start, packed(ids))
+        assert (r.doc_id, r.start, bytes(r.value)) == (i, start, packed(ids))
         start += len(ids)
     k = 0
     for shard, n, _ in shards:  # shuffled reads by the offset index
         for j in range(n):
-            assert records.fetch(path, shard, j) == (expected[k + j][0], bytes(got[k + j].ids))
+            assert records.fetch(path, shard, j) == (expected[k + j][0], bytes(got[k + j].value))
         k += n
 
 
@@ -122,7 +122,7 @@ def test_damaged_record_is_found(tmp_path):
 
 def test_no_records(spark, documents):
     path = common.shared_dir(spark, "test-none")
-    shards = records.write(records.encode(documents([]), P.path(records.VOCABULARY), P.PATTERN, 0), path)
+    shards = records.write(records.in_order(documents([])), path, lambda: records.encoding(P.path(records.VOCABULARY), P.PATTERN, 0))
     assert shards == [] and records.read(spark, path, shards).count() == 0
 
 
