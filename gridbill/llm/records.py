@@ -30,6 +30,8 @@ from gridbill.llm.crc32c import crc32c, masked
 VOCABULARY = "byte_bpe_50k.json"
 HEAD, LENGTH = struct.Struct("<qI"), struct.Struct("<Q")
 READ_BYTES = 8 << 20
+#: Stretches that a worker remembers, about 200 bytes each.
+REMEMBERED = 800_000
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -46,7 +48,7 @@ def encoder(path: str, pattern: str) -> Encoder:
         if t.normalizer or not isinstance(t.model, models.BPE) or not isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel) or t.pre_tokenizer.add_prefix_space:
             raise ValueError("a plain byte-level BPE tokenizer is asked for")
         tokenize = t.model.tokenize
-        return Encoder(pattern, lambda pre: [[x.id for x in tokenize(mapped(p))] for p in pre])
+        return Encoder(pattern, lambda pre: [[x.id for x in tokenize(mapped(p))] for p in pre], most=REMEMBERED)
 
     return common.held(("records", path, pattern), build)
 
