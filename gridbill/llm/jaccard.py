@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from gridbill.llm import common
 
 WORDS = 5
-#: Frequent shingles, known to every task: those of the largest document counts, this many at most.
+#: Frequent shingles, known to every task: those of the largest document counts, about this many at most.
 FREQUENT, FREQUENT_FROM = 100_000, 8
 #: Shingles in one range of the count, about.
 RANGE = 4 << 20
+#: Ids of classes whose texts are fetched are broadcast up to this number (16 bytes each), else joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Sizes above this are always heavy.
 LIGHT_MOST = 64
 
@@ -53,6 +55,7 @@ def shingles(text: str | None) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
+    common.held("shingles", bool)  # lets go of what other operators have left in this process
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     if n < WORDS:
         return _mix(np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=n)], np.uint64))
@@ -138,7 +141,11 @@ def frequencies(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray, f
 
     counted = common.stored(docs.mapInArrow(pack, "r long, pack binary").groupBy("r").applyInArrow(count, "slot long, c long, s1 double, s2 double"), "frequencies")
     s1, s2 = counted.agg(F.coalesce(F.sum("s1"), F.lit(0.0)), F.coalesce(F.sum("s2"), F.lit(0.0))).first()
-    top = np.array([tuple(r) for r in counted.where("slot is not null").select("slot", "c").orderBy(F.desc("c"), "slot").limit(FREQUENT).collect()], np.int64).reshape(-1, 2)
+    often = counted.where("slot is not null").select("slot", "c")
+    n = often.count()
+    if n > FREQUENT:  # which ones are left out at the border changes only costs
+        often = often.where(F.col("c") > often.agg(F.percentile_approx("c", 1 - FREQUENT / n, 100_000)).first()[0])
+    top = np.array([tuple(r) for r in often.collect()], np.int64).reshape(-1, 2)
     top = top[np.argsort(top[:, 0])]
     return top[:, 0].astype(np.uint64), top[:, 1], s2 / s1 if s1 else 1.0
 
@@ -218,8 +225,11 @@ def _may_link(a: str, b: str) -> Column:
     return (5 * F.least(n, k) >= 4 * F.greatest(n, k)) & linked(F.least(n - F.col(f"{a}pos"), k - F.col(f"{b}pos")), n, k)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, ok) for pairs of classes: whether their whole sets link."""
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, clean: bool) -> DataFrame:
+    """(a, b, ok), stored: whether the whole sets of two classes link. Only texts of classes in ``pairs`` are moved."""
+    pairs = common.stored(pairs, "pairs")
+    asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    texts = common.stored(_texts(docs, common.stored(reps.join(asked, "cls").select("rep", "cls"), "asked"), clean), "texts")
     with_b = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -242,7 +252,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     ok.append(bool(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
                 yield pa.RecordBatch.from_arrays([s.column("a"), s.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, ok boolean")
+    return common.stored(with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, ok boolean"), "verified")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -280,15 +290,13 @@ def groups(docs: DataFrame) -> DataFrame:
     slots, counts, length = frequencies(docs.select("text"), ranges)
     members = common.stored(lists(entries(docs.select("text"), (slots, counts), ranges, boundary(sizes, length))), "lists")
     reps = common.stored(sized.where("n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep")), "reps")
-    texts = common.stored(_texts(docs, reps.join(members.select("cls").distinct(), "cls", "left_semi")), "texts")
+    clean = sized.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
 
     star = members.where(F.col("cls") != F.col("hub.cls")).select("cls", "n", "pos", *(F.col(f"hub.{c}").alias(f"h{c}") for c in ("cls", "n", "pos")))
     pairs = star.where(_may_link("", "h")).select(F.least("cls", "hcls").alias("a"), F.greatest("cls", "hcls").alias("b")).distinct()
-    first = common.stored(verified(pairs, texts), "verified")
-    links = first.where("ok").select("a", "b")
-    rest = _rest(members, components(links), first)
-    more = common.stored(verified(rest, texts), "verified")
-    links = common.stored(links.unionByName(more.where("ok").select("a", "b")), "links")
+    first = verified(pairs, docs, reps, clean)
+    rest = _rest(members, components(first.where("ok")), first)
+    links = first.unionByName(verified(rest, docs, reps, clean)).where("ok").select("a", "b")
     labels = components(links)
 
     own = reps.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -309,9 +317,15 @@ def _rest(members: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
     return met.select(F.col("acls").alias("a"), F.col("bcls").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def _texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(cls, text): a text of each class, from its smallest document (of rows with one id, the one of the class)."""
-    few = docs.join(reps.select(F.col("rep").alias("doc_id"), "cls"), "doc_id").select("cls", "text")
+def _texts(docs: DataFrame, asked: DataFrame, clean: bool) -> DataFrame:
+    """(cls, text): a text of each class in ``asked`` (rep, cls), from its smallest document.
+
+    ``clean``: each id has one row; else only rows of the class count, and one of them.
+    """
+    ids = asked.select(F.col("rep").alias("doc_id"), "cls")
+    few = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id").select("cls", "text")
+    if clean:
+        return few
 
     def make():
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
