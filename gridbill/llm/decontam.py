@@ -18,7 +18,9 @@ from gridbill.llm import common
 WIDTH = 8
 #: Words of a window that must not be placeholders.
 LITERALS = 4
-#: Share of an item's windows that a document must hold.
+#: Consecutive windows of an item that make a quote of it (11 words).
+RUN = 4
+#: Share of an item's windows that a document must hold where it holds no such run (short items, items with many edits).
 SHARE = 0.5
 #: Benchmark windows up to this number are broadcast (24 bytes each and their slots); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -61,8 +63,15 @@ def windows(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     return df.select(id_col, F.inline(common.bound(apart, runs))).withColumn("literals", width - F.size("slots"))
 
 
+def _has_run(places: Column) -> Column:
+    """Whether sorted distinct places hold ``RUN`` consecutive ones."""
+    last = F.size(places) - (RUN - 1)
+    ends = lambda i: F.element_at(places, i + F.lit(RUN - 1)) - F.element_at(places, i) == RUN - 1
+    return F.when(last >= 1, F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), ends)).otherwise(F.lit(False))
+
+
 def _hits(documents: DataFrame, benchmark: DataFrame, width: int, literals: int) -> DataFrame:
-    """(doc_id, item_id, need, matched): windows of one width that are in document and item along consistent alignments."""
+    """(doc_id, item_id, need, matched, run): windows of one width that are in document and item along consistent alignments."""
     items = windows(benchmark, "item_id", "text", width).where(F.col("literals") >= literals)
     need = items.groupBy("item_id").agg(F.ceil(F.countDistinct("pos") * F.lit(SHARE)).alias("need"))
     items = items.join(need, "item_id").select("item_id", "need", "window", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
@@ -70,16 +79,16 @@ def _hits(documents: DataFrame, benchmark: DataFrame, width: int, literals: int)
         items = F.broadcast(items)
     met = windows(documents, "doc_id", "text", width).join(items, "window")
     lined = met.groupBy("doc_id", "item_id", "need", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.countDistinct("item_pos").alias("matched"),
         # at most one window for each place of the item: bounded by the item's length
+        F.array_sort(F.collect_set("item_pos")).alias("places"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
     )
     one_to_one = (F.size("pairs") == F.size(F.array_distinct("pairs.item_slots"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.slots")))
-    return lined.where(one_to_one).groupBy("doc_id", "item_id", "need").agg(F.sum("matched").alias("matched"))
+    return lined.where(one_to_one).groupBy("doc_id", "item_id", "need").agg(F.sum(F.size("places")).alias("matched"), F.max(_has_run(F.col("places"))).alias("run"))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_windows): documents that hold at least ``SHARE`` of the windows of a benchmark item.
+    """(doc_id, item_id, n_windows): documents that hold ``RUN`` consecutive windows of a benchmark item, or ``SHARE`` of its windows.
 
     Items shorter than a window are one window of their own length, if at least half
     of its words (two at least) are no placeholders; an item without a usable window
@@ -93,7 +102,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = _hits(documents, items, WIDTH, LITERALS)
     for n in short:  # at most WIDTH - 2 lengths
         found = found.unionByName(_hits(documents, items.where(size == n), n, max(2, -(-n // 2))))
-    return found.where("matched >= need").select("doc_id", "item_id", F.col("matched").cast("long").alias("n_windows"))
+    return found.where("run or matched >= need").select("doc_id", "item_id", F.col("matched").cast("long").alias("n_windows"))
 
 
 def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,16 @@ def test_short_items_and_empty_tables(spark, documents):
     assert decontam.contaminated(documents([(1, ITEM)]), bench).count() == 0
 
 
+def test_quotes_of_a_part(spark, documents):
+    rng = random.Random(4)
+    item = [f"word{rng.randrange(900)}" for _ in range(100)]
+    docs = [
+        (1, " ".join(["before", *item[:40], "after"])), (2, " ".join(["x", *item[60:71], "y"])),  # far less than half
+        (3, " ".join(["x", *item[60:70], "y"])), (4, " ".join(w for k in range(0, 90, 20) for w in [*item[k : k + 8], "else"])),  # no run
+    ]
+    assert leaks(spark, documents, docs, [(1, " ".join(item))]) == [(1, 1), (2, 1)]
+
+
 # --- 10: top-k ---------------------------------------------------------------------------------
 
 
