@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gridbill.llm import common
 
 WIDTH = 8
-#: Words of a window that must not be placeholders.
+#: Words of a window that must not be placeholders; with fewer, the placeholders' values must be equal too.
 LITERALS = 4
 #: Consecutive windows of an item that make a quote of it (11 words).
 RUN = 4
@@ -71,27 +71,45 @@ def _has_run(places: Column) -> Column:
 
 
 def _hits(documents: DataFrame, benchmark: DataFrame, width: int, literals: int) -> DataFrame:
-    """(doc_id, item_id, need, matched, run): windows of one width that are in document and item along consistent alignments."""
-    items = windows(benchmark, "item_id", "text", width).where(F.col("literals") >= literals)
-    need = items.groupBy("item_id").agg(F.ceil(F.countDistinct("pos") * F.lit(SHARE)).alias("need"))
-    items = items.join(need, "item_id").select("item_id", "need", "window", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    """(doc_id, item_id, matched, enough, run): windows of one width that are in document and item along consistent alignments.
+
+    ``matched`` counts windows of at least ``literals`` words that are no placeholders, and
+    literally equal windows where the document has no others of the item; ``enough`` tells
+    whether they are the share of the item's windows (of the literal ones if it has no others).
+    """
+    typed = F.col("literals") >= literals
+    keyed = lambda df: df.withColumn("window", F.when(typed, F.col("window")).otherwise(F.xxhash64("window", "slots")))
+    items = keyed(windows(benchmark, "item_id", "text", width))
+    share = lambda of: F.ceil(F.countDistinct(F.when(of, F.col("pos"))) * F.lit(SHARE))
+    need = items.groupBy("item_id").agg(F.struct(share(typed).alias("typed"), share(~typed).alias("literal")).alias("need"))
+    items = items.join(need, "item_id").select("item_id", "need", "window", typed.alias("typed"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     if items.count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
-    met = windows(documents, "doc_id", "text", width).join(items, "window")
+    met = keyed(windows(documents, "doc_id", "text", width)).join(items, "window")
     lined = met.groupBy("doc_id", "item_id", "need", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         # at most one window for each place of the item: bounded by the item's length
-        F.array_sort(F.collect_set("item_pos")).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
+        F.collect_set(F.struct("item_pos", "typed", (F.col("item_slots") == F.col("slots")).alias("equal"), F.arrays_zip("item_slots", "slots").alias("pairs"))).alias("met")
     )
-    one_to_one = (F.size("pairs") == F.size(F.array_distinct("pairs.item_slots"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.slots")))
-    return lined.where(one_to_one).groupBy("doc_id", "item_id", "need").agg(F.sum(F.size("places")).alias("matched"), F.max(_has_run(F.col("places"))).alias("run"))
+    pairs = F.array_distinct(F.flatten("met.pairs"))
+    one_to_one = lambda p: (F.size(p) == F.size(F.array_distinct(p["item_slots"]))) & (F.size(p) == F.size(F.array_distinct(p["slots"])))
+    others = lambda p, x: F.filter(p, lambda y: (y["item_slots"] == x["item_slots"]) | (y["slots"] == x["slots"]))
+    clash = common.bound(pairs, lambda p: F.when(one_to_one(p), F.slice(p, 1, 0)).otherwise(F.filter(p, lambda x: F.size(others(p, x)) > 1)))
+    held = common.bound(clash, lambda c: F.filter("met", lambda w: w["equal"] | ~F.arrays_overlap(w["pairs"], c)))
+    at = lambda which: F.size(F.array_distinct(F.filter("held", which)["item_pos"]))
+    counted = lined.select("doc_id", "item_id", "need", held.alias("held")).select(
+        "doc_id", "item_id", "need", at(lambda w: w["typed"]).alias("n_typed"), at(lambda w: ~w["typed"]).alias("n_literal"),
+        _has_run(F.array_sort(F.array_distinct("held.item_pos"))).alias("run"),
+    )
+    summed = counted.groupBy("doc_id", "item_id", "need").agg(F.sum("n_typed").alias("n_typed"), F.sum("n_literal").alias("n_literal"), F.max("run").alias("run"))
+    enough = F.when(F.col("need.typed") > 0, F.col("n_typed") >= F.col("need.typed")).otherwise(F.col("n_literal") >= F.col("need.literal"))
+    return summed.select("doc_id", "item_id", F.when(F.col("n_typed") > 0, F.col("n_typed")).otherwise(F.col("n_literal")).alias("matched"), enough.alias("enough"), "run")
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows): documents that hold ``RUN`` consecutive windows of a benchmark item, or ``SHARE`` of its windows.
 
-    Items shorter than a window are one window of their own length, if at least half
-    of its words (two at least) are no placeholders; an item without a usable window
+    Items shorter than a window are one window of their own length, literal unless at
+    least half of its words (two at least) are no placeholders; an item of one word
     matches nothing. Null texts have no words; rows with a null id are left out;
     repeated rows of one id count as one document.
     """
@@ -102,7 +120,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = _hits(documents, items, WIDTH, LITERALS)
     for n in short:  # at most WIDTH - 2 lengths
         found = found.unionByName(_hits(documents, items.where(size == n), n, max(2, -(-n // 2))))
-    return found.where("run or matched >= need").select("doc_id", "item_id", F.col("matched").cast("long").alias("n_windows"))
+    return found.where("run or enough").select("doc_id", "item_id", F.col("matched").cast("long").alias("n_windows"))
 
 
 def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,6 +160,19 @@ def test_quotes_of_a_part(spark, documents):
     assert leaks(spark, documents, docs, [(1, " ".join(item))]) == [(1, 1), (2, 1)]
 
 
+def test_edited_values_and_items_of_placeholders(spark, documents):
+    short = "then Anna gave her 3 apples to Boris and 5 to Clara"
+    numbers, title = "12 24 36 48 60 72 84 96 108 120", "The Quick Brown Fox Jumps Over The Lazy Dog Again"
+    docs = [
+        (1, ITEM.replace("Anna drove", "Boris drove")),  # one name edited to another of the item
+        (2, ITEM.replace("120", "10")),  # two numbers become equal in a copy
+        (3, f"x {numbers} y"), (4, f"see {title} now"), (5, numbers.replace("12 24", "24 12")), (6, "The Slow Brown Cat Runs Under The Lazy Cow Again"),
+        (7, "about 12 km away"), (8, "about 13 km away"), (9, short.replace("Anna", "Boris")),
+    ]
+    items = [(7, ITEM), (1, numbers), (2, title), (3, "12 km"), (4, "alone"), (5, short)]
+    assert leaks(spark, documents, docs, items) == [(1, 7), (2, 7), (3, 1), (4, 2), (7, 3), (9, 5)]
+
+
 # --- 10: top-k ---------------------------------------------------------------------------------
 
 
