@@ -108,6 +108,14 @@ def test_record_files(spark, documents):
         k += n
 
 
+def test_added_tokens_as_the_library_has_them():
+    tok = Tokenizer.from_file(P.path(records.VOCABULARY))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " x <|endoftext|> <|endoftext|>\n", "<|endoftext", None, "plain text"]
+    got = records.encoding(P.path(records.VOCABULARY), P.PATTERN, 0)(texts)
+    assert got == [packed([*tok.encode(t or "", add_special_tokens=False).ids, 0]) for t in texts]
+    assert 50256 in np.frombuffer(got[0], "<u4")
+
+
 def test_damaged_record_is_found(tmp_path):
     from pyarrow import BufferReader
 
