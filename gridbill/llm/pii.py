@@ -28,6 +28,8 @@ WINDOW, REACH = 64, 32
 HIDDEN, EPOCHS, BATCH, RATE = 24, 8, 64, 0.01
 #: Windows of documents that the tagger learns from, at most (those with the smallest hashes).
 TRAIN_WINDOWS = 1500
+#: Windows that are scored at once, about 25 kB each.
+AT_ONCE = 512
 
 # Possessive repeats and look-behinds change no match of the plain patterns; they keep long runs linear.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -153,10 +155,9 @@ class Tagger:
             legal[[t - 1, t], t] = True
         self.illegal = np.where(legal, 0.0, -1e4)
 
-    def _lstm(self, ids: np.ndarray, d: str) -> list[tuple]:
+    def _lstm(self, ids: np.ndarray, d: str) -> Iterator[tuple]:
         """States of one direction, step by step: (position, gates, cell before, cell, hidden before, hidden)."""
         h, c = np.zeros((len(ids), HIDDEN)), np.zeros((len(ids), HIDDEN))
-        out = []
         for t in range(ids.shape[1]) if d == ">" else range(ids.shape[1] - 1, -1, -1):
             z = self.w["X" + d][ids[:, t]] + h @ self.w["R" + d] + self.w["B" + d]
             z[:, : 3 * HIDDEN] = _sigmoid(z[:, : 3 * HIDDEN])
@@ -164,9 +165,8 @@ class Tagger:
             i, f, o, g = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
             now = f * c + i * g
             new = o * np.tanh(now)
-            out.append((t, z, c, now, h, new))
+            yield t, z, c, now, h, new
             h, c = new, now
-        return out
 
     def _hidden(self, states: dict[str, list[tuple]], shape: tuple) -> np.ndarray:
         both = np.empty((*shape, 2 * HIDDEN))
@@ -177,12 +177,16 @@ class Tagger:
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         """(windows, positions, tags)"""
-        return self._hidden({d: self._lstm(ids, d) for d in "<>"}, ids.shape) @ self.w["E"] + self.w["e"]
+        both = np.empty((*ids.shape, 2 * HIDDEN))
+        for k, d in enumerate("<>"):
+            for s in self._lstm(ids, d):
+                both[:, s[0], k * HIDDEN : (k + 1) * HIDDEN] = s[5]
+        return both @ self.w["E"] + self.w["e"]
 
     def gradients(self, ids: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log-likelihood of tag sequences under the CRF, and its gradients."""
         n, steps = ids.shape
-        states = {d: self._lstm(ids, d) for d in "<>"}
+        states = {d: list(self._lstm(ids, d)) for d in "<>"}
         both = self._hidden(states, ids.shape)
         em, trans = both @ self.w["E"] + self.w["e"], self.w["C"] + self.illegal
         alpha, beta = np.empty_like(em), np.zeros_like(em)
@@ -239,15 +243,16 @@ class Tagger:
         for block in _blocks(places):
             codes = [coded(texts[k][a:b]) for k, a, b in block]
             cuts = [(r, s) for r, c in enumerate(codes) for s in range(0, max(1, len(c) - WINDOW // 2), WINDOW // 2)]
-            ids = np.zeros((len(cuts), WINDOW), int)
-            for row, (r, s) in zip(ids, cuts, strict=True):
-                piece = codes[r][s : s + WINDOW]
-                row[: len(piece)] = piece
-            em = self.emissions(ids)
             sums = [np.zeros((len(c), TAGS + 1)) for c in codes]
-            for e, (r, s) in zip(em, cuts, strict=True):
-                n = min(WINDOW, len(codes[r]) - s)
-                sums[r][s : s + n] += np.c_[e, np.ones(WINDOW)][:n] * weigh[:n]
+            for first in range(0, len(cuts), AT_ONCE):
+                some = cuts[first : first + AT_ONCE]
+                ids = np.zeros((len(some), WINDOW), int)
+                for row, (r, s) in zip(ids, some, strict=True):
+                    piece = codes[r][s : s + WINDOW]
+                    row[: len(piece)] = piece
+                for e, (r, s) in zip(self.emissions(ids), some, strict=True):
+                    n = min(WINDOW, len(codes[r]) - s)
+                    sums[r][s : s + n] += np.c_[e, np.ones(WINDOW)][:n] * weigh[:n]
             for (k, a, _), x in zip(block, sums, strict=True):
                 x = x[:, :-1] / x[:, -1:]
                 if not (x.argmax(1) > 0).any():

@@ -122,6 +122,21 @@ def tagger():
     return pii.train([])
 
 
+def test_memory_of_one_long_region_is_bounded(tagger, monkeypatch):
+    import tracemalloc
+
+    text = "mail a (at) b.de 10 . 0 . 0 . 1 " + "12 " * 40000 + "x1 (at) y.org"
+    tracemalloc.start()
+    found = tagger.added([text], [[]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pii.regions(text)) == 1 and peak < 1000 * len(text)
+    short = text[:3000] + text[-300:]
+    some = tagger.added([short], [[]])
+    monkeypatch.setattr(pii, "AT_ONCE", 7)
+    assert tagger.added([short], [[]]) == some and len(found) == 1
+
+
 def test_tagger_gradients():
     rng = np.random.default_rng(0)
     t = pii.Tagger()
