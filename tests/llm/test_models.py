@@ -213,6 +213,17 @@ def test_constant_texts_are_template_where_there_is_no_article():
     assert wrappers.extracted(page.format(9), wrapper) == "Title 9 Text 9 More 9"
 
 
+def test_names_inside_an_article():
+    page = (
+        "<div class='post-share'>no</div><article><h2 id='related-work'>Related</h2><section id='search-algorithms'><p>Search</p></section><div class='content with-sidebar'>Body</div>"
+        "<p class='social-history'>History</p><p>Use <code class='header'>head</code> and <math><mi>x</mi></math></p>"
+        "<div class='ad box'>no</div><div role='search'>no</div><aside>no</aside><section class='comments'>no</section></article>"
+    )
+    main = "Related Search Body History Use head and x"
+    assert wrappers.extracted(page, None) == main
+    assert wrappers.extracted(page, wrappers.inferred([page, page.replace("Body", "Other"), page.replace("Search", "Find")])) == main
+
+
 def test_odd_pages():
     for page in (None, "", "plain text", "<", "<p", "<div>" * 5000 + "x", "</p></div>", "<a href='" + "x" * 1000, "&lt;p&gt; &#x41; &bogus; &amp", "<article>" * 3):
         assert isinstance(wrappers.extracted(page, None), str)
