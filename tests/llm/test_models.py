@@ -224,6 +224,26 @@ def test_names_inside_an_article():
     assert wrappers.extracted(page, wrappers.inferred([page, page.replace("Body", "Other"), page.replace("Search", "Find")])) == main
 
 
+def test_constants_and_layouts_of_a_host(spark):
+    page = "<div class=top><p>Same on all</p></div><div id=c><h2>{0}</h2><p>Text {1}</p></div>"
+    wrapper = wrappers.inferred([page.format("Head", k) for k in range(5)])
+    assert wrappers.extracted(page.format("Own", 9), wrapper) == "Own Text 9"
+    assert wrappers.extracted(page.format("Head", 1), wrappers.inferred([page.format("Head", 1)] * 3)) == "Same on all Head Text 1"
+    mixed = [page.format(f"H{k}", k) for k in range(4)] + [f"<div><p>out</p></div><article><p>in {k}</p></article>" for k in range(4)]
+    wrapper = wrappers.inferred(mixed)
+    assert [wrappers.extracted(p, wrapper) for p in (mixed[1], mixed[5])] == ["H1 Text 1", "in 1"]
+    # all sampled pages of one host have one headline; a page outside of the sample has another
+    rows = [(k, "http://a.org/" + str(k), page.format("Head", k)) for k in range(60)]
+    plain = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(plain, wrappers.infer(plain)).collect()}
+    assert got == {k: f"Text {k}" for k in range(60)}
+    first = wrappers.F.xxhash64("page_id", "url")
+    last = plain.orderBy(first.desc()).first().page_id
+    other = plain.withColumn("html", wrappers.F.when(wrappers.F.col("page_id") == last, page.format("Own", last)).otherwise(wrappers.F.col("html")))
+    got = {r.page_id: r.text for r in wrappers.extract(other, wrappers.infer(other)).collect()}
+    assert got == {k: f"{'Own' if k == last else 'Head'} Text {k}" for k in range(60)}
+
+
 def test_odd_pages():
     for page in (None, "", "plain text", "<", "<p", "<div>" * 5000 + "x", "</p></div>", "<a href='" + "x" * 1000, "&lt;p&gt; &#x41; &bogus; &amp", "<article>" * 3):
         assert isinstance(wrappers.extracted(page, None), str)
