@@ -25,22 +25,21 @@ from pyspark.sql import functions as F
 from ..functions.timewin import DateLike, in_month, to_date, to_datetime
 from ..schemas import BILL, MONEY, PAYMENT
 from ..sources.tables import Tables
-from .common import count_col, flagged, key_join
-from .joins import unbilled_readings
+from .bitmaps import repeated_ids, without_ids
+from .common import flagged, key_join, present_keys
+from .joins import billed_ids
 from .rating import rate_readings, reading_consumption
 from .validate import payment_rules, tag_errors
-from .windows import numbered
+from .windows import freeze, numbered
 
 DUE_DAYS = 14
 BILL_PREFIX = "BILL-R"
 
 
-def _bills_for(t: Tables, todo: DataFrame, bill_date: dt.date, due_date: dt.date | None) -> DataFrame:
-    # Readings to bill are unique by ReadingID; their meters' whole histories are
-    # needed for the previous values. Both key sets are joined in parts, so a meter
-    # or customer with a third of all readings stays spread.
-    cons = reading_consumption(t, todo.select("MeterID"))
-    rated = rate_readings(t, cons.join(todo.select("ReadingID"), "ReadingID", "left_semi"))
+def _bills_for(t: Tables, cons: DataFrame, bill_date: dt.date, due_date: dt.date | None) -> DataFrame:
+    # Previous values come from whole histories, so LAG runs once over the readings; the
+    # guard (no reading that stands on a bill) is then one bit test per reading.
+    rated = rate_readings(t, without_ids(cons, "ReadingID", billed_ids(t)))
     bd = F.lit(bill_date)
     return rated.select(
         F.concat(F.lit(BILL_PREFIX), F.col("ReadingID").cast("string")).alias("BillID"),
@@ -61,26 +60,26 @@ def billing_run(t: Tables, bill_date: DateLike, due_date: DateLike | None = None
 
     ``due_date`` defaults to ``DUE_DAYS`` days after the bill date.
     """
-    return _bills_for(t, unbilled_readings(t), to_date(bill_date), None if due_date is None else to_date(due_date))
+    cons = reading_consumption(t, known_only=True)
+    return _bills_for(t, cons, to_date(bill_date), None if due_date is None else to_date(due_date))
 
 
 def billing_run_month(t: Tables, month_of: DateLike, bill_date: DateLike | None = None,
                       customers: DataFrame | None = None, due_date: DateLike | None = None) -> DataFrame:
     """Bills for unbilled readings dated in ``month_of``'s month (first-of-month
     billing like the reference's procedure call), optionally for some customers."""
-    todo = unbilled_readings(t).join(
-        t.meter_reading.where(in_month("ReadingDate", month_of)).select("ReadingID"),
-        "ReadingID", "left_semi")
+    meters = None
     if customers is not None:
-        todo = key_join(todo, customers.select("CustomerID").distinct(), "CustomerID")
+        c = customers.select("CustomerID").where(F.col("CustomerID").isNotNull()).distinct()
+        meters = key_join(t.meter.select("MeterID", "CustomerID"), c, "CustomerID").select("MeterID")
+    cons = reading_consumption(t, meters, known_only=True).where(in_month("ReadingDate", month_of))
     bd = to_date(bill_date) if bill_date else to_date(month_of).replace(day=1)
-    return _bills_for(t, todo, bd, None if due_date is None else to_date(due_date))
+    return _bills_for(t, cons, bd, None if due_date is None else to_date(due_date))
 
 
 def double_billed(bills: DataFrame) -> DataFrame:
     """Readings that appear on more than one bill."""
-    return (bills.where(F.col("ReadingID").isNotNull()).groupBy("ReadingID")
-            .agg(count_col().alias("BillCount")).where(F.col("BillCount") > 1))
+    return repeated_ids(bills.select("ReadingID"), "ReadingID").withColumnRenamed("count", "BillCount")
 
 
 @dataclass
@@ -108,7 +107,7 @@ def post_payments(t: Tables, batch: DataFrame, as_of: DateLike, cashier: str | N
     * accepted rows get PaymentDate = ``as_of``
     * a bill touched by the batch becomes Paid when all its payments >= AmountDue
 
-    Stored payments are collapsed to one sum per bill before they meet the batch.
+    Stored payments are collapsed to one sum per bill, and only for bills of the batch.
     """
     ts = to_datetime(as_of)
     cols = set(batch.columns)
@@ -121,20 +120,19 @@ def post_payments(t: Tables, batch: DataFrame, as_of: DateLike, cashier: str | N
     given, bare = b.where(F.col("PaymentID").isNotNull()), b.where(F.col("PaymentID").isNull()).drop("PaymentID")
     prefix = f"PAY-{batch_id or ts.strftime('%Y%m%dT%H%M%S')}-"
     minted = numbered(bare, "_n").withColumn("PaymentID", F.concat(F.lit(prefix), F.col("_n").cast("string"))).drop("_n")
-    b = given.unionByName(minted)
+    b = freeze(given.unionByName(minted))
 
     repeats = b.groupBy("PaymentID").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("PaymentID")
-    probe = b.select("PaymentID").distinct()
-    stored_ids = t.payment.select("PaymentID").distinct().join(probe, "PaymentID", "left_semi")
     checked = tag_errors(b, payment_rules())
-    checked = flagged(checked, t.bill.select("BillID").distinct(), "BillID", "_known")
-    checked = flagged(checked, stored_ids, "PaymentID", "_stored")
-    checked = flagged(checked, repeats, "PaymentID", "_repeated")
+    checked = flagged(checked, present_keys(t.bill, "BillID", b), "BillID", "_known", counted=b)
+    checked = flagged(checked, present_keys(t.payment, "PaymentID", b), "PaymentID", "_stored", counted=b)
+    checked = flagged(checked, repeats, "PaymentID", "_repeated", counted=b)
     reason = F.coalesce(F.try_element_at(F.col("Errors"), F.lit(1)),
                         F.when(~F.col("_known"), F.lit("unknown bill")),
                         F.when(F.col("_stored"), F.lit("duplicate PaymentID")),
                         F.when(F.col("_repeated"), F.lit("repeated PaymentID")))
-    checked = checked.withColumn("Reason", reason)
+    # Frozen: each frame of the posting is a filter of the checked batch, and reads nothing stored again.
+    checked = freeze(checked.select(*b.columns, reason.alias("Reason")))
 
     accepted = checked.where(F.col("Reason").isNull()).select(
         "PaymentID", "BillID", "UserID", "PaymentAmount",
@@ -146,7 +144,8 @@ def post_payments(t: Tables, batch: DataFrame, as_of: DateLike, cashier: str | N
     # New money per bill, plus what those bills had already received: both sides are
     # one row per bill before they meet, so a bill with many payments is one row.
     new_paid = accepted.groupBy("BillID").agg(F.sum("PaymentAmount").alias("_new"))
-    old_paid = t.payment.groupBy("BillID").agg(F.sum("PaymentAmount").alias("_old"))
+    old_paid = (t.payment.join(new_paid.select("BillID"), "BillID", "left_semi")
+                .groupBy("BillID").agg(F.sum("PaymentAmount").alias("_old")))
     paid = new_paid.join(old_paid, "BillID", "left").select(
         "BillID", (F.col("_new") + F.coalesce(F.col("_old"), F.lit(0))).alias("_paid"))
     covered = F.col("_paid").isNotNull() & (F.col("_paid") >= F.col("AmountDue"))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.timewin import DateLike, in_month
 from ..schemas import OPEN_BILL_STATUSES
 from ..sources.tables import Tables
-from .common import key_join
+from .bitmaps import id_bitmaps, without_ids
+from .common import facts_of, key_join
 
 
 def _utilities(t: Tables) -> DataFrame:
@@ -37,17 +38,7 @@ def billing_ledger(t: Tables, ordered: bool = True) -> DataFrame:
     b = t.bill.select("BillID", "CustomerID", "BillDate", "AmountDue", "Status")
     p = t.payment.select("BillID", "PaymentDate")
     cols = ["BillID", "CustomerID", "BillDate", "AmountDue", "Status", "PaymentDate"]
-    # Same rows as bill LEFT JOIN payment, written so skew stays splittable: in an
-    # outer join AQE cannot split the non-preserved (payment) side, where a bill
-    # with a huge number of payments would sit in one task. The inner join can be
-    # split on either side, and the unpaid bills come from an anti join against
-    # the distinct paid bill ids (the distinct collapses a hot bill map-side).
-    paid = b.join(p, "BillID", "inner").select(*cols)
-    paid_ids = p.select("BillID").where(F.col("BillID").isNotNull()).distinct()
-    unpaid = (b.join(paid_ids, "BillID", "left_anti")  # one row per bill on either side
-              .withColumn("PaymentDate", F.lit(None).cast(p.schema["PaymentDate"].dataType))
-              .select(*cols))
-    out = paid.unionByName(unpaid)
+    out = facts_of(b, p, "BillID").select(*cols)
     if ordered:
         out = out.orderBy(F.col("BillDate").desc(), "BillID", F.col("PaymentDate").asc_nulls_first())
     return out
@@ -88,8 +79,8 @@ def meter_customer_outcome(t: Tables, meter_keys: DataFrame) -> DataFrame:
 
 
 def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-           strict: bool = False) -> DataFrame:
-    """``left.key NOT IN (SELECT key FROM right)``.
+           strict: bool = False, unique: bool = False) -> DataFrame:
+    """``left.key NOT IN (SELECT key FROM right)``; ``unique``: no key comes twice in ``left``.
 
     Default: anti join (a NULL on the right side matches nothing, rows survive).
     ``strict=True`` keeps SQL's three-valued logic: if the subquery yields any
@@ -98,7 +89,7 @@ def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     r = right.select(F.col(right_key).alias(left_key))
     # distinct() collapses a hot key of the right side where it is read; a hot key of the
     # left side is spread over parts (see key_join).
-    out = key_join(left, r.where(F.col(left_key).isNotNull()).distinct(), left_key, "left_anti")
+    out = key_join(left, r.where(F.col(left_key).isNotNull()).distinct(), left_key, "left_anti", unique=unique)
     if not strict:
         return out
     # One boolean comes back to the driver: does the subquery contain a NULL?
@@ -111,16 +102,26 @@ def unread_meters(t: Tables, as_of: DateLike, strict_not_in: bool = False) -> Da
     """Active meters with no reading in ``as_of``'s calendar month (route list)."""
     m = t.meter.where(F.col("Status") == "Active").select("MeterID", "CustomerID", "UtilityID")
     read = t.meter_reading.where(in_month("ReadingDate", as_of)).select("MeterID")
-    pending = not_in(m, read, "MeterID", "MeterID", strict_not_in)
+    pending = not_in(m, read, "MeterID", "MeterID", strict_not_in, unique=True)
     c = t.customer.select("CustomerID", "CustomerName", "ServiceAddress")
     return (pending.join(c, "CustomerID").join(_utilities(t), "UtilityID")
             .select("MeterID", "CustomerName", "ServiceAddress", "UtilityName"))
 
 
+def billed_ids(t: Tables) -> DataFrame:
+    """The reading ids that stand on a bill, as bitmaps."""
+    return id_bitmaps(t.bill.select("ReadingID"), "ReadingID")
+
+
 def unbilled_readings(t: Tables, strict_not_in: bool = False) -> DataFrame:
-    """Readings whose id appears on no bill, with the meter's owner."""
+    """Readings whose id appears on no bill, with the meter's owner.
+
+    The billed ids are shuffled and held as bitmaps, one row per 32,768 ids.
+    """
     r = t.meter_reading.select("ReadingID", "MeterID")
-    todo = not_in(r, t.bill.select("ReadingID"), "ReadingID", "ReadingID", strict_not_in)
+    todo = without_ids(r, "ReadingID", billed_ids(t))
+    if strict_not_in:
+        todo = not_in(r, t.bill.select("ReadingID"), "ReadingID", "ReadingID", True, unique=True)
     m = t.meter.select("MeterID", "CustomerID")
     return todo.join(m, "MeterID").select("ReadingID", "MeterID", "CustomerID")
 

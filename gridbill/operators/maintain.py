@@ -19,6 +19,7 @@ from ..functions.timewin import DateLike, to_date
 from ..schemas import CUSTOMER, METER, METER_READING, MONEY, TARIFF
 from ..sources.tables import Tables
 from .aggregates import tariff_bill_counts
+from .bitmaps import id_bitmaps, with_bit
 from .common import flagged, key_join, present_keys
 from .validate import ERRORS, customer_rules, meter_rules, missing, reading_rules, tag_errors, tariff_rules
 from .windows import freeze, numbered
@@ -42,17 +43,17 @@ def _check_batch(batch: DataFrame, rules: Mapping[str, Column], key: str | None,
     tagged = tag_errors(batch, rules)
     reason = _first_error()
     if key is not None:
-        tagged = flagged(tagged, present_keys(existing, key, batch), key, "_stored")
+        tagged = flagged(tagged, present_keys(existing, key, batch), key, "_stored", counted=batch)
         repeats = (batch.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
                    .where(F.col("_n") > 1).select(key))
-        tagged = flagged(tagged, repeats, key, "_dup_batch")
+        tagged = flagged(tagged, repeats, key, "_dup_batch", counted=batch)
         reason = F.coalesce(reason,
                             F.when(F.col("_stored"), F.lit(f"duplicate {key}")),
                             F.when(F.col("_dup_batch"), F.lit(f"repeated {key}")))
     for i, (col, parent, parent_key) in enumerate(fks):
         flag = f"_fk{i}"
         p = present_keys(parent, parent_key, batch, probe_key=col, alias=col)
-        tagged = flagged(tagged, p, col, flag)
+        tagged = flagged(tagged, p, col, flag, counted=batch)
         reason = F.coalesce(reason, F.when(F.col(col).isNotNull() & ~F.col(flag), F.lit(f"unknown {col}")))
     return tagged.withColumn(OUTCOME, F.coalesce(reason, F.lit("accepted")))
 
@@ -133,8 +134,7 @@ def append_readings(batch: DataFrame, meters: DataFrame, after_id: int = 0) -> D
         F.col("ReadingDate").cast("date").alias("ReadingDate"),
         F.nullif(F.col("Notes"), F.lit("")).alias("Notes") if "Notes" in batch.columns
         else F.lit(None).cast("string").alias("Notes"))
-    known = meters.select("MeterID").distinct()
-    tagged = flagged(tag_errors(b, reading_rules()), known, "MeterID", "_known")
+    tagged = flagged(tag_errors(b, reading_rules()), present_keys(meters, "MeterID", b), "MeterID", "_known", counted=b)
     reason = F.coalesce(_first_error(), F.when(~F.col("_known"), F.lit("unknown MeterID")), F.lit("accepted"))
     order = ["MeterID", "ReadingDate", "ReadingValue", "UserID", "Notes"]
     checked = freeze(tagged.select(*order, reason.alias(OUTCOME)))
@@ -177,7 +177,7 @@ def apply_updates(existing: DataFrame, updates: DataFrame, key: str, columns: Se
 def update_outcomes(existing: DataFrame, updates: DataFrame, key: str, rules: Mapping[str, Column]) -> DataFrame:
     """M1: one row per update with its Outcome: the first rule it breaks (a missing key
     included), 'not found', or 'updated' (a later update of the key may still win)."""
-    checked = flagged(tag_errors(updates, {f"missing {key}": missing(key), **rules}), present_keys(existing, key, updates), key, "_stored")
+    checked = flagged(tag_errors(updates, {f"missing {key}": missing(key), **rules}), present_keys(existing, key, updates), key, "_stored", counted=updates)
     outcome = F.coalesce(_first_error(), F.when(~F.col("_stored"), F.lit("not found")), F.lit("updated"))
     return checked.withColumn(OUTCOME, outcome).select(*updates.columns, OUTCOME)
 
@@ -221,8 +221,8 @@ def delete_customers(t: Tables, keys: DataFrame) -> Cascade:
     """M2: delete customers and, first, their payments, bills, readings and meters.
     Bills are chosen by CustomerID."""
     k = keys.select("CustomerID").where(F.col("CustomerID").isNotNull()).distinct()
-    bills_gone = key_join(t.bill.select("BillID", "CustomerID"), k, "CustomerID").select("BillID").distinct()
-    meters_gone = key_join(t.meter.select("MeterID", "CustomerID"), k, "CustomerID").select("MeterID").distinct()
+    bills_gone = key_join(t.bill.select("BillID", "CustomerID"), k, "CustomerID").select("BillID")
+    meters_gone = key_join(t.meter.select("MeterID", "CustomerID"), k, "CustomerID").select("MeterID")
     payment = key_join(t.payment, bills_gone, "BillID", "left_anti")
     bill = key_join(t.bill, k, "CustomerID", "left_anti")
     reading = key_join(t.meter_reading, meters_gone, "MeterID", "left_anti")
@@ -238,8 +238,9 @@ def delete_meters(t: Tables, keys: DataFrame) -> Cascade:
     """M3: delete meters with their readings, the bills of those readings (chosen
     through ReadingID, so a bill without a reading survives) and their payments."""
     k = keys.select("MeterID").where(F.col("MeterID").isNotNull()).distinct()
-    readings_gone = key_join(t.meter_reading.select("ReadingID", "MeterID"), k, "MeterID").select("ReadingID").distinct()
-    bills_gone = key_join(t.bill.select("BillID", "ReadingID"), readings_gone, "ReadingID").select("BillID").distinct()
+    readings_gone = key_join(t.meter_reading.select("ReadingID", "MeterID"), k, "MeterID").select("ReadingID")
+    on_bills = with_bit(t.bill.select("BillID", "ReadingID"), "ReadingID", id_bitmaps(readings_gone, "ReadingID", dense=False), "_gone")
+    bills_gone = on_bills.where("_gone").select("BillID")
     payment = key_join(t.payment, bills_gone, "BillID", "left_anti")
     bill = t.bill.join(bills_gone, "BillID", "left_anti")
     reading = key_join(t.meter_reading, k, "MeterID", "left_anti")

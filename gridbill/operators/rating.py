@@ -38,11 +38,12 @@ def reading_deltas(readings: DataFrame) -> DataFrame:
                        "PreviousReadingValue")
 
 
-def reading_consumption(t: Tables, meters: DataFrame | None = None) -> DataFrame:
+def reading_consumption(t: Tables, meters: DataFrame | None = None, known_only: bool = False) -> DataFrame:
     """B1: per reading its current/previous value, consumption and owner.
 
     The previous value comes from the meter's whole history; ``meters`` (MeterID)
-    limits the result to some meters, never a meter's readings.
+    limits the result to some meters, never a meter's readings. ``known_only`` leaves
+    out readings of meters that are not stored.
     """
     r = t.meter_reading
     if meters is not None:
@@ -51,7 +52,7 @@ def reading_consumption(t: Tables, meters: DataFrame | None = None) -> DataFrame
     m = t.meter.select("MeterID", "CustomerID", "UtilityID")
     cur, prev = F.col("ReadingValue"), F.col("PreviousReadingValue")
     cons = (cur - prev).cast(CONSUMPTION)
-    return lagged.join(m, "MeterID", "left").select(
+    return lagged.join(m, "MeterID", "inner" if known_only else "left").select(
         "ReadingID", "MeterID", "CustomerID", "UtilityID", "ReadingDate",
         cur.alias("CurrentReadingValue"), prev.alias("PreviousReadingValue"),
         cons.alias("Consumption"), (cons < 0).alias("IsNegative"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -144,15 +145,58 @@ def test_numbered_is_gapless_and_keeps_repeats(spark, monkeypatch):
     assert W.numbered(df.limit(0), "i").count() == 0
 
 
-def test_key_join_spreads_a_hot_key(spark):
-    from gridbill.operators.common import SALTS, flagged, key_join
-    df = spark.range(0, 4000).select(F.when(F.col("id") % 5 < 4, 0).otherwise(F.col("id")).alias("k"), "id")
-    keys = spark.createDataFrame([(0,), (4,), (None,)], "k long").distinct()
-    assert key_join(df, keys, "k").count() == 3201
-    assert key_join(df, keys, "k", "left_anti").count() == 799
-    assert flagged(df, keys, "k", "f").where("f").count() == 3201
-    part = df.where("k = 0").groupBy(F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).count()
-    assert max(r["count"] for r in part.collect()) < 0.15 * 4000  # 80 % of the rows, spread
+def _hot(spark, df, key):
+    from gridbill.operators.common import hot_keys
+    return spark.range(1).select(hot_keys(df, key).alias("m")).first().m
+
+
+def test_only_hot_keys_are_found(spark, monkeypatch):
+    from gridbill.operators import common as C
+    rows = spark.range(0, 40_000)
+    skewed = rows.select(F.when(F.col("id") % 5 < 4, 0).when(F.col("id") % 50 == 4, F.lit(None)).otherwise(F.col("id")).alias("k"))
+    hot = _hot(spark, skewed, "k")
+    assert set(hot) == {0} and 0.8 * C.HOT_PARTS <= hot[0] <= 0.85 * C.HOT_PARTS
+    assert _hot(spark, rows.select("id"), "id") == {}
+    assert _hot(spark, rows.limit(0).select("id"), "id") == {}
+    assert _hot(spark, rows.select(F.concat(F.lit("x"), F.col("id") % 2).alias("k")), "k").keys() == {"x0", "x1"}
+    # more keys than the sketch tracks, and one of them just above the share
+    many = spark.range(0, 200_000).select(F.when(F.col("id") % 200 == 0, -1).otherwise(F.col("id")).alias("k"))
+    assert _hot(spark, many, "k") == {}  # 1,000 rows: below HOT_ROWS
+    monkeypatch.setattr(C, "HOT_ROWS", 500)
+    assert set(_hot(spark, many, "k")) == {-1}
+
+
+@pytest.mark.parametrize("least", [100, 1 << 40])
+def test_key_join_of_a_hot_key(spark, monkeypatch, least):
+    from gridbill.operators import common as C
+    monkeypatch.setattr(C, "HOT_ROWS", least)
+    df = spark.range(0, 4000).select(F.when(F.col("id") % 5 < 4, 0).when(F.col("id") % 10 == 4, F.lit(None)).otherwise(F.col("id")).alias("k"), "id")
+    keys = spark.createDataFrame([(0,), (9,), (None,)], "k long").distinct()
+    assert C.key_join(df, keys, "k").count() == 3201
+    assert C.key_join(df, keys, "k", "left_anti").count() == 799
+    assert C.flagged(df, keys, "k", "f").where("f").count() == 3201
+    part = df.where("k = 0").groupBy(C.row_part(C.hot_keys(df, "k"), "k", df.columns)).count()
+    assert max(r["count"] for r in part.collect()) == (3200 if least > 4000 else pytest.approx(1, abs=8))  # 80 % of the rows, spread
+
+
+def test_cold_keys_are_not_copied(spark):
+    from gridbill.operators.common import PART, hot_keys, key_parts
+    keys = spark.range(0, 1000).withColumnRenamed("id", "k")
+    skewed = spark.range(0, 100_000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("k"))
+    copies = key_parts(keys, hot_keys(skewed, "k"), "k").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min(PART).alias("p")).collect()
+    assert {r.n for r in copies if r.k != 7} == {1} and all(r.p == 0 for r in copies)
+    assert next(r.n for r in copies if r.k == 7) >= 2048
+
+
+@pytest.mark.parametrize("least", [50, 1 << 40])
+def test_facts_of_is_the_left_join(spark, monkeypatch, least):
+    from gridbill.operators import common as C
+    monkeypatch.setattr(C, "HOT_ROWS", least)
+    bills = spark.createDataFrame([(0, "hot"), (1, "none"), (2, "two"), (None, "null key")], "b long, name string")
+    pays = spark.range(0, 3000).select(F.when(F.col("id") < 2900, 0).when(F.col("id") < 2902, 2).when(F.col("id") < 2950, F.lit(None)).otherwise(F.lit(99)).alias("b"), F.col("id").alias("pay"))
+    want = sorted(map(str, bills.join(pays, "b", "left").select("b", "name", "pay").collect()))
+    assert sorted(map(str, C.facts_of(bills, pays, "b").select("b", "name", "pay").collect())) == want
+    assert C.facts_of(bills, pays.limit(0), "b").count() == 4
 
 
 def _largest_task_share(spark, build, rows):
@@ -168,9 +212,11 @@ def _largest_task_share(spark, build, rows):
     return max(sizes) / rows
 
 
-def test_hot_keys_of_the_write_paths_are_spread(spark, tables):
+def test_hot_keys_of_the_write_paths_are_spread(spark, tables, monkeypatch):
     """80 % of the rows on one meter, customer or bill: no join task holds half of them (8 partitions)."""
+    from gridbill.operators import common as C
     from gridbill.operators import maintain as M
+    monkeypatch.setattr(C, "HOT_ROWS", 100)
     from gridbill.operators.common import flagged, key_join
     n = 4000
     ids = spark.range(0, n)
