@@ -14,11 +14,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridbill.llm import common
-from gridbill.llm.chunks import Encoder
+from gridbill.llm.chunks import Encoder, binary, gather, runs
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -96,9 +97,16 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 
 def decoder(path: str):
-    """Packed ids to the bytes they stand for."""
-    tokens = read_ranks(path)
-    return lambda packed: b"".join([tokens[i] for i in np.frombuffer(packed or b"", "<u4").tolist()])
+    """An Arrow array of packed ids to an array of the bytes they stand for."""
+    flat, starts, sizes = runs(read_ranks(path), "u1")
+
+    def decode(packed: pa.Array) -> pa.Array:
+        n_ids = np.asarray(pc.fill_null(pc.binary_length(packed), 0)).astype(np.int64) // 4
+        ids = np.frombuffer(b"".join([x for x in packed.to_pylist() if x]), "<u4")
+        text, ends = gather(flat, starts, sizes, ids.astype(np.int64))
+        return binary(text, np.concatenate([[0], ends])[np.cumsum(n_ids)])
+
+    return decode
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,7 +118,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     def make():
         enc = encoder(path, pattern)
-        return lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array(enc(b.column(1).to_pylist()), pa.binary())], [id_col, "ids"])
+        return lambda b: pa.RecordBatch.from_arrays([b.column(0), binary(*enc.batch(b.column(1)))], [id_col, "ids"])
 
     src = df.select(id_col, text_col)
     return common.map_batches(src, text_col, make, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, ids binary", 4 << 20)
@@ -121,12 +129,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", keep: tuple[str, ..
 
     def make():
         dec = decoder(path)
-
-        def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            done = [dec(x) for x in b.column("ids").to_pylist()]
-            return pa.RecordBatch.from_arrays([*(b.column(c) for c in (id_col, *keep)), pa.array(done, pa.binary())], [id_col, *keep, "decoded"])
-
-        return one
+        return lambda b: pa.RecordBatch.from_arrays([*(b.column(c) for c in (id_col, *keep)), dec(b.column("ids"))], [id_col, *keep, "decoded"])
 
     src = df.select(id_col, *dict.fromkeys([*keep, "ids"]))
     schema = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in (id_col, *keep))

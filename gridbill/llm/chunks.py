@@ -1,33 +1,66 @@
-"""Cutting a text into stretches that byte-level BPE encodes independently.
+"""Cutting texts into stretches that byte-level BPE encodes independently, and encoding each distinct one once.
 
 The pre-token pattern never joins characters across a single space that has a
 non-space character on both sides, except that the space opens the pre-token on
 its right. So a text may be cut before each such space, each stretch encoded on
-its own, and the encoding of a stretch remembered.
+its own, and the encoding of a stretch remembered. The cutting, the distinct
+stretches of a batch and the gathering of ids are Arrow and numpy operations over
+a whole batch; Python sees each distinct stretch of a batch once.
 """
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections.abc import Callable
 
-_RUNS = re.compile(r"\s\s|\A\s|\s\Z")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Below this, letters are the same under all versions of Unicode.
-_KNOWN_LETTERS = "\u0250"
+_KNOWN_LETTERS = "ɐ"
 _MARKS = ".,;:!?"
+#: Bytes beside text and ids that a remembered stretch takes (measured: two objects and a table entry).
+ENTRY_BYTES = 190
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs ``flat[starts[i]:starts[i] + sizes[i]]`` for each i of ``which``, end to end, and where each ends."""
+    n = sizes[which]
+    ends = np.cumsum(n)
+    if not len(which) or not ends[-1]:
+        return flat[:0], ends
+    at = np.repeat(starts[which] - (ends - n), n)
+    at += np.arange(len(at))
+    return flat[at], ends
+
+
+def runs(values: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``flat, starts, sizes`` of byte strings, for ``gather``."""
+    flat = np.frombuffer(b"".join(values), dtype)
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // flat.itemsize
+    return flat, np.cumsum(sizes) - sizes, sizes
+
+
+def binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of ``flat`` that end at ``ends`` as an Arrow array of byte strings."""
+    offsets = np.zeros(len(ends) + 1, np.int64)
+    offsets[1:] = ends * flat.itemsize
+    if offsets[-1] > np.iinfo(np.int32).max:
+        raise ValueError("a batch holds more than 2 GiB of ids")
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
 class Encoder:
-    """Whole texts to packed little-endian unsigned 32-bit ids through a bounded memory of encoded stretches."""
+    """Whole texts to unsigned 32-bit ids through a memory of encoded stretches that is bounded in bytes."""
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[list[int]]], most: int = 300_000):
-        """``encode``: pre-tokens to ids; ``most``: stretches remembered before the memory is emptied."""
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[list[int]]], most_bytes: int = 192 << 20, longest: int = 48):
+        """``encode``: pre-tokens to ids; ``most_bytes``: what the memory may take before it is emptied;
+        ``longest``: stretches of more characters are encoded but not remembered."""
         import regex
 
-        self.cut, self.encode, self.most = regex.compile(pattern), encode, most
+        self.cut, self.encode, self.most, self.longest = regex.compile(pattern), encode, most_bytes, longest
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.marks: dict[str, bytes] = {}
 
     def pre_tokens(self, s: str) -> list[str]:
@@ -37,38 +70,93 @@ class Encoder:
         return self.cut.findall(s)
 
     def stretches(self, some: list[str]) -> list[bytes]:
-        pre = list(map(self.pre_tokens, some))
-        each = list({t for ts in pre for t in ts})
-        ids = dict(zip(each, (array("I", x).tobytes() for x in self.encode(each)), strict=True))
-        return [ids[ts[0]] if len(ts) == 1 else b"".join([ids[t] for t in ts]) for ts in pre]
+        """The packed ids of each stretch, each distinct pre-token encoded once."""
+        out = []
+        for i in range(0, len(some), 4096):
+            pre = list(map(self.pre_tokens, some[i : i + 4096]))
+            each = list({t for ts in pre for t in ts})
+            ids = dict(zip(each, (np.array(x, "<u4").tobytes() for x in self.encode(each)), strict=True))
+            out += [ids[ts[0]] if len(ts) == 1 else b"".join([ids[t] for t in ts]) for ts in pre]
+        return out
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        firsts, rests, found, new = [], [], [], set()
-        for text in texts:
-            cut = [""] if not text else _CUT.split(text) if _RUNS.search(text) else text.split(" ")
-            firsts.append(cut.pop(0))
-            got = list(map(known.get, cut))
-            lacks = [i for i, g in enumerate(got) if g is None] if None in got else []
-            for i in lacks:
-                w = cut[i]
-                # letters and one mark are two pre-tokens, so only the letters are remembered
-                if w[-1] in _MARKS and w[:-1].isalpha() and (w.isascii() or max(w) < _KNOWN_LETTERS):
-                    w = w[:-1]
-                if w not in known:
-                    new.add(w)
-            rests.append((cut, lacks))
-            found.append(got)
-        fresh = list(new)
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
-            known.update(zip(some, self.stretches([" " + w for w in some]), strict=True))
+    def remember(self, words: list[str], found: list[bytes]) -> None:
+        for w, ids in zip(words, found, strict=True):
+            if len(w) <= self.longest:
+                self.known[w] = ids
+                self.held += len(w) + len(ids) + ENTRY_BYTES
+
+    def blank_led(self, words: list[str]) -> list[bytes]:
+        """The packed ids of each word with a blank before it."""
+        if self.held > self.most:
+            self.known.clear()
+            self.held = 0
         if not self.marks:
             self.marks = dict(zip(_MARKS, self.stretches(list(_MARKS)), strict=True))
-        for (cut, lacks), got in zip(rests, found, strict=True):
-            for i in lacks:
-                w = cut[i]
-                got[i] = known.get(w) or known[w[:-1]] + self.marks[w[-1]]
-        return [a + b"".join(got) for a, got in zip(self.stretches(firsts), found, strict=True)]
+        got = list(map(self.known.get, words))
+        lacks, bare, new = [i for i, g in enumerate(got) if g is None], [], {}
+        for i in lacks:
+            w = words[i]
+            # letters and one mark are two pre-tokens, so only the letters are remembered
+            if w and w[-1] in _MARKS and w[:-1].isalpha() and (w.isascii() or max(w) < _KNOWN_LETTERS):
+                w = w[:-1]
+            bare.append(w)
+            if w not in self.known:
+                new[w] = b""
+        fresh = list(new)
+        done = self.stretches([" " + w for w in fresh])
+        new = dict(zip(fresh, done, strict=True))
+        for i, w in zip(lacks, bare, strict=True):
+            ids = new[w] if w in new else self.known[w]
+            got[i] = ids if len(w) == len(words[i]) else ids + self.marks[words[i][-1]]
+        self.remember(fresh, done)
+        return got
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's ids end; a null text is an empty one."""
+        if not len(texts):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        first = np.asarray(cut.offsets)[:-1].astype(np.int64) - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        words, which = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
+        opens = np.zeros(len(which), bool)
+        opens[first] = True
+        # a blank beside white space, or at an end of the text, is no place to cut
+        size = np.asarray(pc.binary_length(coded.dictionary))
+        odd_left = (np.asarray(pc.binary_length(pc.utf8_ltrim_whitespace(coded.dictionary))) != size) | (size == 0)
+        odd_right = (np.asarray(pc.binary_length(pc.utf8_rtrim_whitespace(coded.dictionary))) != size) | (size == 0)
+        glued = np.zeros(len(which), bool)
+        glued[1:] = odd_left[which[1:]] | odd_right[which[:-1]]
+        glued[first] = False
+        starts = np.flatnonzero(~glued)
+        ends = np.append(starts[1:], len(which))
+        alone = (ends - starts == 1) & ~opens[starts]
+        kind, special = np.empty(len(starts), np.int64), np.flatnonzero(~alone)
+        kind[alone] = which[starts[alone]]
+        # openings of texts and glued runs, each distinct one once
+        seen: dict[str, int] = {}
+        codes = which.tolist() if len(special) * 8 > len(which) else None
+        for k in special.tolist():
+            a, b = int(starts[k]), int(ends[k])
+            s = " ".join([words[c] for c in (codes[a:b] if codes else which[a:b].tolist())])
+            kind[k] = len(words) + seen.setdefault(s if opens[a] else " " + s, len(seen))
+        flat, at, sizes = runs(self.blank_led(words) + self.special(list(seen)), "<u4")
+        ids, id_ends = gather(flat, at, sizes, kind)
+        last = np.append(np.searchsorted(starts, first[1:], "left"), len(starts)) - 1
+        return ids, id_ends[last]
+
+    def special(self, some: list[str]) -> list[bytes]:
+        """The packed ids of stretches that open a text or hold runs of white space."""
+        led = [i for i, s in enumerate(some) if s[:1] == " " and s[1:2] and " " not in s[1:] and not s[1].isspace() and not s[-1].isspace()]
+        out = [b""] * len(some)
+        for i, ids in zip(led, self.blank_led([some[i][1:] for i in led]), strict=True):
+            out[i] = ids
+        rest = sorted({*range(len(some))} - {*led})
+        for i, ids in zip(rest, self.stretches([some[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        ids, ends = self.batch(pa.array(texts, pa.string()))
+        data, ends = ids.tobytes(), (ends * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]

@@ -30,33 +30,41 @@ from gridbill.llm.crc32c import crc32c, masked
 VOCABULARY = "byte_bpe_50k.json"
 HEAD, LENGTH = struct.Struct("<qI"), struct.Struct("<Q")
 READ_BYTES = 8 << 20
-#: Stretches that a worker remembers, about 200 bytes each.
-REMEMBERED = 800_000
 
 
-def encoder(path: str, pattern: str) -> Callable[[list[str | None]], list[bytes]]:
-    """Whole texts to packed ids by the ``tokenizers`` library's model, pre-token by pre-token.
+def plain_encoder(path: str, pattern: str, **bounds: int) -> tuple[Encoder, list[str]]:
+    """An encoder by the ``tokenizers`` library's model, pre-token by pre-token, to which added tokens are
+    plain text; and the contents of the added tokens.
 
     Only for a tokenizer that is a byte-level BPE and its added tokens (checked), whose
-    pre-tokens are those of ``pattern``. A text that holds an added token literally is
-    encoded by the library as a whole.
+    pre-tokens are those of ``pattern``.
+    """
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer.from_file(path)
+    if t.normalizer or not isinstance(t.model, models.BPE) or not isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel) or t.pre_tokenizer.add_prefix_space:
+        raise ValueError("a plain byte-level BPE tokenizer is asked for")
+    tokenize = t.model.tokenize
+    plain = Encoder(pattern, lambda pre: [[x.id for x in tokenize(mapped(p))] for p in pre], **bounds)
+    return plain, [a.content for a in t.get_added_tokens_decoder().values()]
+
+
+def encoder(path: str, pattern: str) -> Callable[[list[str | None]], list[bytes]]:
+    """Whole texts to packed ids as the ``tokenizers`` library has them. A text that holds an
+    added token literally is encoded by the library as a whole.
     """
 
     def build() -> Callable[[list[str | None]], list[bytes]]:
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        if t.normalizer or not isinstance(t.model, models.BPE) or not isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel) or t.pre_tokenizer.add_prefix_space:
-            raise ValueError("a plain byte-level BPE tokenizer is asked for")
-        tokenize = t.model.tokenize
-        plain = Encoder(pattern, lambda pre: [[x.id for x in tokenize(mapped(p))] for p in pre], most=REMEMBERED)
-        added = [a.content for a in t.get_added_tokens_decoder().values()]
+        plain, added = plain_encoder(path, pattern)
+        library = Tokenizer.from_file(path)
 
         def encode(texts: list[str | None]) -> list[bytes]:
             whole = {i for i, x in enumerate(texts) if x and any(a in x for a in added)}
             out = plain([None if i in whole else x for i, x in enumerate(texts)])
             for i in whole:
-                out[i] = np.array(t.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+                out[i] = np.array(library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
             return out
 
         return encode

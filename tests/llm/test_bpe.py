@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -35,7 +36,7 @@ def test_ids_and_round_trip(text):
     test_ids_and_round_trip.enc = enc
     ids = bpe.encoder(PATH, P.PATTERN)([text])[0]
     assert ids == packed(enc.encode_ordinary(text))
-    assert bpe.decoder(PATH)(ids) == text.encode()
+    assert bpe.decoder(PATH)(pa.array([ids], pa.binary())).to_pylist() == [text.encode()]
 
 
 def test_model_needs_all_bytes():
@@ -65,10 +66,29 @@ def test_op1_digests(spark, tiny, reference):
 
 
 def test_memory_of_stretches_is_bounded():
-    enc = bpe.Encoder(P.PATTERN, lambda pre: [[len(p)] for p in pre], most=5)
-    for k in range(40):
+    enc = bpe.Encoder(P.PATTERN, lambda pre: [[len(p)] for p in pre], most_bytes=2000)
+    for k in range(200):
         enc([f"a{k} b{k} c{k}"])
-    assert len(enc.known) <= 5 + 2
+        assert enc.held <= 2000 + 3 * 250 and len(enc.known) <= 15
+
+
+def test_long_stretches_are_not_remembered():
+    enc = bpe.Encoder(P.PATTERN, lambda pre: [[len(p)] for p in pre])
+    got = enc(["x" * 400 + f"{k} " + "y" * 900 + f"{k} z" for k in range(50)])
+    assert set(enc.known) == {"z"} and enc.held < 300
+    assert len(set(got)) == 50 or all(got)
+
+
+PIECES = ["a", "don't", "x1.", "é", "\x1c", "\n", " ", "  ", "\t", "\u3000", "12", ".", "!?", "", "\U0001f600", "\u00a0"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12), max_size=6), st.sampled_from(["", " "]))
+def test_batches_cut_where_white_space_meets(texts, between):
+    texts = [between.join(t) for t in texts] + [None]
+    enc = bpe.encoder(PATH, P.PATTERN)
+    ref = test_ids_and_round_trip.enc if hasattr(test_ids_and_round_trip, "enc") else tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(bpe.read_ranks(PATH))}, special_tokens={})
+    assert enc(texts) == [packed(ref.encode_ordinary(t or "")) for t in texts]
 
 
 def test_crc32c():
@@ -89,7 +109,6 @@ def test_crc32c():
 
 def test_record_files(spark, documents):
     tok = Tokenizer.from_file(P.path(records.VOCABULARY))
-    tok.encode_special_tokens = True
     rows = [(i * 7 % 10, t) for i, t in enumerate(ODD)] + [(4, "again"), (None, "no id")]
     path = common.shared_dir(spark, "test-records")
     ordered = documents(rows).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id", "text")
