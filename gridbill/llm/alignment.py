@@ -14,6 +14,7 @@ all steps of an alignment are numpy operations over a batch of texts at once.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,23 +24,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridbill.llm import common
-from gridbill.llm.bpe import byte_characters
-from gridbill.llm.chunks import gather, runs
+from gridbill.llm.chunks import byte_characters, cut, gather, runs
 from gridbill.llm.records import plain_encoder
 from gridbill.operators.common import key_join
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that are aligned at once, and what a worker may remember of encoded stretches.
-BATCH_BYTES, MEMORY_BYTES = 2 << 20, 128 << 20
+BATCH_BYTES, MEMORY_BYTES = 8 << 20, 128 << 20
 #: Rows up to which the table of pair counts is broadcast (17 bytes of data each); beyond it is joined by shuffle.
 BROADCAST_PAIRS = 1_000_000
 
 
 @dataclass
 class Tokens:
-    """A tokenizer: texts (each with a blank put before it) to ids and where each text's ids end; the bytes of each id."""
+    """A tokenizer: stretches of texts (words that stand for a blank and the word; others as they are, beginning
+    with a blank) to the packed ids of each, and the bytes of each id."""
 
-    encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+    encode: Callable[[list[str], list[str]], list[bytes]]
     entries: list[bytes]
 
     def __post_init__(self):
@@ -55,38 +56,55 @@ def byte_level(path: str, pattern: str) -> Tokens:
     t = Tokenizer.from_file(path)
     special = {i: a.content.encode() for i, a in t.get_added_tokens_decoder().items()}
     entries = [special[i] if i in special else bytes(back[c] for c in t.id_to_token(i)) for i in range(t.get_vocab_size())]
-    return Tokens(lambda texts: plain.batch(pa.array([" " + x for x in texts], pa.string())), entries)
+    return Tokens(lambda words, others: plain.blank_led(words) + plain.special(others), entries)
 
 
 def pieces(path: str) -> Tokens:
-    """A sentencepiece model that puts the blank before a text itself."""
+    """A sentencepiece BPE model that puts the blank before a text itself.
+
+    Its merges never cross a cut before a blank, as no piece holds a blank after another character, and
+    its normaliser changes nothing (both checked); so stretches are encoded on their own.
+    """
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    n = sp.get_piece_size()
-    entries = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
-
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        each = sp.encode(texts, num_threads=1)
-        ends = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))
-        return np.fromiter((i for ids in each for i in ids), "<u4", int(ends[-1]) if len(ends) else 0), ends
+    model = proto.ModelProto()
+    model.ParseFromString(sp.serialized_model_proto())
+    said, kept = [sp.id_to_piece(i) for i in range(sp.get_piece_size())], model.normalizer_spec
+    if model.trainer_spec.model_type != proto.TrainerSpec.BPE or kept.name != "identity" or kept.remove_extra_whitespaces or not kept.add_dummy_prefix:
+        raise ValueError("a BPE model with identity normalisation and a blank put first is asked for")
+    if any("▁" in p.lstrip("▁") for p in said):
+        raise ValueError("a piece holds a blank after another character")
+    entries = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(said)]
+
+    def encode(words: list[str], others: list[str]) -> list[bytes]:
+        return [array("I", ids).tobytes() for ids in sp.encode(words + [s[1:] for s in others], num_threads=1)]
 
     return Tokens(encode, entries)
 
 
-def _covered(t: Tokens, ids: np.ndarray, ends: np.ndarray, expected: list[bytes]) -> np.ndarray:
-    """Per text: whether the bytes of its ids are the expected ones."""
+def _spelled(t: Tokens, ids: np.ndarray, ends: np.ndarray, expected: list[bytes]) -> np.ndarray:
+    """Per stretch: whether the bytes of its ids are the expected ones."""
     data, token_ends = gather(t.flat, t.starts, t.sizes, ids.astype(np.int64))
-    data, stops = data.tobytes(), np.concatenate([[0], token_ends])[np.concatenate([[0], ends])].tolist()
+    data = data.tobytes()
+    if data == b"".join(expected) and np.array_equal(np.concatenate([[0], token_ends])[ends], np.cumsum(np.fromiter(map(len, expected), np.int64, len(expected)))):
+        return np.ones(len(expected), bool)
+    stops = np.concatenate([[0], token_ends])[np.concatenate([[0], ends])].tolist()
     return np.fromiter((data[stops[i] : stops[i + 1]] == e for i, e in enumerate(expected)), bool, len(expected))
 
 
 def _only(ids: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and ends with no ids left for the texts that are not kept."""
+    """Ids and ends with no ids left for what is not kept."""
     n = np.diff(ends, prepend=0)
     return ids[np.repeat(keep, n)], np.cumsum(np.where(keep, n, 0))
 
 
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the runs of values that end before ``ends``."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[ends], prepend=0)
+
+
 @dataclass
 class Aligned:
     """A batch of aligned texts. ``groups``: bytes of all group lists end to end, each text's ending at ``group_ends``.
@@ -104,7 +122,11 @@ class Aligned:
 
 
 class Aligner:
-    """Aligns batches of texts under two tokenizers."""
+    """Aligns batches of texts under two tokenizers.
+
+    Tokens of both end wherever a text is cut into stretches, so a stretch's groups and
+    links are its own. Each distinct stretch of a batch is aligned once and texts gather them.
+    """
 
     def __init__(self, a: Tokens, b: Tokens):
         if min(a.sizes.min(), b.sizes.min()) < 1:
@@ -115,27 +137,21 @@ class Aligner:
         self.said = runs([b"%d" % i + mark for t, mark in kinds for i in range(len(t.entries))], "u1")
         self.first = np.cumsum([0, *(len(t.entries) for t, _ in kinds)])
 
-    def __call__(self, texts: list[str]) -> Aligned:
-        """A text that is empty, or whose tokens of A or B do not spell a blank and the text, has no tokens."""
-        n_texts = len(texts)
-        ids_a, ends_a = self.a.encode(texts)
-        ids_b, ends_b = self.b.encode(texts)
-        expected = [b" " + x.encode() for x in texts]
-        keep = np.fromiter(map(bool, texts), bool, n_texts)
-        keep &= _covered(self.a, ids_a, ends_a, expected) & _covered(self.b, ids_b, ends_b, expected)
+    def stretches(self, words: list[str], others: list[str]) -> tuple[np.ndarray, ...]:
+        """Of each stretch: whether its tokens spell it, counts of A, B and groups, runs of its group list and of its link codes."""
+        expected = [b" " + x.encode() for x in words] + [x.encode() for x in others]
+        (ids_a, _, size_a), (ids_b, _, size_b) = runs(self.a.encode(words, others), "<u4"), runs(self.b.encode(words, others), "<u4")
+        ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
+        keep = _spelled(self.a, ids_a, ends_a, expected) & _spelled(self.b, ids_b, ends_b, expected)
         (ids_a, ends_a), (ids_b, ends_b) = _only(ids_a, ends_a, keep), _only(ids_b, ends_b, keep)
         stops_a, stops_b = np.cumsum(self.a.sizes[ids_a]), np.cumsum(self.b.sizes[ids_b])
-        text_stops = np.cumsum(np.where(keep, np.fromiter(map(len, expected), np.int64, n_texts), 0))
 
         # tokens after which a group ends, and the links
         last_a, last_b = np.isin(stops_a, stops_b, assume_unique=True), np.isin(stops_b, stops_a, assume_unique=True)
         stops = np.union1d(stops_a, stops_b)
-        codes = ids_a[np.searchsorted(stops_a, stops)].astype(np.int64) * len(self.b.entries) + ids_b[np.searchsorted(stops_b, stops)]
-        text_of = np.searchsorted(text_stops, stops)
-        span = len(self.a.entries) * len(self.b.entries)
-        each, times = np.unique(text_of * span + codes, return_counts=True)
-        n_links = np.bincount(text_of, minlength=n_texts)
-        pair_ends = np.cumsum(np.bincount(each // span, minlength=n_texts))
+        of_a = np.searchsorted(stops_a, stops)
+        codes = ids_a[of_a].astype(np.int64) * len(self.b.entries) + ids_b[np.searchsorted(stops_b, stops)]
+        code_ends = np.searchsorted(stops, np.concatenate([[0], stops_a])[ends_a], "right")
 
         # group lists: the ids of A of a group, then those of B
         group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
@@ -145,8 +161,27 @@ class Aligner:
         order[np.arange(len(ids_b)) + (end_a[group_b] if len(end_a) else 0)] = self.first[np.where(last_b, 3, 2)] + ids_b
         groups, said_ends = gather(*self.said, order)
         group_ends = np.concatenate([[0], said_ends])[ends_a + ends_b]
-        n_groups = np.diff(np.concatenate([[0], np.cumsum(last_a)])[ends_a], prepend=0)
-        return Aligned(np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0), n_groups, n_links, groups, group_ends, each % span, times, pair_ends)
+        return keep, np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0), _sums(last_a, ends_a), groups, group_ends, codes, code_ends
+
+    def __call__(self, texts: list[str]) -> Aligned:
+        """A text that is empty, or whose tokens of A or B do not spell a blank and the text, has no tokens."""
+        n_texts = len(texts)
+        words, others, which, last = cut(pa.array([" " + x for x in texts], pa.string()))
+        keep, n_a, n_b, n_groups, groups, group_ends, codes, code_ends = self.stretches(words, others)
+        good = np.fromiter(map(bool, texts), bool, n_texts) & (_sums(~keep[which], last + 1) == 0)
+        if not good.all():
+            n = np.diff(last, prepend=-1)
+            which, last = which[np.repeat(good, n)], np.cumsum(np.where(good, n, 0)) - 1
+        ends = last + 1
+        code_sizes, group_sizes = np.diff(code_ends, prepend=0), np.diff(group_ends, prepend=0)
+        said, said_ends = gather(groups, group_ends - group_sizes, group_sizes, which)
+        links, link_ends = gather(codes, code_ends - code_sizes, code_sizes, which)
+        n_links = np.diff(np.concatenate([[0], link_ends])[ends], prepend=0)
+        span = len(self.a.entries) * len(self.b.entries)
+        each, times = np.unique(np.repeat(np.arange(n_texts) * span, n_links) + links, return_counts=True)
+        pair_ends = np.cumsum(np.bincount(each // span, minlength=n_texts))
+        return Aligned(_sums(n_a[which], ends), _sums(n_b[which], ends), _sums(n_groups[which], ends), n_links,
+                       said, np.concatenate([[0], said_ends])[ends], each % span, times, pair_ends)
 
 
 ALIGNED = "key string, copies long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, pairs array<long>, times array<int>"

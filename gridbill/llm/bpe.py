@@ -19,25 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridbill.llm import common
-from gridbill.llm.chunks import Encoder, binary, gather, runs
+from gridbill.llm.chunks import Encoder, binary, byte_characters, gather, runs
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
-def byte_characters() -> list[str]:
-    """A printable character for each byte: itself where it is printable Latin-1, else from U+0100 upwards."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(0x100, 0x200))
-    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
-
-
-def mapped(s: str, table: dict[int, str] = dict(enumerate(byte_characters()))) -> str:  # noqa: B006
-    """A text with each byte of its UTF-8 form as its printable character."""
-    if s.isascii() and s.isprintable():
-        return s.replace(" ", table[32])
-    return s.encode().decode("latin-1").translate(table)
-
-
 @lru_cache(2)
 def read_ranks(path: str) -> list[bytes]:
     """The tokens of a rank file (base64 token and rank on each line) in order of rank."""
@@ -91,7 +77,7 @@ def encoder(path: str, pattern: str) -> Encoder:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(read_ranks(path)))
-        return Encoder(pattern, lambda pre: model.encode(list(map(mapped, pre)), num_threads=1))
+        return Encoder(pattern, lambda pre: model.encode(pre, num_threads=1))
 
     return common.held(("bpe", path, pattern), build)
 
@@ -121,7 +107,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         return lambda b: pa.RecordBatch.from_arrays([b.column(0), binary(*enc.batch(b.column(1)))], [id_col, "ids"])
 
     src = df.select(id_col, text_col)
-    return common.map_batches(src, text_col, make, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, ids binary", 4 << 20)
+    return common.map_batches(src, text_col, make, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, ids binary", 16 << 20)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:

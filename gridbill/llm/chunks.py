@@ -10,6 +10,7 @@ a whole batch; Python sees each distinct stretch of a batch once.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -23,6 +24,20 @@ _MARKS = ".,;:!?"
 ENTRY_BYTES = 190
 
 
+def byte_characters() -> list[str]:
+    """A printable character for each byte: itself where it is printable Latin-1, else from U+0100 upwards."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+
+
+def mapped(s: str, table: dict[int, str] = dict(enumerate(byte_characters()))) -> str:  # noqa: B006
+    """A text with each byte of its UTF-8 form as its printable character."""
+    if s.isascii() and s.isprintable():
+        return s.replace(" ", table[32])
+    return s.encode().decode("latin-1").translate(table)
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs ``flat[starts[i]:starts[i] + sizes[i]]`` for each i of ``which``, end to end, and where each ends."""
     n = sizes[which]
@@ -50,11 +65,44 @@ def binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
+def cut(texts: pa.Array) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    """(words, specials, which, last): the stretches of a batch of texts, each distinct one once.
+
+    ``words`` stand for stretches of a blank and a word; ``specials`` are stretches as they are, which open
+    a text or hold runs of white space. ``which``: for each stretch in order its place among words and specials;
+    ``last``: the last stretch of each text. A null text is an empty one; each text has a stretch.
+    """
+    if not len(texts):
+        return [], [], np.empty(0, np.int64), np.empty(0, np.int64)
+    split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    first = np.asarray(split.offsets)[:-1].astype(np.int64) - split.offsets[0].as_py()
+    coded = split.flatten().dictionary_encode()
+    words, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+    # a blank beside white space, or at an end of the text, is no place to cut
+    size = np.asarray(pc.binary_length(coded.dictionary))
+    odd_left = (np.asarray(pc.binary_length(pc.utf8_ltrim_whitespace(coded.dictionary))) != size) | (size == 0)
+    odd_right = (np.asarray(pc.binary_length(pc.utf8_rtrim_whitespace(coded.dictionary))) != size) | (size == 0)
+    glued = np.zeros(len(codes), bool)
+    glued[1:] = odd_left[codes[1:]] | odd_right[codes[:-1]]
+    glued[first] = False
+    opens = np.zeros(len(codes), bool)
+    opens[first] = True
+    starts = np.flatnonzero(~glued)
+    ends = np.append(starts[1:], len(codes))
+    which = codes[starts].astype(np.int64)
+    seen: dict[str, int] = {}
+    for k in np.flatnonzero(opens[starts] | (ends - starts > 1)).tolist():
+        a, b = int(starts[k]), int(ends[k])
+        s = " ".join([words[c] for c in codes[a:b].tolist()])
+        which[k] = len(words) + seen.setdefault(s if opens[a] else " " + s, len(seen))
+    return words, list(seen), which, np.append(np.searchsorted(starts, first[1:], "left"), len(starts)) - 1
+
+
 class Encoder:
     """Whole texts to unsigned 32-bit ids through a memory of encoded stretches that is bounded in bytes."""
 
     def __init__(self, pattern: str, encode: Callable[[list[str]], list[list[int]]], most_bytes: int = 192 << 20, longest: int = 48):
-        """``encode``: pre-tokens to ids; ``most_bytes``: what the memory may take before it is emptied;
+        """``encode``: pre-tokens, byte by byte as printable characters (``mapped``), to ids; ``most_bytes``: what the memory may take before it is emptied;
         ``longest``: stretches of more characters are encoded but not remembered."""
         import regex
 
@@ -75,15 +123,12 @@ class Encoder:
         for i in range(0, len(some), 4096):
             pre = list(map(self.pre_tokens, some[i : i + 4096]))
             each = list({t for ts in pre for t in ts})
-            ids = dict(zip(each, (np.array(x, "<u4").tobytes() for x in self.encode(each)), strict=True))
+            ids = dict(zip(each, self.packed(list(map(mapped, each))), strict=True))
             out += [ids[ts[0]] if len(ts) == 1 else b"".join([ids[t] for t in ts]) for ts in pre]
         return out
 
-    def remember(self, words: list[str], found: list[bytes]) -> None:
-        for w, ids in zip(words, found, strict=True):
-            if len(w) <= self.longest:
-                self.known[w] = ids
-                self.held += len(w) + len(ids) + ENTRY_BYTES
+    def packed(self, some: list[str]) -> list[bytes]:
+        return [array("I", x).tobytes() for x in self.encode(some)]
 
     def blank_led(self, words: list[str]) -> list[bytes]:
         """The packed ids of each word with a blank before it."""
@@ -92,59 +137,42 @@ class Encoder:
             self.held = 0
         if not self.marks:
             self.marks = dict(zip(_MARKS, self.stretches(list(_MARKS)), strict=True))
-        got = list(map(self.known.get, words))
-        lacks, bare, new = [i for i, g in enumerate(got) if g is None], [], {}
-        for i in lacks:
+        known, letters, others, marked = self.known, {}, [], []
+        got = list(map(known.get, words))
+        for i, g in enumerate(got):
+            if g is not None:
+                continue
             w = words[i]
+            if w.isalpha() and w.isascii():
+                letters[w] = i
             # letters and one mark are two pre-tokens, so only the letters are remembered
-            if w and w[-1] in _MARKS and w[:-1].isalpha() and (w.isascii() or max(w) < _KNOWN_LETTERS):
-                w = w[:-1]
-            bare.append(w)
-            if w not in self.known:
-                new[w] = b""
-        fresh = list(new)
-        done = self.stretches([" " + w for w in fresh])
+            elif w and w[-1] in self.marks and (b := w[:-1]).isalpha() and (b.isascii() or max(b) < _KNOWN_LETTERS):
+                marked.append((i, b))
+                if b not in known:
+                    if b.isascii():
+                        letters.setdefault(b, -1)
+                    else:
+                        others.append((-1, b))
+            else:
+                others.append((i, w))
+        # ASCII letters with a blank before them are one pre-token
+        blank = mapped(" ")
+        fresh = [*letters, *(w for _, w in others)]
+        done = self.packed([blank + w for w in letters]) + self.stretches([" " + w for _, w in others])
+        for i, ids in zip([*letters.values(), *(i for i, _ in others)], done, strict=True):
+            if i >= 0:
+                got[i] = ids
         new = dict(zip(fresh, done, strict=True))
-        for i, w in zip(lacks, bare, strict=True):
-            ids = new[w] if w in new else self.known[w]
-            got[i] = ids if len(w) == len(words[i]) else ids + self.marks[words[i][-1]]
-        self.remember(fresh, done)
+        for i, b in marked:
+            got[i] = (known.get(b) or new[b]) + self.marks[words[i][-1]]
+        size = 0
+        for w, ids in new.items():
+            if len(w) <= self.longest:
+                known[w] = ids
+                size += len(w) + len(ids) + ENTRY_BYTES
+        self.held += size
         return got
 
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end, and where each text's ids end; a null text is an empty one."""
-        if not len(texts):
-            return np.empty(0, "<u4"), np.empty(0, np.int64)
-        cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
-        first = np.asarray(cut.offsets)[:-1].astype(np.int64) - cut.offsets[0].as_py()
-        coded = cut.flatten().dictionary_encode()
-        words, which = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
-        opens = np.zeros(len(which), bool)
-        opens[first] = True
-        # a blank beside white space, or at an end of the text, is no place to cut
-        size = np.asarray(pc.binary_length(coded.dictionary))
-        odd_left = (np.asarray(pc.binary_length(pc.utf8_ltrim_whitespace(coded.dictionary))) != size) | (size == 0)
-        odd_right = (np.asarray(pc.binary_length(pc.utf8_rtrim_whitespace(coded.dictionary))) != size) | (size == 0)
-        glued = np.zeros(len(which), bool)
-        glued[1:] = odd_left[which[1:]] | odd_right[which[:-1]]
-        glued[first] = False
-        starts = np.flatnonzero(~glued)
-        ends = np.append(starts[1:], len(which))
-        alone = (ends - starts == 1) & ~opens[starts]
-        kind, special = np.empty(len(starts), np.int64), np.flatnonzero(~alone)
-        kind[alone] = which[starts[alone]]
-        # openings of texts and glued runs, each distinct one once
-        seen: dict[str, int] = {}
-        codes = which.tolist() if len(special) * 8 > len(which) else None
-        for k in special.tolist():
-            a, b = int(starts[k]), int(ends[k])
-            s = " ".join([words[c] for c in (codes[a:b] if codes else which[a:b].tolist())])
-            kind[k] = len(words) + seen.setdefault(s if opens[a] else " " + s, len(seen))
-        flat, at, sizes = runs(self.blank_led(words) + self.special(list(seen)), "<u4")
-        ids, id_ends = gather(flat, at, sizes, kind)
-        last = np.append(np.searchsorted(starts, first[1:], "left"), len(starts)) - 1
-        return ids, id_ends[last]
-
     def special(self, some: list[str]) -> list[bytes]:
         """The packed ids of stretches that open a text or hold runs of white space."""
         led = [i for i, s in enumerate(some) if s[:1] == " " and s[1:2] and " " not in s[1:] and not s[1].isspace() and not s[-1].isspace()]
@@ -156,6 +184,13 @@ class Encoder:
             out[i] = ids
         return out
 
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's ids end; a null text is an empty one."""
+        words, specials, which, last = cut(texts)
+        flat, at, sizes = runs(self.blank_led(words) + self.special(specials), "<u4")
+        ids, ends = gather(flat, at, sizes, which)
+        return ids, ends[last]
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         ids, ends = self.batch(pa.array(texts, pa.string()))
         data, ends = ids.tobytes(), (ends * 4).tolist()

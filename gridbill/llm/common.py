@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +48,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 _HELD: dict[object, object] = {}
 
 
+def give_back() -> None:
+    """Return what this process has freed to the machine: Arrow's pool and the C heap keep it otherwise.
+
+    Several worker processes share an executor's memory with its JVM, and live on after their tasks.
+    """
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def held(key: object, build: Callable[[], object]) -> object:
     """What ``build`` makes, kept by this process until another key is asked for.
 
@@ -54,6 +69,7 @@ def held(key: object, build: Callable[[], object]) -> object:
     """
     if key not in _HELD:
         _HELD.clear()
+        give_back()
         _HELD[key] = build()
     return _HELD[key]
 
@@ -63,30 +79,42 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """``batch`` cut so that no piece holds more than ``most`` bytes in ``column`` (or is one row)."""
+def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES, *others: str) -> Iterator[pa.RecordBatch]:
+    """``batch`` cut so that no piece holds more than ``most`` bytes in ``column`` (and ``others``), or is one row."""
     if batch.num_rows == 0:
         return
-    col = batch.column(column)
+    sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0)).astype(np.int64) for c in (column, *others))
     start, held = 0, 0
-    for i, n in enumerate(pc.binary_length(col).to_pylist()):
-        if held and held + (n or 0) > most:
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
             yield batch.slice(start, i - start)
             start, held = i, 0
-        held += n or 0
+        held += n
     yield batch.slice(start)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES, *others: str) -> Iterator[pa.RecordBatch]:
+    """All batches of a task cut by bytes; memory goes back to the machine after each large one and at the end."""
+    since = 0
+    for b in batches:
+        yield from slices(b, column, most, *others)
+        since += b.nbytes
+        if since > most:
+            del b
+            give_back()
+            since = 0
+    give_back()
+
+
 def map_batches(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType,
                 most: int = BATCH_BYTES) -> DataFrame:
     """``mapInArrow`` over byte-bounded batches; ``make`` builds the per-task state once and returns the batch function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = None
-        for b in batches:
-            for s in slices(b, column, most):
-                fn = fn or make()
-                yield fn(s)
+        for s in pieces(batches, column, most):
+            fn = fn or make()
+            yield fn(s)
 
     return df.mapInArrow(run, schema)
 
@@ -96,9 +124,8 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = None
-        for b in batches:
-            for s in slices(b, column, most):
-                fn = fn or make()
-                yield s.filter(pa.array(fn(s.column(column).to_pylist()), pa.bool_()))
+        for s in pieces(batches, column, most):
+            fn = fn or make()
+            yield s.filter(pa.array(fn(s.column(column).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

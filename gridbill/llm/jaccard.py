@@ -33,6 +33,8 @@ FREQUENT, FREQUENT_FROM = 100_000, 8
 RANGE = 4 << 20
 #: Ids of classes whose texts are fetched are broadcast up to this number (16 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Shingles that a task remembers while it verifies pairs (8 bytes each).
+KNOWN = 2_000_000
 #: Sizes above this are always heavy.
 LIGHT_MOST = 64
 
@@ -120,14 +122,13 @@ def frequencies(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray, f
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in common.slices(b, "text", 8 << 20):
-                sets = [shingles(t) for t in s.column("text").to_pylist()]
-                slots = np.sort(_slot(np.concatenate(sets), ranges)) if sets else np.zeros(0, np.uint64)
-                cut = np.searchsorted(slots, np.arange(1, ranges, dtype=np.uint64) << np.uint64(32))
-                low = [x.astype("<u4") for x in np.split(slots, cut)]
-                own = [r for r in range(ranges) if len(low[r])]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([low[r].tobytes() for r in own], pa.binary())], ["r", "pack"])
+        for s in common.pieces(batches, "text", 8 << 20):
+            sets = [shingles(t) for t in s.column("text").to_pylist()]
+            slots = np.sort(_slot(np.concatenate(sets), ranges)) if sets else np.zeros(0, np.uint64)
+            cut = np.searchsorted(slots, np.arange(1, ranges, dtype=np.uint64) << np.uint64(32))
+            low = [x.astype("<u4") for x in np.split(slots, cut)]
+            own = [r for r in range(ranges) if len(low[r])]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([low[r].tobytes() for r in own], pa.binary())], ["r", "pack"])
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         low, n = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in table.column("pack").to_pylist()]), return_counts=True)
@@ -235,22 +236,26 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, clean: bool) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
+        size = 0
 
-        def of(key: int, text: str) -> np.ndarray:
+        def of(key: int, text: pa.Scalar) -> np.ndarray:
+            nonlocal size
             if key not in known:
-                if len(known) >= 64:
+                if size > KNOWN:
                     known.clear()
-                known[key] = shingles(text)
+                    size = 0
+                known[key] = shingles(text.as_py())
+                size += len(known[key])
             return known[key]
 
-        for batch in batches:
-            for s in common.slices(batch, "text_b"):
-                a, b, ta, tb = (s.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-                ok = []
-                for i in range(len(a)):
-                    x, y = of(a[i], ta[i]), of(b[i], tb[i])
-                    ok.append(bool(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
-                yield pa.RecordBatch.from_arrays([s.column("a"), s.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+        # the text of a list's hub comes with each of its pairs, so both columns count
+        for s in common.pieces(batches, "text_b", common.BATCH_BYTES, "text_a"):
+            a, b, ta, tb = (s.column(c) for c in ("a", "b", "text_a", "text_b"))
+            ok = []
+            for i in range(len(a)):
+                x, y = of(a[i].as_py(), ta[i]), of(b[i].as_py(), tb[i])
+                ok.append(bool(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     return common.stored(with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, ok boolean"), "verified")
 

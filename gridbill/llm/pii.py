@@ -344,7 +344,7 @@ def sample_windows(docs: DataFrame, most: int = TRAIN_WINDOWS) -> list[str]:
     """At most ``most`` windows around digits and ``@`` of all whole texts: those with the smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.pieces(batches, "text"):
             found = {t[a : a + 3 * REACH] for t in b.column(0).to_pylist() if t for r in regions(t) for a in range(r[0], r[1], 3 * REACH)}
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["w"])

@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridbill.llm import common
-from gridbill.llm.bpe import mapped
 from gridbill.llm.chunks import Encoder
 from gridbill.llm.crc32c import crc32c, masked
 
@@ -45,7 +44,7 @@ def plain_encoder(path: str, pattern: str, **bounds: int) -> tuple[Encoder, list
     if t.normalizer or not isinstance(t.model, models.BPE) or not isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel) or t.pre_tokenizer.add_prefix_space:
         raise ValueError("a plain byte-level BPE tokenizer is asked for")
     tokenize = t.model.tokenize
-    plain = Encoder(pattern, lambda pre: [[x.id for x in tokenize(mapped(p))] for p in pre], **bounds)
+    plain = Encoder(pattern, lambda pre: [[x.id for x in tokenize(p)] for p in pre], **bounds)
     return plain, [a.content for a in t.get_added_tokens_decoder().values()]
 
 
@@ -139,19 +138,18 @@ def write(df: DataFrame, path: str, make: Callable[[], Callable[[list], list[byt
         name = f"part-{task.partitionId():06d}"
         temporary = f"{base}/.{name}-{task.taskAttemptId()}"
         out, at, starts, n_ids = None, 0, [], 0
-        for b in batches:
-            for s in common.slices(b, column, 4 << 20):
-                if out is None:
-                    pack = make()
-                    store.create_dir(base, recursive=True)
-                    out = store.open_output_stream(f"{temporary}.rec")
-                ids = pack(s.column(column).to_pylist())
-                n_ids += sum(map(len, ids)) // 4
-                framed = frames([payload(d, x) for d, x in zip(s.column(id_col).to_pylist(), ids, strict=True)])
-                for f in framed:
-                    starts.append(at)
-                    at += len(f)
-                out.write(b"".join(framed))
+        for s in common.pieces(batches, column, 16 << 20):
+            if out is None:
+                pack = make()
+                store.create_dir(base, recursive=True)
+                out = store.open_output_stream(f"{temporary}.rec")
+            ids = pack(s.column(column).to_pylist())
+            n_ids += sum(map(len, ids)) // 4
+            framed = frames([payload(d, x) for d, x in zip(s.column(id_col).to_pylist(), ids, strict=True)])
+            for f in framed:
+                starts.append(at)
+                at += len(f)
+            out.write(b"".join(framed))
         if out is None:
             return
         out.close()

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gridbill.llm import common
 from gridbill.operators.common import key_join
 
-LONG, STRETCH = 256, 64
+LONG, STRETCH = 256, 32
 #: States: nothing yet, after the system row, after a user row, after an assistant row.
 STATES = START, SYSTEM, USER, ASSISTANT = range(4)
 #: State after a role's initial; what is not here is not allowed.
@@ -74,20 +74,30 @@ def cheapest(rows: str, state: int, ends: tuple[int, int, int, int], tail: bool
     ``ends``: what ending in each state costs (``NEVER``: it may not end there); it counts in the cost. ``tail``:
     rows may be inserted after the last one. Edits are the letters D, I, K, R. Without any way the cost is ``NEVER``.
     """
-    least = lower_bounds(rows)
-    last = min(ends)
-    if last >= NEVER:
+    least, n, path = lower_bounds(rows), len(rows), []
+    # The last states are reached from every state; the two first ones only by deleting all rows from
+    # them on, and the second also from the first.
+    last = min(ends[USER], ends[ASSISTANT])
+
+    def at_least(i: int, state: int) -> int:
+        found = least[i] + last
+        if state == SYSTEM:
+            return min(found, DELETE * (n - i) + ends[SYSTEM])
+        if state == START:
+            return min(found, least[i] + ends[SYSTEM], DELETE * (n - i) + ends[START])
+        return found
+
+    bound, failed, over = at_least(0, state), {}, NEVER
+    if bound >= NEVER:
         return NEVER, "", state
-    bound, failed, over = least[0] + last, {}, NEVER
     # Deleting all rows that need not stay and inserting two reaches each end that can be reached.
-    most = DELETE * len(rows) + 3 * INSERT + max(e for e in ends if e < NEVER)
-    n, path = len(rows), []
+    most = DELETE * n + 3 * INSERT + max(e for e in ends if e < NEVER)
 
     def search(i: int, state: int, left: int) -> int:
         """The end state of the first path from here that costs no more than ``left``, or -1."""
         nonlocal over
-        if least[i] + last > left:
-            over = min(over, bound - left + least[i] + last)
+        if (rest := at_least(i, state)) > left:
+            over = min(over, bound - left + rest)
             return -1
         if failed.get((i, state), -1) >= left:
             return -1

@@ -1,7 +1,7 @@
 """Toxicity by compression distance (operator 4).
 
-Two zstandard dictionaries are trained on a bounded sample of labelled documents:
-one on ordinary text, and one on toxic text, whose content comes on top of the
+Two zstandard dictionaries are made from a bounded sample of labelled documents:
+one of ordinary text, and one of toxic text, whose content comes on top of the
 ordinary one (toxic documents are mostly ordinary words). A text is cut into
 windows of a few words; each window is compressed with either dictionary. Where
 the toxic dictionary saves bytes, the window holds what toxic text has and
@@ -9,6 +9,9 @@ ordinary text lacks. The savings of all windows make the document's score throug
 a logistic regression and a threshold calibrated on sample rows that the
 dictionaries have not seen.
 
+The dictionaries are raw content (lists of words), not the output of zstandard's
+trainer: that one keeps what is frequent in its samples, which is ordinary words in
+toxic text too. README gives held-out figures of trained dictionaries of several sizes.
 What a dictionary holds is chosen by the number of different contexts (preceding
 words) of a word rather than by its count: a passage copied into many documents
 has one context however often it occurs.

@@ -237,8 +237,8 @@ def write(plan: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> Dat
             out.close()
             return pa.RecordBatch.from_pydict({"archive": [name], "records": [records], "bytes": [size]})
 
-        for b in batches:
-            for row in b.to_pylist():
+        for s in common.pieces(batches, "payload"):
+            for row in s.to_pylist():
                 if out is None:
                     store.create_dir(base, recursive=True)
                     name, size, records = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{k:04d}.warc.gz", 0, 0
@@ -252,10 +252,7 @@ def write(plan: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> Dat
         if out is not None:
             yield done()
 
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(s for b in batches for s in common.slices(b, "payload"))
-
-    return common.stored(plan.mapInArrow(small, "archive string, records long, bytes long"), "archives")
+    return common.stored(plan.mapInArrow(run, "archive string, records long, bytes long"), "archives")
 
 
 READ = "archive string, start long, stop long, page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, gap string"

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from gridbill.llm import alignment as A
-from gridbill.llm.bpe import byte_characters
+from gridbill.llm.chunks import byte_characters
 
 TOK = Tokenizer.from_file(P.path(A.VOCABULARY_A))
 TOK.encode_special_tokens = True
