@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridbill.llm import common
-from gridbill.llm.chunks import byte_characters, cut, gather, runs
+from gridbill.llm.chunks import as_runs, byte_characters, cut, gather, runs
 from gridbill.llm.records import plain_encoder
 from gridbill.operators.common import key_join
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that are aligned at once, and what a worker may remember of encoded stretches.
-BATCH_BYTES, MEMORY_BYTES = 8 << 20, 128 << 20
+BATCH_BYTES, MEMORY_BYTES = 4 << 20, 96 << 20
 #: Rows up to which the table of pair counts is broadcast (17 bytes of data each); beyond it is joined by shuffle.
 BROADCAST_PAIRS = 1_000_000
 
@@ -44,7 +44,8 @@ class Tokens:
     entries: list[bytes]
 
     def __post_init__(self):
-        self.flat, self.starts, self.sizes = runs(self.entries, "u1")
+        self.table = runs(self.entries)
+        self.sizes = np.fromiter(map(len, self.entries), np.int64, len(self.entries))
 
 
 def byte_level(path: str, pattern: str) -> Tokens:
@@ -86,7 +87,7 @@ def pieces(path: str) -> Tokens:
 
 def _spelled(t: Tokens, ids: np.ndarray, ends: np.ndarray, expected: list[bytes]) -> np.ndarray:
     """Per stretch: whether the bytes of its ids are the expected ones."""
-    data, token_ends = gather(t.flat, t.starts, t.sizes, ids.astype(np.int64))
+    data, token_ends = gather(t.table, ids, "u1")
     data = data.tobytes()
     if data == b"".join(expected) and np.array_equal(np.concatenate([[0], token_ends])[ends], np.cumsum(np.fromiter(map(len, expected), np.int64, len(expected)))):
         return np.ones(len(expected), bool)
@@ -94,6 +95,11 @@ def _spelled(t: Tokens, ids: np.ndarray, ends: np.ndarray, expected: list[bytes]
     return np.fromiter((data[stops[i] : stops[i + 1]] == e for i, e in enumerate(expected)), bool, len(expected))
 
 
+def _flat(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed ids as ids and where each stretch's ids end."""
+    return np.frombuffer(b"".join(packed), "<u4"), np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4)
+
+
 def _only(ids: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids and ends with no ids left for what is not kept."""
     n = np.diff(ends, prepend=0)
@@ -134,14 +140,13 @@ class Aligner:
         self.a, self.b = a, b
         # what an id is followed by: "," inside a run, "|" after the last of A, ";" after the last of B
         kinds = [(a, b","), (a, b"|"), (b, b","), (b, b";")]
-        self.said = runs([b"%d" % i + mark for t, mark in kinds for i in range(len(t.entries))], "u1")
+        self.said = runs([b"%d" % i + mark for t, mark in kinds for i in range(len(t.entries))])
         self.first = np.cumsum([0, *(len(t.entries) for t, _ in kinds)])
 
     def stretches(self, words: list[str], others: list[str]) -> tuple[np.ndarray, ...]:
         """Of each stretch: whether its tokens spell it, counts of A, B and groups, runs of its group list and of its link codes."""
         expected = [b" " + x.encode() for x in words] + [x.encode() for x in others]
-        (ids_a, _, size_a), (ids_b, _, size_b) = runs(self.a.encode(words, others), "<u4"), runs(self.b.encode(words, others), "<u4")
-        ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
+        (ids_a, ends_a), (ids_b, ends_b) = _flat(self.a.encode(words, others)), _flat(self.b.encode(words, others))
         keep = _spelled(self.a, ids_a, ends_a, expected) & _spelled(self.b, ids_b, ends_b, expected)
         (ids_a, ends_a), (ids_b, ends_b) = _only(ids_a, ends_a, keep), _only(ids_b, ends_b, keep)
         stops_a, stops_b = np.cumsum(self.a.sizes[ids_a]), np.cumsum(self.b.sizes[ids_b])
@@ -159,7 +164,7 @@ class Aligner:
         order = np.empty(len(ids_a) + len(ids_b), np.int64)
         order[np.arange(len(ids_a)) + np.concatenate([[0], end_b])[group_a]] = self.first[np.where(last_a, 1, 0)] + ids_a
         order[np.arange(len(ids_b)) + (end_a[group_b] if len(end_a) else 0)] = self.first[np.where(last_b, 3, 2)] + ids_b
-        groups, said_ends = gather(*self.said, order)
+        groups, said_ends = gather(self.said, order, "u1")
         group_ends = np.concatenate([[0], said_ends])[ends_a + ends_b]
         return keep, np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0), _sums(last_a, ends_a), groups, group_ends, codes, code_ends
 
@@ -173,9 +178,8 @@ class Aligner:
             n = np.diff(last, prepend=-1)
             which, last = which[np.repeat(good, n)], np.cumsum(np.where(good, n, 0)) - 1
         ends = last + 1
-        code_sizes, group_sizes = np.diff(code_ends, prepend=0), np.diff(group_ends, prepend=0)
-        said, said_ends = gather(groups, group_ends - group_sizes, group_sizes, which)
-        links, link_ends = gather(codes, code_ends - code_sizes, code_sizes, which)
+        said, said_ends = gather(as_runs(groups, group_ends), which, "u1")
+        links, link_ends = gather(as_runs(codes, code_ends), which, "<i8")
         n_links = np.diff(np.concatenate([[0], link_ends])[ends], prepend=0)
         span = len(self.a.entries) * len(self.b.entries)
         each, times = np.unique(np.repeat(np.arange(n_texts) * span, n_links) + links, return_counts=True)

@@ -22,6 +22,8 @@ from gridbill.llm import common
 from gridbill.llm.chunks import Encoder, binary, byte_characters, gather, runs
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Bytes of text that are encoded at once.
+BATCH_BYTES = 6 << 20
 
 
 @lru_cache(2)
@@ -83,18 +85,22 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 
 def decoder(path: str):
-    """An Arrow array of packed ids to an array of the bytes they stand for."""
-    flat, starts, sizes = runs(read_ranks(path), "u1")
+    """Ids and where each text's ids end to an Arrow array of the bytes they stand for."""
+    table = runs(read_ranks(path))
 
-    def decode(packed: pa.Array) -> pa.Array:
-        n_ids = np.asarray(pc.fill_null(pc.binary_length(packed), 0)).astype(np.int64) // 4
-        ids = np.frombuffer(b"".join([x for x in packed.to_pylist() if x]), "<u4")
-        text, ends = gather(flat, starts, sizes, ids.astype(np.int64))
-        return binary(text, np.concatenate([[0], ends])[np.cumsum(n_ids)])
+    def decode(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        text, stops = gather(table, ids, "u1")
+        return binary(text, np.concatenate([[0], stops])[ends])
 
     return decode
 
 
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Packed ids (null: none) as ids and where each text's ids end."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64) // 4)
+    return np.frombuffer(b"".join([x for x in column.to_pylist() if x]), "<u4"), ends
+
+
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the ids of each whole text, packed as little-endian unsigned 32-bit integers.
 
@@ -107,7 +113,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         return lambda b: pa.RecordBatch.from_arrays([b.column(0), binary(*enc.batch(b.column(1)))], [id_col, "ids"])
 
     src = df.select(id_col, text_col)
-    return common.map_batches(src, text_col, make, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, ids binary", 16 << 20)
+    return common.map_batches(src, text_col, make, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, ids binary", BATCH_BYTES)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -115,19 +121,35 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", keep: tuple[str, ..
 
     def make():
         dec = decoder(path)
-        return lambda b: pa.RecordBatch.from_arrays([*(b.column(c) for c in (id_col, *keep)), dec(b.column("ids"))], [id_col, *keep, "decoded"])
+        return lambda b: pa.RecordBatch.from_arrays([*(b.column(c) for c in (id_col, *keep)), dec(*unpacked(b.column("ids")))], [id_col, *keep, "decoded"])
 
     src = df.select(id_col, *dict.fromkeys([*keep, "ids"]))
     schema = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
     return common.map_batches(src, "ids", make, f"{schema}, decoded binary", 8 << 20)
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded): ``encode``, then ``decode`` of the ids, in one pass of one worker process."""
+
+    def make():
+        enc, dec = encoder(path, pattern), decoder(path)
+
+        def one(b: pa.RecordBatch) -> pa.RecordBatch:
+            ids, ends = enc.batch(b.column(1))
+            return pa.RecordBatch.from_arrays([b.column(0), binary(ids, ends), dec(ids, ends)], [id_col, "ids", "decoded"])
+
+        return one
+
+    src = df.select(id_col, text_col)
+    return common.map_batches(src, text_col, make, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, ids binary, decoded binary", BATCH_BYTES)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``docs`` (doc_id, text) under the public vocabulary."""
     import public_tokenizers
 
     path = public_tokenizers.path(VOCABULARY)
-    return decode(encode(docs, path, public_tokenizers.PATTERN), path, keep=("ids",)).select(
+    return round_trip(docs, path, public_tokenizers.PATTERN).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

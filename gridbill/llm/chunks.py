@@ -38,31 +38,30 @@ def mapped(s: str, table: dict[int, str] = dict(enumerate(byte_characters()))) -
     return s.encode().decode("latin-1").translate(table)
 
 
-def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs ``flat[starts[i]:starts[i] + sizes[i]]`` for each i of ``which``, end to end, and where each ends."""
-    n = sizes[which]
-    ends = np.cumsum(n)
-    if not len(which) or not ends[-1]:
-        return flat[:0], ends
-    at = np.repeat(starts[which] - (ends - n), n)
-    at += np.arange(len(at))
-    return flat[at], ends
+def runs(values: list[bytes]) -> pa.Array:
+    """Byte strings as a table to ``gather`` from."""
+    return pa.array(values, pa.large_binary())
 
 
-def runs(values: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``flat, starts, sizes`` of byte strings, for ``gather``."""
-    flat = np.frombuffer(b"".join(values), dtype)
-    sizes = np.fromiter(map(len, values), np.int64, len(values)) // flat.itemsize
-    return flat, np.cumsum(sizes) - sizes, sizes
+def as_runs(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The runs of ``flat`` that end at ``ends`` as such a table, without a copy."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64) * flat.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def gather(table: pa.Array, which: np.ndarray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The byte strings at ``which`` end to end, seen as numbers, and where each ends."""
+    kind = np.dtype(dtype)
+    if not len(which):
+        return np.empty(0, kind), np.empty(0, np.int64)
+    got = table.take(pa.array(which, pa.int64()))
+    ends = np.frombuffer(got.buffers()[1], np.int64)[1 : len(got) + 1] // kind.itemsize
+    return np.frombuffer(got.buffers()[2], kind, int(ends[-1])) if ends[-1] else np.empty(0, kind), ends
 
 
 def binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Runs of ``flat`` that end at ``ends`` as an Arrow array of byte strings."""
-    offsets = np.zeros(len(ends) + 1, np.int64)
-    offsets[1:] = ends * flat.itemsize
-    if offsets[-1] > np.iinfo(np.int32).max:
-        raise ValueError("a batch holds more than 2 GiB of ids")
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+    """Runs of ``flat`` that end at ``ends`` as an Arrow array of byte strings for Spark."""
+    return as_runs(flat, ends).cast(pa.binary())
 
 
 def cut(texts: pa.Array) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
@@ -101,7 +100,7 @@ def cut(texts: pa.Array) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
 class Encoder:
     """Whole texts to unsigned 32-bit ids through a memory of encoded stretches that is bounded in bytes."""
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[list[int]]], most_bytes: int = 192 << 20, longest: int = 48):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[list[int]]], most_bytes: int = 160 << 20, longest: int = 48):
         """``encode``: pre-tokens, byte by byte as printable characters (``mapped``), to ids; ``most_bytes``: what the memory may take before it is emptied;
         ``longest``: stretches of more characters are encoded but not remembered."""
         import regex
@@ -187,9 +186,8 @@ class Encoder:
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text's ids end; a null text is an empty one."""
         words, specials, which, last = cut(texts)
-        flat, at, sizes = runs(self.blank_led(words) + self.special(specials), "<u4")
-        ids, ends = gather(flat, at, sizes, which)
-        return ids, ends[last]
+        ids, ends = gather(runs(self.blank_led(words) + self.special(specials)), which, "<u4")
+        return ids, ends[last] if len(last) else ends
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         ids, ends = self.batch(pa.array(texts, pa.string()))

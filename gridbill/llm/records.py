@@ -138,7 +138,7 @@ def write(df: DataFrame, path: str, make: Callable[[], Callable[[list], list[byt
         name = f"part-{task.partitionId():06d}"
         temporary = f"{base}/.{name}-{task.taskAttemptId()}"
         out, at, starts, n_ids = None, 0, [], 0
-        for s in common.pieces(batches, column, 16 << 20):
+        for s in common.pieces(batches, column, 8 << 20):
             if out is None:
                 pack = make()
                 store.create_dir(base, recursive=True)
