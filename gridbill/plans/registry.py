@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import display as D
@@ -15,6 +17,8 @@ from ..operators import maintain as M
 from ..operators import validate as V
 from ..operators import windows as W
 from ..operators import rating as RT
+from ..session import output_dir
+from ..streaming import consumption as SC
 from ..streaming import ingest as ST
 from ..sources.tables import Tables
 from . import reports as RP
@@ -287,13 +291,17 @@ def q_revenue_trend_totals(t: Tables):
 _PAY_RANGE = f"p.PaymentDate >= TIMESTAMP '{_R0} 00:00:00' AND p.PaymentDate < TIMESTAMP '{_R1_NEXT} 00:00:00'"
 
 
+# Payments are summed per bill and day before the bill's utility is looked up.
 @register("revenue_by_day", f"""
-SELECT strftime(p.PaymentDate, '%Y-%m-%d') AS Date, u.UtilityName AS Utility,
-       COUNT(p.PaymentID) AS PaymentsReceived, CAST(SUM(p.PaymentAmount) AS DECIMAL(18,2)) AS Total
-FROM payment p JOIN bill b ON p.BillID = b.BillID
-JOIN meter m ON b.MeterID = m.MeterID JOIN utility_type u ON m.UtilityID = u.UtilityID
-WHERE {_PAY_RANGE}
-GROUP BY strftime(p.PaymentDate, '%Y-%m-%d'), u.UtilityName
+, per_bill AS (
+  SELECT BillID, CAST(PaymentDate AS DATE) AS day, COUNT(*) AS n, SUM(PaymentAmount) AS paid
+  FROM payment p WHERE {_PAY_RANGE} GROUP BY ALL
+), named AS (
+  SELECT MeterID, UtilityName FROM meter JOIN utility_type USING (UtilityID)
+)
+SELECT CAST(day AS VARCHAR) AS Date, UtilityName AS Utility, CAST(SUM(n) AS BIGINT) AS PaymentsReceived,
+       CAST(SUM(paid) AS DECIMAL(18,2)) AS Total
+FROM per_bill JOIN bill USING (BillID) JOIN named ON named.MeterID = bill.MeterID GROUP BY day, UtilityName
 """)
 def q_revenue_by_day(t: Tables):
     """A5: payments per day and utility in 1998."""
@@ -555,6 +563,21 @@ def q_billing_run_month(t: Tables):
 
 
 # Number of an entity's row, taken from its id, and the batches with faulty rows that the write paths get.
+@register("billing_run_due", _BILLS_SQL.replace("CAST(DATE '{bd}' + INTERVAL 14 DAY AS DATE) AS DueDate", "DATE '2024-03-31' AS DueDate").format(
+    bd="2024-02-01", extra=""))
+def q_billing_run_due(t: Tables):
+    """Bills for all unbilled readings with a due date that the cashier gives."""
+    return B.billing_run(t, "2024-02-01", due_date="2024-03-31")
+
+
+@register("billing_run_customers", _BILLS_SQL.format(
+    bd="2024-01-01", extra="AND r.ReadingDate >= DATE '2024-01-01' AND r.ReadingDate < DATE '2024-02-01' "
+                           "AND m.CustomerID IN (SELECT CustomerID FROM cust WHERE CustomerType = 'Business')"))
+def q_billing_run_customers(t: Tables):
+    """First-of-month billing for January 2024 of the business customers."""
+    return B.billing_run_month(t, READ_AS_OF, customers=t.customer.where(F.col("CustomerType") == "Business"))
+
+
 def _num(c: str):
     return F.substring_index(F.col(c), "-", -1).cast("bigint")
 
@@ -666,6 +689,17 @@ def q_double_billed(t: Tables):
     return B.double_billed(t.bill)
 
 
+@register("double_billed_reissued", """
+, every AS (SELECT ReadingID FROM bill UNION ALL SELECT ReadingID FROM bill WHERE Status IN ('Overdue', 'Unpaid')
+            UNION ALL SELECT ReadingID FROM bill WHERE Status = 'Overdue')
+SELECT ReadingID, COUNT(*) AS BillCount FROM every WHERE ReadingID IS NOT NULL GROUP BY ReadingID HAVING COUNT(*) > 1
+""")
+def q_double_billed_reissued(t: Tables):
+    """B6 on a bill table in which every open bill was issued again, overdue ones twice: the readings found."""
+    again = t.bill.where(F.col("Status").isin("Overdue", "Unpaid"))
+    return B.double_billed(t.bill.unionByName(again).unionByName(again.where(F.col("Status") == "Overdue")))
+
+
 # ------------------------------------------------------- validation and appends
 _READING_OUTCOME = """CASE
     WHEN NULLIF(b.MeterID, '') IS NULL THEN 'missing MeterID'
@@ -1004,13 +1038,13 @@ def q_delete_meters_snapshot(t: Tables):
 
 @register("delete_outcomes", """
 , asked AS (SELECT DISTINCT CASE WHEN k % 50 = 1 THEN 'CUST-no' || CAST(k AS VARCHAR) ELSE CustomerID END AS CustomerID
-            FROM (SELECT CustomerID, CAST(split_part(CustomerID, '-', 2) AS BIGINT) AS k FROM cust) c WHERE k % 10 = 1)
+            FROM (SELECT CustomerID, CAST(split_part(CustomerID, '-', 2) AS BIGINT) AS k FROM cust) c)
 SELECT CustomerID, CASE WHEN CustomerID IN (SELECT CustomerID FROM cust) THEN 'deleted' ELSE 'not found' END AS Outcome FROM asked
 """)
 def q_delete_outcomes(t: Tables):
     """M2: the answer for each customer id asked for; some ids are not stored."""
     k = _num("CustomerID")
-    asked = t.customer.where(k % 10 == 1).select(F.when(k % 50 == 1, F.concat(F.lit("CUST-no"), k.cast("string"))).otherwise(F.col("CustomerID")).alias("CustomerID"))
+    asked = t.customer.select(F.when(k % 50 == 1, F.concat(F.lit("CUST-no"), k.cast("string"))).otherwise(F.col("CustomerID")).alias("CustomerID"))
     return M.delete_outcomes(t.customer, asked, "CustomerID")
 
 
@@ -1131,13 +1165,17 @@ SELECT BillID,
        upper(Status) = upper('paid') AS IsPaid,
        'Rs. ' || CAST(AmountDue AS VARCHAR) AS AmountText,
        CAST(replace(format('{:,.0f}', CAST(round(AmountDue, 0) AS DOUBLE)), ',', '') AS DECIMAL(20,2)) AS Parsed,
-       CAST(BillDate + INTERVAL 14 DAY AS DATE) = DueDate AS DueIn14
+       CAST(BillDate + INTERVAL 14 DAY AS DATE) = DueDate AS DueIn14,
+       format('{:,}', CAST(floor(AmountDue) AS BIGINT)) || '.' || lpad(CAST(CAST((AmountDue - floor(AmountDue)) * 100 AS INTEGER) AS VARCHAR), 2, '0') AS AmountN2,
+       CASE WHEN Status = 'Paid' THEN 'm3' ELSE 'kWh' END AS Unit,
+       CASE WHEN Status = 'Paid' THEN NULL ELSE CAST(round(AmountDue, 0) AS DECIMAL(20,2)) END AS ParsedOrNull
 FROM bill
 """)
 def q_scalar_suite(t: Tables):
     """F1-F15 on every bill."""
     b = t.bill
     n0 = FM.format_n("AmountDue", 0)
+    unit = F.when(F.col("Status") == "Paid", "m3").otherwise("kWh")
     return b.select(
         "BillID",
         F.month("BillDate").alias("BillMonth"), F.year("BillDate").alias("BillYear"),
@@ -1156,6 +1194,9 @@ def q_scalar_suite(t: Tables):
         FM.rupees("AmountDue").alias("AmountText"),
         FM.parse_quantity(F.concat(n0, F.lit(" kWh"))).alias("Parsed"),
         (F.date_add("BillDate", 14) == F.col("DueDate")).alias("DueIn14"),
+        FM.format_n("AmountDue", 2).alias("AmountN2"),
+        FM.quantity_unit(FM.quantity_text("AmountDue", unit)).alias("Unit"),
+        FM.parse_quantity(F.when(F.col("Status") == "Paid", "n/a kWh").otherwise(FM.quantity_text("AmountDue", unit))).alias("ParsedOrNull"),
     )
 
 
@@ -1179,17 +1220,25 @@ def q_ingest_readings_stream(t: Tables):
     return accepted.unionByName(ST.refused_submissions(spark, paths).drop(ST.EPOCH))
 
 
+@register("reading_consumption_stream", """
+, lagged AS (SELECT ReadingID, MeterID, ReadingDate, ReadingValue,
+                    LAG(ReadingValue, 1, 0) OVER (PARTITION BY MeterID ORDER BY ReadingDate, ReadingID) AS before FROM meter_reading)
+SELECT ReadingID, MeterID, ReadingDate, ReadingValue AS CurrentReadingValue, CAST(before AS DECIMAL(10,2)) AS PreviousReadingValue,
+       CAST(ReadingValue - before AS DECIMAL(12,2)) AS Consumption
+FROM lagged
+""")
+def q_reading_consumption_stream(t: Tables):
+    """ST1 with W2 and B1: all readings arrive out of order in three micro-batches; the last answer of each."""
+    base = f"{output_dir(t.spark)}/consumption-{uuid.uuid4().hex}"
+    t.meter_reading.repartition(3, F.xxhash64("ReadingID")).write.parquet(f"{base}/arrived")
+    paths = SC.Paths.under(base)
+    SC.consumption_stream(SC.readings_from_files(t.spark, f"{base}/arrived", max_files=1), paths).awaitTermination()
+    return SC.latest_answers(t.spark, paths)
+
+
 # ------------------------------------------------- remaining SURVEY query keys
-@register("consumption_rank", """
-, cd AS (
-  SELECT c.CustomerID, u.UtilityName, SUM(b.Consumption) AS TotalConsumption
-  FROM bill b JOIN cust c ON b.CustomerID = c.CustomerID
-  JOIN meter m ON b.MeterID = m.MeterID JOIN utility_type u ON m.UtilityID = u.UtilityID
-  GROUP BY c.CustomerID, u.UtilityName
-)
-SELECT RANK() OVER (ORDER BY TotalConsumption DESC) AS Rank, CustomerID, UtilityName AS Utility,
-       CAST(TotalConsumption AS DECIMAL(18,2)) AS TotalConsumption
-FROM cd WHERE TotalConsumption > 0
+@register("consumption_rank", _CONSUMPTION_SQL.format(where="TRUE", part="1") + """
+SELECT Rank, CustomerID, Utility, TotalConsumption FROM ranked
 """)
 def q_consumption_rank(t: Tables):
     """RANK() of every customer x utility by all-time consumption, distributed."""
