@@ -22,8 +22,8 @@ from gridbill.llm import common
 from gridbill.llm.chunks import Encoder, binary, byte_characters, gather, runs
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Bytes of text that are encoded at once.
-BATCH_BYTES = 6 << 20
+#: Bytes of text that are encoded at once, and what a worker may remember of encoded stretches.
+BATCH_BYTES, MEMORY_BYTES = 2 << 20, 48 << 20
 
 
 @lru_cache(2)
@@ -79,7 +79,7 @@ def encoder(path: str, pattern: str) -> Encoder:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(read_ranks(path)))
-        return Encoder(pattern, lambda pre: model.encode(pre, num_threads=1))
+        return Encoder(pattern, lambda pre: model.encode(pre, num_threads=1), most_bytes=MEMORY_BYTES)
 
     return common.held(("bpe", path, pattern), build)
 
