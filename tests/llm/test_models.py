@@ -250,6 +250,15 @@ def test_odd_pages():
     assert wrappers.extracted("&lt;p&gt; &#x41;", None) == "<p> A"
 
 
+def test_raw_names_and_attributes():
+    text = lambda body: wrappers.extracted(f"<article>{body}</article>", None)
+    for own in ("<svg-icon name=x></svg-icon>", "<select-box></select-box>", "<style-guide>", "<title-bar>", "<svg/>", '<svg width="3" />'):
+        assert text(f"<p>one</p>{own}<p>two</p>") == "one two", own
+    assert text("<p data-x=don't>text one</p><p>isn't lost</p><p>end</p>") == "text one isn't lost end"
+    assert text("""<p title="a > b" lang='x>y'>kept</p><svg><text>no</text></svg><style>p{}</style><p>end</p>""") == "kept end"
+    assert wrappers.extracted("<p " + 'a="b" ' * 3000, None) == ""  # no end: read once, without going back
+
+
 def test_hosts_and_rows(spark):
     rows = [(i, f"http://H{i % 2}.example.com:80/{i}", PAGE.replace("One", f"One{i}")) for i in range(40)]
     rows += [(1, rows[1][1], rows[1][2]), (None, None, PAGE), (50, "not a url", None), (51, "", "")]
