@@ -219,6 +219,33 @@ def test_search_computes_less(spark):
     assert tree.computed < 2000
 
 
+def test_queries_go_only_where_a_bound_reaches(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centers = rng.normal(0, 10, (30, 8))
+    rows = [(i, (centers[i % 30] + rng.normal(0, 0.05, 8)).tolist()) for i in range(3000)]
+    v = mtree.quantised(spark.createDataFrame(rows, "vec_id long, e array<double>"), "vec_id", "e", 64)
+    queries = v.where("vec_id % 20 = 0")
+    top_level = mtree.index(v, 50)
+    assert top_level.rows.count() == 3000 and top_level.blocks.sum() >= 60
+    sent = mtree.sent(top_level, mtree.first(top_level, queries, 5, 50)).count()
+    assert sent < 0.3 * 150 * (top_level.blocks.sum() - 1), sent
+    exact = [(i, [int(x * 64 // 1) for x in e]) for i, e in rows]
+    assert sorted(map(tuple, mtree.search(queries, v, 5, block=50).collect())) == top(exact, 5)
+
+
+def test_copies_repeated_ids_and_other_columns(spark):
+    rows = [(i, [1.0, 2.0], 7, 7) for i in range(300)] + [(20, [1.0, 2.0], 7, 7)] * 300 + [(k, [0.5, k / 900], 7, 7) for k in range(300, 400)]
+    e = spark.createDataFrame(rows, "vec_id long, e array<double>, region int, block int")
+    v = mtree.quantised(e, "vec_id", "e", 64)
+    assert max(r[0] for r in mtree.index(v, 64).rows.groupBy("region", "block").count().select("count").collect()) < 3 * 64
+    got = mtree.search(v.where("vec_id % 20 = 0 and vec_id <> 20"), v, 3, block=64)
+    want = {(q, r, i, 64 * 64 * 5) for q in range(0, 300, 20) if q != 20 for r, i in zip((1, 2, 3), [i for i in range(5) if i != q])}
+    assert {tuple(r) for r in got.where("query_id < 300").collect()} == want
+    assert got.count() == 3 * (14 + 5)
+
+
 def test_fewer_rows_than_k(spark):
     rows = spark.createDataFrame([(0, [1.0]), (1, [2.0, 3.0]), (2, [])], "vec_id long, e array<double>")
     v = mtree.quantised(rows, "vec_id", "e", 64)
