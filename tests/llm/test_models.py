@@ -244,6 +244,41 @@ def test_constants_and_layouts_of_a_host(spark):
     assert got == {k: f"{'Own' if k == last else 'Head'} Text {k}" for k in range(60)}
 
 
+@pytest.mark.parametrize("outer", ["<article>{}</article>", "<main>{}</main>", "<div id=c>{}</div>"])
+def test_the_wrapper_tells_template_without_names(spark, outer):
+    """On all three layouts a label that is the same on all pages of a host goes; alone, a page does not show it."""
+    body = "<div class=x1><h2>Own {0}</h2><div class=k7>Gift vouchers here</div><p>Text {0} of the page.</p><div class=x2>Also <b>text {0}</b></div></div>"
+    page = outer.format(body)
+    main = "Own {0} Text {0} of the page. Also text {0}"
+    wrapper = wrappers.inferred([page.format(k) for k in range(4)])
+    assert wrappers.extracted(page.format(9), None) == main.format(9).replace(" Text", " Gift vouchers here Text")
+    assert wrappers.extracted(page.format(9), wrapper) == main.format(9)
+    assert wrappers.extracted(page.format(9).replace("Gift vouchers", "Own words"), wrapper) == main.format(9).replace(" Text", " Own words here Text")
+    rows = [(k, f"http://a.org/{k}", page.format(k)) for k in range(40)]
+    rows += [(k, f"http://b.org/{k}", page.format(k).replace("Gift", f"Gift {k}" if k == 99 else "Gift")) for k in range(60, 100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(pages, wrappers.infer(pages)).collect()}
+    # on the second host one page, in the sample or not, has another text there: it is no template
+    own = lambda k: main.format(k) if k < 40 else main.format(k).replace(" Text", f" Gift {k} vouchers here Text" if k == 99 else " Gift vouchers here Text")
+    assert got == {r[0]: own(r[0]) for r in rows}
+
+
+def test_constant_running_text_of_an_article_stays():
+    page = "<article><h1>Head</h1><p>Same words</p><div>The same sentence on all pages.</div><ul><li>item</li></ul><div>Own {0}</div></article>"
+    wrapper = wrappers.inferred([page.format(k) for k in range(5)])
+    assert wrappers.extracted(page.format(7), wrapper) == "Head Same words The same sentence on all pages. item Own 7"
+
+
+def test_depth_and_teasers():
+    for n in (10, 63, 64, 65, 70, 5000):
+        nested = "<div>" * n + "<nav>menu <div>deep</div></nav><p>text</p>" + "</div>" * n + "<p>after</p>"
+        assert wrappers.extracted(nested, None) == "text after", n
+        assert wrappers.extracted(f"<p>out</p>{'<div>' * n}<article>in <nav>no</nav></article>{'</div>' * n}<p>out</p>", None) == "in", n
+    teaser = "<main><h1>t</h1><p>body of the page</p><article class='teaser'>short</article></main>"
+    assert wrappers.extracted(teaser, None) == "t body of the page short"
+    assert wrappers.extracted("<main><p>crumbs</p><article>the text of the article</article></main>", None) == "the text of the article"
+
+
 def test_odd_pages():
     for page in (None, "", "plain text", "<", "<p", "<div>" * 5000 + "x", "</p></div>", "<a href='" + "x" * 1000, "&lt;p&gt; &#x41; &bogus; &amp", "<article>" * 3):
         assert isinstance(wrappers.extracted(page, None), str)
