@@ -17,6 +17,7 @@ from ..operators import maintain as M
 from ..operators import validate as V
 from ..operators import windows as W
 from ..operators import rating as RT
+from ..operators import summaries as SM
 from ..session import output_dir
 from ..streaming import consumption as SC
 from ..streaming import ingest as ST
@@ -328,6 +329,23 @@ def q_revenue_by_utility(t: Tables):
     return A.revenue_by_utility(t)
 
 
+@register("revenue_summary_maintained", """
+SELECT LAST_DAY(CAST(p.PaymentDate AS DATE)) AS Month, u.UtilityName, COUNT(p.PaymentID) AS Payments, CAST(SUM(p.PaymentAmount) AS DECIMAL(28,2)) AS Revenue
+FROM payment p JOIN bill b ON b.BillID = p.BillID JOIN meter m ON m.MeterID = b.MeterID JOIN utility_type u ON u.UtilityID = m.UtilityID
+WHERE b.CustomerID IS NULL OR b.CustomerID NOT IN (SELECT CustomerID FROM meter WHERE Status = 'Inactive' AND CustomerID IS NOT NULL)
+GROUP BY ALL
+""")
+def q_revenue_summary_maintained(t: Tables):
+    """A4-A6 kept up to date: payments up to a day, an append of the later ones, then the cascade over customers
+    with an Inactive meter, each as one epoch of deltas; equals the full recompute over what is left."""
+    path = f"{output_dir(t.spark)}/revenue-{uuid.uuid4().hex}"
+    before = F.col("PaymentDate") < F.lit(RANGE_START)
+    SM.log_delta(SM.revenue_delta(t, t.payment.where(before)), path, 0)
+    SM.log_delta(SM.revenue_delta(t, t.payment.where(~F.coalesce(before, F.lit(False)))), path, 1)
+    SM.log_delta(SM.customers_retracted(t, t.meter.where(F.col("Status") == "Inactive").select("CustomerID")), path, 2)
+    return SM.revenue_summary(t.spark, path)
+
+
 @register("tariff_bill_counts", """
 SELECT t.TariffID, t.UtilityID, t.TariffName, COUNT(b.BillID) AS BillCount
 FROM tariff t LEFT JOIN bill b ON b.TariffID = t.TariffID
