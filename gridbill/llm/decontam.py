@@ -143,24 +143,35 @@ def _sql() -> str:
     list_filter(w[i : i + n - 1], lambda w: {kind} <> 0) AS slots, n
   FROM (SELECT {key}, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM {source} CROSS JOIN (SELECT unnest(range(2, {WIDTH + 1})) AS n) lengths WHERE len(w) >= n
     AND (n = {WIDTH} OR n IN (SELECT len(w) FROM bw)) AND ({_quoted(source)} = 'dw' OR n = {WIDTH} OR len(w) = n)) e"""
+    typed = f"n - len(slots) >= CASE n WHEN {WIDTH} THEN {LITERALS} ELSE greatest(2, ceil(n / 2)) END"
+    zipped = "list_transform(range(1, len(bs) + 1), lambda k: {'b': bs[k], 'd': ds[k]})"
+    line = "doc_id, item_id, n, shift"
     return f"""
 WITH dw AS ({words_of("documents", "doc_id")}
 ), bw AS ({words_of("benchmark", "item_id")}
 ), d AS ({runs("dw", "doc_id")}
-), b AS (SELECT * FROM ({runs("bw", "item_id")}) WHERE n - len(slots) >= CASE n WHEN {WIDTH} THEN {LITERALS} ELSE greatest(2, ceil(n / 2)) END
-), need AS (SELECT item_id, n, ceil(count(DISTINCT pos) * {SHARE}) AS need FROM b GROUP BY ALL
+), b AS (SELECT *, {typed} AS typed FROM ({runs("bw", "item_id")})
+), need AS (
+  SELECT item_id, n, ceil(count(DISTINCT pos) FILTER (typed) * {SHARE}) AS typed, ceil(count(DISTINCT pos) FILTER (NOT typed) * {SHARE}) AS literal FROM b GROUP BY ALL
 ), met AS (
-  SELECT d.doc_id, b.item_id, b.n, d.pos - b.pos AS shift, b.pos, b.slots AS bs, d.slots AS ds FROM d JOIN b ON d.win = b.win AND d.n = b.n
+  SELECT DISTINCT d.doc_id, b.item_id, b.n, d.pos - b.pos AS shift, b.pos, b.typed, b.slots AS bs, d.slots AS ds
+  FROM d JOIN b ON d.win = b.win AND d.n = b.n WHERE b.typed OR b.slots = d.slots
 ), pairs AS (
-  SELECT doc_id, item_id, n, shift, count(DISTINCT x) AS np, count(DISTINCT x.b) AS nb, count(DISTINCT x.d) AS nd
-  FROM (SELECT doc_id, item_id, n, shift, unnest(list_transform(range(1, len(bs) + 1), lambda k: {{'b': bs[k], 'd': ds[k]}})) AS x FROM met) GROUP BY ALL
-), lined AS (
-  SELECT doc_id, item_id, n, shift, count(DISTINCT pos) AS matched FROM met GROUP BY ALL
+  SELECT DISTINCT {line}, x.b, x.d FROM (SELECT {line}, unnest({zipped}) AS x FROM met)
+), clash AS (
+  SELECT {line}, list({{'b': b, 'd': d}}) AS c
+  FROM (SELECT *, count(*) OVER (PARTITION BY {line}, b) AS ds_of_b, count(*) OVER (PARTITION BY {line}, d) AS bs_of_d FROM pairs)
+  WHERE ds_of_b > 1 OR bs_of_d > 1 GROUP BY ALL
+), held AS (
+  SELECT DISTINCT {line}, pos, typed FROM met LEFT JOIN clash USING ({line}) WHERE bs = ds OR c IS NULL OR NOT list_has_any({zipped}, c)
+), placed AS (
+  SELECT *, pos - lag(pos, {RUN - 1}) OVER (PARTITION BY {line} ORDER BY pos) = {RUN - 1} AS run FROM held
+), found AS (
+  SELECT doc_id, item_id, n, count(*) FILTER (typed) AS n_typed, count(*) FILTER (NOT typed) AS n_literal, coalesce(bool_or(run), FALSE) AS run FROM placed GROUP BY ALL
 )
-SELECT l.doc_id, l.item_id, sum(matched)::BIGINT AS n_windows
-FROM lined l LEFT JOIN pairs p USING (doc_id, item_id, n, shift) JOIN need USING (item_id, n)
-WHERE p.np IS NULL OR (np = nb AND np = nd)
-GROUP BY l.doc_id, l.item_id, n, need HAVING sum(matched) >= need
+SELECT doc_id, item_id, (CASE WHEN n_typed > 0 THEN n_typed ELSE n_literal END)::BIGINT AS n_windows
+FROM found JOIN need USING (item_id, n)
+WHERE run OR CASE WHEN need.typed > 0 THEN n_typed >= need.typed ELSE n_literal >= need.literal END
 """
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,8 +126,16 @@ ITEM = "so then Anna drove 120 km in about 3 hours while Boris slowly walked 10
 
 
 def leaks(spark, documents, docs, items=((7, ITEM),)):
+    """The pairs found, which the query's SQL finds on the same rows with the same numbers of windows."""
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, window string")
-    return sorted((r.doc_id, r.item_id) for r in decontam.contaminated(documents(docs), bench).collect())
+    found = sorted((r.doc_id, r.item_id, r.n_windows) for r in decontam.contaminated(documents(docs), bench).collect())
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        if rows:
+            con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    assert found == sorted(con.execute(decontam.ORACLE).fetchall())
+    return [(d, i) for d, i, _ in found]
 
 
 def test_reparameterised_questions(spark, documents):
