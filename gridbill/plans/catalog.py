@@ -44,4 +44,4 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-from . import registry  # noqa: E402,F401  (registers the queries)
+from . import registry, stored  # noqa: E402,F401  (register the queries)

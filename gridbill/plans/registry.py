@@ -737,7 +737,7 @@ FROM chk WHERE Outcome <> 'accepted'
 """
 
 
-@register("append_readings", f"""
+_READINGS_SQL = f"""
 , b AS (
   SELECT CASE ReadingID % 50 WHEN 1 THEN 'MTR-none' WHEN 2 THEN '' ELSE MeterID END AS MeterID,
          CASE ReadingID % 50 WHEN 3 THEN NULL ELSE UserID END AS UserID,
@@ -745,17 +745,23 @@ FROM chk WHERE Outcome <> 'accepted'
          CASE ReadingID % 50 WHEN 5 THEN NULL ELSE ReadingDate END AS ReadingDate, Notes FROM meter_reading
   UNION ALL SELECT MeterID, UserID, ReadingValue, ReadingDate, Notes FROM meter_reading WHERE ReadingID % 10 = 6
 ), chk AS (SELECT b.*, {_READING_OUTCOME} AS Outcome FROM b)
-""" + _READING_IDS.format(after=1000000))
-def q_append_readings(t: Tables):
-    """The whole reading log submitted as one batch with faulty rows of every kind and
-    some readings sent twice (both are kept); ids continue after 1,000,000."""
+"""
+
+
+def _submissions(t: Tables):
+    """The whole reading log as one batch with faulty rows of every kind and some readings sent twice."""
     r, k = t.meter_reading, F.col("ReadingID") % 50
     rows = r.select(
         F.when(k == 1, "MTR-none").when(k == 2, "").otherwise(F.col("MeterID")).alias("MeterID"),
         F.when(k != 3, F.col("UserID")).alias("UserID"), F.when(k != 4, F.col("ReadingValue")).alias("ReadingValue"),
         F.when(k != 5, F.col("ReadingDate")).alias("ReadingDate"), "Notes")
-    batch = rows.unionByName(r.where(F.col("ReadingID") % 10 == 6).drop("ReadingID"))
-    return M.append_readings(batch, t.meter, 1000000)
+    return rows.unionByName(r.where(F.col("ReadingID") % 10 == 6).drop("ReadingID"))
+
+
+@register("append_readings", _READINGS_SQL + _READING_IDS.format(after=1000000))
+def q_append_readings(t: Tables):
+    """That batch, of which readings sent twice are both kept; ids continue after 1,000,000."""
+    return M.append_readings(_submissions(t), t.meter, 1000000)
 
 
 _CUSTOMER_SQL = """
@@ -816,14 +822,14 @@ def q_append_customers_snapshot(t: Tables):
     return M.appended(stored, M.append_customers(stored, batch, AS_OF)).snapshot
 
 
-@register("append_meters", """
+_METER_SQL = """
 , sent AS (SELECT *, CAST(split_part(MeterID, '-', 2) AS BIGINT) % 50 AS k FROM meter),
 m AS (
   SELECT CASE WHEN k = 4 THEN NULL ELSE MeterID END AS MeterID, CASE k WHEN 2 THEN 'CUST-none' WHEN 6 THEN '' ELSE CustomerID END AS CustomerID,
          CASE k WHEN 11 THEN 'UTIL-09' WHEN 8 THEN NULL ELSE UtilityID END AS UtilityID,
          CASE k WHEN 3 THEN 'Broken' WHEN 9 THEN '' ELSE Status END AS Status, Location, InstallDate FROM sent
   UNION ALL SELECT MeterID, CustomerID, UtilityID, Status, Location, InstallDate FROM sent WHERE k IN (10, 21)
-)
+), chk AS (
 SELECT m.*, CASE
     WHEN NULLIF(m.CustomerID, '') IS NULL THEN 'missing CustomerID'
     WHEN NULLIF(m.MeterID, '') IS NULL THEN 'missing MeterID'
@@ -835,18 +841,26 @@ SELECT m.*, CASE
     WHEN m.CustomerID NOT IN (SELECT CustomerID FROM cust) THEN 'unknown CustomerID'
     WHEN m.UtilityID NOT IN (SELECT UtilityID FROM utility_type) THEN 'unknown UtilityID'
     ELSE 'accepted' END AS Outcome
-FROM m
-""")
-def q_append_meters(t: Tables):
-    """All meters as an installation batch with faulty rows of every kind onto the Inactive ones
-    already stored; every outcome occurs."""
+FROM m)
+"""
+
+
+def _installations(t: Tables):
+    """All meters as an installation batch with faulty rows of every kind, some sent twice; and the
+    Inactive ones, which are stored already."""
     stored, m, k = t.meter.where(F.col("Status") == "Inactive"), t.meter, _num("MeterID") % 50
     rows = m.select(
         F.when(k != 4, F.col("MeterID")).alias("MeterID"),
         F.when(k == 2, "CUST-none").when(k == 6, "").otherwise(F.col("CustomerID")).alias("CustomerID"),
         F.when(k == 11, "UTIL-09").when(k != 8, F.col("UtilityID")).alias("UtilityID"),
         F.when(k == 3, "Broken").when(k == 9, "").otherwise(F.col("Status")).alias("Status"), "Location", "InstallDate")
-    batch = rows.unionByName(m.where(k.isin(10, 21)))
+    return stored, rows.unionByName(m.where(k.isin(10, 21)))
+
+
+@register("append_meters", _METER_SQL + "SELECT * FROM chk")
+def q_append_meters(t: Tables):
+    """An installation batch onto the Inactive meters already stored; every outcome occurs."""
+    stored, batch = _installations(t)
     return M.append_meters(stored, batch, t.customer, t.utility_type, AS_OF)
 
 
