@@ -11,10 +11,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.timewin import DateLike
 from ..operators import aggregates as A
 from ..operators import lookup as L
+from ..operators.common import REPORT_MONEY
+from ..sources import sinks
 from ..sources.tables import Tables
 
 ADMIN_REPORTS = {
@@ -69,3 +72,10 @@ def manager_report(t: Tables, report_type: str, start: DateLike, end: DateLike)
     if report_type == "usage":
         return ManagerReport(A.usage_between(t, start, end), None)
     raise ValueError(f"unknown report type {report_type!r}")
+
+
+def export_defaulters(t: Tables, start: DateLike, end: DateLike, path: str, fmt: str = "csv") -> dict:
+    """R2 defaulters as an export: the detail is written to ``path``, its total (0 without rows) and number of rows
+    come back from the same pass. (The revenue report's total is over Payment alone, so it is no sum of its rows.)"""
+    figures = {"GrandTotalDue": F.coalesce(F.sum("TotalDue"), F.lit(0)).cast(REPORT_MONEY), "Defaulters": F.count(F.lit(1))}
+    return sinks.export_observed(A.defaulters(t, start, end), path, figures, fmt)

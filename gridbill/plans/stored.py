@@ -12,9 +12,12 @@ from ..operators import store as S
 from ..operators import validate as V
 from ..session import output_dir
 from ..sources import lines as LN
+from ..sources import periods as PD
+from ..sources import sinks
 from ..sources.tables import Tables
-from .catalog import AS_OF, register
-from .registry import _CUSTOMER_SQL, _METER_SQL, _READINGS_SQL, _installations, _keys_sql, _kept, _num, _sign_ups, _submissions
+from . import reports as RP
+from .catalog import AS_OF, RANGE_END, RANGE_START, register
+from .registry import _CUSTOMER_SQL, _DEF_RANGE, _METER_SQL, _READINGS_SQL, _installations, _keys_sql, _kept, _num, _sign_ups, _submissions
 
 
 def _folder(t: Tables, what: str) -> str:
@@ -192,3 +195,63 @@ def q_update_meters_rewritten(t: Tables):
     changes = errors.withColumn("Status", F.lit("Inactive")).withColumn("seq", F.lit(1))
     files = RW.updated(t.spark, RW.files_of(t.spark, "meter", f"{base}/meter"), changes, "MeterID", ["Status"], f"{base}/next")
     return files.rows(t.spark)
+
+
+# ------------------------------------------- R2, P7, P8: detail and figures in one pass
+@register("defaulters_exported", f"""
+, owed AS ({_DEF_RANGE})
+SELECT CustomerID, UnpaidBills, TotalDue FROM owed
+UNION ALL SELECT 'total', COUNT(*), CAST(COALESCE(SUM(TotalDue), 0) AS DECIMAL(18,2)) FROM owed
+""")
+def q_defaulters_exported(t: Tables):
+    """R2/S3: the 1998 defaulters written as CSV and read back, and the total that was taken on the way."""
+    path = _folder(t, "defaulters")
+    total = RP.export_defaulters(t, RANGE_START, RANGE_END, path)
+    detail = t.spark.read.option("header", "true").csv(path).select(
+        "CustomerID", F.col("UnpaidBills").cast("bigint"), F.col("TotalDue").cast("decimal(18,2)"))
+    last = t.spark.createDataFrame([("total", total["Defaulters"], total["GrandTotalDue"])], detail.schema)
+    return detail.unionByName(last)
+
+
+_SENT_SQL = """
+, sent AS (
+  SELECT PaymentID, CASE k WHEN 1 THEN '' WHEN 2 THEN NULL ELSE BillID END AS BillID, CASE WHEN k IN (1, 3) THEN 0 ELSE PaymentAmount END AS PaymentAmount,
+         CASE k WHEN 4 THEN 'Barter' WHEN 5 THEN NULL ELSE PaymentMethod END AS PaymentMethod
+  FROM (SELECT *, CAST(split_part(BillID, '-', 2) AS BIGINT) % 50 AS k FROM payment) p
+)
+"""
+
+
+@register("payments_checked_once", _SENT_SQL + "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS Item, COUNT(*) FILTER (WHERE {pred}) AS Payments FROM sent" for name, pred in (
+        ("rows", "TRUE"), ("missing BillID", "NULLIF(BillID, '') IS NULL"), ("missing PaymentAmount", "PaymentAmount IS NULL OR PaymentAmount = 0"),
+        ("missing PaymentMethod", "NULLIF(PaymentMethod, '') IS NULL"), ("bad PaymentMethod", "PaymentMethod NOT IN ('Cash', 'Card', 'Online')"),
+        ("written as valid", "NULLIF(BillID, '') IS NOT NULL AND PaymentAmount <> 0 AND PaymentMethod IN ('Cash', 'Card', 'Online')"))))
+def q_payments_checked_once(t: Tables):
+    """Payments with faulty rows of every kind, written as valid and refused; the rules' counts are taken on the way."""
+    k = _num("BillID") % 50
+    sent = t.payment.select(
+        "PaymentID", F.when(k == 1, "").when(k != 2, F.col("BillID")).alias("BillID"), F.when(~k.isin(1, 3), F.col("PaymentAmount")).otherwise(0).alias("PaymentAmount"),
+        F.when(k == 4, "Barter").when(k != 5, F.col("PaymentMethod")).alias("PaymentMethod"))
+    path = _folder(t, "checked")
+    counts = sinks.write_checked(sent, V.payment_rules(), path)
+    valid = t.spark.read.schema(sent.schema).parquet(f"{path}/{sinks.VALID}=true").agg(F.lit("written as valid").alias("Item"), F.count(F.lit(1)).alias("Payments"))
+    return t.spark.createDataFrame(list(counts.items()), "Item string, Payments long").unionByName(valid)
+
+
+# ------------------------------------------------------- A5: months that are not read
+@register("revenue_settled_months", """
+, settled AS (
+  SELECT strftime(BillDate, '%Y-%m') AS Month FROM bill GROUP BY ALL HAVING 3 * COUNT(*) FILTER (WHERE Status = 'Unpaid') <= COUNT(*)
+)
+SELECT strftime(PaymentDate, '%Y-%m') AS Month, COUNT(*) AS Payments, CAST(SUM(PaymentAmount) AS DECIMAL(18,2)) AS Total
+FROM payment WHERE strftime(PaymentDate, '%Y-%m') IN (SELECT Month FROM settled) GROUP BY ALL
+""")
+def q_revenue_settled_months(t: Tables):
+    """A5 by month over payments stored by month: months of which at most a third of the bills is unpaid; the others are not read."""
+    path = _folder(t, "payments")
+    PD.write_by_month(t.payment, path)
+    unpaid = F.count(F.when(F.col("Status") == "Unpaid", 1))
+    settled = t.bill.groupBy(PD.month_of("BillDate").alias(PD.MONTH)).agg(unpaid.alias("_unpaid"), F.count(F.lit(1)).alias("_n")).where("3 * _unpaid <= _n")
+    paid = PD.in_months(t.spark, path, settled)
+    return paid.groupBy(PD.MONTH).agg(F.count(F.lit(1)).alias("Payments"), F.sum("PaymentAmount").cast("decimal(18,2)").alias("Total"))

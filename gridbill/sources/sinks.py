@@ -6,7 +6,14 @@ snapshot is never written over the path it was read from.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
+
+from ..operators.validate import ERRORS, tag_errors
+
+VALID = "Valid"
 
 
 def export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists",
@@ -27,3 +34,24 @@ def write_snapshot(df: DataFrame, new_path: str, source_path: str | None = None,
     if source_path is not None and new_path.rstrip("/") == source_path.rstrip("/"):
         raise ValueError("a snapshot must not overwrite the path it was read from")
     df.write.mode("errorifexists").format(fmt).save(new_path)
+
+
+def export_observed(df: DataFrame, path: str, figures: Mapping[str, Column], fmt: str = "csv",
+                    partition_by: list[str] | None = None) -> dict:
+    """Write a report and return aggregates over its rows (totals, counts) from the same pass.
+
+    The figures are taken where the rows are written, in the job's last stage, whose tasks count once even
+    if they run again; so an exported report is not computed a second time for its total.
+    """
+    seen = Observation()
+    export(df.observe(seen, *[c.alias(n) for n, c in figures.items()]), path, fmt, partition_by=partition_by)
+    return seen.get
+
+
+def write_checked(df: DataFrame, rules: Mapping[str, Column], path: str) -> dict[str, int]:
+    """P7/P8 in one pass: rows are written to ``Valid=true`` and ``Valid=false`` with their ``Errors``; the
+    rows breaking each rule, and all rows (under ``rows``), are counted on the way."""
+    tagged = tag_errors(df, rules).withColumn(VALID, F.size(ERRORS) == 0)
+    broken = {f"r{i}": F.count(F.when(F.array_contains(ERRORS, name), 1)) for i, name in enumerate(rules)}
+    counts = export_observed(tagged, path, {"rows": F.count(F.lit(1)), **broken}, "parquet", [VALID])
+    return {"rows": counts["rows"], **{name: counts[f"r{i}"] for i, name in enumerate(rules)}}

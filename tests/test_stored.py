@@ -14,6 +14,9 @@ from gridbill.operators import maintain as M
 from gridbill.operators import rewrite as RW
 from gridbill.operators import store as S
 from gridbill.operators import validate as V
+from gridbill.plans import reports as RP
+from gridbill.sources import periods as PD
+from gridbill.sources import sinks
 from gridbill.sources.lines import LINE, OUTCOME, read_lines
 from tests.conftest import frame
 
@@ -139,3 +142,51 @@ def test_updates_and_an_entity_without_files(spark, store):
     none = RW.Files("meter", frozenset())
     assert none.rows(spark).count() == 0
     assert RW.without(spark, none, changes, "MeterID", f"{base}/none") == none
+
+
+def _partitions_read(df):
+    """Rows of ``df`` and the folders that its scan of a partitioned store listed when it ran."""
+    query = df._jdf.queryExecution()
+    rows = [tuple(r) for r in df.collect()]
+    leaves, plans = [], [query.executedPlan()]
+    while plans:
+        p = plans.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            plans.append(p.executedPlan())
+        elif p.nodeName().endswith("QueryStage"):
+            plans.append(p.plan())
+        else:
+            leaves += [p] if p.metrics().contains("numPartitions") and "Scan" in p.nodeName() else []
+            plans += [p.children().apply(i) for i in range(p.children().size())]
+    return rows, [p.metrics().apply("numPartitions").value() for p in leaves]
+
+
+def test_months_that_are_not_asked_for_are_not_read(spark):
+    path = f"{tempfile.mkdtemp(prefix='gb-months-')}/payments"
+    at = lambda m, d, h=0: dt.datetime(2024, m, d, h)
+    rows = [{"PaymentID": f"P{m}-{d}", "BillID": "B", "PaymentAmount": D(m), "PaymentDate": at(m, d, 23)} for m in range(1, 13) for d in (1, 28)]
+    PD.write_by_month(frame(spark, "payment", [*rows, {"PaymentID": "none", "PaymentAmount": D(1)}]), path)
+    assert len([x for x in os.listdir(path) if x.startswith("Month=")]) == 13
+    got, read = _partitions_read(PD.in_range(spark, path, "2024-03-28", "2024-05-01").select("PaymentID"))
+    assert sorted(r[0] for r in got) == ["P3-28", "P4-1", "P4-28", "P5-1"] and read == [3]
+    calendar = spark.range(1, 13).select(F.format_string("2024-%02d", "id").alias("Month"), ((F.col("id") - 1) / 3).cast("int").alias("Quarter"))
+    months = calendar.unionByName(calendar)  # repeated months count once
+    base = tempfile.mkdtemp(prefix="gb-calendar-")
+    months.write.mode("overwrite").parquet(base)
+    got, read = _partitions_read(PD.in_months(spark, path, spark.read.parquet(base).where("Quarter = 1")).select("PaymentID"))
+    assert sorted(r[0] for r in got) == sorted(f"P{m}-{d}" for m in (4, 5, 6) for d in (1, 28)) and read == [3]
+    assert PD.in_range(spark, path, None, None).count() == 24
+
+
+def test_figures_of_an_export_come_from_its_one_pass(spark, tables):
+    path = tempfile.mkdtemp(prefix="gb-seen-")
+    bills = [{"BillID": f"B{i}", "CustomerID": f"CUST-{i % 3}", "BillDate": DAY, "AmountDue": D(i), "Status": "Unpaid" if i % 4 else "Paid"} for i in range(12)]
+    t = tables(customer=[_customer(i) for i in range(4)], bill=bills)
+    total = RP.export_defaulters(t, DAY, DAY, f"{path}/a")
+    assert total == {"GrandTotalDue": D(sum(i for i in range(12) if i % 4)), "Defaulters": 3}
+    assert spark.read.option("header", True).csv(f"{path}/a").count() == 3
+    assert RP.export_defaulters(tables(), DAY, DAY, f"{path}/none") == {"GrandTotalDue": D(0), "Defaulters": 0}
+    sent = frame(spark, "payment", [{"PaymentID": "1", "BillID": "B", "PaymentAmount": D(1), "PaymentMethod": "Cash"}, {"PaymentID": "2", "PaymentMethod": "Barter"}])
+    counts = sinks.write_checked(sent, V.payment_rules(), f"{path}/b")
+    assert counts == {"rows": 2, "missing BillID": 1, "missing PaymentAmount": 1, "missing PaymentMethod": 0, "bad PaymentMethod": 1}
+    assert [r.PaymentID for r in spark.read.parquet(f"{path}/b/Valid=false").collect()] == ["2"]
