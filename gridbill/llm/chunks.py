@@ -10,6 +10,7 @@ a whole batch; Python sees each distinct stretch of a batch once.
 
 from __future__ import annotations
 
+import gc
 from array import array
 from collections.abc import Callable
 
@@ -109,6 +110,15 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.held = 0
         self.marks: dict[str, bytes] = {}
+        # whether a line feed between two characters that are no white space is a pre-token of its own
+        self.line_feeds = self.cut.findall(" a.\nB\n!") == [" a", ".", "\n", "B", "\n", "!"]
+
+    def lines(self, w: str) -> list[str]:
+        """A word as its first line and, each with the line feed before it, its other lines; nothing where lines cannot be cut."""
+        parts = w.split("\n")
+        if self.line_feeds and len(parts) > 1 and all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
+            return [parts[0], *("\n" + p for p in parts[1:])]
+        return []
 
     def pre_tokens(self, s: str) -> list[str]:
         """Matches of the pattern; a blank and letters are seen without it."""
@@ -136,7 +146,7 @@ class Encoder:
             self.held = 0
         if not self.marks:
             self.marks = dict(zip(_MARKS, self.stretches(list(_MARKS)), strict=True))
-        known, letters, others, marked = self.known, {}, [], []
+        known, letters, others, marked, broken = self.known, {}, [], [], []
         got = list(map(known.get, words))
         for i, g in enumerate(got):
             if g is not None:
@@ -152,8 +162,19 @@ class Encoder:
                         letters.setdefault(b, -1)
                     else:
                         others.append((-1, b))
+            elif "\n" in w and (parts := self.lines(w)):
+                broken.append((i, parts))
             else:
                 others.append((i, w))
+        # lines recur more than what stands around a line feed
+        firsts = list({parts[0] for _, parts in broken})
+        lines = list({p for _, parts in broken for p in parts[1:]})
+        fresh_lines = [p for p in lines if p not in known]
+        of_line = dict(zip(fresh_lines, self.stretches(fresh_lines), strict=True))
+        of_line.update((p, known[p]) for p in lines if p in known)
+        of_first = dict(zip(firsts, self.blank_led(firsts) if firsts else [], strict=True))
+        for i, parts in broken:
+            got[i] = of_first[parts[0]] + b"".join([of_line[p] for p in parts[1:]])
         # ASCII letters with a blank before them are one pre-token
         blank = mapped(" ")
         fresh = [*letters, *(w for _, w in others)]
@@ -164,6 +185,8 @@ class Encoder:
         new = dict(zip(fresh, done, strict=True))
         for i, b in marked:
             got[i] = (known.get(b) or new[b]) + self.marks[words[i][-1]]
+        # a line is remembered with its line feed, which no word after a blank begins with
+        new.update((p, of_line[p]) for p in fresh_lines)
         size = 0
         for w, ids in new.items():
             if len(w) <= self.longest:
@@ -184,9 +207,18 @@ class Encoder:
         return out
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end, and where each text's ids end; a null text is an empty one."""
-        words, specials, which, last = cut(texts)
-        ids, ends = gather(runs(self.blank_led(words) + self.special(specials)), which, "<u4")
+        """The ids of all texts end to end, and where each text's ids end; a null text is an empty one.
+
+        The cyclic collector rests meanwhile: nothing here is a cycle, and it would walk all new lists again and again.
+        """
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            words, specials, which, last = cut(texts)
+            ids, ends = gather(runs(self.blank_led(words) + self.special(specials)), which, "<u4")
+        finally:
+            if collects:
+                gc.enable()
         return ids, ends[last] if len(last) else ends
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:

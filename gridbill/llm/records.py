@@ -29,6 +29,8 @@ from gridbill.llm.crc32c import crc32c, masked
 VOCABULARY = "byte_bpe_50k.json"
 HEAD, LENGTH = struct.Struct("<qI"), struct.Struct("<Q")
 READ_BYTES = 8 << 20
+#: What one worker may remember of encoded stretches.
+MEMORY_BYTES = 208 << 20
 
 
 def plain_encoder(path: str, pattern: str, **bounds: int) -> tuple[Encoder, list[str]]:
@@ -56,7 +58,7 @@ def encoder(path: str, pattern: str) -> Callable[[list[str | None]], list[bytes]
     def build() -> Callable[[list[str | None]], list[bytes]]:
         from tokenizers import Tokenizer
 
-        plain, added = plain_encoder(path, pattern)
+        plain, added = plain_encoder(path, pattern, most_bytes=MEMORY_BYTES)
         library = Tokenizer.from_file(path)
 
         def encode(texts: list[str | None]) -> list[bytes]:

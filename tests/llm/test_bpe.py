@@ -161,3 +161,15 @@ def test_op7_against_library(spark, tiny):
         expected.append((d.doc_id, start, len(ids), zlib.crc32(packed(ids))))
         start += len(ids)
     assert sorted(map(tuple, records.op7_records(spark, tiny).collect())) == expected
+
+
+def test_lines_of_a_stretch_are_remembered_apart():
+    enc, _ = records.plain_encoder(P.path(records.VOCABULARY), P.PATTERN)
+    tok = Tokenizer.from_file(P.path(records.VOCABULARY))
+    texts = ["one end.\nNext word\n\nword\n", "a b.\nc\nd, e\r\nf g\n h\ti\nj %%%\n!! 1\n2 x's\n's", "\nNext x.\nNext y.\nNext"]
+    for _ in range(2):
+        assert enc(texts) == [packed(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    # only where other white space meets the line feed is a stretch remembered whole
+    assert "\nNext" in enc.known and [w for w in enc.known if "\n" in w[1:]] == ["e\r\nf"]
+    joined, _ = records.plain_encoder(P.path(records.VOCABULARY), r" ?\w+|[^\w\s]+\n*|\s+")
+    assert joined.lines("end.\nNext") == []  # a pattern that joins marks and line feeds
