@@ -170,6 +170,6 @@ def test_lines_of_a_stretch_are_remembered_apart():
     for _ in range(2):
         assert enc(texts) == [packed(tok.encode(t, add_special_tokens=False).ids) for t in texts]
     # only where other white space meets the line feed is a stretch remembered whole
-    assert "\nNext" in enc.known and [w for w in enc.known if "\n" in w[1:]] == ["e\r\nf"]
+    assert "\nNext" in enc.known and {w for w in enc.known if "\n" in w[1:]} == {"e\r\nf", "g\n", "word\n\nword\n"}
     joined, _ = records.plain_encoder(P.path(records.VOCABULARY), r" ?\w+|[^\w\s]+\n*|\s+")
     assert joined.lines("end.\nNext") == []  # a pattern that joins marks and line feeds
