@@ -60,6 +60,27 @@ def test_csv_lines_and_a_query_of_one_column(spark):
     assert read_lines(spark, "meter_reading", _written([]), "csv").count() == 0
 
 
+@pytest.mark.parametrize("fmt", ["json", "csv"])
+def test_a_filter_on_the_outcome_parses_no_line_again(spark, fmt):
+    rows = read_lines(spark, "payment", _written(["x"]), fmt, V.payment_rules())
+    plan = rows.where(F.col(OUTCOME) == "accepted").drop(LINE, OUTCOME)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"from_{fmt}(") == 2  # as values and as texts
+
+
+def test_rows_stay_where_they_are_when_few_frozen_keys_are_joined(spark, monkeypatch):
+    from gridbill.operators import common as C
+    from gridbill.operators.windows import freeze
+
+    rows = spark.range(1000).selectExpr("concat('K', id % 50) AS k", "id")
+    keys = freeze(spark.range(20, 60).selectExpr("concat('K', id) AS k"))
+    for how, n in (("left_semi", 600), ("left_anti", 400), ("left", 1000)):
+        joined = C.frozen_key_join(rows, keys, "k", how)
+        assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == n
+    monkeypatch.setattr(C, "FEW_KEYS", 39)  # one key more: shuffled
+    assert [C.frozen_key_join(rows, keys, "k", how).count() for how in ("left_semi", "left_anti", "left")] == [600, 400, 1000]
+
+
 def _customer(i, name="N"):
     return {"CustomerID": f"CUST-{i}", "CustomerName": name, "CustomerType": "Household", "Phone": "07", "ServiceAddress": "A", "RegistrationDate": DAY}
 
