@@ -16,6 +16,8 @@ TRACKED = 16 * HOT_SHARE
 # Below so many rows a key is never cut.
 HOT_ROWS = 10_000
 PART = "_part"
+# Key sets up to this number of rows are sent to every task (some 100 bytes each); larger ones are shuffled.
+FEW_KEYS = 500_000
 
 
 def hot_keys(rows: DataFrame, key: str) -> Column:
@@ -70,6 +72,17 @@ def key_join(left: DataFrame, keys: DataFrame, on: str, how: str = "left_semi",
     return left.withColumn(PART, row_part(hot, on, left.columns)).join(key_parts(keys, hot, on), [on, PART], how).drop(PART)
 
 
+def few(keys: DataFrame) -> bool:
+    """Whether a frozen key set is small enough to be broadcast. It is counted: the planner
+    knows no size of a frozen frame, and a join that only finds out when it runs has shuffled its other side by then."""
+    return keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+
+
+def frozen_key_join(left: DataFrame, keys: DataFrame, on: str, how: str = "left_semi", counted: DataFrame | None = None) -> DataFrame:
+    """``key_join`` with a frozen key set: ``left`` stays where it is if the keys are ``few``, and no key can be hot."""
+    return left.join(F.broadcast(keys), on, how) if few(keys) else key_join(left, keys, on, how, counted)
+
+
 def facts_of(rows: DataFrame, facts: DataFrame, on: str) -> DataFrame:
     """``rows LEFT JOIN facts`` where ``rows`` has one row per key and a key may have a huge number of facts.
 

@@ -7,7 +7,8 @@ version: the untouched files, which are not read, and the new ones. No file is
 changed or removed, so the version before stays readable, and a job that dies half-way
 leaves files that no version names.
 
-The driver holds lists of files, as it does for any scan; never rows or keys.
+The driver holds lists of files, as it does for any scan; never rows. Keys to delete are frozen and
+counted: up to ``common.FEW_KEYS`` are broadcast, so the stored rows are not shuffled.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..sources.tables import Tables, load
 from .bitmaps import id_bitmaps, with_bit
-from .common import key_join
+from .common import frozen_key_join, key_join
 from .maintain import apply_updates
 from .windows import freeze
 
@@ -40,6 +41,8 @@ class Files:
 
 
 Version = Mapping[str, Files]
+# Bitmaps of 4,096 bytes that are broadcast.
+FEW_BITMAPS = 16_384
 
 
 def _path(uri: str) -> str:
@@ -74,21 +77,22 @@ def tables_of(spark: SparkSession, version: Version) -> Tables:
     return Tables.from_frames(spark, **{e: f.rows(spark) for e, f in version.items()})
 
 
-def touched(spark: SparkSession, files: Files, keys: DataFrame, key: str) -> frozenset[str]:
-    """The files that hold one of the distinct ``keys``; only the key column is read."""
+def touched(spark: SparkSession, files: Files, keys: DataFrame, key: str, join: Callable[..., DataFrame] = key_join) -> frozenset[str]:
+    """The files that hold one of the distinct ``keys``; only the key column is read. ``join``: ``frozen_key_join`` for frozen keys."""
     if not files.paths:
         return frozenset()
     stored = spark.read.schema(schemas.ENTITY_SCHEMAS[files.entity]).parquet(*sorted(files.paths))
     placed = stored.select(key, F.col("_metadata.file_path").alias("_file"))
-    return frozenset(_path(r[0]) for r in key_join(placed, keys.select(key), key).select("_file").distinct().collect())
+    return frozenset(_path(r[0]) for r in join(placed, keys.select(key), key).select("_file").distinct().collect())
 
 
-def rewritten(spark: SparkSession, files: Files, keys: DataFrame, key: str, change: Callable[[DataFrame], DataFrame], folder: str) -> Files:
+def rewritten(spark: SparkSession, files: Files, keys: DataFrame, key: str, change: Callable[[DataFrame], DataFrame], folder: str,
+              join: Callable[..., DataFrame] = key_join) -> Files:
     """The next version of an entity, where ``change`` applies to the rows of the files that hold one of ``keys``.
 
     ``folder`` is a new one; it is not written if no file holds a key.
     """
-    hit = touched(spark, files, keys, key)
+    hit = touched(spark, files, keys, key, join)
     if not hit:
         return files
     if not hit <= files.paths:
@@ -98,8 +102,8 @@ def rewritten(spark: SparkSession, files: Files, keys: DataFrame, key: str, chan
 
 
 def without(spark: SparkSession, files: Files, keys: DataFrame, key: str, folder: str) -> Files:
-    """The entity less the rows of the distinct ``keys``."""
-    return rewritten(spark, files, keys, key, lambda df: key_join(df, keys.select(key), key, "left_anti"), folder)
+    """The entity less the rows of the distinct, frozen ``keys``."""
+    return rewritten(spark, files, keys, key, lambda df: frozen_key_join(df, keys.select(key), key, "left_anti"), folder, frozen_key_join)
 
 
 def updated(spark: SparkSession, files: Files, updates: DataFrame, key: str, columns: Sequence[str], folder: str,
@@ -122,8 +126,8 @@ def delete_customers(spark: SparkSession, version: Version, keys: DataFrame, fol
     """
     t = tables_of(spark, version)
     k = _distinct(keys, "CustomerID")
-    bills = _distinct(key_join(t.bill.select("BillID", "CustomerID"), k, "CustomerID"), "BillID")
-    meters = _distinct(key_join(t.meter.select("MeterID", "CustomerID"), k, "CustomerID"), "MeterID")
+    bills = _distinct(frozen_key_join(t.bill.select("BillID", "CustomerID"), k, "CustomerID"), "BillID")
+    meters = _distinct(frozen_key_join(t.meter.select("MeterID", "CustomerID"), k, "CustomerID"), "MeterID")
     steps = (("payment", bills, "BillID"), ("bill", k, "CustomerID"), ("meter_reading", meters, "MeterID"),
              ("meter", k, "CustomerID"), ("customer", k, "CustomerID"))
     return {**version, **{e: without(spark, version[e], gone, key, f"{folder}/{e}") for e, gone, key in steps}}
@@ -133,8 +137,9 @@ def delete_meters(spark: SparkSession, version: Version, keys: DataFrame, folder
     """M3 over stored files: meters with their readings, the bills of those readings and their payments."""
     t = tables_of(spark, version)
     k = _distinct(keys, "MeterID")
-    readings = key_join(t.meter_reading.select("ReadingID", "MeterID"), k, "MeterID").select("ReadingID")
-    billed = with_bit(t.bill.select("BillID", "ReadingID"), "ReadingID", id_bitmaps(readings, "ReadingID", dense=False), "_gone")
+    readings = frozen_key_join(t.meter_reading.select("ReadingID", "MeterID"), k, "MeterID").select("ReadingID")
+    marks = freeze(id_bitmaps(readings, "ReadingID", dense=False))
+    billed = with_bit(t.bill.select("BillID", "ReadingID"), "ReadingID", F.broadcast(marks) if marks.count() <= FEW_BITMAPS else marks, "_gone")
     bills = _distinct(billed.where("_gone"), "BillID")
     steps = (("payment", bills, "BillID"), ("bill", bills, "BillID"), ("meter_reading", k, "MeterID"), ("meter", k, "MeterID"))
     return {**version, **{e: without(spark, version[e], gone, key, f"{folder}/{e}") for e, gone, key in steps}}
