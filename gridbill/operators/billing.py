@@ -26,7 +26,7 @@ from ..functions.timewin import DateLike, in_month, to_date, to_datetime
 from ..schemas import BILL, MONEY, PAYMENT
 from ..sources.tables import Tables
 from .bitmaps import repeated_ids, without_ids
-from .common import flagged, key_join, present_keys
+from .common import frozen_key_join, key_join
 from .joins import billed_ids
 from .rating import rate_readings, reading_consumption
 from .validate import payment_rules, tag_errors
@@ -107,7 +107,7 @@ def post_payments(t: Tables, batch: DataFrame, as_of: DateLike, cashier: str | N
     * accepted rows get PaymentDate = ``as_of``
     * a bill touched by the batch becomes Paid when all its payments >= AmountDue
 
-    Stored payments are collapsed to one sum per bill, and only for bills of the batch.
+    Stored payments are collapsed to one sum per bill where they are read; sums of bills of the batch are kept.
     """
     ts = to_datetime(as_of)
     cols = set(batch.columns)
@@ -122,15 +122,20 @@ def post_payments(t: Tables, batch: DataFrame, as_of: DateLike, cashier: str | N
     minted = numbered(bare, "_n").withColumn("PaymentID", F.concat(F.lit(prefix), F.col("_n").cast("string"))).drop("_n")
     b = freeze(given.unionByName(minted))
 
-    repeats = b.groupBy("PaymentID").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("PaymentID")
+    # Faulty keys are found among narrow rows, one for each key; the batch itself meets only those.
+    asked = b.select("BillID").where(F.col("BillID").isNotNull()).distinct()
+    unknown = freeze(asked.join(t.bill.select("BillID").distinct(), "BillID", "left_anti"))
+    ids = t.payment.select("PaymentID", F.lit(True).alias("_stored"), F.lit(0).alias("_n")).unionByName(
+        b.select("PaymentID", F.lit(False).alias("_stored"), F.lit(1).alias("_n")))
+    taken = freeze(ids.groupBy("PaymentID").agg(F.max("_stored").alias("_stored"), F.sum("_n").alias("_n"))
+                   .where((F.col("_n") > 1) | F.col("_stored") & (F.col("_n") > 0)).select("PaymentID", "_stored"))
     checked = tag_errors(b, payment_rules())
-    checked = flagged(checked, present_keys(t.bill, "BillID", b), "BillID", "_known", counted=b)
-    checked = flagged(checked, present_keys(t.payment, "PaymentID", b), "PaymentID", "_stored", counted=b)
-    checked = flagged(checked, repeats, "PaymentID", "_repeated", counted=b)
+    checked = frozen_key_join(checked, unknown.withColumn("_unknown", F.lit(True)), "BillID", "left", counted=b)
+    checked = frozen_key_join(checked, taken, "PaymentID", "left", counted=b)
     reason = F.coalesce(F.try_element_at(F.col("Errors"), F.lit(1)),
-                        F.when(~F.col("_known"), F.lit("unknown bill")),
+                        F.when(F.col("_unknown"), F.lit("unknown bill")),
                         F.when(F.col("_stored"), F.lit("duplicate PaymentID")),
-                        F.when(F.col("_repeated"), F.lit("repeated PaymentID")))
+                        F.when(~F.col("_stored"), F.lit("repeated PaymentID")))
     # Frozen: each frame of the posting is a filter of the checked batch, and reads nothing stored again.
     checked = freeze(checked.select(*b.columns, reason.alias("Reason")))
 
@@ -144,8 +149,7 @@ def post_payments(t: Tables, batch: DataFrame, as_of: DateLike, cashier: str | N
     # New money per bill, plus what those bills had already received: both sides are
     # one row per bill before they meet, so a bill with many payments is one row.
     new_paid = accepted.groupBy("BillID").agg(F.sum("PaymentAmount").alias("_new"))
-    old_paid = (t.payment.join(new_paid.select("BillID"), "BillID", "left_semi")
-                .groupBy("BillID").agg(F.sum("PaymentAmount").alias("_old")))
+    old_paid = t.payment.groupBy("BillID").agg(F.sum("PaymentAmount").alias("_old"))
     paid = new_paid.join(old_paid, "BillID", "left").select(
         "BillID", (F.col("_new") + F.coalesce(F.col("_old"), F.lit(0))).alias("_paid"))
     covered = F.col("_paid").isNotNull() & (F.col("_paid") >= F.col("AmountDue"))

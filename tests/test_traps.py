@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal as D
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from gridbill.functions import display, formatting
@@ -161,6 +163,27 @@ def test_b3_slab_amounts(spark, tables):
     assert got == [D("100.00"), D("1900.00"), D("1945.00"), D("6400.00")]
 
 
+@pytest.mark.parametrize("most", [0, 100])
+def test_b5_faulty_keys_few_or_many(spark, tables, monkeypatch, most):
+    """The batch meets only its faulty keys; sent to every task or shuffled, the reasons are the same."""
+    from gridbill.operators import common as C
+
+    monkeypatch.setattr(C, "FEW_KEYS", most)
+    asked = []
+    monkeypatch.setattr(B, "frozen_key_join", lambda left, keys, on, *a, **k: asked.append((on, keys.count())) or C.frozen_key_join(left, keys, on, *a, **k))
+    pay = lambda p, b: (p, b, "U", D("5.00"), "Cash")
+    t = tables(bill=[{"BillID": f"B{i}", "AmountDue": D("9.00"), "Status": "Unpaid"} for i in range(9)],
+               payment=[{"PaymentID": p, "BillID": "B1", "PaymentAmount": D("5.00")} for p in ("P1", "P1", "P9")])
+    rows = [pay("P1", "B1"), pay("P2", "B2"), pay("P2", "B3"), pay("P3", "none"), pay("P4", None), pay("P5", "B1"), pay("P6", "B6"), pay(None, "B7")]
+    r = B.post_payments(t, spark.createDataFrame(rows, "PaymentID string, BillID string, UserID string, PaymentAmount decimal(10,2), PaymentMethod string"), AS_OF, batch_id="b")
+    assert sorted((x.PaymentID, x.BillID, x.Reason) for x in r.rejected.where("BillID IS NOT NULL").collect()) == [
+        ("P1", "B1", "duplicate PaymentID"), ("P2", "B2", "repeated PaymentID"), ("P2", "B3", "repeated PaymentID"), ("P3", "none", "unknown bill")]
+    assert [x.Reason for x in r.rejected.where("BillID IS NULL").collect()] == ["missing BillID"]
+    assert sorted(x.PaymentID for x in r.accepted.collect()) == ["P5", "P6", "PAY-b-1"]
+    assert sorted(tuple(x) for x in r.settled.collect()) == [("B1", D("9.00"), D("20.00"), "Paid"), ("B6", D("9.00"), D("5.00"), "Unpaid"), ("B7", D("9.00"), D("5.00"), "Unpaid")]
+    assert asked == [("BillID", 1), ("PaymentID", 2)]
+
+
 def test_b5_post_payments(spark, tables):
     t = tables(bill=[{"BillID": "B1", "AmountDue": D(100), "Status": "Unpaid"}])
     batch1 = spark.createDataFrame([("B1", D(40), "Cash"), ("NOPE", D(1), "Card"), ("B1", None, "Cash")],
