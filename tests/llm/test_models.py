@@ -1,5 +1,6 @@
 """Operators 4, 5, 6 and 8: held-out accuracy, gradients, spans against the plain patterns, main texts."""
 
+import json
 import random
 import re
 import zlib
@@ -244,6 +245,20 @@ def test_constants_and_layouts_of_a_host(spark):
     assert got == {k: f"{'Own' if k == last else 'Head'} Text {k}" for k in range(60)}
 
 
+def test_all_pages_of_a_host_make_its_wrapper(spark):
+    """A block that one page of 400 has is in the wrapper, and a label that a few pages lack stays template."""
+    page = "<article><h1>H{0}</h1>{1}<div class=x>Gift vouchers here</div><p>Text {0}.</p></article>"
+    bodies = {k: page.format(k, "<ul><li>item</ul>" if k == 7 else "") for k in range(400)} | {9: "<article><h1>H9</h1><p>Text 9.</p></article>"}
+    rows = [(k, f"http://a.org/{k}", b) for k, b in bodies.items()]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    wrapper = json.loads(wrappers.infer(pages).first().wrapper)
+    assert wrappers._nodes(wrapper["article"]) == 10 and wrappers.matched(wrappers.tree(bodies[7]), wrapper["article"], [])
+    got = {r.page_id: r.text for r in wrappers.extract(pages, wrappers.infer(pages)).collect()}
+    assert got == {k: f"H{k} {'item ' if k == 7 else ''}Text {k}." for k in bodies}
+    # the order of rows and where they lie make no difference
+    assert json.loads(wrappers.infer(pages.orderBy("page_id", ascending=False).repartition(7)).first().wrapper) == wrapper
+
+
 @pytest.mark.parametrize("outer", ["<article>{}</article>", "<main>{}</main>", "<div id=c>{}</div>"])
 def test_the_wrapper_tells_template_without_names(spark, outer):
     """On all three layouts a label that is the same on all pages of a host goes; alone, a page does not show it."""
