@@ -40,14 +40,20 @@ def words(text: Column) -> Column:
 
 
 def _template(word: Column) -> Column:
-    """h: the word's hash, or 1, 2, 3 for a number, unit or name; s: the hash of a placeholder's value, else 0."""
+    """The word's hash, or 1, 2, 3 for a number, unit or name."""
     low = F.lower(word)
     kind = (
         F.when((word >= "0") & (word < ":") & word.rlike(_NUMBER), 1)
         .when(low.isin(UNITS), 2)
         .when(((word < "a") | (word > "z")) & word.rlike(_NAME), 3)
     )  # fmt: skip  # the comparisons only spare most words the pattern
-    return F.struct(F.coalesce(kind.cast("long"), F.xxhash64(low)).alias("h"), F.when(kind.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(word)).alias("s"))
+    return F.coalesce(kind.cast("long"), F.xxhash64(low))
+
+
+def _templates(words: Column) -> Column:
+    """h: the words' templates; s: the hash of each placeholder's value, else 0. A word's kind is found once."""
+    value = lambda w, h: F.when((h >= 1) & (h <= 3), F.xxhash64(w)).otherwise(F.lit(0).cast("long"))
+    return common.bound(words, lambda ws: common.bound(F.transform(ws, _template), lambda hs: F.struct(hs.alias("h"), F.zip_with(ws, hs, value).alias("s"))))
 
 
 def windows(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -58,9 +64,7 @@ def windows(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
         )
         return F.when(F.size(own["h"]) >= width, F.transform(F.sequence(F.lit(1), F.size(own["h"]) - (width - 1)), one))
 
-    templates = F.transform(words(F.col(text_col)), _template)
-    apart = common.bound(templates, lambda t: F.struct(t["h"].alias("h"), t["s"].alias("s")))
-    return df.select(id_col, F.inline(common.bound(apart, runs))).withColumn("literals", width - F.size("slots"))
+    return df.select(id_col, F.inline(common.bound(_templates(words(F.col(text_col))), runs))).withColumn("literals", width - F.size("slots"))
 
 
 def _has_run(places: Column) -> Column:
