@@ -25,8 +25,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each component of linked documents; repeated rows of one id stay once."""
     found = common.stored(jaccard.groups(docs), "groups")
-    kept = docs.join(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "doc_id", "left_semi")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    own = F.coalesce(F.bool_or(F.col("doc_id") == F.col("component_id")), F.lit(False))
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), own.alias("kept"))
+    ids = common.stored(ids.where("rows > 1 or not kept"), "ids")
+    # the copies' ids, fewer than the others', go to the texts
+    copies = ids.where("not kept").select("doc_id")
+    copies = F.broadcast(copies) if copies.count() <= jaccard.BROADCAST_ROWS else copies
+    kept = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").select(docs.columns)
+    if not ids.where("rows > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
 

@@ -11,7 +11,9 @@ A list of sets that share a key is not expanded into its pairs. Its most central
 member (the one with the fewest rare shingles of its own) is verified against the
 others; only lists that are not one component after that are compared further, and
 there only pairs of different components whose sizes and positions allow a link.
-Links are verified exactly on the whole sets.
+A sketch of each set proves most of the other pairs too different; the links of the
+rest are verified exactly on the whole sets, where each text is moved to the tasks
+of the classes that it is compared with, and never stored.
 """
 
 from __future__ import annotations
@@ -28,13 +30,19 @@ from gridbill.llm import common
 
 WORDS = 5
 #: Frequent shingles, known to every task: those of the largest document counts, about this many at most.
-FREQUENT, FREQUENT_FROM = 100_000, 8
+FREQUENT, FREQUENT_FROM = 500_000, 8
 #: Shingles in one range of the count, about.
 RANGE = 4 << 20
-#: Ids of classes whose texts are fetched are broadcast up to this number (16 bytes each), else joined by a shuffle.
-BROADCAST_ROWS = 500_000
-#: Shingles that a task remembers while it verifies pairs (8 bytes each).
-KNOWN = 2_000_000
+#: Bits of a shingle's place in its range: sets of equal places only count as more frequent.
+SLOT_BITS = 24
+#: Ids of classes whose sketches or texts are fetched are broadcast up to this number, else joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+#: Classes that a task remembers, so that it makes the entries of equal texts once.
+KNOWN = 200_000
+#: Classes compared with one copy of a class's text, about.
+CHUNK = 32
+#: Parts that the list of a frequent key is dealt to, by class.
+PARTS = 4096
 #: Sizes above this are always heavy.
 LIGHT_MOST = 64
 
@@ -77,6 +85,21 @@ def linked(common_size: int | np.ndarray | Column, a, b):
     return 9 * common_size >= 4 * (a + b)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """For each of 64 or more places, at most two a shingle, whether an odd number of shingles falls on it."""
+    places = 1 << max(6, len(tokens).bit_length())
+    odd = np.bincount((tokens & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """No more than the shingles that are in one of two sets only: each changes one place of their sketches."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(p), len(q))
+    p, q = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (p, q))
+    return int(np.unpackbits(p ^ q).sum())
+
+
 def prefix(n: int, k: int) -> int:
     """Shingles of a set of size ``n``, first in the order, among which it shares ``k`` with any set it links to."""
     return n - -(-4 * n // 5) + k
@@ -94,23 +117,46 @@ def boundary(sizes: dict[int, int], length: float) -> int:
 
 
 def classed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, cls): the size and key of each document's set."""
+    """(doc_id, n, cls, sketch): the size, key and sketch of each document's set."""
 
     def make():
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles(t) for t in b.column("text").to_pylist()]
             return pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([identity(s) for s in sets], pa.int64())], ["doc_id", "n", "cls"]
+                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([identity(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())],
+                ["doc_id", "n", "cls", "sketch"],
             )
 
         return one
 
-    return common.map_batches(docs, "text", make, "doc_id bigint, n long, cls long", 4 << 20)
+    return common.map_batches(docs, "text", make, "doc_id bigint, n long, cls long, sketch binary", 4 << 20)
 
 
 def _slot(tokens: np.ndarray, ranges: int) -> np.ndarray:
-    """Range (above bit 32) and the low 32 bits of each shingle."""
-    return ((tokens >> np.uint64(32)) % np.uint64(ranges) << np.uint64(32)) | (tokens & np.uint64(0xFFFFFFFF))
+    """Range (above bit 32) and the place in it of each shingle."""
+    return ((tokens >> np.uint64(32)) % np.uint64(ranges) << np.uint64(32)) | (tokens & np.uint64((1 << SLOT_BITS) - 1))
+
+
+#: The longest step between two places that takes one number of a pack.
+_STEP = 0xFFFF
+
+
+def packed(slots: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The ranges in sorted slots, and for each the steps from place to place in 16 bits; a longer step takes several."""
+    owner, places = (slots >> np.uint64(32)).astype(np.int64), (slots & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    own, start = np.unique(owner, return_index=True)
+    steps = np.diff(places, prepend=0)
+    steps[start] = places[start]
+    ends = np.cumsum(steps // _STEP + 1)
+    out = np.full(ends[-1] if len(ends) else 0, _STEP, "<u2")
+    out[ends - 1] = steps % _STEP
+    return own, [x.tobytes() for x in np.split(out, ends[start[1:] - 1])][: len(own)]
+
+
+def unpacked(pack: bytes) -> np.ndarray:
+    """The places of a pack, sorted."""
+    steps = np.frombuffer(pack, "<u2")
+    return np.cumsum(steps, dtype=np.int64)[steps != _STEP]
 
 
 def frequencies(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -124,14 +170,11 @@ def frequencies(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray, f
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in common.pieces(batches, "text", 8 << 20):
             sets = [shingles(t) for t in s.column("text").to_pylist()]
-            slots = np.sort(_slot(np.concatenate(sets), ranges)) if sets else np.zeros(0, np.uint64)
-            cut = np.searchsorted(slots, np.arange(1, ranges, dtype=np.uint64) << np.uint64(32))
-            low = [x.astype("<u4") for x in np.split(slots, cut)]
-            own = [r for r in range(ranges) if len(low[r])]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([low[r].tobytes() for r in own], pa.binary())], ["r", "pack"])
+            own, packs = packed(np.sort(_slot(np.concatenate(sets), ranges)) if sets else np.zeros(0, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(packs, pa.binary())], ["r", "pack"])
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        low, n = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in table.column("pack").to_pylist()]), return_counts=True)
+        low, n = np.unique(np.concatenate([unpacked(x).astype(np.uint32) for x in table.column("pack").to_pylist()]), return_counts=True)
         often = n >= FREQUENT_FROM
         rest = n[~often].astype(float)
         slot = [int(key[0].as_py()) << 32 | int(x) for x in low[often]]
@@ -146,16 +189,17 @@ def frequencies(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray, f
     n = often.count()
     if n > FREQUENT:  # which ones are left out at the border changes only costs
         often = often.where(F.col("c") > often.agg(F.percentile_approx("c", 1 - FREQUENT / n, 100_000)).first()[0])
-    top = np.array([tuple(r) for r in often.collect()], np.int64).reshape(-1, 2)
-    top = top[np.argsort(top[:, 0])]
-    return top[:, 0].astype(np.uint64), top[:, 1], s2 / s1 if s1 else 1.0
+    slot, c = (x.to_numpy() for x in often.toArrow().columns)
+    order = np.argsort(slot)
+    return slot[order].astype(np.uint64), c[order], s2 / s1 if s1 else 1.0
 
 
 def entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: int, heavy: int) -> DataFrame:
-    """(key, cls, n, pos, often): for each document the subsets of its prefix (light) and the shingles of its prefix
-    with their places in the order (heavy, or just below). ``often``: all shingles of the key are frequent."""
+    """(key, cls, n, pos, part): for each class the subsets of its prefix (light) and the shingles of its prefix
+    with their places in the order (heavy, or just below); once in a task, if that remembers it. ``part``: 0, or a
+    part by class if all shingles of the key are frequent. Keys are cut to 48 bits: equal ones only propose pairs."""
     slots, counts = frequent
-    rank = np.log2(counts).astype(np.int64)
+    rank = np.log2(counts).astype(np.int8)
 
     def keys(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(tokens)
@@ -179,37 +223,47 @@ def entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: in
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def make():
+        seen: set[int] = set()
+
+        def rows(texts: list) -> Iterator[tuple]:
+            for tokens in map(shingles, texts):
+                own = identity(tokens)
+                if own not in seen:
+                    if len(seen) >= KNOWN:
+                        seen.clear()
+                    seen.add(own)
+                    yield len(tokens), own, *keys(tokens)
+
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [(len(s), identity(s), *keys(s)) for s in map(shingles, b.column("text").to_pylist())]
-            sizes = [len(r[2]) for r in rows]
+            new = list(rows(b.column("text").to_pylist()))
+            sizes = [len(r[2]) for r in new]
             column = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0, kind), pa.from_numpy_dtype(kind))
             return pa.RecordBatch.from_arrays([
-                column([r[2].view(np.int64) for r in rows], np.int64),
-                pa.array(np.repeat(np.array([r[1] for r in rows], np.int64), sizes)),
-                pa.array(np.repeat(np.array([r[0] for r in rows], np.int32), sizes)),
-                column([r[3].astype(np.int32) for r in rows], np.int32),
-                column([r[4] for r in rows], np.bool_),
-            ], ["key", "cls", "n", "pos", "often"])
+                column([r[2].view(np.int64) >> 16 for r in new], np.int64),
+                pa.array(np.repeat(np.array([r[1] for r in new], np.int64), sizes)),
+                pa.array(np.repeat(np.array([r[0] for r in new], np.int32), sizes)),
+                column([r[3].astype(np.int32) for r in new], np.int32),
+                column([np.where(r[4], 1 + r[1] % PARTS, 0).astype(np.int32) for r in new], np.int32),
+            ], ["key", "cls", "n", "pos", "part"])
 
         return one
 
-    return common.map_batches(docs, "text", make, "key long, cls long, n int, pos int, often boolean", 2 << 20)
+    return common.map_batches(docs, "text", make, "key long, cls long, n int, pos int, part int", 2 << 20)
 
 
 def lists(found: DataFrame) -> DataFrame:
     """(key, cls, n, pos) of all keys that two classes or more share, one of the keys where several have the same members.
 
     Rare keys have few members (their document counts are below those of the frequent
-    ones), so they meet in one shuffle; frequent keys are kept as they are, aggregated
-    before they are shuffled, and never gathered.
+    ones), so they meet in one shuffle; frequent keys are dealt by class and never gathered.
+    The members of a key lie together after that, and are summed up before they are shuffled.
     """
     from pyspark.sql import Window
 
-    by = Window.partitionBy("key")
-    rare = found.where(~F.col("often")).drop("often")
-    rare = rare.withColumns({"lo": F.min("cls").over(by), "hi": F.max("cls").over(by)}).where("lo <> hi").drop("lo", "hi")
-    both = rare.unionByName(found.where("often").drop("often"))
-    members = common.stored(both.groupBy("key", "cls", "n").agg(F.min("pos").alias("pos")), "members")
+    by = Window.partitionBy("key", "part").orderBy("cls", "pos")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    both = found.withColumns({"lo": F.first("cls").over(whole), "hi": F.last("cls").over(whole), "before": F.lag("cls").over(by)})
+    members = common.stored(both.where("(lo <> hi or part > 0) and not (before <=> cls)").select("key", "cls", "n", "pos"), "members")
     # keys with the same members; of those the first in the order, where positions are smallest, bounds overlaps rightly
     hashed = F.xxhash64("cls").cast("decimal(38,0)")
     same = members.groupBy("key").agg(
@@ -226,38 +280,60 @@ def _may_link(a: str, b: str) -> Column:
     return (5 * F.least(n, k) >= 4 * F.greatest(n, k)) & linked(F.least(n - F.col(f"{a}pos"), k - F.col(f"{b}pos")), n, k)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, clean: bool) -> DataFrame:
-    """(a, b, ok), stored: whether the whole sets of two classes link. Only texts of classes in ``pairs`` are moved."""
-    pairs = common.stored(pairs, "pairs")
-    asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    texts = common.stored(_texts(docs, common.stored(reps.join(asked, "cls").select("rep", "cls"), "asked"), clean), "texts")
-    with_b = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-    with_both = with_b.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
+def _near(pairs: DataFrame, sized: DataFrame, reps: DataFrame, clean: bool) -> DataFrame:
+    """(a, b, may): whether the sketches of two classes allow a link: 100 * intersection >= 80 * union is
+    9 * (shingles in one set only) <= sum of both sizes."""
+    both = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    asked = common.stored(reps.join(both, "cls").select(F.col("rep").alias("doc_id"), "cls"), "asked")
+    found = sized.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, ["doc_id", "cls"]).select("cls", "n", "sketch")
+    found = common.stored(found if clean else found.dropDuplicates(["cls"]), "sketches")
+    a, b = (found.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in common.pieces(batches, "sketch_a", 4 << 20, "sketch_b"):
+            rows = zip(*(s.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b")), strict=True)
+            may = [9 * apart(x, y) <= n + m for n, m, x, y in rows]
+            yield pa.RecordBatch.from_arrays([s.column("a"), s.column("b"), pa.array(may, pa.bool_())], ["a", "b", "may"])
+
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, may boolean")
+
+
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """(hub, chunk, member): of each pair the class with more pairs, whose pairs are dealt to chunks, and the other one."""
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("pairs"))
+    a, b = (degree.select(F.col("cls").alias(x), F.col("pairs").alias(f"pairs_{x}")) for x in "ab")
+    turned = F.col("pairs_b") > F.col("pairs_a")
+    hub, member = F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b"))
+    chunks = F.ceil(F.greatest("pairs_a", "pairs_b") / CHUNK)
+    return pairs.join(a, "a").join(b, "b").select(hub.alias("hub"), F.pmod(F.xxhash64(member), chunks).alias("chunk"), member.alias("member"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sized: DataFrame, reps: DataFrame, clean: bool) -> DataFrame:
+    """(a, b, ok), stored: whether the whole sets of two classes link. Only texts of pairs whose sketches allow it are moved."""
+    near = common.stored(_near(common.stored(pairs, "pairs"), sized, reps, clean), "near")
+    dealt = common.stored(_dealt(near.where("may").select("a", "b")), "dealt")
+    moved = dealt.select(F.col("member").alias("cls"), "hub", "chunk").unionByName(dealt.select(F.col("hub").alias("cls"), "hub", "chunk").distinct())
+    texts = _texts(docs, common.stored(reps.join(moved, "cls").select("rep", "cls", "hub", "chunk"), "moved"), clean)
+    # the text of a hub comes first in each of its chunks
+    texts = texts.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", F.col("cls") != F.col("hub"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        size = 0
-
-        def of(key: int, text: pa.Scalar) -> np.ndarray:
-            nonlocal size
-            if key not in known:
-                if size > KNOWN:
-                    known.clear()
-                    size = 0
-                known[key] = shingles(text.as_py())
-                size += len(known[key])
-            return known[key]
-
-        # the text of a list's hub comes with each of its pairs, so both columns count
-        for s in common.pieces(batches, "text_b", common.BATCH_BYTES, "text_a"):
-            a, b, ta, tb = (s.column(c) for c in ("a", "b", "text_a", "text_b"))
-            ok = []
-            for i in range(len(a)):
-                x, y = of(a[i].as_py(), ta[i]), of(b[i].as_py(), tb[i])
-                ok.append(bool(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-    return common.stored(with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, ok boolean"), "verified")
+        hub, first = None, np.zeros(0, np.uint64)
+        for s in common.pieces(batches, "text"):
+            found: list[tuple] = []
+            for key, own, text in zip(s.column("hub").to_pylist(), s.column("cls").to_pylist(), s.column("text"), strict=True):
+                tokens = shingles(text.as_py())
+                if own == key:
+                    hub, first = key, tokens
+                elif hub == key:
+                    same = len(np.intersect1d(first, tokens, assume_unique=True))
+                    found.append((min(key, own), max(key, own), bool(linked(same, len(first), len(tokens)))))
+                else:
+                    raise ValueError(f"no text of class {key} before those that it is compared with")
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "ok"])
+
+    compared = texts.select("hub", "cls", "text").mapInArrow(run, "a long, b long, ok boolean")
+    return common.stored(near.where(~F.col("may")).select("a", "b", F.lit(False).alias("ok")).unionByName(compared), "verified")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -299,9 +375,9 @@ def groups(docs: DataFrame) -> DataFrame:
 
     star = members.where(F.col("cls") != F.col("hub.cls")).select("cls", "n", "pos", *(F.col(f"hub.{c}").alias(f"h{c}") for c in ("cls", "n", "pos")))
     pairs = star.where(_may_link("", "h")).select(F.least("cls", "hcls").alias("a"), F.greatest("cls", "hcls").alias("b")).distinct()
-    first = verified(pairs, docs, reps, clean)
+    first = verified(pairs, docs, sized, reps, clean)
     rest = _rest(members, components(first.where("ok")), first)
-    links = first.unionByName(verified(rest, docs, reps, clean)).where("ok").select("a", "b")
+    links = first.unionByName(verified(rest, docs, sized, reps, clean)).where("ok").select("a", "b")
     labels = components(links)
 
     own = reps.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -323,12 +399,12 @@ def _rest(members: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, asked: DataFrame, clean: bool) -> DataFrame:
-    """(cls, text): a text of each class in ``asked`` (rep, cls), from its smallest document.
+    """(cls, hub, chunk, text): for each row of ``asked`` (rep, cls, hub, chunk) a text of the class, from its smallest document.
 
     ``clean``: each id has one row; else only rows of the class count, and one of them.
     """
-    ids = asked.select(F.col("rep").alias("doc_id"), "cls")
-    few = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id").select("cls", "text")
+    ids = asked.withColumnRenamed("rep", "doc_id")
+    few = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id").select("cls", "hub", "chunk", "text")
     if clean:
         return few
 
@@ -340,7 +416,7 @@ def _texts(docs: DataFrame, asked: DataFrame, clean: bool) -> DataFrame:
 
         return one
 
-    return common.map_batches(few, "text", make, "cls long, text string", 4 << 20).dropDuplicates(["cls"])
+    return common.map_batches(few, "text", make, "cls long, hub long, chunk long, text string", 4 << 20).dropDuplicates(["cls", "hub", "chunk"])
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

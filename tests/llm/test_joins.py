@@ -4,6 +4,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,58 @@ def test_repeated_and_null_ids(documents):
     assert jaccard.groups(documents([])).count() == 0
 
 
+def test_sketches_never_deny_a_link():
+    rng = random.Random(5)
+    for size in (0, 1, 5, 31, 32, 33, 100, 700):
+        x = np.array([rng.getrandbits(64) for _ in range(size)], np.uint64)
+        for share in (0, 0.05, 0.11, 0.5, 1):
+            y = np.concatenate([x[int(size * share) :], np.array([rng.getrandbits(64) for _ in range(int(size * share))], np.uint64)])
+            y = y[: size - int(size * share * 0.1)]
+            least, real = jaccard.apart(jaccard.sketch(x), jaccard.sketch(y)), len(np.setxor1d(x, y))
+            assert least <= real
+            assert jaccard.linked(len(np.intersect1d(x, y)), len(x), len(y)) == (9 * real <= len(x) + len(y))
+    assert jaccard.apart(jaccard.sketch(x), jaccard.sketch(x + np.uint64(1))) * 9 > 2 * len(x)
+
+
+def test_packs_hold_every_place():
+    places = np.array([0, 0, 5, 65534, 65535, 65536, 1 << 24, (1 << 24) + 65535 * 3, (1 << 32) - 1], np.uint64)
+    slots = np.concatenate([np.uint64(r << 32) | places[k:] for r, k in ((0, 0), (3, 0), (4, 8), (9, 2))])
+    own, packs = jaccard.packed(slots)
+    assert own.tolist() == [0, 3, 4, 9]
+    assert [jaccard.unpacked(p).tolist() for p in packs] == [places[k:].astype(int).tolist() for k in (0, 0, 8, 2)]
+    assert [len(x) for x in jaccard.packed(np.zeros(0, np.uint64))] == [0, 0]
+    even = np.arange(10_000, dtype=np.uint64) * np.uint64(1500)
+    assert len(jaccard.packed(even)[1][0]) == 2 * len(even)
+
+
+@pytest.mark.parametrize("rows_broadcast", [0, 1000])
+def test_texts_are_moved_for_likely_pairs_only(documents, monkeypatch, rows_broadcast):
+    """Hubs of many members in several chunks, ids that repeat; texts are not stored."""
+    from gridbill.llm import common
+
+    names, moved, stored = [], [], common.stored
+
+    def watched(df, what):
+        names.append(what)
+        out = stored(df, what)
+        if what == "moved":
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "stored", watched)
+    monkeypatch.setattr(jaccard, "CHUNK", 3, raising=False)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", rows_broadcast)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(i, edited(base, rng, 1)) for i in range(20)]
+    rows += [(100 + i, " ".join([f"v{k}" for k in range(8)] + [f"u{i}x{k}" for k in range(60)])) for i in range(20)]  # share a rare passage
+    got = sorted(tuple(r) for r in jaccard.groups(documents(rows)).collect())
+    assert got == brute(rows)
+    assert "texts" not in names and 0 < sum(moved) < 100
+    again = jaccard.groups(documents([*rows, rows[0], rows[-1]]))
+    assert sorted(tuple(r) for r in again.distinct().collect()) == got
+
+
 def test_boundary_follows_cost():
     assert jaccard.boundary({10: 1000}, 1.0) <= 10  # short lists: scan
     assert jaccard.boundary({10: 1000, 40: 10}, 1e6) > 10  # long lists: enumerate

@@ -77,3 +77,20 @@ def test_registered():
     assert {*queries.QUERIES, "pipeline"} <= {*names}
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert decontam.ORACLE == entry.oracle_sql()["op9_templates"]
+
+
+def test_near_copies_are_dropped_without_moving_texts(spark, tiny, documents):
+    """An id with one row of its own and one that copies a smaller id stays, as one row for each text."""
+    copy, other = "one two three four five six seven", "a b c d e f g h"
+    rows = [(1, copy), (2, copy), (3, other), (3, copy), (3, copy), (4, other + " i"), (5, None), (None, copy)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        now = corpus_pipeline.drop_near_copies(spark, documents(rows[:3] + rows[5:]), tiny)
+        plan = now._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+        assert sorted((r.doc_id or 0, r.text or "") for r in now.collect()) == [(0, copy), (1, copy), (3, other), (5, "")]
+        now = corpus_pipeline.drop_near_copies(spark, documents(rows), tiny)
+        assert sorted((r.doc_id or 0, r.text or "") for r in now.collect()) == [(0, copy), (1, copy), (3, other), (3, copy), (5, "")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
