@@ -23,7 +23,7 @@ from gridbill.llm.chunks import Encoder, binary, byte_characters, gather, runs
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes of text that are encoded at once, and what a worker may remember of encoded stretches.
-BATCH_BYTES, MEMORY_BYTES = 2 << 20, 48 << 20
+BATCH_BYTES, MEMORY_BYTES = 512 << 10, 16 << 20
 
 
 @lru_cache(2)

@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +75,39 @@ def test_memory_of_stretches_is_bounded():
         assert enc.held <= 2000 + 3 * 250 and len(enc.known) <= 15
 
 
+_WORKER = """
+import re, sys
+import pyarrow as pa
+import public_tokenizers as P
+from gridbill.llm import bpe, common
+
+def rss(what):
+    return int(re.search(what + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+
+batch = pa.ipc.open_stream(pa.OSFile(sys.argv[1])).read_next_batch()
+path = P.path(bpe.VOCABULARY)
+enc, dec = bpe.encoder(path, P.PATTERN), bpe.decoder(path)
+enc.batch(pa.array(["a b"]))
+common.give_back()
+before = rss("VmRSS")
+for s in common.slices(batch, "text", bpe.BATCH_BYTES):
+    dec(*enc.batch(s.column("text")))
+print(rss("VmHWM") - before)
+"""
+
+
+def test_memory_of_a_worker(tmp_path):
+    """An executor holds two such processes beside a full heap: MB that encoding takes beside its input, if no word recurs."""
+    name = str.maketrans("0123456789abcdef", "aeioubcdfgklmnpr")
+    words = [f"{i * 2654435761 % (1 << 32):08x}".translate(name) for i in range(400_000)]
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]})
+    with pa.ipc.new_stream(str(tmp_path / "texts"), batch.schema) as out:
+        out.write_batch(batch)
+    root = str(Path(bpe.__file__).parents[2])
+    done = subprocess.run([sys.executable, "-c", _WORKER, str(tmp_path / "texts")], cwd=root, capture_output=True, text=True, check=True, timeout=120)
+    assert int(done.stdout) < 85
+
+
 def test_long_stretches_are_not_remembered():
     enc = bpe.Encoder(P.PATTERN, lambda pre: [[len(p)] for p in pre])
     got = enc(["x" * 400 + f"{k} " + "y" * 900 + f"{k} z" for k in range(50)])
